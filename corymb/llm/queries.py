@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from corymb.llm import hilbert, line_dedup, mixing, ownership
+from corymb.llm import bytecnn, countjoin, gam, hilbert, line_dedup, mixing, ownership, winnow
 
 
 def _docs(f):
     return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _docs_and(table, f):
+    return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
 def queries() -> dict:
     return {
+        "op1_winnowing": _docs_and("benchmark", winnow.decontamination_digest),
         "op3_hilbert_shards": _docs(hilbert.shard_digest),
         "op4_ownership_secrets": _docs(ownership.scan_digest),
+        "op6_byte_cnn": _docs(bytecnn.language_digest),
         "op7_site_lines": _docs(line_dedup.line_digest),
+        "op8_additive_quality": _docs_and("labels", gam.quality_digest),
         "op9_water_filling": _docs(mixing.mix_digest),
+        "op10_count_join": _docs(countjoin.join_digest),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_winnowing": winnow.DECONTAMINATION_SQL,
         "op3_hilbert_shards": hilbert.shard_sql(),
         "op4_ownership_secrets": ownership.SCAN_SQL,
         "op7_site_lines": line_dedup.LINE_SQL,
