@@ -66,9 +66,10 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         again[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
         second = np.zeros(len(hashes), bool)
         second[2:] = (hashes[2:] == hashes[:-2]) & (owner[2:] == owner[:-2])
-        order = np.lexsort((hashes, owner))
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        distinct = np.zeros(hi - lo)
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            s = np.sort(hashes[a:b])
+            distinct[i] = np.count_nonzero(s[1:] != s[:-1]) + (b > a)
         inside = tokens.NOT_SPACE[part]
         run = np.zeros(len(part), np.int32)
         run[2:] = symbol[2:] & symbol[1:-1] & symbol[:-2]
@@ -76,7 +77,7 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         lines = per_text(_LINE[part]) + 1
         cols = [
             np.log1p(size), upper / np.maximum(upper + lower, 1), per_text(_DIGIT[part]) / full, per_text(symbol) / full, per_text(_BANG[part]) / full, per_text(_BAR[part]) / full,
-            per_text(_SPACE[part]) / full, high / full, letters / count, np.minimum(letters / count, 40), in_text(again) / count, in_text(new[np.argsort(order, kind="stable")] if len(order) else new) / count,
+            per_text(_SPACE[part]) / full, high / full, letters / count, np.minimum(letters / count, 40), in_text(again) / count, distinct / count,
             per_text(run) / full, per_text(_STOP[part]) / count, np.log1p(size / lines), in_text(second) / count, per_text(symbol) / count,
         ]
         out[lo:hi] = np.stack(cols, 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corymb.llm import bytecnn, countjoin, gam, hilbert, line_dedup, mixing, ownership, winnow
+from corymb.llm import blocks, bytecnn, countjoin, gam, hilbert, line_dedup, mixing, orderhash, ownership, winnow
 
 
 def _docs(f):
@@ -16,8 +16,10 @@ def _docs_and(table, f):
 def queries() -> dict:
     return {
         "op1_winnowing": _docs_and("benchmark", winnow.decontamination_digest),
+        "op2_order_minhash": _docs(orderhash.edit_digest),
         "op3_hilbert_shards": _docs(hilbert.shard_digest),
         "op4_ownership_secrets": _docs(ownership.scan_digest),
+        "op5_block_lstm": lambda spark, sf_dir: blocks.page_digest(spark.read.parquet(f"{sf_dir}/pages.parquet")),
         "op6_byte_cnn": _docs(bytecnn.language_digest),
         "op7_site_lines": _docs(line_dedup.line_digest),
         "op8_additive_quality": _docs_and("labels", gam.quality_digest),
