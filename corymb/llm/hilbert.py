@@ -77,12 +77,16 @@ def document_dims(df: DataFrame, bits: int = 3) -> list[Column]:
 def hilbert_shards(df: DataFrame, dims: list[Column], *, n_shards: int = 24, bits: int = 3, id_col: str = "doc_id", tie_cols: tuple[str, ...] = (), subs: int = 64) -> DataFrame:
     """``df`` with ``shard`` (0 to ``n_shards - 1``) and ``slot`` (gapless from 0 in each shard)."""
     df = df.drop("shard", "slot")
-    cell, sub, at = free_name(df, "hx_cell"), free_name(df, "hx_sub"), free_name(df, "hx_at")
-    placed = df.withColumns({cell: hilbert_index(dims, bits), sub: F.coalesce(F.pmod(F.col(id_col), F.lit(subs)), F.lit(0)).cast("int")})
+    cell, sub, at, curve = (free_name(df, f"hx_{c}") for c in ("cell", "sub", "at", "curve"))
+    packed = reduce(lambda out, d: out * (1 << bits) + d.cast("long"), dims, F.lit(0).cast("long"))
+    placed = df.withColumns({cell: packed, sub: F.coalesce(F.pmod(F.col(id_col), F.lit(subs)), F.lit(0)).cast("int")})
     counts = materialise(placed.groupBy(cell, sub).agg(F.count("*").alias("n")), "hilbert_cells")
     total = counts.agg(F.sum("n")).first()[0] or 0
+    # the curve is walked once for each cell, not for each row
+    points = [F.shiftright(F.col(cell), bits * (len(dims) - 1 - i)).bitwiseAND((1 << bits) - 1) for i in range(len(dims))]
+    curved = materialise(counts.groupBy(cell).agg(F.sum("n").alias("n")).withColumn(curve, hilbert_index(points, bits)), "hilbert_curve")
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.groupBy(cell).agg(F.sum("n").alias("n")).select(F.col(cell), F.coalesce(F.sum("n").over(before.orderBy(cell)), F.lit(0)).alias("base"))
+    cells = curved.select(F.col(cell), F.coalesce(F.sum("n").over(before.orderBy(curve)), F.lit(0)).alias("base"))
     offsets = counts.join(F.broadcast(cells), cell).select(cell, sub, (F.col("base") + F.coalesce(F.sum("n").over(before.partitionBy(cell).orderBy(sub)), F.lit(0))).alias(at))
     ranked = placed.withColumn("slot", F.row_number().over(Window.partitionBy(cell, sub).orderBy(id_col, *tie_cols)) - 1)
     ranked = ranked.join(F.broadcast(offsets), [cell, sub])  # at most cells * subs rows
