@@ -243,18 +243,22 @@ def module_scores(df: DataFrame, size: str, modules: dict[str, list[str]], ident
 
     Covariances are aggregated; only their matrices (one row a module) are solved in Python.
     """
-    out = df
     traits = sorted({t for ts in modules.values() for t in ts})
-    for t in traits:
-        out = size_residuals(out, [], size, t, f"_r_{t}").drop("slope")
+    # one pass for all lines on size, one for all correlations of residuals: the plan reads df three times, however many traits
+    both = {t: F.col(size).isNotNull() & F.col(t).isNotNull() for t in traits}
+    lines = df.agg(*(e.alias(f"_{c}_{t}") for t in traits for c, e in (("x", F.avg(F.when(both[t], F.col(size)))), ("y", F.avg(F.when(both[t], F.col(t)))), ("b", F.try_divide(F.covar_pop(size, t), F.var_pop(F.when(both[t], F.col(size))))))))
+    left = {t: (F.col(t) - F.col(f"_y_{t}") - F.col(f"_b_{t}") * (F.col(size) - F.col(f"_x_{t}"))).alias(f"_r_{t}") for t in traits}
+    out = df.crossJoin(F.broadcast(lines)).select(*ident, *left.values())  # one row
+    wanted = []
     for name, ts in modules.items():
-        r = [f"_r_{t}" for t in ts]
-        full = out.where(" AND ".join(f"`{c}` IS NOT NULL" for c in r))
-        stats = full.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(r)), *(F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(r)), *(F.corr(a, b).alias(f"c{i}_{j}") for i, a in enumerate(r) for j, b in enumerate(r)))
-        n = len(r)
-
-        udf = _loadings(n)
-        solved = stats.withColumn("load", udf(F.array(*(F.coalesce(F.col(f"c{i}_{j}"), F.lit(0.0)) for i in range(n) for j in range(n)))))
-        score = sum(((F.col(c) - F.col(f"m{i}")) / F.col(f"s{i}") * F.col("load")[i] for i, c in enumerate(r)), F.lit(0.0)) / F.sqrt(F.col("load")[n + 1])
-        out = out.crossJoin(F.broadcast(solved)).withColumn(name, score).drop(*solved.columns)  # one row
-    return out.select(*ident, *modules)
+        full = F.lit(True)
+        for t in ts:
+            full = full & F.col(f"_r_{t}").isNotNull()
+        x = [F.when(full, F.col(f"_r_{t}")) for t in ts]
+        wanted += [F.array(*map(F.avg, x)).alias(f"_m_{name}"), F.array(*map(F.stddev_samp, x)).alias(f"_s_{name}"), F.array(*(F.coalesce(F.corr(a, b), F.lit(0.0)) for a in x for b in x)).alias(f"_c_{name}")]
+    stats = out.agg(*wanted).select("*", *(_loadings(len(ts))(F.col(f"_c_{name}")).alias(f"_l_{name}") for name, ts in modules.items()))
+    scores = []
+    for name, ts in modules.items():
+        terms = [(F.col(f"_r_{t}") - F.col(f"_m_{name}")[i]) / F.col(f"_s_{name}")[i] * F.col(f"_l_{name}")[i] for i, t in enumerate(ts)]
+        scores.append((sum(terms[1:], terms[0]) / F.sqrt(F.col(f"_l_{name}")[len(ts) + 1])).alias(name))
+    return out.crossJoin(F.broadcast(stats)).select(*ident, *scores)  # one row

@@ -41,7 +41,7 @@ def group_matrix(sites: DataFrame, group: str, modules: list[str]) -> DataFrame:
 
 def trajectories(sites: DataFrame, group: str, modules: list[str]) -> DataFrame:
     """Each group's place on the best common axis, and how far it lies off that axis."""
-    m = group_matrix(sites, group, modules)
+    m = group_matrix(sites, group, modules).persist()  # a row a group, read twice
     cols = [f"z_{c}" for c in modules]
     schema = f"{group} string, rank1_fraction double, syndrome_axis_score double, orthogonal_residual_norm double, " + ", ".join(f"rank1_fitted_{c} double, rank1_residual_{c} double" for c in modules)
 

@@ -31,6 +31,11 @@ def _modules(spark, sf_dir):
     return models.module_scores(d, "size", {"wealth": ["balance"], "spending": ["price", "top_price"], "volume": ["flowers", "price"]}, ["island", "site", "plant", "lat"])
 
 
+def _scores(spark, sf_dir):
+    """Module scores of sites: a row a site, so it is kept for the queries that read it again and again."""
+    return syndrome.site_scores(_modules(spark, sf_dir), "island", "site", MODS).persist()
+
+
 MODS = ["wealth", "spending", "volume"]
 
 
@@ -114,7 +119,7 @@ def module_scores(spark, sf_dir):
 
 @query("module_trajectories")
 def module_trajectories(spark, sf_dir):
-    return syndrome.trajectories(syndrome.site_scores(_modules(spark, sf_dir), "island", "site", MODS), "island", MODS)
+    return syndrome.trajectories(_scores(spark, sf_dir), "island", MODS)
 
 
 @query("mosaic_states")
@@ -124,7 +129,7 @@ def mosaic_states(spark, sf_dir):
 
 @query("trajectory_pairs")
 def trajectory_pairs(spark, sf_dir):
-    return syndrome.pairwise_trajectories(syndrome.group_matrix(syndrome.site_scores(_modules(spark, sf_dir), "island", "site", MODS), "island", MODS), MODS)
+    return syndrome.pairwise_trajectories(syndrome.group_matrix(_scores(spark, sf_dir), "island", MODS), MODS)
 
 
 @query("trajectory_bootstrap")
