@@ -81,7 +81,7 @@ def pixel_iou(spark, sf_dir):
     return pixels.iou(_pixels(spark), "roi", "other").withColumn("iou", F.round("iou", 7))
 
 
-@query("pixel_channels", f"WITH {GRID}, l AS (SELECT image_id, 'r' AS channel, r AS v FROM px WHERE pat UNION ALL SELECT image_id, 'g', g FROM px WHERE pat UNION ALL SELECT image_id, 'b', b FROM px WHERE pat), m AS (SELECT image_id, channel, v, row_number() OVER (PARTITION BY image_id, channel ORDER BY count(*) DESC, v) AS k FROM l GROUP BY ALL) SELECT l.image_id, l.channel, count(*) AS n, max(m.v) AS mode, round(median(l.v), 4) AS median, round(quantile_cont(l.v::DOUBLE, 0.05), 4) AS p05, round(quantile_cont(l.v::DOUBLE, 0.95), 4) AS p95 FROM l JOIN m ON m.image_id = l.image_id AND m.channel = l.channel AND k = 1 GROUP BY l.image_id, l.channel")
+@query("pixel_channels", f"WITH {GRID}, l AS (SELECT image_id, 'r' AS channel, r AS v FROM px WHERE pat UNION ALL SELECT image_id, 'g', g FROM px WHERE pat UNION ALL SELECT image_id, 'b', b FROM px WHERE pat), c AS (SELECT image_id, channel, v, count(*) AS c FROM l GROUP BY ALL), m AS (SELECT image_id, channel, v, row_number() OVER (PARTITION BY image_id, channel ORDER BY c DESC, v) AS k FROM c) SELECT l.image_id, l.channel, count(*) AS n, max(m.v) AS mode, round(median(l.v), 4) AS median, round(quantile_cont(l.v::DOUBLE, 0.05), 4) AS p05, round(quantile_cont(l.v::DOUBLE, 0.95), 4) AS p95 FROM l JOIN m ON m.image_id = l.image_id AND m.channel = l.channel AND k = 1 GROUP BY l.image_id, l.channel")
 def pixel_channels(spark, sf_dir):
     return pixels.channel_statistics(_pixels(spark), "pat").select("image_id", "channel", "n", "mode", *(F.round(c, 4).alias(c) for c in ("median", "p05", "p95")))
 
