@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from corymb.functions.scalars import MM_PER_PX
 
 ID = "image_id"
+#: The synthetic flower's corners (x, y) and its spots (x, y, radius), in shares of the image's size.
+CORNERS = ((0.42, 0.14), (0.58, 0.14), (0.70, 0.42), (0.79, 0.70), (0.64, 0.83), (0.50, 0.75), (0.36, 0.83), (0.21, 0.70), (0.30, 0.42))
+SPOTS = ((0.43, 0.38, 0.025), (0.55, 0.41, 0.022), (0.39, 0.52, 0.020), (0.51, 0.55, 0.026), (0.61, 0.58, 0.019), (0.47, 0.66, 0.017))
 
 
 def grid(spark, images: int, height: int, width: int) -> DataFrame:
@@ -33,17 +36,14 @@ def synthetic_flower(spark, size: int = 256) -> DataFrame:
     """(image_id, y, x, in_roi, in_pattern, r, g, b): a tapered nine-sided flower with six spots."""
     if size < 96:
         raise ValueError("size must be at least 96")
-    #: Fixed shape in shares of the size: corners of the flower, centres and radii of the spots.
-    corners = [(0.40, 0.10), (0.60, 0.10), (0.68, 0.45), (0.80, 0.78), (0.66, 0.90), (0.50, 0.82), (0.34, 0.90), (0.20, 0.78), (0.32, 0.45)]
-    spots = [(0.50, 0.25, 0.020), (0.44, 0.36, 0.022), (0.57, 0.40, 0.022), (0.49, 0.52, 0.024), (0.40, 0.62, 0.022), (0.60, 0.65, 0.022)]
     d = grid(spark, 1, size, size)
-    roi = polygon_contains(F.col("x").cast("double"), F.col("y").cast("double"), [(px * size, py * size) for px, py in corners])
+    roi = polygon_contains(F.col("x").cast("double"), F.col("y").cast("double"), [(int(px * size), int(py * size)) for px, py in CORNERS])
     near = F.lit(False)
-    for sx, sy, r in spots:
-        near = near | ((F.col("x") - round(sx * size)) * (F.col("x") - round(sx * size)) + (F.col("y") - round(sy * size)) * (F.col("y") - round(sy * size)) <= round(r * size) ** 2)
+    for sx, sy, r in SPOTS:
+        near = near | ((F.col("x") - int(sx * size)) * (F.col("x") - int(sx * size)) + (F.col("y") - int(sy * size)) * (F.col("y") - int(sy * size)) <= max(2, int(r * size)) ** 2)
     d = d.withColumns({"in_roi": roi, "in_pattern": roi & near})
     pick = lambda a, b, c: F.when(F.col("in_pattern"), a).when(F.col("in_roi"), b).otherwise(c).cast("smallint")
-    return d.withColumns({"r": pick(130, 232, 250), "g": pick(60, 215, 250), "b": pick(140, 225, 250)})
+    return d.withColumns({"r": pick(112, 225, 242), "g": pick(48, 188, 242), "b": pick(145, 220, 242)})
 
 
 def bounding_box(d: DataFrame, mask: str) -> DataFrame:

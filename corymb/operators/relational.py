@@ -117,3 +117,25 @@ def argmax_column(columns: list[str], greatest: bool = True) -> Column:
     for c in columns[1:]:
         out = out.when(F.col(c) == best, c)
     return out
+
+
+#: Fixed text: what each trait of a flower is and how it is read off.
+TRAIT_DEFINITIONS = (
+    ("corolla_length_mm", "side of the oriented box nearer vertical"),
+    ("corolla_width_fulleq_mm", "other side of the box, doubled for folded flowers"),
+    ("corolla_area_fulleq_mm2", "pixels of the repaired region, doubled for folded flowers"),
+    ("throat_width_mm", "median width from 4 to 16 % of the upright height"),
+    ("mouth_width_mm", "median width from 72 to 88 % of the upright height"),
+    ("lobe_incision_mm", "98th minus 15th percentile of the lower edge"),
+    ("organ_length_mm", "skeleton length of the organ's stroke"),
+    ("guide_coverage_pct", "guide pixels in 100 pixels of the region"),
+)
+
+
+def trait_definitions(spark) -> DataFrame:
+    return spark.createDataFrame(TRAIT_DEFINITIONS, "trait string, definition string")
+
+
+def manual_rows(sheets: DataFrame, manual: DataFrame, key: str = "sheet") -> DataFrame:
+    """Hand-made rows of the sheets at hand; a small table, joined by key."""
+    return manual.join(sheets.select(key).distinct(), key, "left_semi")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corymb.operators import models, ranks, syndrome
-from corymb.plans.base import LONG, PLANTS, plants, traits
+from corymb.operators import models, ranks, relational, syndrome
+from corymb.plans.base import LONG, PLANTS, plants, table, traits
 from corymb.plans.registry import query
 
 MODULES = {"wealth": ["balance", "flowers"], "spending": ["price", "top_price"]}
@@ -205,6 +205,42 @@ def lability_table(spark, sf_dir):
     return syndrome.lability(u, None, None, "price").select("trait", F.round("pst", 6).alias("pst"), "lability_rank", F.round("ratio_to_reference", 6).alias("ratio_to_reference"))
 
 
+_LEVELS = {
+    "raw plants": "SELECT price AS x, balance AS y FROM plants",
+    "plants within regions": "SELECT price - avg(price) OVER (PARTITION BY island) AS x, balance - avg(balance) OVER (PARTITION BY island) AS y FROM plants",
+    "site means": "SELECT avg(price) AS x, avg(balance) AS y FROM plants GROUP BY site",
+    "site means within regions": "SELECT x - avg(x) OVER (PARTITION BY island) AS x, y - avg(y) OVER (PARTITION BY island) AS y FROM (SELECT island, avg(price) AS x, avg(balance) AS y FROM plants GROUP BY island, site)",
+    "region means": "SELECT avg(price) AS x, avg(balance) AS y FROM plants GROUP BY island",
+}
+
+
+@query("size_signal_levels", f"WITH {PLANTS} " + " UNION ALL ".join(f"SELECT '{k}' AS comparison, count(*) AS n, round(corr(x, y), 5) AS r FROM ({q})" for k, q in _LEVELS.items()))
+def size_signal_levels(spark, sf_dir):
+    """One correlation at five levels of the hierarchy: plants, plants within regions, sites, sites within regions, regions."""
+    p = plants(spark, sf_dir).select("island", "site", F.col("price").alias("x"), F.col("balance").alias("y"))
+    s = p.groupBy("island", "site").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    g = p.groupBy("island").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    within = lambda d: d.select(ranks.centred("x", "island").alias("x"), ranks.centred("y", "island").alias("y"))
+    out = None
+    for name, d in zip(_LEVELS, (p, within(p), s, within(s), g), strict=True):
+        row = ranks.pearson(d.select(F.lit(name).alias("comparison"), "x", "y"), ["comparison"], "x", "y", p_value=False)
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("r", F.round("r", 5))
+
+
+@query("layout_by_flag", "WITH d AS (SELECT l_returnflag, l_tax * 10 AS basal_frac, l_discount * 10 AS random_basal_frac, l_quantity / 50 AS mean_pos, nullif(l_quantity / 25, 0.04) AS midline_ratio, CASE WHEN l_linenumber > 2 THEN l_quantity / 20 END AS midline_ratio_distal FROM lineitem) SELECT l_returnflag, count(*) AS n, round(avg(basal_frac), 6) AS mean_basal, round(median(basal_frac - random_basal_frac), 6) AS median_difference, count(midline_ratio_distal) AS n_midline_ratio_distal, round(avg(midline_ratio_distal), 6) AS mean_midline_ratio_distal, round(avg(CAST(midline_ratio > 1 AS INTEGER)), 6) AS share_midline_ratio_above_1 FROM d GROUP BY 1")
+def layout_by_flag(spark, sf_dir):
+    q = F.col("l_quantity")
+    d = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_tax") * 10).alias("basal_frac"), (F.col("l_discount") * 10).alias("random_basal_frac"), (q / 50).alias("mean_pos"), F.nullif(q / 25, F.lit(0.04)).alias("midline_ratio"), F.when(F.col("l_linenumber") > 2, q / 20).alias("midline_ratio_distal"))
+    s = syndrome.layout_summary(d, ["l_returnflag"])
+    return s.select("l_returnflag", "n", *(F.round(c, 6).alias(c) for c in ("mean_basal", "median_difference")), "n_midline_ratio_distal", *(F.round(c, 6).alias(c) for c in ("mean_midline_ratio_distal", "share_midline_ratio_above_1")))
+
+
+@query("trait_definitions")
+def trait_definitions(spark, sf_dir):
+    return relational.trait_definitions(spark)
+
+
 @query("evidence_scope")
 def evidence_scope(spark, sf_dir):
     return syndrome.scope_table(spark)
