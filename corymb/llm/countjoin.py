@@ -231,7 +231,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 9, den: in
     least = F.min("sid").over(Window.partitionBy("cell"))
     stars = materialise(_filed(docs, width, num, den).withColumn("star", least).where("sid <> star").select("star", "sid").distinct(), "stars")
     inside = stars.unionByName(stars.select("star", F.col("star").alias("sid")).distinct())
-    parts = inside.groupBy("star").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+    # written before the join, so that a large star is counted where its rows lie and its join can be split
+    parts = materialise(inside.groupBy("star").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")), "parts")
     own = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
     # a chunk meets each other chunk of its star, and itself, in a task of its own
     tasks = inside.join(parts, "star").withColumn("own", own).select("star", "sid", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
