@@ -222,7 +222,7 @@ def _search(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 512, broadcast_rows: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; links are Jaccard >= num/den."""
     docs = need(docs, doc_id="long", text="string")
     members = materialise(_sets(docs, width), "sets")
