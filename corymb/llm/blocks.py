@@ -221,9 +221,13 @@ class BlockTagger:
         t, total = 0, epochs * -(-len(pages) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(pages))
-            for lo in range(0, len(order), batch):
+            groups = []
+            for lo in range(0, len(order), 12 * batch):  # pages of like length share a batch: little padding
+                part = sorted(order[lo : lo + 12 * batch], key=lambda i: len(pages[i]))
+                groups += [part[i : i + batch] for i in range(0, len(part), batch)]
+            for g in rng.permutation(len(groups)):
                 t += 1
-                pick = order[lo : lo + batch]
+                pick = groups[g]
                 for k, g in self.gradients([pages[i] for i in pick], [labels[i] for i in pick]).items():
                     m[k] += 0.1 * (g - m[k])
                     s[k] += 0.001 * (g * g - s[k])
@@ -247,16 +251,24 @@ ARTICLE_NAMES = "article content main post entry story body text article-body po
 WRAPPER_NAMES = "container wrapper page row col inner outer layout section block grid region wrap site".split()
 
 
+@lru_cache(1)
+def _vocabulary(n: int = 5000) -> list[str]:
+    """Made-up words of one to three syllables."""
+    rng = np.random.default_rng(29)
+    syllables = "an be ch de en er fa ge ha in ka la mo ne or pa qu re st th ti un ve wh za on ed ing".split()
+    return ["".join(syllables[i] for i in rng.integers(0, len(syllables), int(k))) for k in rng.integers(1, 4, n)]
+
+
 def made_up_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     """A page, and for each of its leaf blocks whether the article holds it."""
     out: list[str] = []
     labels: list[int] = []
-    syllables = "an be ch de en er fa ge ha in ka la mo ne or pa qu re st th ti un ve wh za on ed ing".split()
-    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 4)))
+    pool = _vocabulary()
+    word = lambda: pool[int(rng.integers(len(pool)))]
     pick = lambda names: str(rng.choice(names.split() if isinstance(names, str) else names))
 
     def words(lo: int, hi: int) -> str:
-        text = " ".join(word() for _ in range(int(rng.integers(lo, hi))))
+        text = " ".join(pool[i] for i in rng.integers(0, len(pool), int(rng.integers(lo, hi))))
         return (text.capitalize() + ".") if rng.random() < 0.7 else text
 
     def block(text: str, label: int) -> str:
@@ -313,6 +325,8 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, list[int]]:
             out.append(block(words(1, 25), 0))
         out.append(f"</{tag}>")
 
+    if rng.random() < 0.03:  # text without any tag
+        return block(" ".join(words(3, 40) for _ in range(int(rng.integers(1, 4)))), 1), labels
     wrapped = rng.random() < 0.4
     out.append(f"<!DOCTYPE html><html><head><title>{words(1, 8)}</title><style>p{{}}</style></head><body>")
     if wrapped:
@@ -330,8 +344,8 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, list[int]]:
         head = rng.random() < 0.1 and opening
         out.append(f"{'<header>' if head else ''}<h1>{block(words(1, 12), 1)}</h1>{'</header>' if head else ''}")
     paragraphs(1, 1, 9)
-    if rng.random() < 0.3:
-        side(pick(["ad", "aside", "share", "form", "notice", "comments", "nav"]))
+    if rng.random() < 0.5:
+        side(pick(["ad", "ad", "aside", "share", "form", "notice", "comments", "nav"]))
         if rng.random() < 0.7:
             paragraphs(1, 1, 4)
     out += [f"</{t}>" for t in reversed(re.findall(r"<(\w+)", opening))]
@@ -346,7 +360,7 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     return "".join(out), labels
 
 
-def fit(pages: int = 900, seed: int = 17) -> BlockTagger:
+def fit(pages: int = 1200, seed: int = 17) -> BlockTagger:
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     while len(xs) < pages:
