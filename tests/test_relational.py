@@ -9,7 +9,7 @@ from corymb.sources import tables
 
 def test_csv_dialect(spark, tmp_path):
     p = tmp_path / "m.csv"
-    p.write_bytes("﻿date,island,no,lat,lon,id,collar,organ,status\r\n2026.7.4,oshima,1,34.7,nan,1,1,,s\r\n".encode())
+    p.write_bytes("﻿date,island,no,lat,lon,id,collar,organ,status\r\n2026.7.4,north,1,34.7,nan,1,1,,s\r\n".encode())
     r = tables.read_csv(spark, f"file://{p}", "field_metadata").first()
     assert (r["date"], r["no"], r["lon"], r["organ"]) == ("2026.7.4", 1, None, None)
     assert tables.optional_csv(spark, f"file://{tmp_path}/none.csv", "guide_traits").count() == 0
