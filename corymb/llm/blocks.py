@@ -35,9 +35,13 @@ BLOCK = frozenset("address article aside blockquote body button caption center d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video"
 HEAD = frozenset(["head", "title"])
+#: Start tags that may stand in a head; any other closes it, and a title that was left open.
+IN_HEAD = HEAD | frozenset("base basefont bgsound link meta noframes".split())
 #: An open element of the first kind is closed by a start tag of the second.
 CLOSES = {"p": BLOCK - {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=silent)\s*>|.*\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: A title's text runs to its end tag, unless one of the others comes first: then it was left open.
+_TITLE_END = re.compile(r"<(?:(?P<close>/title)|/head|body|title|svg)(?=[\s/>])[^>]*>", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 
@@ -62,11 +66,13 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         nonlocal links
         if piece:
             piece = html.unescape(piece)
+            if stack and stack[-1][0] == "head" and not piece.isspace():
+                stack.pop()
             parts.append(piece)
             if any(t == "a" for t, _ in stack):
                 links += len(piece.strip())
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -83,6 +89,14 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                 while stack.pop()[0] != tag:
                     pass
             continue
+        if tag == "title" and (close := _TITLE_END.search(page, at)) and close["close"]:
+            at = close.end()
+            continue
+        if tag not in IN_HEAD:
+            for i, (t, _) in enumerate(stack):
+                if t in HEAD:
+                    del stack[i:]
+                    break
         for i in range(len(stack) - 1, -1, -1):
             if tag in CLOSES.get(stack[i][0], ()):
                 del stack[i:]

@@ -237,6 +237,20 @@ def test_blocks_of_broken_html():
     assert blocks.leaf_blocks("<p>a<script>never closed <p>b")[0][0] == "a"
 
 
+@pytest.mark.parametrize("head", ["<head><title>x</title>", "<head><title>x", "<head><meta a=b><title>a <b>c</b></title><link rel=d><style>p{}</style>\n", "<title>x", "<head><title>x</head>"])
+@pytest.mark.parametrize("start", ["<body>", "", "<div>"])
+def test_blocks_of_a_page_whose_head_is_left_open(head, start):
+    page = f"<html>{head}{start}<article><p>Text <svg><title>t</title></svg>here</p></article>"
+    assert [t for t, _, _ in blocks.leaf_blocks(page)] == ["Text here"]
+    assert blocks.leaf_blocks(page)[0][1][-2:] == ("<article>", "<p>")
+
+
+def test_text_closes_an_open_head(tagger):
+    assert [t for t, _, _ in blocks.leaf_blocks("<head><title>x</title>\nBare text<p>more")] == ["Bare text", "more"]
+    page = "<html><head><title>x</title><body><article><p>Text of it.</p></article>"
+    assert blocks.extract(tagger, [page]) == ["Text of it."]
+
+
 def test_labeller_on_held_out_pages(tagger):
     rng = np.random.default_rng(4242)
     right = total = 0
