@@ -9,7 +9,9 @@ The network is trained here, on ``pages`` made-up pages whose layouts mix articl
 headers, footers, sidebars, notices, adverts, forms and comments; nothing of the data is used.
 
 Nulls: a null or empty page has an empty text.  Scripts, styles, comments and the head hold no blocks.
-Unclosed tags are closed by what follows; text without any tag is one block.  A page is read whole.
+Nor do embedded elements (``SILENT``) that are closed; of one left open only the start tag is dropped,
+while an unclosed script or style runs to the end of the page.  Other unclosed tags are closed by what
+follows; text without any tag is one block.  A page is read whole.
 An empty table gives no rows; repeated rows get equal texts.
 """
 
@@ -33,13 +35,14 @@ from corymb.llm.shared import need
 #: Elements that end the block before them, that have no end tag, and that hold no text of the page.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video"
+SILENT = frozenset("noscript template svg math iframe object canvas audio video".split())
 HEAD = frozenset(["head", "title"])
 #: Start tags that may stand in a head; any other closes it, and a title that was left open.
 IN_HEAD = HEAD | frozenset("base basefont bgsound link meta noframes".split())
 #: An open element of the first kind is closed by a start tag of the second.
 CLOSES = {"p": BLOCK - {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=silent)\s*>|.*\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>]){_ATTRS}>(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>", re.S | re.I)
 #: A title's text runs to its end tag, unless one of the others comes first: then it was left open.
 _TITLE_END = re.compile(r"<(?:(?P<close>/title)|/head|body|title|svg)(?=[\s/>])[^>]*>", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -49,9 +52,34 @@ PATH, WORDS, NUMBERS, HIDDEN = 192, 32, 5, 20
 INPUT = PATH + WORDS + NUMBERS
 
 
+def _silent(m: re.Match) -> str | None:
+    """The name of a token's embedded element; names that only begin like one, as in ``<svg-icon>``, aren't."""
+    tag = (m["tag"] or "").lower()
+    return tag if tag in SILENT and m.string[m.end("tag")] in " \t\n\r\f/>" else None
+
+
+def _self_closed(m: re.Match) -> bool:
+    return m["tag"].lower() in ("svg", "math") and m["attrs"].rstrip().endswith("/")
+
+
+def _silent_ends(page: str) -> dict[int, int]:
+    """Where each closed embedded element ends, by where it starts; an end tag closes the last open one of its name."""
+    opened, ends = {}, {}
+    for m in _TOKEN.finditer(page):
+        if not (tag := _silent(m)):
+            continue
+        if not m["end"]:
+            if not _self_closed(m):
+                opened.setdefault(tag, []).append(m.start())
+        elif opened.get(tag):
+            ends[opened[tag].pop()] = m.end()
+    return ends
+
+
 def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, path, characters in links) of each non-empty block outside the head."""
     out, stack, parts, links, at = [], [], [], 0, 0
+    ends = None
 
     def cut() -> None:
         nonlocal links
@@ -79,6 +107,11 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if _silent(m) and not m["end"]:
+            if not _self_closed(m):
+                ends = _silent_ends(page) if ends is None else ends
+                at = max(at, ends.get(m.start(), at))
+            continue
         if tag == "br":
             parts.append(" ")
             continue

@@ -251,6 +251,15 @@ def test_text_closes_an_open_head(tagger):
     assert blocks.extract(tagger, [page]) == ["Text of it."]
 
 
+@pytest.mark.parametrize("inside", [
+    "<svg class='i'/>", "<math />", '<svg-icon name="x"></svg-icon>', "<video-player src=a></video-player>", "<object-x>", "<style-guide></style-guide>", "<svg>no<svg>no</svg>no</svg>", "<svg>no<svg/>no</svg>", "<video src=a>", "<object data=b>",
+    "<iframe>no</iframe>", "<script>no</script >", "<canvas>no<!-- </canvas> -->no</canvas>", "<audio src=a><audio>no</audio>", "<template><p>no</template>", "<noscript>no</noscript\n>", "<script>'<svg>'</script>", "<svg_icon/>",
+])
+def test_embedded_elements_take_nothing_else_along(inside):
+    page = f"<p>a {inside} rest</p><p>more</p><svg>no</svg><p>end</p>"
+    assert [t for t, _, _ in blocks.leaf_blocks(page)] == ["a rest", "more", "end"]
+
+
 def test_labeller_on_held_out_pages(tagger):
     rng = np.random.default_rng(4242)
     right = total = 0
