@@ -31,7 +31,7 @@ BASE = (
     ("hex", "[0-9a-f]+", 0, 24),
 )
 #: What must be in a text before the exact pattern is worth running; it never rejects a text with a hit.
-HINTS = {"assign": "(?i)(?:passw|secret|token|api_?key)[^:=]{0,40}?[:=]", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "token": "[A-Za-z0-9_-]{32}"}
+HINTS = {"assign": "(?i)(?:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "token": "[A-Za-z0-9_-]{32}"}
 TOKEN = ("token", "[A-Za-z0-9_-]+", 0, 32)
 KINDS = tuple(k for k, *_ in BASE) + ("token",)
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"

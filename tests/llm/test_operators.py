@@ -222,6 +222,14 @@ def test_secret_spans_and_ownership(spark):
     assert ownership.scan_digest(nothing(spark)).count() == 0
 
 
+def test_secret_spans_with_many_spaces(spark):
+    texts = [f"{key}{' ' * n}{sep} {value}" for key in ("password", "API_KEY'", 'Token"', "passwd") for n in (0, 40, 41, 45, 100, 5000) for sep, value in ((":", "hunter22"), ("=", "'hunter22'"))]
+    out = ownership.scan_digest(frame(spark, [(i, t, "en", "s", None) for i, t in enumerate(texts)])).collect()
+    for r in out:
+        (m,) = BASE[0][1].finditer(texts[r["doc_id"]])
+        assert (r["n_assign"], r["spans"]) == (1, f"assign:{m.start()}:{m.end()}")
+
+
 # --- 5 --------------------------------------------------------------------------------------------
 
 
