@@ -30,14 +30,30 @@ g AS (SELECT l_orderkey AS k, sum(l_discount) AS cov FROM lineitem GROUP BY 1)
 SELECT sheet, corolla_id, fold_state, l.len AS p_length, l.wid AS width_obs, round(l.wid * f, 2) AS width_fulleq, round(l.area * f, 1) AS area_fulleq, 'iphone' AS roi_source, round(g.cov, 6) AS guide, 'manual_axis' AS qc_flag FROM h JOIN l ON l.k = o_orderkey JOIN g ON g.k = o_orderkey""",
 )
 def merge_measurements(spark, sf_dir):
+    """Even orders with a silhouette only; ``merge_measurements_whole`` has every order."""
+    return _merged(spark, sf_dir, "l_orderkey % 2 = 0").where("roi_source = 'iphone'")
+
+
+@query(
+    "merge_measurements_whole",
+    """WITH h AS (SELECT o_orderpriority AS sheet, o_orderkey AS k, CASE WHEN o_orderstatus = 'O' THEN 'opened_full' ELSE 'folded_half' END AS fold_state, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS f, round(o_totalprice / 1000, 2) AS len, round(o_totalprice / 2000, 2) AS wid, round(o_totalprice / 100, 1) AS area, CASE WHEN o_orderkey % 3 = 0 THEN 'manual_axis|roi_open_outline' ELSE 'manual_axis|roi_area_reconstructed' END AS flag FROM orders),
+l AS (SELECT l_orderkey AS k, max(l_quantity) AS len, min(l_quantity) AS wid, sum(l_quantity) AS area, sum(l_discount) AS cov FROM lineitem GROUP BY 1)
+SELECT sheet, h.k::VARCHAR AS corolla_id, fold_state, coalesce(l.len, h.len) AS p_length, coalesce(l.wid, h.wid) AS width_obs, round(coalesce(l.wid, h.wid) * f, 2) AS width_fulleq, round(coalesce(l.area, h.area) * f, 1) AS area_fulleq, CASE WHEN l.k IS NULL THEN 'hand' ELSE 'iphone' END AS roi_source, round(l.cov, 6) AS guide, CASE WHEN l.k IS NULL THEN flag ELSE 'manual_axis' END AS qc_flag FROM h LEFT JOIN l ON l.k = h.k""",
+)
+def merge_measurements_whole(spark, sf_dir):
+    """Every order: its lines stand for the silhouette, and an order without lines keeps its hand measurements."""
+    return _merged(spark, sf_dir)
+
+
+def _merged(spark, sf_dir, photographed="true"):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount")
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("sheet"))
     key = [F.col("sheet"), F.col("l_orderkey").cast("string").alias("corolla_id")]
-    m = li.where("l_orderkey % 2 = 0").groupBy("l_orderkey").agg(F.max("l_quantity").alias("corolla_length_mm"), F.min("l_quantity").alias("corolla_width_obs_mm"), F.sum("l_quantity").alias("corolla_area_obs_mm2"), F.count("*").cast("double").alias("match_iou"))
+    m = li.where(photographed).groupBy("l_orderkey").agg(F.max("l_quantity").alias("corolla_length_mm"), F.min("l_quantity").alias("corolla_width_obs_mm"), F.sum("l_quantity").alias("corolla_area_obs_mm2"), F.count("*").cast("double").alias("match_iou"))
     photo = m.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(*key, "corolla_length_mm", "corolla_width_obs_mm", "corolla_area_obs_mm2", "match_iou")
     guide = li.groupBy("l_orderkey").agg(F.sum("l_discount").alias("guide_coverage_pct")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(*key, "guide_coverage_pct", F.lit(1).alias("has_nectar_guide"))
     organ = guide.select("sheet", "corolla_id", F.lit(None).cast("double").alias("organ_length_mm"))
-    d = rel.merge_measurements(_hand(spark, sf_dir), photo, guide, organ).where("roi_source = 'iphone'")
+    d = rel.merge_measurements(_hand(spark, sf_dir), photo, guide, organ)
     return d.select("sheet", "corolla_id", "fold_state", F.col("corolla_length_mm").alias("p_length"), F.col("corolla_width_obs_mm").alias("width_obs"), F.col("corolla_width_fulleq_mm").alias("width_fulleq"), F.col("corolla_area_fulleq_mm2").alias("area_fulleq"), "roi_source", F.round("guide_coverage_pct", 6).alias("guide"), "qc_flag")
 
 

@@ -56,6 +56,27 @@ def test_organs_go_left_and_pins_come_first(spark):
     assert sorted((r["corolla_id"], r["stroke_id"]) for r in matching.assign_organs(o, f, pins).collect()) == [("1", 3)]
 
 
+def test_every_order_is_merged(spark, tmp_path):
+    import duckdb
+
+    from corymb import catalog
+
+    orders = [(1, "O", 98765.0, "a"), (2, "F", 2000.0, "a"), (3, "F", 5000.0, "b"), (4, "O", 7000.0, "b"), (6, "P", 1000.0, "c")]
+    lines = [(1, 3.0, 0.1), (1, 7.0, 0.2), (2, 5.0, 0.0), (6, 1.5, 0.05)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = catalog.queries()["merge_measurements_whole"](spark, str(tmp_path))
+    rows = sorted(map(tuple, out.collect()), key=lambda r: r[1])
+    assert [(r[1], r[7]) for r in rows] == [("1", "iphone"), ("2", "iphone"), ("3", "hand"), ("4", "hand"), ("6", "iphone")]
+    assert rows[2] == ("b", "3", "folded_half", 5.0, 2.5, 5.0, 100.0, "hand", None, "manual_axis|roi_open_outline")
+    assert rows[0] == ("a", "1", "opened_full", 7.0, 3.0, 3.0, 10.0, "iphone", 0.3, "manual_axis")
+    with duckdb.connect() as db:
+        for name in ("orders", "lineitem"):
+            db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        twin = db.sql(catalog.oracle_sql()["merge_measurements_whole"])
+        assert twin.columns == out.columns and sorted(twin.fetchall(), key=lambda r: r[1]) == rows
+
+
 def test_catalogue_is_complete():
     from corymb import catalog
 
