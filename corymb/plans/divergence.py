@@ -61,12 +61,19 @@ b AS (SELECT d.trait, d.rep, d.g, value FROM (SELECT *, {_DRAW} AS i FROM d) d J
 SELECT trait, round(quantile_cont(pst, 0.025), 6) AS lo, round(quantile_cont(pst, 0.975), 6) AS hi, count(pst) AS reps FROM qp GROUP BY trait""",
 )
 def bootstrap_pst(spark, sf_dir):
-    """Divergence among sites with its bootstrap interval; 50 repetitions keep the SQL twin quick."""
+    """Divergence among sites with its bootstrap interval; two traits and 50 repetitions keep the SQL twin quick; ``bootstrap_pst_whole`` has all."""
     d = traits(spark, sf_dir).where(F.col("trait").isin("price", "balance"))
     out = dv.bootstrap_interval(d, ["trait"], "site", "value", "plant", reps=50)
     return out.select("trait", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "reps")
 
 
+@query("bootstrap_pst_whole")
+def bootstrap_pst_whole(spark, sf_dir):
+    """Every trait's divergence among sites with its interval from 2000 repetitions; a test compares small groups with a loop."""
+    out = dv.bootstrap_interval(traits(spark, sf_dir), ["trait"], "site", "value", "plant", reps=2000)
+    return out.select("trait", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "reps")
+
+
 @query(
     "permutation_eta2",
     f"""WITH {LONG}, s AS (SELECT trait, island, site, avg(value) AS x FROM traits GROUP BY ALL),

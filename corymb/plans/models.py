@@ -68,13 +68,13 @@ def site_mixed_model(spark, sf_dir):
 
 @query("allometry")
 def allometry(spark, sf_dir):
-    return models.allometry(_sized(spark, sf_dir), "trait", "island", "site", "x", "y", "size", permutations=199)
+    return models.allometry(_sized(spark, sf_dir), "trait", "island", "site", "x", "y", "size", permutations=4999)
 
 
 @query("site_ancova_left_out")
 def site_ancova_left_out(spark, sf_dir):
     s = _sized(spark, sf_dir).groupBy("trait", "island", "site").agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
-    return models.site_tests(s, "trait", "island", "site", "y", "x", permutations=199, omit=True)
+    return models.site_tests(s, "trait", "island", "site", "y", "x", permutations=1999, omit=True)
 
 
 @query("phase_adjusted")
@@ -82,7 +82,7 @@ def phase_adjusted(spark, sf_dir):
     """Region shifts of site means beyond size and the share of pending orders."""
     d = plants(spark, sf_dir).withColumn("x", F.ln("flowers")).unpivot(["island", "site", "x", "frac_female"], ["price", "balance"], "trait", "y")
     s = d.groupBy("trait", "island", "site").agg(F.avg("y").alias("y"), F.avg("x").alias("x"), F.avg("frac_female").alias("phase"))
-    return models.site_tests(s, "trait", "island", "site", "y", "x", permutations=199, covariates=("phase",)).where("test = 'shift'")
+    return models.site_tests(s, "trait", "island", "site", "y", "x", permutations=1999, covariates=("phase",)).where("test = 'shift'")
 
 
 @query(
@@ -104,12 +104,12 @@ def covariance_matrices(spark, sf_dir):
 
 @query("pst_axes")
 def pst_axes(spark, sf_dir):
-    return models.pst_axes(_sites(spark, sf_dir), "island", "site", ["price", "top_price", "balance"], reps=80)
+    return models.pst_axes(_sites(spark, sf_dir), "island", "site", ["price", "top_price", "balance"], reps=500)
 
 
 @query("pst_axes_hierarchical")
 def pst_axes_hierarchical(spark, sf_dir):
-    return models.hierarchical_axes(plants(spark, sf_dir), "island", "site", "plant", ["price", "top_price", "balance"], reps=16)
+    return models.hierarchical_axes(plants(spark, sf_dir), "island", "site", "plant", ["price", "top_price", "balance"], reps=500)
 
 
 @query("module_scores")
@@ -134,12 +134,12 @@ def trajectory_pairs(spark, sf_dir):
 
 @query("trajectory_bootstrap")
 def trajectory_bootstrap(spark, sf_dir):
-    return syndrome.trajectory_bootstrap(_sites(spark, sf_dir), "island", "site", ["price", "balance", "flowers"], reps=80)
+    return syndrome.trajectory_bootstrap(_sites(spark, sf_dir), "island", "site", ["price", "balance", "flowers"], reps=2000)
 
 
 @query("profile_tests")
 def profile_tests(spark, sf_dir):
-    return syndrome.profile_tests(_sites(spark, sf_dir).select("island", "site", *(ranks.centred(c, "island").alias(c) for c in ("price", "balance", "flowers"))), "island", "site", ["price", "balance", "flowers"], permutations=199)
+    return syndrome.profile_tests(_sites(spark, sf_dir).select("island", "site", *(ranks.centred(c, "island").alias(c) for c in ("price", "balance", "flowers"))), "island", "site", ["price", "balance", "flowers"], permutations=9999)
 
 
 _INTEGRATION = """WITH {p}, s AS (SELECT island, site, avg(price) AS price, avg(balance) AS balance, avg(flowers) AS flowers FROM plants GROUP BY ALL),
@@ -161,22 +161,22 @@ def module_integration_left_out(spark, sf_dir):
 
 @query("module_integration_bootstrap")
 def module_integration_bootstrap(spark, sf_dir):
-    return syndrome.integration_bootstrap(_sites(spark, sf_dir), "island", "site", ["price", "balance", "flowers"], reps=80)
+    return syndrome.integration_bootstrap(_sites(spark, sf_dir), "island", "site", ["price", "balance", "flowers"], reps=1500)
 
 
 @query("module_max_axis_pst")
 def module_max_axis_pst(spark, sf_dir):
-    return syndrome.max_axis_pst(_sites(spark, sf_dir), "island", "site", {"money": ["price", "balance"], "all": ["price", "balance", "flowers"]}, reps=40)
+    return syndrome.max_axis_pst(_sites(spark, sf_dir), "island", "site", {"money": ["price", "balance"], "all": ["price", "balance", "flowers"]}, reps=800)
 
 
 @query("covariance_alignment")
 def covariance_alignment(spark, sf_dir):
-    return syndrome.alignment(_sites(spark, sf_dir), "island", "site", ["price", "top_price", "balance"], reps=80)
+    return syndrome.alignment(_sites(spark, sf_dir), "island", "site", ["price", "top_price", "balance"], reps=2500)
 
 
 @query("planning_power")
 def planning_power(spark, sf_dir):
-    return syndrome.planning_power(_sites(spark, sf_dir), "island", "site", ["price", "balance", "flowers"], sims=40)
+    return syndrome.planning_power(_sites(spark, sf_dir), "island", "site", ["price", "balance", "flowers"], sims=500)
 
 
 @query("response_modes")

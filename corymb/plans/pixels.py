@@ -151,6 +151,6 @@ def mixture_posterior(spark, sf_dir):
 def mixture_fit(spark, sf_dir):
     """Fit a colour mixture and say which component is which: the weights, centres and hues."""
     d = _colours(spark, sf_dir).select((F.col("a") * 100).alias("a"), (F.col("b") * 100).alias("b"))
-    m = mixture.fit(d, ["a", "b"], starts=2, iterations=12)
+    m = mixture.fit(d, ["a", "b"], starts=6, iterations=400)
     rows = [(i, float(w), float(c[0]), float(c[1])) for i, (w, c) in enumerate(zip(m.weights, m.means, strict=True))]
     return spark.createDataFrame(rows, "component int, weight double, mean_a double, mean_b double")

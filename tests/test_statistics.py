@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -5,8 +6,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from corymb import catalog
 from corymb.functions import tails
-from corymb.operators import divergence, kernels, models, ranks
+from corymb.operators import divergence, kernels, mixture, models, ranks, syndrome
 
 
 def test_tails_match_known_values():
@@ -53,6 +55,59 @@ def test_bootstrap_is_the_same_for_any_partitioning(spark):
     assert a["reps"] == 30 and a["lo"] == pytest.approx(b["lo"]) and a["lo"] <= a["hi"]
 
 
+@pytest.fixture(scope="module")
+def small_tables(spark, tmp_path_factory):
+    """Four nations in two regions, 19 customers of one to three orders."""
+    at = tmp_path_factory.mktemp("small")
+    customers = [(i, i % 4, float(i * i % 17), "BUILDING") for i in range(19)]
+    orders = [(10 * i + k, i, "OPF"[k], float(100 + i * 7 % 23 + 5 * k + 9 * (i % 4)), "1-URGENT") for i in range(19) for k in range(1 + i % 3)]
+    for name, rows, schema in (
+        ("orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"), ("customer", customers, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        ("nation", [(i, f"n{i}", i % 2) for i in range(4)], "n_nationkey int, n_name string, n_regionkey int"), ("region", [(0, "r0"), (1, "r1")], "r_regionkey int, r_name string"),
+        ("embeddings", [(i, 0, [float(i), 1.0]) for i in range(9)], "vec_id long, label int, embedding array<float>"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{at}/{name}.parquet")
+    return str(at), customers, orders
+
+
+def test_whole_bootstrap_equals_a_loop(spark, small_tables):
+    at, customers, orders = small_tables
+    prices = {c: [o[3] for o in orders if o[1] == c] for c, *_ in customers}
+    traits = {"price": {c: np.mean(p) for c, p in prices.items()}, "top_price": {c: max(p) for c, p in prices.items()}, "balance": {c[0]: c[2] for c in customers}, "flowers": {c: len(p) for c, p in prices.items()}}
+    out = {r["trait"]: r for r in catalog.queries()["bootstrap_pst_whole"](spark, at).collect()}
+    assert set(out) == set(traits)
+    for trait, of in traits.items():
+        groups = {f"n{g}": np.array([of[c[0]] for c in customers if c[1] == g], float) for g in range(4)}
+        found = []
+        for rep in range(2000):
+            x = [v[[int(hashlib.md5(f"0:{rep}:{trait}:{g}:{j}".encode()).hexdigest()[:8], 16) % len(v) for j in range(len(v))]] for g, v in groups.items()]
+            n, m = np.array([len(v) for v in x]), np.array([v.mean() for v in x])
+            msb = (n * (m - (n * m).sum() / n.sum()) ** 2).sum() / 3
+            msw = sum(((v - v.mean()) ** 2).sum() for v in x) / (n.sum() - 4)
+            among = max((msb - msw) / ((n.sum() - (n * n).sum() / n.sum()) / 3), 0)
+            found.append(among / (among + 2 * msw) if among + msw > 0 else 0.0)
+        assert out[trait]["reps"] == 2000
+        assert [out[trait]["lo"], out[trait]["hi"]] == pytest.approx(np.quantile(found, [0.025, 0.975]), abs=2e-6)
+
+
+@pytest.mark.parametrize(("query", "module", "operator", "least"), [
+    ("allometry", models, "allometry", {"permutations": 4999}), ("site_ancova_left_out", models, "site_tests", {"permutations": 1999}), ("phase_adjusted", models, "site_tests", {"permutations": 1999}), ("profile_tests", syndrome, "profile_tests", {"permutations": 9999}),
+    ("pst_axes", models, "pst_axes", {"reps": 500}), ("pst_axes_hierarchical", models, "hierarchical_axes", {"reps": 500}), ("trajectory_bootstrap", syndrome, "trajectory_bootstrap", {"reps": 2000}), ("module_integration_bootstrap", syndrome, "integration_bootstrap", {"reps": 1500}),
+    ("module_max_axis_pst", syndrome, "max_axis_pst", {"reps": 800}), ("covariance_alignment", syndrome, "alignment", {"reps": 2500}), ("planning_power", syndrome, "planning_power", {"sims": 500}), ("mixture_fit", mixture, "fit", {"starts": 6, "iterations": 60}),
+])
+def test_queries_resample_as_often_as_the_reference(spark, small_tables, monkeypatch, query, module, operator, least):
+    class Called(Exception):
+        pass
+
+    def record(*_, **named):
+        raise Called(named)
+
+    monkeypatch.setattr(module, operator, record)
+    with pytest.raises(Called) as e:
+        catalog.queries()[query](spark, small_tables[0])
+    assert all(e.value.args[0][k] >= v for k, v in least.items())
+
+
 def test_nested_f_matches_sums_of_squares():
     rng = np.random.default_rng(1)
     x, g = rng.normal(size=30), np.repeat(["a", "b", "c"], 10)
