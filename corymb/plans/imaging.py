@@ -9,8 +9,8 @@ from corymb.plans.pixels import _pixels
 from corymb.plans.registry import query
 
 
-def _masks(spark, column: str = "roi", most: int = 6):
-    return imaging.mask_column(_pixels(spark).where(F.col("image_id") < most), column)
+def _masks(spark, column: str = "roi"):
+    return imaging.mask_column(_pixels(spark), column)
 
 
 @query("mask_shapes")

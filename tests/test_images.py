@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
 
+from corymb import catalog
 from corymb.operators import imaging, mixture, pixels
 from corymb.operators import masks as mk
+from corymb.plans.pixels import _pixels
 
 
 def disc(n=41, r=15):
@@ -166,3 +168,9 @@ def test_mixture_recovers_roles(spark):
         m.segment(d, 9)
     with pytest.raises(ValueError):
         mixture.assign_roles(np.zeros((2, 2)))
+
+
+@pytest.mark.parametrize("query", ["mask_shapes", "mask_axes", "mask_components", "mask_registration", "midline_metrics"])
+def test_mask_queries_take_every_image(spark, query):
+    images = {r["image_id"] for r in _pixels(spark).select("image_id").distinct().collect()}
+    assert {r["image_id"] for r in catalog.queries()[query](spark, "").select("image_id").collect()} == images
