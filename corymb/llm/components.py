@@ -9,15 +9,19 @@ from corymb.llm.shared import materialise
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Each node hands its larger neighbours to the least node it knows."""
+    """Each node hands its larger neighbours to the least node it knows.
+
+    The least neighbours are partial sums where the edges lie, and are written before they are joined:
+    so both sides of the join come from a plain shuffle, and the edges of a hub can be split.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -31,7 +35,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     sign = None
     for _ in range(most_rounds):
-        now = materialise(_small(_large(now)), "edges")
+        now = materialise(_small(materialise(_large(now), "edges")), "edges")
         was, sign = sign, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if was == sign:
             break

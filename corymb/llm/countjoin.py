@@ -1,25 +1,31 @@
 """Exact n-gram Jaccard join with count vectors and R-trees.
 
-A text's set of word shingles is hashed into groups, and the number of shingles in each group makes
-it a point.  For two sets the sum of the smaller coordinates bounds their intersection from above, in
-a single point as well as against the upper corner of a box, which is what the R-trees prune by.
+A text's set of word shingles is hashed into groups, and the number of shingles in each group makes it a
+point: by its high bits a hash belongs to one of ``k`` blocks, by its low bits to one of ``2 ** FINE``
+groups of the block.  If two sets have Jaccard ``num/den`` or more, their points differ by at most
+``D = (den - num) / (den + num) * (|A| + |B|)`` over all coordinates, and the sum of the smaller
+coordinates bounds their intersection from above, at a single point as well as at a box's upper corner.
 
 1. Equal sets become one class, so copies cost nothing further.
-2. Directory.  If two sets have Jaccard ``num/den`` or more, their points differ by at most
-   ``D = (den - num) / (den + num) * (|A| + |B|)`` in all.  The coordinates are cut into ``D + 1`` blocks, so
-   on one block at least the two points agree exactly.  Each class is filed under the content of each
-   of its blocks; sizes are taken in overlapping ranges, so that D is known.  Classes in one cell are
-   tied to the least of them (a *star*).  No link can cross stars unseen: both of its ends are in the
-   star of the cell they share.
-3. Each star's points are packed in an R-tree and searched with the overlap bound; what survives is
-   verified on the sets, unless the two are already connected.  A star of over ``chunk`` classes is cut
-   into chunks and each pair of chunks is a task of its own, so no star, not even one with a third of
-   all rows, meets in one task, and no list of all pairs is ever made.
+2. Directory, the upper levels of the tree.  With ``k = D + 2`` blocks of coordinates two linked points
+   agree on all coordinates of two blocks at least.  A class is filed under the counts of each block that
+   isn't empty, and under each pair of empty blocks: linked points agree on a filled block, or on two
+   empty ones.  So no cell is shared for want of content.  Sizes are taken in overlapping ranges, so that
+   D is known.  Classes of one cell are tied to the least of them (a *star*); both ends of a link are in
+   the star of the cell they share.
+3. Lower levels: a star's points, summed to ``GROUPS`` coordinates, are packed in an R-tree and searched
+   with the bound of summed minima; what survives is verified on the sets.  A star of over ``chunk``
+   classes is cut: each chunk meets the star's least class and itself, and only classes that are then
+   still apart from it meet all chunks.  So the copies of sets stay in proportion to a star of near
+   copies, and no star meets in one task.
 4. Connected components of the verified links.
 
+:func:`jaccard_links` verifies and returns every link between classes instead.
+
 Nulls: a null or empty text has no shingles and links with nothing; a row with a null id keeps it and
 gets a null component.  Texts of fewer words than a shingle are one shingle.  Repeated rows get the
-same component.  An empty table gives no rows.  Texts are taken whole.
+same component.  An empty table gives no rows.  Texts are taken whole.  Only ``doc_id`` and ``text``
+are read, so other columns can't clash; without one of them a ValueError is raised.
 """
 
 from __future__ import annotations
@@ -29,14 +35,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corymb.llm import tokens
 from corymb.llm.components import components
 from corymb.llm.shared import fits, materialise, need
 
-GROUPS, LEAF = 64, 16
+GROUPS, LEAF, FINE = 64, 16, 20
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -77,22 +83,28 @@ def size_ranges(num: int, den: int, top: int = 1 << 40) -> tuple[np.ndarray, np.
 
 
 def cells(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The directory cells of a set: for each range of sizes that it is in, one for each block."""
+    """The directory cells of a set, for each range of sizes that it is in."""
     lows, highs, most = size_ranges(num, den)
     n, out = len(s), []
     if not n:
         return np.zeros(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens.mix(s + _SALT), dtype=np.uint64)])
+    # the sum of a block's mixed group numbers stands for its counts
+    groups = tokens.mix((s & np.uint64((1 << FINE) - 1)) + _SALT)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(groups, dtype=np.uint64)])
     last = int(np.searchsorted(lows, n, "right")) - 1
     for r in range(max(0, last - 2), last + 1):
         if not (n <= highs[r]) or not most[r]:
             continue  # without any difference only equal sets link
-        k = int(most[r]) + 1
+        k = int(most[r]) + 2
         # block j holds the hashes from j/k to (j+1)/k of all numbers; the set is sorted, so each is a run of it
         edges = np.searchsorted(s, ((np.arange(1, k, dtype=np.uint64) << np.uint64(32)) // np.uint64(k)) << np.uint64(32))
         edges = np.concatenate([[0], edges, [n]])
-        block = sums[edges[1:]] - sums[edges[:-1]]
-        out.append(tokens.mix(block + tokens.mix(np.arange(k, dtype=np.uint64) + np.uint64((r + 1) << 32))))
+        filled = edges[1:] > edges[:-1]
+        names = tokens.mix(np.arange(k, dtype=np.uint64) + np.uint64((r + 1) << 32))
+        out.append(tokens.mix((sums[edges[1:]] - sums[edges[:-1]])[filled] + names[filled]))
+        empty = names[~filled]
+        i, j = np.triu_indices(len(empty), 1)
+        out.append(tokens.mix(empty[i] + tokens.mix(empty[j] ^ _SALT)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -125,14 +137,19 @@ class CountTree:
         return at[allowed(self.counts[at], self.sizes[at])]
 
 
-def star_links(keys: list[int], sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected by Jaccard >= num/den; with two sides, only across them."""
+def star_links(keys: list[int], sets: list[np.ndarray], side: np.ndarray, num: int, den: int, labels: list[int] | None = None, every: bool = False) -> list[tuple[int, int]]:
+    """Links with Jaccard >= num/den; with two sides, only across them.
+
+    Unless ``every`` link is wanted, pairs that are connected already, by links or by equal labels, aren't verified.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     counts = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
     two = bool(side.any() and not side.all())
     inner = np.flatnonzero(side) if two else np.arange(len(keys))
     outer = np.flatnonzero(~side) if two else inner
-    tree, root, links = CountTree(counts[inner], sizes[inner]), list(range(len(keys))), []
+    first: dict[int, int] = {}
+    root = [first.setdefault(x, i) for i, x in enumerate(labels or range(len(keys)))]
+    tree, links = CountTree(counts[inner], sizes[inner]), []
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -142,7 +159,7 @@ def star_links(keys: list[int], sets: list[np.ndarray], side: np.ndarray, num: i
 
     for i in outer.tolist():
         for j in inner[tree.search(counts[i], int(sizes[i]), num, den)].tolist():
-            if (j > i or two) and (a := find(i)) != (b := find(j)):
+            if (j > i or two) and keys[i] != keys[j] and ((a := find(i)) != (b := find(j)) or every):
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if den * both >= num * (int(sizes[i]) + int(sizes[j]) - both):
                     root[a] = b
@@ -157,9 +174,14 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             for s in shingle_sets(*tokens.text_bytes(b.column("text")), width):
                 sizes.append(len(s))
                 keys.append(set_key(s))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "th", "n", "sid"])
+
+    return docs.select("doc_id", "text", text_hash(F.col("text")).alias("th")).mapInArrow(run, "doc_id long, th long, n long, sid long")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long")
+
+def text_hash(text: Column) -> Column:
+    """Tells rows with one id and different texts apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _filed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -197,64 +219,136 @@ def _payload(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sid long, hashes binary")
 
 
-def _search(num: int, den: int):
+def _search(num: int, den: int, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by task; one task's rows are held at a time."""
-        now, keys, sets, side = None, [], [], []
+        now, keys, sets, side, labels = None, [], [], [], []
 
         def flush() -> list[tuple[int, int]]:
-            return star_links(keys, sets, np.array(side, bool), num, den) if len(keys) > 1 else []
+            return star_links(keys, sets, np.array(side, bool), num, den, labels, every) if len(keys) > 1 else []
 
-        for b in batches:
+        def rows(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
             links = []
-            for task, key, raw, right in zip(b.column("task").to_pylist(), b.column("sid").to_pylist(), b.column("hashes"), b.column("right").to_pylist(), strict=True):
+            for task, key, raw, right, label in zip(*(batch.column(c).to_pylist() for c in ("task", "sid")), batch.column("hashes"), *(batch.column(c).to_pylist() for c in ("right", "label")), strict=True):
                 if task != now:
                     links += flush()
-                    now, keys, sets, side = task, [], [], []
+                    now, keys, sets, side, labels = task, [], [], [], []
                 keys.append(key)
                 sets.append(np.frombuffer(raw.as_buffer(), np.uint64).copy())
                 side.append(right)
+                labels.append(label)
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+                yield rows(links)
         if links := flush():
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+            yield rows(links)
 
     return run
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row; links are Jaccard >= num/den."""
-    docs = need(docs, doc_id="long", text="string")
-    members = materialise(_sets(docs, width), "sets")
-    classes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"))
-
-    least = F.min("sid").over(Window.partitionBy("cell"))
-    stars = materialise(_filed(docs, width, num, den).withColumn("star", least).where("sid <> star").select("star", "sid").distinct(), "stars")
-    inside = stars.unionByName(stars.select("star", F.col("star").alias("sid")).distinct())
-    # written before the join, so that a large star is counted where its rows lie and its join can be split
-    parts = materialise(inside.groupBy("star").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")), "parts")
-    own = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
-    # a chunk meets each other chunk of its star, and itself, in a task of its own
-    tasks = inside.join(parts, "star").withColumn("own", own).select("star", "sid", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    tasks = tasks.select("sid", F.xxhash64("star", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") > F.col("other")).alias("right"))
-
-    wanted = materialise(inside.select("sid").distinct().join(classes, "sid").select(F.col("first").alias("doc_id")).distinct(), "wanted")
-    few = fits(wanted, broadcast_rows)
-    chosen = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    payload = materialise(_payload(chosen, width), "payload").dropDuplicates(["sid"])
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tasks.join(payload, "sid").select("task", "sid", "hashes", "right").repartition(n, "task").sortWithinPartitions("task")
-    links = materialise(dealt.mapInArrow(_search(num, den), "a long, b long"), "links")
-
-    joined = components(links)
-    named = classes.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component"))
-    named = named.join(lowest, "root").select("sid", "component")
-    m, c = members.alias("m"), named.alias("c")
+class _Join:
+    """The steps that components and links share."""
+
+    def __init__(self, docs: DataFrame, width: int, num: int, den: int, chunk: int, broadcast_rows: int):
+        self.num, self.den, self.chunk = num, den, chunk
+        docs = need(docs, doc_id="long", text="string")
+        self.spark = docs.sparkSession
+        self.members = materialise(_sets(docs, width), "sets")
+        self.classes = self.members.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+
+        filed = materialise(_filed(docs, width, num, den), "filed")
+        met = materialise(filed.groupBy("cell").agg(F.min("sid").alias("star"), F.max("sid").alias("last"), F.count("*").alias("n")).where("star < last"), "cells")
+        # most cells that are shared hold two classes; the others are joined back, in parts if one is hot
+        more = met.where("n > 2").select("cell", "star")
+        many = filed.join(F.broadcast(more) if fits(more, broadcast_rows) else more, "cell").where("sid <> star")
+        self.stars = materialise(met.where("n = 2").select("star", F.col("last").alias("sid")).unionByName(many.select("star", "sid")).distinct(), "stars")
+        inside = self.stars.unionByName(self.stars.select("star", F.col("star").alias("sid")).distinct())
+        # written before the join, so that a large star is counted where its rows lie and its join can be split
+        self.parts = materialise(inside.groupBy("star").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")), "parts")
+        self.inside = inside.join(self.parts, "star").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+
+        wanted = materialise(inside.select("sid").distinct().join(self.classes, "sid").select(F.col("first.doc_id").alias("doc_id")).distinct(), "wanted")
+        chosen = docs.join(F.broadcast(wanted) if fits(wanted, broadcast_rows) else wanted, "doc_id", "left_semi")
+        self.payload = materialise(_payload(chosen, width), "payload").dropDuplicates(["sid"])
+
+    def search(self, tasks: DataFrame, every: bool = False) -> DataFrame:
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = tasks.join(self.payload, "sid").select("task", "sid", "hashes", "right", "label").repartition(n, "task").sortWithinPartitions("task")
+        return materialise(dealt.mapInArrow(_search(self.num, self.den, every), "a long, b long"), "links")
+
+    def connecting_links(self) -> DataFrame:
+        """Links with the same components as all links."""
+        centre = F.col("sid") == F.col("star")
+        at = F.explode(F.when(centre, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))).alias("at")
+        near = self.inside.select("star", "sid", at).select("sid", F.xxhash64("star", "at").alias("task"), F.lit(False).alias("right"), F.col("sid").alias("label"))
+        links = self.search(near)
+        if not self.parts.where("parts > 1").limit(1).count():
+            return links
+        # of the stars that were cut: what isn't connected with the least class meets every chunk
+        joined = components(links)
+        cut = self.inside.where("parts > 1").join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid"))
+        cut = materialise(cut.select("star", "sid", "parts", "own", "label"), "cut")
+        centres = materialise(cut.where(centre).select("star", F.col("label").alias("main")), "centres")
+        marked = cut.join(centres, "star")
+        apart = materialise(marked.where("label <> main"), "apart")
+        links = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        if not apart.limit(1).count():
+            return links
+        groups = materialise(apart.groupBy("star").agg(F.ceil(F.count("*") / self.chunk).cast("int").alias("groups")), "groups")
+        left = apart.join(groups, "star").withColumn("g", F.pmod(F.xxhash64("sid"), F.col("groups")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = cut.join(groups, "star").withColumn("p", F.col("own")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        form = lambda d, side: d.select("sid", F.xxhash64("star", "g", "p").alias("task"), F.lit(side).alias("right"), "label")
+        return links.unionByName(self.search(form(left, False).unionByName(form(right, True))))
+
+    def all_links(self) -> DataFrame:
+        """Every link between classes; each chunk of a star meets each other, and itself, in a task of its own."""
+        tasks = self.inside.select("star", "sid", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        tasks = tasks.select("sid", F.xxhash64("star", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") > F.col("other")).alias("right"), F.col("sid").alias("label"))
+        return self.search(tasks, every=True).distinct()
+
+
+def jaccard_classes(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id, component_th) for each row; links are Jaccard >= num/den.
+
+    ``th`` tells texts with one id apart; the least (id, th) of a component stands for it.
+    """
+    join = _Join(docs, width, num, den, chunk, broadcast_rows)
+    joined = components(join.connecting_links())
+    named = join.classes.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    lowest = named.groupBy("root").agg(F.min("first").alias("kept"))
+    m, c = join.members.alias("m"), named.join(lowest, "root").select("sid", "kept").alias("c")
     out = m.join(c, F.col("m.sid") == F.col("c.sid"), "left")
-    component = F.when(F.col("m.doc_id").isNull(), F.lit(None).cast("long")).when(F.col("m.n") == 0, F.col("m.doc_id")).otherwise(F.col("c.component"))
-    return out.select("m.doc_id", F.col("m.n").alias("n_shingles"), component.alias("component_id"))
+    of = lambda whole, own: F.when(F.col("m.doc_id").isNull(), F.lit(None).cast("long")).when(F.col("m.n") == 0, own).otherwise(whole)
+    return out.select("m.doc_id", "m.th", F.col("m.n").alias("n_shingles"), of(F.col("c.kept.doc_id"), F.col("m.doc_id")).alias("component_id"), of(F.col("c.kept.th"), F.col("m.th")).alias("component_th"))
+
+
+def jaccard_components(docs: DataFrame, **how: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row."""
+    return jaccard_classes(docs, **how).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_links(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """All links as pairs (a, b) of class ids, and the membership (doc_id, class_id) of rows that have shingles."""
+    join = _Join(docs, width, num, den, chunk, broadcast_rows)
+    return join.all_links(), join.members.where("n > 0").select("doc_id", F.col("sid").alias("class_id"))
 
 
 def join_digest(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs)
+
+
+_SHINGLES = r"""d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT id, doc_id, CASE WHEN len(w) > 2 THEN list_sort(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d)"""
+#: Equal sets are one class; classes meet in shared shingles, and the least id spreads along links.
+JOIN_SQL = f"""
+WITH RECURSIVE {_SHINGLES},
+r AS (SELECT id, doc_id, len(s) AS n, array_to_string(s, chr(10)) AS k, s FROM g),
+c AS (SELECT row_number() OVER () AS c, k, any_value(s) AS s, any_value(n) AS n, min(doc_id) AS low FROM r WHERE n > 0 AND doc_id IS NOT NULL GROUP BY k),
+x AS (SELECT c, n, unnest(s) AS t FROM c),
+p AS (SELECT a.c AS a, b.c AS b FROM x a JOIN x b ON a.t = b.t AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+z AS (SELECT c, c AS z FROM c UNION SELECT l.b, z.z FROM z JOIN l ON l.a = z.c),
+m AS (SELECT z.c, min(low) AS low FROM z JOIN c ON c.c = z.z GROUP BY z.c)
+SELECT r.doc_id, r.n AS n_shingles, CASE WHEN r.doc_id IS NULL THEN NULL WHEN r.n = 0 THEN r.doc_id ELSE m.low END AS component_id FROM r LEFT JOIN c ON r.k = c.k AND r.n > 0 LEFT JOIN m USING (c)"""

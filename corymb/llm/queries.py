@@ -35,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_ownership_secrets": ownership.SCAN_SQL,
         "op7_site_lines": line_dedup.LINE_SQL,
         "op9_water_filling": mixing.MIX_SQL,
+        "op10_count_join": countjoin.JOIN_SQL,
     }

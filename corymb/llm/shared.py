@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and set.
+    A cluster must name one.  Where it is unset on a single machine (tests), a temporary folder is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corymb_")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -24,18 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back, which cuts its lineage.
 
-    A lost executor costs a re-read of a file, not a recomputation of what led to it.
+    A lost executor costs a re-read of a file, not a recomputation of what led to it.  The files go
+    when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/corymb/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def need(df: DataFrame, **kinds: str) -> DataFrame:
-    """Only the named columns, cast to the given types; a column that is missing becomes null."""
+    """Only the named columns, cast to the given types; raises if one is missing."""
     have = {c.lower(): c for c in df.columns}
-    return df.select(*((F.col(f"`{have[c]}`") if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()))
+    if missing := [c for c in kinds if c not in have]:
+        raise ValueError(f"no column {', '.join(missing)} among {', '.join(df.columns)}")
+    return df.select(*(F.col(f"`{have[c]}`").cast(kind).alias(c) for c, kind in kinds.items()))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, **kinds: str) -> DataFrame:
