@@ -138,9 +138,10 @@ class CountTree:
 
 
 def star_links(keys: list[int], sets: list[np.ndarray], side: np.ndarray, num: int, den: int, labels: list[int] | None = None, every: bool = False) -> list[tuple[int, int]]:
-    """Links with Jaccard >= num/den; with two sides, only across them.
+    """With ``every``, all links with Jaccard >= num/den; with two sides, only across them.
 
-    Unless ``every`` link is wanted, pairs that are connected already, by links or by equal labels, aren't verified.
+    Else pairs that connect the same classes: each to the least of those it is connected with.  What is
+    connected already, by links or by equal labels, isn't verified.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     counts = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
@@ -164,7 +165,12 @@ def star_links(keys: list[int], sets: list[np.ndarray], side: np.ndarray, num: i
                 if den * both >= num * (int(sizes[i]) + int(sizes[j]) - both):
                     root[a] = b
                     links.append((keys[i], keys[j]))
-    return links
+    if every:
+        return links
+    groups: dict[int, list[int]] = {}
+    for i in first.values():
+        groups.setdefault(find(i), []).append(keys[i])
+    return [(least, key) for least, g in ((min(g), g) for g in groups.values()) for key in g if key != least]
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
