@@ -1,15 +1,19 @@
 """Benchmark decontamination by winnowing.
 
 Texts are taken as words.  Each text's k-gram hashes are winnowed: of every ``window`` consecutive
-ones the least is kept.  Two texts that share ``span = k + window - 1`` words share one of the kept
-hashes, so joining document fingerprints with benchmark fingerprints misses no shared span.  Each hit
-is then extended word by word along its diagonal to the whole shared run; runs of ``span`` words and
-more count.  A benchmark item of fewer words counts where it occurs as a whole; such items are looked
-up at every position by a hash of their own length.
-
-The benchmark's fingerprints are broadcast while its text is under ``broadcast_bytes``, which is
-measured first.  Beyond that, fingerprints of documents are joined with those of items by a shuffle,
-and each document is compared with the items that it shares a fingerprint with.
+ones the least is kept, the last of equal ones.  Two texts that share ``span = k + window - 1`` words
+share one of the kept hashes there, so joining document fingerprints with benchmark fingerprints
+misses no shared span.  Each hit is extended word by word along its diagonal, up to ``window - 1``
+words each way: whatever run of ``span`` words holds the fingerprint lies within.  Runs of ``span``
+words and more count, and overlapping runs are one.  Fingerprints of an item that look alike that far
+are kept once, so an item of one repeated word has a few, not one a word, and all hits are compared at
+once.  A benchmark item of fewer words counts where it occurs as a whole; such items are looked up at
+every position by a hash of their own length.
+
+The benchmark is broadcast while its text is under ``broadcast_bytes``, which is measured first.
+Beyond that, the distinct fingerprints of each document are joined with those of the items by a
+shuffle, and each document is compared with the surroundings of the fingerprints it shares, never
+with whole items.
 
 Nulls: a null text has no words; a null item id is named ``null``; null document ids are kept.  Texts
 of any length are taken whole.  Repeated rows are judged each; repeated item ids count once.  Without
@@ -19,7 +23,6 @@ column are replaced.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import types as T
 
 from corymb.llm import tokens
 from corymb.llm.batches import append_columns
-from corymb.llm.shared import need
+from corymb.llm.shared import free_name, materialise, need
 
 K, WINDOW = 8, 6
 SPAN = K + WINDOW - 1
@@ -45,86 +48,116 @@ def winnow(hashes: np.ndarray, bounds: np.ndarray, k: int = K, window: int = WIN
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     ends = np.repeat(bounds[1:], np.diff(bounds))[:n]
     whole = np.arange(n) + (k + window - 1) <= ends
-    least = grams[:n].copy()
+    least, place = grams[:n].copy(), np.arange(n)
     for j in range(1, window):
-        np.minimum(least, grams[j : j + n], out=least)
-    kept = np.zeros(len(grams), bool)
-    for j in range(window):  # ties: all are kept
-        kept[j : j + n] |= whole & (grams[j : j + n] == least)
-    at = np.flatnonzero(kept)
+        now = grams[j : j + n]
+        place = np.where(now <= least, np.arange(j, j + n), place)
+        np.minimum(least, now, out=least)
+    at = np.unique(place[whole])
     return at, grams[at]
 
 
+def _around(words: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word (exclusive) of each fingerprint's surroundings, and a hash of what they hold."""
+    first, last = np.maximum(at - reach, lo), np.minimum(at + k + reach, hi)
+    sign = (at - first).astype(np.uint64)
+    for j in range(k + 2 * reach):
+        p = first + j
+        sign = np.where(p < last, tokens.mix(sign * np.uint64(31) + words[np.minimum(p, len(words) - 1)]), sign)
+    return first, last, sign
+
+
 class Benchmark:
-    """Fingerprints of benchmark items, to be joined with those of documents."""
+    """Fingerprints of benchmark items with their surroundings, to be joined with those of documents.
 
-    def __init__(self, ids: list[str], texts: list[str], k: int = K, window: int = WINDOW):
+    ``words`` holds the surroundings, from ``lo`` to ``hi`` for a fingerprint at ``at``; ``short`` has
+    (length, hash, name) of the items of fewer than ``span`` words.
+    """
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, prints: np.ndarray, names: list[str], short: list[tuple[int, int, str]], k: int = K, window: int = WINDOW):
         self.k, self.window, self.span = k, window, k + window - 1
-        data, offsets = tokens.text_bytes(pa.array(texts, pa.large_string()))
-        self.words, self.bounds = tokens.words(data, offsets, tokens.ALNUM)
-        self.ids = ids
-        at, prints = winnow(self.words, self.bounds, k, window)
+        self.ids = sorted({*names, *(x[2] for x in short)})
+        number = {x: i for i, x in enumerate(self.ids)}
         order = np.argsort(prints, kind="stable")
-        self.prints, self.at = prints[order], at[order]
-        self.item = np.searchsorted(self.bounds, self.at, "right") - 1
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for i, n in enumerate(np.diff(self.bounds).tolist()):
-            if 0 < n < self.span:
-                key = int(tokens.combine(self.words[self.bounds[i] : self.bounds[i + 1]], n)[0])
-                self.short.setdefault(n, defaultdict(list))[key].append(i)
-        self.short_keys = {n: np.array(sorted(x), np.uint64) for n, x in self.short.items()}
-
-    def match(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[list[str]]]:
+        self.words, self.prints, self.at, self.lo, self.hi = words, prints[order], at[order], lo[order], hi[order]
+        self.item = np.array([number[x] for x in names], np.int64)[order]
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({x[0] for x in short}):
+            rows = sorted({(key, number[name]) for m, key, name in short if m == n})
+            self.short[n] = np.array([x[0] for x in rows], np.uint64), np.array([x[1] for x in rows], np.int64)
+
+    @classmethod
+    def of_texts(cls, ids: list[str], texts: list[str], k: int = K, window: int = WINDOW) -> Benchmark:
+        words, at, lo, hi, prints, item, short = fingerprint_items(texts, k, window)
+        return cls(words, at, lo, hi, prints, [ids[i] for i in item.tolist()], [(n, key, ids[i]) for i, n, key in short], k, window)
+
+    def match(self, hashes: np.ndarray, bounds: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, list[list[str]]]:
         """For consecutive documents: how many of their words are hit, and by which items."""
-        n_docs = len(bounds) - 1
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # document: (start, stop, item)
+        n_docs, reach = len(bounds) - 1, self.window - 1
+        marks, pairs = np.zeros(len(hashes) + 1, np.int64), [np.zeros(0, np.int64)]
+
+        def note(start: np.ndarray, stop: np.ndarray, doc: np.ndarray, item: np.ndarray) -> None:
+            np.add.at(marks, start, 1)
+            np.add.at(marks, stop, -1)
+            pairs.append(np.unique(doc * len(self.ids) + item))
+
         at, prints = winnow(hashes, bounds, self.k, self.window)
-        if len(self.prints) and len(at):
-            lo = np.searchsorted(self.prints, prints, "left")
-            hit = np.flatnonzero(self.prints[np.minimum(lo, len(self.prints) - 1)] == prints)
-            if len(hit):
-                lo, p = lo[hit], at[hit]
-                each = np.searchsorted(self.prints, prints[hit], "right") - lo
-                q = np.repeat(lo - np.cumsum(each) + each, each) + np.arange(each.sum())
-                p = np.repeat(p, each)
-                doc = np.searchsorted(bounds, p, "right") - 1
-                # of the hits on one diagonal of a document and an item, one for each run is extended
-                rows = np.stack([doc, self.item[q], p - self.at[q], p], 1)
-                rows = rows[np.lexsort(rows.T[::-1])]
-                last, stop = None, -1
-                for d, i, shift, start in rows.tolist():
-                    if (d, i, shift) == last and start < stop:
-                        continue
-                    a, b = self._run(hashes, bounds, d, i, shift, start)
-                    last, stop = (d, i, shift), b
-                    if b - a >= self.span:
-                        found[d].append((a, b, i))
-        for n, keys in self.short_keys.items():
+        lo, hi = (np.searchsorted(self.prints, prints, side) for side in ("left", "right"))
+        hit = np.flatnonzero(hi > lo)
+        at, lo, each = at[hit], lo[hit], (hi - lo)[hit]
+        sums, a = np.cumsum(each), 0
+        while a < len(at):  # about ``most`` hits at a time
+            b = max(a + 1, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + most, "right")))
+            n = each[a:b]
+            q = np.repeat(lo[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            p = np.repeat(at[a:b], n)
+            doc = np.searchsorted(bounds, p, "right") - 1
+            item_at, item_lo, item_hi, doc_lo, doc_hi = self.at[q], self.lo[q], self.hi[q], bounds[doc], bounds[doc + 1]
+
+            def same(j: int, p: np.ndarray = p, item_at: np.ndarray = item_at, item_lo: np.ndarray = item_lo, item_hi: np.ndarray = item_hi, doc_lo: np.ndarray = doc_lo, doc_hi: np.ndarray = doc_hi) -> np.ndarray:
+                x, y = p + j, item_at + j
+                inside = (x >= doc_lo) & (x < doc_hi) & (y >= item_lo) & (y < item_hi)
+                return inside & (hashes[np.where(inside, x, 0)] == self.words[np.where(inside, y, 0)])
+
+            left, right, go, on = (np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), np.ones(len(p), bool), np.ones(len(p), bool))
+            for j in range(1, reach + 1):
+                go &= same(-j)
+                on &= same(self.k + j - 1)
+                left += go
+                right += on
+            long = np.flatnonzero(left + right + self.k >= self.span)
+            note((p - left)[long], (p + self.k + right)[long], doc[long], self.item[q[long]])
+            a = b
+        for n, (keys, items) in self.short.items():
             grams = tokens.combine(hashes, n)
-            if not len(grams):
-                continue
-            lo = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-            p = np.flatnonzero(keys[lo] == grams)
+            lo, hi = (np.searchsorted(keys, grams, side) for side in ("left", "right"))
+            p = np.flatnonzero(hi > lo)
             doc = np.searchsorted(bounds, p, "right") - 1
-            for d, start in zip(doc.tolist(), p.tolist(), strict=True):
-                if start + n <= bounds[d + 1]:
-                    found[d] += [(start, start + n, i) for i in self.short[n][int(grams[start])]]
-        n_hit, items = np.zeros(n_docs, np.int64), [[] for _ in range(n_docs)]
-        for d, spans in found.items():
-            marks = np.zeros(bounds[d + 1] - bounds[d] + 1, np.int64)
-            for a, b in {(a, b) for a, b, _ in spans}:
-                marks[a - bounds[d]] += 1
-                marks[b - bounds[d]] -= 1
-            n_hit[d] = np.count_nonzero(np.cumsum(marks) > 0)
-            items[d] = sorted({self.ids[i] for _, _, i in spans})
+            fit = p + n <= bounds[doc + 1]
+            p, doc = p[fit], doc[fit]
+            _, one = np.unique(np.stack([doc, lo[p]], 1), axis=0, return_index=True)  # a document and a short text once
+            each = hi[p[one]] - lo[p[one]]
+            q = np.repeat(lo[p[one]] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            np.add.at(marks, p, 1)
+            np.add.at(marks, p + n, -1)
+            pairs.append(np.repeat(doc[one], each) * len(self.ids) + items[q])
+        inside = np.concatenate([[0], np.cumsum(np.cumsum(marks[:-1]) > 0)])
+        n_hit, items = inside[bounds[1:]] - inside[bounds[:-1]], [[] for _ in range(n_docs)]
+        for pair in np.unique(np.concatenate(pairs)).tolist():
+            items[pair // len(self.ids)].append(self.ids[pair % len(self.ids)])
         return n_hit, items
 
-    def _run(self, hashes: np.ndarray, bounds: np.ndarray, d: int, i: int, shift: int, start: int) -> tuple[int, int]:
-        """The longest run of equal words around a hit: its bounds among the documents' words."""
-        lo, hi = max(bounds[d], self.bounds[i] + shift), min(bounds[d + 1], self.bounds[i + 1] + shift)
-        other = np.flatnonzero(hashes[lo:hi] != self.words[lo - shift : hi - shift]) + lo
-        cut = np.searchsorted(other, start)
-        return int(other[cut - 1]) + 1 if cut else int(lo), int(other[cut]) if cut < len(other) else int(hi)
+
+def fingerprint_items(texts: list[str], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(words, at, lo, hi, prints, item) of the items' fingerprints, those that look alike once, and (item, n, hash) of the short ones."""
+    data, offsets = tokens.text_bytes(pa.array(texts, pa.large_string()))
+    words, bounds = tokens.words(data, offsets, tokens.ALNUM)
+    at, prints = winnow(words, bounds, k, window)
+    item = np.searchsorted(bounds, at, "right") - 1
+    lo, hi, sign = _around(words, at, bounds[item], bounds[item + 1], k, window - 1) if len(at) else (at, at, prints)
+    _, one = np.unique(np.stack([item.astype(np.uint64), prints, sign], 1), axis=0, return_index=True)
+    short = [(i, n, int(tokens.combine(words[bounds[i] : bounds[i + 1]], n)[0])) for i, n in enumerate(np.diff(bounds).tolist()) if 0 < n < k + window - 1]
+    return words, at[one], lo[one], hi[one], prints[one], item[one], short
 
 
 def _judge(column: pa.Array, benchmark: Benchmark) -> list[pa.Array]:
@@ -140,37 +173,58 @@ def _judge(column: pa.Array, benchmark: Benchmark) -> list[pa.Array]:
     return [join(n_words), join(n_hit), pa.array(items, pa.list_(pa.string()))]
 
 
-def _pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, th, items): the items that a document shares a fingerprint with, joined by a shuffle."""
-    lengths = [r[0] for r in items.select(F.size(F.filter(F.split(F.lower("text"), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")).alias("n")).where(f"n > 0 and n < {SPAN}").distinct().collect()]  # at most SPAN - 1 numbers
-
-    def prints(key: str, whole: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = tokens.text_bytes(batch.column("text"))
-                keys = np.asarray(batch.column(key))
-                for lo, hi in tokens.runs(offsets):
-                    hashes, bounds = tokens.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], tokens.ALNUM)
-                    at, found = winnow(hashes, bounds)
-                    parts = [(at, found)]
-                    for n in lengths:
-                        grams = tokens.combine(hashes, n)
-                        p = np.arange(len(grams))
-                        d = np.searchsorted(bounds, p, "right") - 1
-                        fit = (np.diff(bounds)[d] == n) & (p == bounds[d]) if whole else p + n <= bounds[d + 1]
-                        parts.append((p[fit], grams[fit]))
-                    at, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+#: A fingerprint on its way to documents: n is 0, or the length of a short item; place is where it is among its surroundings.
+_PRINT = "n int, print long, name string, place int, around binary"
+
+
+def _item_prints(items: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column("name").to_pylist()
+            words, at, lo, hi, prints, item, short = fingerprint_items(b.column("text").to_pylist())
+            around = [words[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+            cols = [
+                (pa.array([0] * len(at) + [n for _, n, _ in short], pa.int32())), pa.array(np.concatenate([prints, np.array([key for *_, key in short], np.uint64)]).view(np.int64)), pa.array([names[i] for i in item.tolist()] + [names[i] for i, *_ in short], pa.string()),
+                pa.array((at - lo).tolist() + [0] * len(short), pa.int32()), pa.array(around + [b""] * len(short), pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["n", "print", "name", "place", "around"])
+
+    return items.mapInArrow(run, _PRINT).distinct()
+
+
+def _shared_prints(texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """(key, shared): the items' fingerprints that a text shares, joined by a shuffle; a text's fingerprints go once each."""
+    lengths = [r[0] for r in prints.where("n > 0").select("n").distinct().collect()]  # at most SPAN - 1 numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tokens.text_bytes(batch.column("text"))
+            keys = np.asarray(batch.column("key"))
+            for lo, hi in tokens.runs(offsets):
+                hashes, bounds = tokens.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], tokens.ALNUM)
+                parts = [(0, *winnow(hashes, bounds))]
+                for n in lengths:
+                    grams = tokens.combine(hashes, n)
+                    p = np.arange(len(grams))
+                    fit = p + n <= bounds[np.searchsorted(bounds, p, "right")]
+                    parts.append((n, p[fit], grams[fit]))
+                for n, at, found in parts:
                     row = np.searchsorted(bounds, at, "right") - 1 + lo
                     pair = np.unique(np.stack([keys[row].view(np.uint64), found], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].view(np.int64)), pa.array(pair[:, 1].view(np.int64))], names=["key", "print"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].view(np.int64)), pa.array(np.full(len(pair), n, np.int32)), pa.array(pair[:, 1].view(np.int64))], names=["key", "n", "print"])
+
+    left = texts.mapInArrow(run, "key long, n int, print long")
+    shared = left.join(prints, ["n", "print"]).groupBy("key").agg(F.collect_set(F.struct("n", "print", "name", "place", "around")).alias("shared"))  # what one text holds
+    return materialise(shared, "shared_prints")  # written, so that the join of a text that many documents have can be split
 
-        return run
 
-    left = docs.withColumn("key", F.xxhash64("text")).select("key", "text").mapInArrow(prints("key", False), "key long, print long")
-    right = items.withColumn("key", F.xxhash64("name", "text")).select("key", "text").mapInArrow(prints("key", True), "key long, print long").withColumnRenamed("key", "item")
-    hit = left.join(right, "print").select("key", "item").distinct()
-    own = items.withColumn("item", F.xxhash64("name", "text")).dropDuplicates(["item"])
-    return hit.join(own, "item").groupBy("key").agg(F.collect_list(F.struct("name", "text")).alias("shared"))  # bounded by the document's words
+def _benchmark_of(shared: pa.Array) -> Benchmark:
+    """The fingerprints that the documents of a batch share."""
+    rows = {(x["n"], x["print"], x["name"], x["place"], x["around"]) for part in shared.to_pylist() for x in part or ()}
+    long, short = [x for x in rows if not x[0]], [(n, p & (2**64 - 1), name) for n, p, name, *_ in rows if n]
+    words = np.frombuffer(b"".join(x[4] for x in long), np.uint64)
+    ends = np.cumsum([0] + [len(x[4]) // 8 for x in long])
+    return Benchmark(words, ends[:-1] + np.array([x[3] for x in long], np.int64), ends[:-1], ends[1:], np.array([x[1] for x in long], np.int64).view(np.uint64), [x[2] for x in long], short)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -181,20 +235,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, broadcast_bytes: int
     names = tuple(ADDED.names)
     if size + 16 * n <= broadcast_bytes:
         rows = items.collect()  # under broadcast_bytes, measured
-        shared = spark.sparkContext.broadcast(Benchmark([r["name"] for r in rows], [r["text"] for r in rows]))
-        return append_columns(docs, lambda b: _judge(b.column("text"), shared.value), ADDED, drop=names)
+        whole = spark.sparkContext.broadcast(Benchmark.of_texts([r["name"] for r in rows], [r["text"] for r in rows]))
+        return append_columns(docs, lambda b: _judge(b.column("text"), whole.value), ADDED, drop=names)
+    key, shared = free_name(docs, "wn_key"), free_name(docs, "wn_shared")
     text = F.coalesce("text", F.lit(""))
-    pairs = _pairs(docs.select(text.alias("text")), items)
-    joined = docs.drop(*names, "wn_key", "wn_shared").withColumn("wn_key", F.xxhash64(text)).join(pairs.withColumnsRenamed({"key": "wn_key", "shared": "wn_shared"}), "wn_key", "left")
+    pairs = _shared_prints(docs.select(F.xxhash64(text).alias("key"), text.alias("text")), materialise(_item_prints(items), "item_prints"))
+    joined = docs.drop(*names).withColumn(key, F.xxhash64(text)).join(pairs.withColumnsRenamed({"key": key, "shared": shared}), key, "left")
 
     def judge(batch: pa.RecordBatch) -> list[pa.Array]:
         parts = []
-        for i in range(len(batch)):
-            shared = batch.column("wn_shared")[i].as_py() or []
-            parts.append(_judge(batch.column("text").slice(i, 1), Benchmark([x["name"] for x in shared], [x["text"] for x in shared])))
+        for lo in range(0, len(batch), 512):
+            part = batch.slice(lo, 512)
+            parts.append(_judge(part.column("text"), _benchmark_of(part.column(shared))))
         return [pa.concat_arrays([p[j] for p in parts]) if parts else pa.array([], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string())))]
 
-    return append_columns(joined, judge, ADDED, drop=("wn_key", "wn_shared"))
+    return append_columns(joined, judge, ADDED, drop=(key, shared))
 
 
 def contaminated(least: int = 20):
