@@ -1,11 +1,11 @@
 """Document fingerprints by Order MinHash.
 
 A text's k-mers (``K`` characters) are numbered by occurrence, so a k-mer that occurs thrice counts as
-three elements.  Every element gets a hash; its top bits deal it to one of ``SKETCHES`` sketches, and in
-each sketch the ``TUPLE`` elements with the least hashes are selected, put back into text order and
-hashed as a tuple.  The fingerprint is the list of these hashes, 16 bits each in hexadecimal.  Texts
-agree on a sketch if they share its least k-mers *in the same order*, so the share of sketches that
-agree follows edit distance, where plain MinHash would ignore rearrangement.
+three elements.  Each of ``SKETCHES`` sketches has an order of its own on all elements; the two that come
+first in it are put back into text order and hashed as a pair.  The fingerprint is the list of these
+hashes, 16 bits each in hexadecimal.  Texts agree on a sketch if they share its first k-mers *in the
+same order*, so the share of sketches that agree follows edit distance, where plain MinHash would ignore
+rearrangement.
 
 For the edit test each text is followed by its successor in order of (id, text).  Rows are dealt to
 ranges of the id, and the first row of a range is also sent to the range before it, so every range
@@ -13,8 +13,10 @@ finds all successors by itself; the last range gets the first row of all.  One s
 text once, compressed.
 
 Nulls: a null text is empty; a null id sorts first.  Repeated ids follow each other in order of their
-texts.  A text of fewer than ``K`` characters is one k-mer; an empty text has an empty fingerprint,
-which is like only itself.  A single row is its own successor.  An empty table gives no rows.
+texts' MD5, and rows that are equal in both are alike; ids that repeat without end are one range.  A text
+of fewer than ``K`` characters is one k-mer; an empty text has an empty fingerprint, which is like only
+itself.  A single row is its own successor.  An empty table gives no rows.  Only ``doc_id`` and ``text``
+are read by the edit test; :func:`fingerprints` replaces a column of the name it adds.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ from corymb.llm.batches import append_columns
 from corymb.llm.shared import need
 from corymb.llm.tokens import mix
 
-K, SKETCHES, TUPLE = 6, 64, 2
+K, SKETCHES = 6, 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64((1 << 24) - 1)
 
 
 def _kmers(points: np.ndarray, k: int) -> np.ndarray:
@@ -50,53 +53,63 @@ def _kmers(points: np.ndarray, k: int) -> np.ndarray:
 
 
 def _numbered(kmers: np.ndarray) -> np.ndarray:
-    """Hashes of (k-mer, occurrence number), in text order."""
-    n = len(kmers)
-    if n < 1 << 24:  # position and hash fit one number, which sorts fast
-        low = np.sort((kmers & np.uint64(0xFFFFFFFFFF000000)) | np.arange(n, dtype=np.uint64))
-        order, key = (low & np.uint64(0xFFFFFF)).astype(np.int64), low >> np.uint64(24)
-    else:
+    """Hashes of (k-mer, occurrence number), in text order; equal k-mers are told by all 64 bits."""
+    order = sorted_ = None
+    if len(kmers) < 1 << 24:  # 40 bits and the place fit one number, which sorts fast; where they don't tell k-mers apart, all bits are sorted
+        packed = np.sort((kmers & ~_LOW) | np.arange(len(kmers), dtype=np.uint64))
+        order = (packed & _LOW).astype(np.int64)
+        sorted_ = kmers[order]
+        if ((sorted_[1:] != sorted_[:-1]) & (((sorted_[1:] ^ sorted_[:-1]) & ~_LOW) == 0)).any():
+            order = None
+    if order is None:
         order = np.argsort(kmers, kind="stable")
-        key = kmers[order] >> np.uint64(24)
-    again = np.flatnonzero(key[1:] == key[:-1]) + 1
+        sorted_ = kmers[order]
+    again = np.flatnonzero(sorted_[1:] == sorted_[:-1]) + 1
     if not len(again):
         return kmers
-    first = np.ones(n, bool)
+    first = np.ones(len(kmers), bool)
     first[again] = False
     starts = np.flatnonzero(first)
     number = again - starts[np.searchsorted(starts, again, "right") - 1]
     out = kmers.copy()
-    out[order[again]] = mix(kmers[order[again]] + number.astype(np.uint64) * _STEP)
+    out[order[again]] = mix(sorted_[again] + number.astype(np.uint64) * _STEP)
     return out
 
 
-def fingerprint(text: str, k: int = K, sketches: int = SKETCHES, width: int = TUPLE) -> np.ndarray:
-    """One 16-bit hash for each sketch; 0 for a sketch without elements."""
-    out = np.zeros(sketches, np.uint16)
+#: An odd factor for each sketch: the order of its products with an element's high half, modulo 2**32, is the sketch's own.
+_FACTORS = (mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _STEP) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: Elements that all sketches look at together: products of a block fit a core's cache.
+_BLOCK = 2048
+
+
+def _least_two(elements: np.ndarray, sketches: int) -> np.ndarray:
+    """Places of the two elements that each sketch orders first, in text order; one place twice if there is one element."""
+    best = np.zeros((2, sketches), np.int64)
+    value = np.full((2, sketches), 2**32 - 1, np.uint32)
+    factors, rows, high = _FACTORS[:sketches, None], np.arange(sketches), (elements >> np.uint64(32)).astype(np.uint32)
+    for lo in range(0, len(elements), _BLOCK):
+        order = high[None, lo : lo + _BLOCK] * factors
+        for _ in range(2 if order.shape[1] > 1 else 1):
+            at = order.argmin(1)
+            new = order[rows, at]
+            order[rows, at] = 2**32 - 1
+            first, second = new < value[0], (new >= value[0]) & (new < value[1])
+            value[1], best[1] = np.where(first, value[0], np.where(second, new, value[1])), np.where(first, best[0], np.where(second, at + lo, best[1]))
+            value[0], best[0] = np.where(first, new, value[0]), np.where(first, at + lo, best[0])
+    if len(elements) == 1:
+        best[1] = best[0]
+    best.sort(0)
+    return best
+
+
+def fingerprint(text: str, k: int = K, sketches: int = SKETCHES) -> np.ndarray:
+    """One 16-bit hash for each sketch, never 0; all 0 for an empty text."""
     elements = _numbered(_kmers(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), k))
-    n = len(elements)
-    if not n:
-        return out
-    bits = np.uint64(64 - (sketches - 1).bit_length())
-    # a sketch needs its least hashes only: the others are left out, if enough remain everywhere
-    share = min(1.0, 16 * sketches / n)
-    while True:
-        small = elements << (np.uint64(64) - bits)
-        at = np.flatnonzero(small <= np.uint64(int(share * (2**64 - 1)))) if share < 1 else np.arange(n)
-        order = at[np.argsort(elements[at])]
-        bounds = np.searchsorted(elements[order] >> bits, np.arange(sketches + 1, dtype=np.uint64))
-        if share >= 1 or (np.diff(bounds) >= width).all():
-            break
-        share = min(1.0, share * 8)
-    # the place of each sketch's elements in the text, in text order; n where there are too few
-    slot = bounds[:-1, None] + np.arange(width)
-    place = np.where(slot < bounds[1:, None], order[np.minimum(slot, len(order) - 1)], n)
-    place.sort(1)
-    elements = np.append(elements, np.uint64(0))
-    h = np.zeros(sketches, np.uint64)
-    for j in range(width):
-        h = mix(h * _STEP + elements[place[:, j]])
-    return np.where(bounds[1:] > bounds[:-1], np.maximum(h >> np.uint64(48), np.uint64(1)), np.uint64(0)).astype(np.uint16)
+    if not len(elements):
+        return np.zeros(sketches, np.uint16)
+    first, second = _least_two(elements, sketches)
+    h = mix(mix(elements[first]) * _STEP + elements[second] + np.arange(sketches, dtype=np.uint64))
+    return np.maximum(h >> np.uint64(48), np.uint64(1)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
