@@ -11,8 +11,8 @@ headers, footers, sidebars, notices, adverts, forms and comments; nothing of the
 Nulls: a null or empty page has an empty text.  Scripts, styles, comments and the head hold no blocks.
 Nor do embedded elements (``SILENT``) that are closed; of one left open only the start tag is dropped,
 while an unclosed script or style runs to the end of the page.  Other unclosed tags are closed by what
-follows; text without any tag is one block.  A page is read whole.
-An empty table gives no rows; repeated rows get equal texts.
+follows; text without any tag is one block.  A page is read whole, in time in proportion to its length.
+An empty table gives no rows; repeated rows get equal texts.  A column of the name that is added is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +37,19 @@ from corymb.llm.shared import need
 #: Elements that end the block before them, that have no end tag, and that hold no text of the page.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("noscript template svg math iframe object canvas audio video".split())
+SILENT = frozenset("noscript template svg iframe object canvas audio video".split())
 HEAD = frozenset(["head", "title"])
 #: Start tags that may stand in a head; any other closes it, and a title that was left open.
 IN_HEAD = HEAD | frozenset("base basefont bgsound link meta noframes".split())
 #: An open element of the first kind is closed by a start tag of the second.
 CLOSES = {"p": BLOCK - {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
-_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>]){_ATTRS}>(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>", re.S | re.I)
+#: An open element of one of these kinds is closed by the start tag.
+CLOSED_BY = {tag: tuple(k for k, tags in CLOSES.items() if tag in tags) for tag in frozenset().union(*CLOSES.values())}
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_VALUE = re.compile(r"[^>=]*(?:=\s*|>|\Z)")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in ("script", "style")}
 #: A title's text runs to its end tag, unless one of the others comes first: then it was left open.
-_TITLE_END = re.compile(r"<(?:(?P<close>/title)|/head|body|title|svg)(?=[\s/>])[^>]*>", re.I)
+_TITLE_END = re.compile(r"<(?:(?P<close>/title)|/head|body|title|svg)(?=[\s/>])[^>]*>", re.I | re.A)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 
@@ -52,93 +57,159 @@ PATH, WORDS, NUMBERS, HIDDEN = 192, 32, 5, 20
 INPUT = PATH + WORDS + NUMBERS
 
 
-def _silent(m: re.Match) -> str | None:
-    """The name of a token's embedded element; names that only begin like one, as in ``<svg-icon>``, aren't."""
-    tag = (m["tag"] or "").lower()
-    return tag if tag in SILENT and m.string[m.end("tag")] in " \t\n\r\f/>" else None
-
-
-def _self_closed(m: re.Match) -> bool:
-    return m["tag"].lower() in ("svg", "math") and m["attrs"].rstrip().endswith("/")
+class Tag(NamedTuple):
+    """A tag, or what isn't text (no name), from ``start`` to ``stop``."""
+
+    start: int
+    stop: int
+    name: str = ""
+    end: bool = False
+    attrs: str = ""
+
+    @property
+    def self_closed(self) -> bool:
+        return self.attrs.rstrip().endswith("/")
+
+
+class Tags:
+    """Finds a page's tags in one pass.
+
+    Quotes count where a value begins.  If a quote never ends, so that the page would end inside a tag, quotes
+    no longer count from there on; so a page takes time in proportion to its length.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.comments = page, True, True
+
+    def _close(self, at: int) -> int:
+        """After the ``>`` that ends the tag whose attributes begin at ``at``; -1 if none does."""
+        page, start = self.page, at
+        while self.quotes:
+            m = _VALUE.match(page, at)
+            at = m.end()
+            if page[at - 1 : at] == ">" and at > m.start():
+                return at
+            if at >= len(page):
+                self.quotes = False
+            elif page[at] in "\"'" and page[at - 1 : at] != ">":
+                stop = page.find(page[at], at + 1)
+                self.quotes = stop >= 0
+                at = stop + 1
+        return page.find(">", start) + 1 or -1
+
+    def next(self, at: int) -> Tag | None:
+        """The first tag from ``at`` on."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("<!--", start) and self.comments:
+                stop = page.find("-->", start + 4)
+                if stop >= 0:
+                    return Tag(start, stop + 3)
+                self.comments = False
+            if page.startswith(("<!", "<?"), start):
+                stop = page.find(">", start)
+                if stop < 0:
+                    return None
+                return Tag(start, stop + 1)
+            if not (m := _TAG.match(page, at)):
+                continue
+            stop = self._close(m.end())
+            if stop < 0:
+                return None  # no > is left, so no tag
+            name, end, attrs = m[2].lower(), bool(m[1]), page[m.end() : stop - 1]
+            if name in _RAW_END and not end:
+                close = _RAW_END[name].search(page, stop)
+                stop = page.find(">", close.end()) + 1 if close else 0
+                return Tag(start, stop or len(page))
+            return Tag(start, stop, name, end, attrs)
+        return None
 
 
 def _silent_ends(page: str) -> dict[int, int]:
     """Where each closed embedded element ends, by where it starts; an end tag closes the last open one of its name."""
-    opened, ends = {}, {}
-    for m in _TOKEN.finditer(page):
-        if not (tag := _silent(m)):
-            continue
-        if not m["end"]:
-            if not _self_closed(m):
-                opened.setdefault(tag, []).append(m.start())
-        elif opened.get(tag):
-            ends[opened[tag].pop()] = m.end()
+    opened, ends, tags, at = {}, {}, Tags(page), 0
+    while t := tags.next(at):
+        at = t.stop
+        if t.name in SILENT:
+            if t.end and opened.get(t.name):
+                ends[opened[t.name].pop()] = at
+            elif not t.end and not (t.name == "svg" and t.self_closed):
+                opened.setdefault(t.name, []).append(t.start)
     return ends
 
 
+#: Open elements, from the innermost, that make up a block's path.
+PATH_DEPTH = 64
+
+
 def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, path, characters in links) of each non-empty block outside the head."""
     out, stack, parts, links, at = [], [], [], 0, 0
-    ends = None
+    ends, tags, opened = None, Tags(page), Counter()
 
     def cut() -> None:
         nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not any(t in HEAD for t, _ in stack):
-                out.append((text, tuple(n for _, names in stack for n in names), links))
+            if text and not (opened["head"] or opened["title"]):
+                out.append((text, tuple(n for _, names in stack[-PATH_DEPTH:] for n in names), links))
             parts.clear()
         links = 0
 
+    def close_from(i: int) -> None:
+        opened.subtract(t for t, _ in stack[i:])
+        del stack[i:]
+
     def add(piece: str) -> None:
         nonlocal links
         if piece:
             piece = html.unescape(piece)
             if stack and stack[-1][0] == "head" and not piece.isspace():
-                stack.pop()
+                close_from(len(stack) - 1)
             parts.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if opened["a"]:
                 links += len(piece.strip())
 
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+    while t := tags.next(at):
+        if t.start > at:
+            add(page[at : t.start])
+        at, tag = t.stop, t.name
         if not tag:
             continue
-        if _silent(m) and not m["end"]:
-            if not _self_closed(m):
+        if tag in SILENT:
+            if not t.end and not (tag == "svg" and t.self_closed):
                 ends = _silent_ends(page) if ends is None else ends
-                at = max(at, ends.get(m.start(), at))
+                at = max(at, ends.get(t.start, at))
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag in BLOCK:
             cut()
-        if m["end"]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+        if t.end:
+            if opened[tag] > 0:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                close_from(i)
             continue
         if tag == "title" and (close := _TITLE_END.search(page, at)) and close["close"]:
             at = close.end()
             continue
-        if tag not in IN_HEAD:
-            for i, (t, _) in enumerate(stack):
-                if t in HEAD:
-                    del stack[i:]
+        if tag not in IN_HEAD and (opened["head"] > 0 or opened["title"] > 0):
+            close_from(next(i for i, (x, _) in enumerate(stack) if x in HEAD))
+        if any(opened[x] > 0 for x in CLOSED_BY.get(tag, ())):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in CLOSED_BY[tag]:
+                    close_from(i)
+                    break
+                if stack[i][0] in BLOCK and stack[i][0] not in CLOSES:
                     break
-        for i in range(len(stack) - 1, -1, -1):
-            if tag in CLOSES.get(stack[i][0], ()):
-                del stack[i:]
-                break
-            if stack[i][0] in BLOCK and stack[i][0] not in CLOSES:
-                break
-        if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
-            named = "".join(f" {a or b or c}" for a, b, c in _NAMES.findall(m["attrs"])) if m["attrs"] else ""
+        if tag not in VOID and not t.self_closed:
+            named = "".join(f" {a or b or c}" for a, b, c in _NAMES.findall(t.attrs)) if t.attrs else ""
             stack.append((tag, (f"<{tag}>", *(w.lower() for w in _WORD.findall(named)))))
+            opened[tag] += 1
     add(page[at:])
     cut()
     return out
@@ -407,6 +478,7 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     return "".join(out), labels
 
 
+@lru_cache(2)
 def fit(pages: int = 1200, seed: int = 17) -> BlockTagger:
     rng = np.random.default_rng(seed)
     xs, ys = [], []
