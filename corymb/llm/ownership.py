@@ -3,18 +3,18 @@ r"""Secret scan with corpus-wide ownership frequency.
 Three patterns find candidate secrets in whole texts; every hit is reported.  A fourth pattern finds
 long mixed-case tokens, which are mostly harmless: those are judged over the whole corpus.  Each
 candidate's hash is counted by distinct repositories and distinct owners.  A value that more than one
-owner has is a widely copied example; one that a single owner has looks live.  Live-looking tokens
-are added to the spans with kind ``token``; base hits get the same judgement in ``n_live`` and
-``n_example``.
+owner has, or that its owner has in over ``most_repositories`` repositories, is a widely copied example;
+any other looks live.  Live-looking tokens are added to the spans with kind ``token``; base hits get the
+same judgement in ``n_live`` and ``n_example``.
 
 Texts are scanned where they lie: only the few candidates are shuffled, first reduced to distinct
-(hash, owner, repository) on each task, then counted.  When the counts go back to the candidates,
-they are copied once for each of ``salts``, so a value that a third of all rows hold is dealt over as
-many tasks.
+(hash, owner, repository) on each task, then counted.  The counts are written before they go back to
+the candidates, so both sides of that join are plain shuffles and a value that a third of all rows hold
+is split over tasks.
 
 Nulls: a null text is empty; a null owner or repository counts as one owner or repository; ids may be
 null or repeated (rows are told apart by id and text hash; equal rows get equal results).  An empty
-table gives no rows.
+table gives no rows.  Only the columns named are read, so others can't clash; a missing one raises.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def span_text(column: Column) -> Column:
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, *, owner: Column, repository: Column, salts: int = 32) -> DataFrame:
+def scan(docs: DataFrame, *, owner: Column, repository: Column, most_repositories: int = 2) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, ...) as (doc_id, base, added, n_live, n_example)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = docs.select("doc_id", F.xxhash64(text).alias("th"), owner.alias("owner"), repository.alias("repository"), *(c.alias(n) for n, c in candidates(text).items()))
@@ -79,10 +79,9 @@ def scan(docs: DataFrame, *, owner: Column, repository: Column, salts: int = 32)
     some = rows.where((F.size("base") > 0) | (F.size("tokens") > 0)).select("doc_id", "th", "owner", "repository", F.explode(F.concat("base", "tokens")).alias("s"))
     some = some.withColumn("hash", F.xxhash64(F.col("s.value")))
     counts = some.select("hash", "owner", "repository").distinct().groupBy("hash").agg(F.count_distinct(F.struct("owner")).alias("owners"), F.count("*").alias("repositories"))
-    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # merged, never broadcast: the copies compress well in a shuffle but not in memory
-    judged = some.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(salts)).cast("int")).join(salted.hint("merge"), ["hash", "salt"])
-    live = F.col("owners") == 1
+    # merged, never broadcast: the counts grow with the corpus
+    judged = some.join(materialise(counts, "owners").hint("merge"), "hash")
+    live = (F.col("owners") == 1) & (F.col("repositories") <= most_repositories)
     each = judged.select("doc_id", "th", "s", live.alias("live")).distinct().groupBy("doc_id", "th").agg(
         F.array_sort(F.collect_list(F.when((F.col("s.kind") == 3) & F.col("live"), F.col("s")))).alias("added"), F.count_if((F.col("s.kind") < 3) & F.col("live")).alias("n_live"), F.count_if((F.col("s.kind") < 3) & ~F.col("live")).alias("n_example")
     )  # one document's spans
@@ -114,7 +113,7 @@ WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS body
 c AS ({' UNION ALL '.join(f'SELECT * FROM ({_sql_kind(k)})' for k in range(4))}),
 u AS (SELECT id, source, lang, kind, a::BIGINT AS a, (a + n)::BIGINT AS b, v FROM c WHERE kind < 3 OR (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]'))),
 k AS (SELECT * FROM u WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM u AS o WHERE o.kind < 3 AND o.id = u.id AND o.a < u.b AND u.a < o.b)),
-f AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS owners FROM k GROUP BY v),
-j AS (SELECT k.*, owners, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || a || ':' || b AS t FROM k JOIN f USING (v)),
-r AS (SELECT id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, string_agg(t, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, string_agg(t, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR owners = 1) AS spans, count(*) FILTER (WHERE kind < 3 AND owners = 1) AS n_live, count(*) FILTER (WHERE kind < 3 AND owners > 1) AS n_example FROM j GROUP BY id)
+f AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) = 1 AND count(DISTINCT [source, lang]) <= 2 AS live FROM k GROUP BY v),
+j AS (SELECT k.*, live, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || a || ':' || b AS t FROM k JOIN f USING (v)),
+r AS (SELECT id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, string_agg(t, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, string_agg(t, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR live) AS spans, count(*) FILTER (WHERE kind < 3 AND live) AS n_live, count(*) FILTER (WHERE kind < 3 AND NOT live) AS n_example FROM j GROUP BY id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN r USING (id)"""
