@@ -5,8 +5,8 @@ the window, the greatest response of each filter is kept, and a softmax gives a
 language.  A text's probabilities are the mean over its windows, weighted by their bytes; all windows
 of a text are read.
 
-The network is trained here, on a bounded sample: at most about ``sample_docs`` labelled rows, spread
-evenly over the languages and chosen by a hash of their id, of each a piece of ``piece`` characters.
+The network is trained here, on a bounded sample of labelled rows, whose whole texts are cut into windows:
+see :func:`fit`.
 
 Nulls: texts that are null or hold no letter get ``und`` with score 0, as does every text when no row
 is labelled.  Rows with a null id or language are never learnt from.  An empty table gives no rows;
@@ -17,13 +17,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corymb.llm import tokens
 from corymb.llm.batches import append_columns
-from corymb.llm.shared import need
+from corymb.llm.shared import materialise, need
 
 WIDTHS, FILTERS, EMBED, WINDOW, BATCH = (2, 3, 4), 16, 6, 256, 32
 ADDED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
@@ -177,22 +177,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, *, sample_docs: int = 6000, piece: int = 600, seed: int = 7) -> ByteCNN | None:
-    """A network for the languages of the labelled rows that aren't held out; None if there are none."""
+def fit(docs: DataFrame, *, sample_docs: int = 6000, sample_windows: int = 24_000, seed: int = 7) -> ByteCNN | None:
+    """A network for the languages of the labelled rows that aren't held out; None if there are none.
+
+    About ``sample_docs`` labelled rows, spread evenly over the languages and chosen by a hash of their id,
+    are cut into windows from end to end; of all their windows the ``sample_windows // languages`` with the
+    least hashes are learnt from in each language.
+    """
     known = need(docs, doc_id="long", text="string", lang="string").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text <> ''").where(~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # languages
     if not counts:
         return None
-    each = max(1, sample_docs // len(counts))
+    each, quota = max(1, sample_docs // len(counts)), max(1, sample_windows // len(counts))
     share = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, each / n)))))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)).cast("double") / 1_000_003 < F.element_at(share, F.col("lang")))
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - piece, F.lit(1))).cast("int") + 1
-    rows = sorted((r["doc_id"], r["lang"], r["t"]) for r in chosen.select("doc_id", "lang", F.substring(F.col("text"), at, F.lit(piece)).alias("t")).limit(2 * sample_docs).collect())
-    languages = sorted({lang for _, lang, _ in rows})
+    fraction = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1_000_003)).cast("double") / 1_000_003
+    chosen = known.where(fraction("doc_id", F.lit(seed)) < F.element_at(share, F.col("lang"))).withColumn("raw", F.encode("text", "UTF-8"))
+    windows = chosen.select("doc_id", "lang", "raw", F.explode(F.sequence(F.lit(0), F.octet_length("text") - 1, F.lit(WINDOW))).alias("at"))
+    windows = windows.select("lang", F.xxhash64("doc_id", "at", F.lit(seed)).alias("order"), F.substring("raw", F.col("at") + 1, F.lit(WINDOW)).alias("window")).distinct()
+    windows = materialise(windows, "windows")
+    totals = {r["lang"]: r["n"] for r in windows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    part = F.create_map(*(x for k, n in sorted(totals.items()) for x in (F.lit(k), F.lit(min(1.0, 1.1 * quota / n)))))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "window"))  # among about 1.1 quotas
+    rows = windows.where(fraction("order") < F.element_at(part, F.col("lang"))).withColumn("place", place).where(F.col("place") <= quota).select("lang", "order", "window").collect()
+    rows = sorted((r["lang"], r["order"], bytes(r["window"])) for r in rows)
+    languages = sorted({lang for lang, *_ in rows})
     if not languages:
         return None
-    texts = [_FOLD[np.frombuffer(t.encode(), np.uint8)].tobytes() for _, _, t in rows]
-    return ByteCNN(languages, seed).train(texts, np.array([languages.index(lang) for _, lang, _ in rows]))
+    texts = [_FOLD[np.frombuffer(w, np.uint8)].tobytes() for *_, w in rows]
+    return ByteCNN(languages, seed).train(texts, np.array([languages.index(lang) for lang, *_ in rows]))
 
 
 def identify(df: DataFrame, model: ByteCNN | None) -> DataFrame:
