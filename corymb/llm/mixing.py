@@ -6,10 +6,11 @@ cap.  A document is then taken a whole number of times, and a seeded order of th
 source decides which of them are taken once more.  The last of those is taken in part, so that a
 source's words come to its target, less than a word away.
 
-All of it is aggregates and windows.  The seeded order is cut into ``buckets`` by the first digits of
-the hash, and a document's place is the sum of earlier buckets plus a running sum inside its own, so
-no task sorts a whole source, even one with all rows.  Only the table of sources is small by nature:
-one row each; the loop over it fetches three numbers a round.
+All of it is aggregates and windows.  Sources reach their caps in order of size by weight, so which of
+them are capped follows from running sums over the table of sources, which is small by nature: one row
+each.  The seeded order is cut into buckets by the first digits of the hash, as many as the rows need,
+and a document's place is the sum of earlier buckets plus a running sum inside its own, so no task sorts
+a whole source, even one with all rows.  The order is that of the hash, however many buckets there are.
 
 Nulls: a null source is a source of its own, ordered last; a null or empty text has size 0 and takes
 nothing; a null id hashes as the word ``null``.  An empty table gives no rows.  Repeated rows count as
@@ -32,26 +33,29 @@ def word_count(text: Column) -> Column:
 
 
 def water_fill(sources: DataFrame, *, share: tuple[int, int] = (3, 2), max_epochs: int = 2) -> DataFrame:
-    """Adds ``target`` to rows of (``size``, ``weight``): ``share`` (a fraction) of the total size, dealt by weight.
+    """Adds ``target`` to rows of (``size``, ``weight``, ``name``): ``share`` (a fraction) of the total size, dealt by weight.
 
-    Amounts are whole numbers of ``1/share[1]`` words until the last division, so the result is exact.
+    A source is capped if the level that remains without those of a lesser size by weight is above its cap.
+    Amounts are whole numbers of ``1/share[1]`` words until the last division, so the comparison is exact.
     """
     up, down = share
     big = "decimal(38,0)"
     size, weight = F.col("size").cast(big), F.col("weight").cast(big)
-    state = sources.withColumn("capped", F.lit(False))
-    while True:
-        total, taken, open_weight = state.agg(F.coalesce(F.sum(size), F.lit(0).cast(big)), F.coalesce(F.sum(F.when(F.col("capped"), size)), F.lit(0).cast(big)), F.coalesce(F.sum(F.when(~F.col("capped"), weight)), F.lit(0).cast(big))).first()
-        rest, open_weight = up * int(total) - down * max_epochs * int(taken), int(open_weight)
-        above = ~F.col("capped") & (F.col("weight").cast("double") * F.lit(float(rest)) > F.lit(float(down * max_epochs)) * F.col("size").cast("double") * F.lit(float(open_weight)))
-        if not open_weight or not state.where(above).limit(1).count():
-            break
-        state = materialise(state.withColumn("capped", F.col("capped") | above), "water")
-    level = F.col("weight").cast("double") * F.lit(float(rest)) / F.lit(float(down * max(1, open_weight)))
-    return state.withColumn("target", F.when(F.col("capped"), F.lit(float(max_epochs)) * F.col("size").cast("double")).otherwise(level)).drop("capped")
-
-
-def mix(df: DataFrame, size: Column, *, source_col: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), max_epochs: int = 2, seed: str = "mix-1", buckets: int = 256) -> DataFrame:
+    order = Window.orderBy(F.col("size").cast("double") / F.col("weight"), "name")
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast(big))
+    rest = F.lit(up) * F.sum(size).over(Window.partitionBy()) - F.lit(down * max_epochs) * before
+    open_weight = F.sum(weight).over(order.rowsBetween(0, Window.unboundedFollowing))
+    ranked = sources.withColumns({"rest": rest.cast(big), "open": open_weight.cast(big), "place": F.row_number().over(order)})
+    free = (F.col("weight").cast("decimal(9,0)") * F.col("rest").cast("decimal(28,0)")) <= (F.lit(down * max_epochs).cast("decimal(9,0)") * F.col("size").cast("decimal(18,0)") * F.col("open").cast("decimal(9,0)"))
+    # from the first source that isn't above its cap on, all share what is left by weight
+    first = F.min(F.when(free, F.struct("place", "rest", "open"))).over(Window.partitionBy())
+    level = F.col("weight").cast("double") * F.col("first.rest").cast("double") / (F.lit(float(down)) * F.col("first.open").cast("double"))
+    capped = F.lit(float(max_epochs)) * F.col("size").cast("double")
+    target = F.when(F.col("place") >= F.col("first.place"), level).otherwise(capped)
+    return ranked.withColumn("first", first).withColumn("target", target).drop("rest", "open", "place", "first")
+
+
+def mix(df: DataFrame, size: Column, *, source_col: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), max_epochs: int = 2, seed: str = "mix-1", bucket_rows: int = 20_000) -> DataFrame:
     """``df`` with ``size``, ``source_size``, ``target``, ``taken`` (words) and ``repeats`` (whole copies to emit)."""
     out = ["size", "source_size", "target", "taken", "repeats"]
     kept = [c for c in df.columns if c not in out]
@@ -59,13 +63,14 @@ def mix(df: DataFrame, size: Column, *, source_col: str = "source", id_col: str
     # the key keeps null apart from '' and sorts it last
     keyed = df.withColumn("size", size).withColumn(key, F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col))))
     order_text = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    keyed = keyed.withColumns({order: F.md5(order_text.cast("binary")), bucket: (hex_bits(order_text, 4) % buckets).cast("int")})
+    buckets = min(1 << 20, 1 << max(6, (df.count() // bucket_rows).bit_length()))
+    keyed = keyed.withColumns({order: F.md5(order_text.cast("binary")), bucket: F.shiftright(hex_bits(order_text, 5), 21 - buckets.bit_length()).cast("int")})
     sums = materialise(keyed.groupBy(key, bucket).agg(F.sum("size").alias("size")), "mix_buckets")
-    totals = sums.groupBy(key).agg(F.sum("size").alias("size"))
-    ranked = totals.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(Window.orderBy(key)) - 1, F.lit(len(weights))) + 1).cast("int")))
+    totals = sums.groupBy(F.col(key).alias("name")).agg(F.sum("size").alias("size"))
+    ranked = totals.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(Window.orderBy("name")) - 1, F.lit(len(weights))) + 1).cast("int")))
     filled = water_fill(materialise(ranked, "mix_sources"), share=share, max_epochs=max_epochs)
     before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    plan = sums.select(key, bucket, F.coalesce(F.sum("size").over(before), F.lit(0)).alias(base)).join(filled.select(key, F.col("size").alias("source_size"), "target"), key)
+    plan = sums.select(key, bucket, F.coalesce(F.sum("size").over(before), F.lit(0)).alias(base)).join(filled.select(F.col("name").alias(key), F.col("size").alias("source_size"), "target"), key)
     running = Window.partitionBy(key, bucket).orderBy(order, "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn(extra, F.coalesce(F.sum("size").over(running), F.lit(0))).join(plan, [key, bucket])
     placed = placed.withColumn(whole, F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long"))
@@ -84,13 +89,12 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 
 MIX_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
-  md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS o, CAST('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 4) AS BIGINT) % 256 AS b FROM documents),
+WITH d AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k, md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS o FROM documents),
 s AS (SELECT k, sum(size)::BIGINT AS s, CASE (row_number() OVER (ORDER BY encode(k)) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM d GROUP BY k),
 r AS (SELECT *, 3 * sum(s) OVER () - coalesce(sum(4 * s) OVER (ORDER BY 4 * s::DOUBLE / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS num, sum(w) OVER (ORDER BY 4 * s::DOUBLE / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS den, row_number() OVER (ORDER BY 4 * s::DOUBLE / w, k) AS j FROM s),
 f AS (SELECT coalesce(min(j) FILTER (WHERE w * num <= 4 * s * den), 9223372036854775807) AS j FROM r),
 l AS (SELECT r.num AS num, r.den AS den FROM r, f WHERE r.j = f.j),
 t AS (SELECT k, s AS source_size, CASE WHEN r.j < f.j THEN 2.0::DOUBLE * s::DOUBLE ELSE w::DOUBLE * (SELECT num::DOUBLE FROM l) / (SELECT (2 * den)::DOUBLE FROM l) END AS target FROM r, f),
 p AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2)::BIGINT ELSE 0 END AS whole,
-  coalesce(sum(size) OVER (PARTITION BY k ORDER BY b, o, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t USING (k))
+  coalesce(sum(size) OVER (PARTITION BY k ORDER BY o, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t USING (k))
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(round(target)::BIGINT - whole * source_size - before, size)) AS BIGINT) AS taken FROM p"""
