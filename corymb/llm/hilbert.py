@@ -6,11 +6,12 @@ grid cell on the Hilbert curve, the rows are ordered by that index, and the orde
 stay close on the curve, so a filter on any dimension touches few runs.
 
 The rank of a row is found without a global sort: it is the number of rows in earlier cells, plus
-the rows in earlier sub-buckets of the cell, plus the row number within (cell, sub-bucket).  Only
-the table of cells (at most ``2 ** (bits * dims)`` rows, whatever the input) meets in one task.
-Sub-buckets split a hot cell, even one with all rows.
+the rows in earlier sub-buckets of the cell, plus the row number within (cell, sub-bucket).  Sub-buckets
+are leading bits of a hash of the id, as many as the rows need, and split a hot cell, even one with all
+rows.  Only the table of cells (at most ``2 ** (bits * dims)`` rows, whatever the input) meets in one
+task, and the offsets of sub-buckets are broadcast only if they are few.
 
-Nulls: a null dimension is quantised to 0; a null id sorts first in sub-bucket 0; a null text has
+Nulls: a null dimension is quantised to 0; a null id hashes as the word ``null``; a null text has
 size 8 and the CRC of the empty text.  An empty table gives no rows.  Repeated rows get slots of
 their own.  Columns of the input are kept unless they are named ``shard`` or ``slot``.
 """
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corymb.llm.shared import free_name, hex_bits, materialise, need
+from corymb.llm.shared import fits, free_name, hex_bits, materialise, need
 
 
 def hilbert_index(dims: list[Column], bits: int) -> Column:
@@ -74,12 +75,17 @@ def document_dims(df: DataFrame, bits: int = 3) -> list[Column]:
     ]
 
 
-def hilbert_shards(df: DataFrame, dims: list[Column], *, n_shards: int = 24, bits: int = 3, id_col: str = "doc_id", tie_cols: tuple[str, ...] = (), subs: int = 64) -> DataFrame:
-    """``df`` with ``shard`` (0 to ``n_shards - 1``) and ``slot`` (gapless from 0 in each shard)."""
+def hilbert_shards(df: DataFrame, dims: list[Column], *, n_shards: int = 24, bits: int = 3, id_col: str = "doc_id", tie_cols: tuple[str, ...] = (), bucket_rows: int = 20_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``df`` with ``shard`` (0 to ``n_shards - 1``) and ``slot`` (gapless from 0 in each shard).
+
+    Rows of a cell are ordered by a hash of the id and the first of ``tie_cols``, then by these columns.
+    """
     df = df.drop("shard", "slot")
-    cell, sub, at, curve = (free_name(df, f"hx_{c}") for c in ("cell", "sub", "at", "curve"))
+    cell, sub, at, curve, order = (free_name(df, f"hx_{c}") for c in ("cell", "sub", "at", "curve", "order"))
     packed = reduce(lambda out, d: out * (1 << bits) + d.cast("long"), dims, F.lit(0).cast("long"))
-    placed = df.withColumns({cell: packed, sub: F.coalesce(F.pmod(F.col(id_col), F.lit(subs)), F.lit(0)).cast("int")})
+    name = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), *(F.col(c).cast("string") for c in tie_cols[:1]))
+    bits_used = min(20, max(6, (df.count() // bucket_rows).bit_length()))  # so many that a cell with all rows is dealt over enough tasks
+    placed = df.withColumns({cell: packed, order: F.md5(name.cast("binary")), sub: F.shiftright(hex_bits(name, 5), 20 - bits_used).cast("int")})
     counts = materialise(placed.groupBy(cell, sub).agg(F.count("*").alias("n")), "hilbert_cells")
     total = counts.agg(F.sum("n")).first()[0] or 0
     # the curve is walked once for each cell, not for each row
@@ -87,9 +93,10 @@ def hilbert_shards(df: DataFrame, dims: list[Column], *, n_shards: int = 24, bit
     curved = materialise(counts.groupBy(cell).agg(F.sum("n").alias("n")).withColumn(curve, hilbert_index(points, bits)), "hilbert_curve")
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     cells = curved.select(F.col(cell), F.coalesce(F.sum("n").over(before.orderBy(curve)), F.lit(0)).alias("base"))
-    offsets = counts.join(F.broadcast(cells), cell).select(cell, sub, (F.col("base") + F.coalesce(F.sum("n").over(before.partitionBy(cell).orderBy(sub)), F.lit(0))).alias(at))
-    ranked = placed.withColumn("slot", F.row_number().over(Window.partitionBy(cell, sub).orderBy(id_col, *tie_cols)) - 1)
-    ranked = ranked.join(F.broadcast(offsets), [cell, sub])  # at most cells * subs rows
+    small = lambda d: F.broadcast(d) if fits(d, broadcast_rows) else d
+    offsets = counts.join(small(cells), cell).select(cell, sub, (F.col("base") + F.coalesce(F.sum("n").over(before.partitionBy(cell).orderBy(sub)), F.lit(0))).alias(at))
+    ranked = placed.withColumn("slot", F.row_number().over(Window.partitionBy(cell, sub).orderBy(order, id_col, *tie_cols)) - 1)
+    ranked = ranked.join(small(offsets), [cell, sub])
     rank, each, more = F.col(at) + F.col("slot"), total // n_shards, total % n_shards
     ranked = ranked.withColumn(at, rank).withColumn("shard", F.floor(F.when(F.col(at) < more * (each + 1), F.col(at) / F.lit(each + 1)).otherwise(more + (F.col(at) - more * (each + 1)) / F.lit(max(1, each)))).cast("int"))
     start = F.col("shard").cast("long") * each + F.least(F.col("shard"), F.lit(more)).cast("long")
@@ -138,6 +145,6 @@ q0 AS (SELECT doc_id, size, body,
   coalesce({md5.format('source')} % {cells}, 0) AS x1, coalesce({md5.format('lang')} % {cells}, 0) AS x2,
   CAST(greatest(least(floor((length(bin(size)) - 5) * {cells} / 16.0::DOUBLE), {cells - 1}), 0) AS BIGINT) AS x3 FROM p),
 {', '.join(steps)},
-r AS (SELECT doc_id, size, body, row_number() OVER (ORDER BY {index}, coalesce(((doc_id % 64) + 64) % 64, 0), doc_id NULLS FIRST, size) - 1 AS rk, count(*) OVER () // {n_shards} AS each, count(*) OVER () % {n_shards} AS more FROM g1),
+r AS (SELECT doc_id, size, body, row_number() OVER (ORDER BY {index}, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || size), doc_id NULLS FIRST, size) - 1 AS rk, count(*) OVER () // {n_shards} AS each, count(*) OVER () % {n_shards} AS more FROM g1),
 t AS (SELECT *, CASE WHEN rk < more * (each + 1) THEN rk // (each + 1) ELSE more + (rk - more * (each + 1)) // greatest(each, 1) END AS shard FROM r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CASE WHEN body = '' THEN 0 ELSE xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda p: CAST('0x' || p AS BIGINT)), lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1])), 4294967295) END AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(rk - shard * each - least(shard, more) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM t, tab"""
