@@ -9,9 +9,10 @@ third of all pages nor a line on every page meets in one task.  Boilerplate is f
 has at most ``lines a page / max_ratio`` such lines.  It goes back to the pages as one list a host:
 broadcast while it is small (its rows are counted first), else joined with the host salted.
 
-A line is what ``\\n`` separates, without white space at its ends; blank lines are kept and counted on
-no side.  Nulls: a null host is a host of its own; a null text has no lines and stays null.  An empty
-table gives no rows.  Repeated rows are pages of their own.
+A line is what ``\\n`` separates, without the spaces (x20) at its ends; lines of spaces alone are kept
+and counted on no side.  Nulls: a null host is a host of its own; a null text has no lines and stays null.  An empty
+table gives no rows.  Repeated rows are pages of their own.  Columns named ``n_lines`` or ``n_dropped``
+are replaced; others stay.
 """
 
 from __future__ import annotations
