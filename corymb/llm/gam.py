@@ -75,6 +75,8 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         inside = tokens.NOT_SPACE[part]
         run = np.zeros(len(part), np.int32)
         run[2:] = symbol[2:] & symbol[1:-1] & symbol[:-2]
+        starts = at[:-1][np.diff(at) > 0]
+        run[starts] = run[np.minimum(starts + 1, len(part) - 1)] = 0  # a run lies within one text
         letters = per_text(inside.astype(np.int32))
         lines = per_text(_LINE[part]) + 1
         cols = [
