@@ -6,6 +6,9 @@ rows of a hot group are summed where they lie.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +90,35 @@ def bootstrap_interval(df: DataFrame, keys: list[str], group: str, value: str, u
     return out.select(*keys, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "reps")
 
 
+#: Bounds between the numbers of a Poisson draw of mean 1, in units of 2**-32.
+POISSON = tuple(int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(12))
+
+
+def weighted_bootstrap(df: DataFrame, traits: list[str], group: str, unit: str, reps: int = 2000, seed: int = 0, least: int = 2) -> DataFrame:
+    """(trait, lo, hi, reps): quantiles of the Pst of resampled units, in a plan that never joins draws to rows.
+
+    Each unit weighs as often as a Poisson draw says, from a hash of (seed, unit, repetition); all traits of
+    a unit share it.  So a repetition is a sum where the rows lie, without numbering units or joining draws,
+    and a hot group costs no more than its rows.  Group sizes vary about their own; :func:`bootstrap_interval`
+    draws exactly as many members as a group has.
+    """
+    centre = df.agg(*(F.avg(t).alias(f"_m_{t}") for t in traits))  # one row; sums of squares keep their digits
+    d = df.crossJoin(F.broadcast(centre)).select(F.col(group).alias("_g"), F.col(unit).cast("string").alias("_u"), *((F.col(t) - F.col(f"_m_{t}")).alias(t) for t in traits))
+    # narrow rows are dealt evenly before they are multiplied: adaptive execution would merge a small table into one task
+    d = d.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    block = d.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // 4))))
+    block = block.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "_u", F.col("_b").cast("string")).cast("binary")))
+    each = block.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("rep", F.col("_b") * 4 + F.col("_j")).where(F.col("rep") < reps)
+    draw = F.substring(F.col("_h"), F.col("_j") * 8 + 1, F.lit(8))  # hexadecimal digits of equal length compare as their numbers do
+    each = each.withColumn("_d", draw).withColumn("_w", reduce(lambda a, t: a + (F.col("_d") >= f"{t:08x}").cast("int"), POISSON, F.lit(0)).cast("double")).where("_w > 0")
+    sums = each.groupBy("rep", "_g").agg(*(x for t in traits for x in (F.sum(F.when(F.col(t).isNotNull(), F.col("_w"))).alias(f"n_{t}"), F.sum(F.col("_w") * F.col(t)).alias(f"x_{t}"), F.sum(F.col("_w") * F.col(t) * F.col(t)).alias(f"q_{t}"))))
+    long = sums.select("rep", "_g", F.explode(F.array(*(F.struct(F.lit(t).alias("trait"), F.col(f"n_{t}").alias("n"), F.col(f"x_{t}").alias("x"), F.col(f"q_{t}").alias("q")) for t in traits))).alias("s")).select("rep", "_g", "s.*")
+    groups = long.select("trait", "rep", "n", (F.col("x") / F.col("n")).alias("mean"), (F.col("q") - F.col("x") * F.col("x") / F.col("n")).alias("ss"))
+    p = pst_from_sums(groups, ["trait", "rep"], least)
+    out = p.groupBy("trait").agg(F.percentile("pst", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("pst").alias("reps"))
+    return out.select("trait", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "reps")
+
+
 def label_permutation(df: DataFrame, keys: list[str], group: str, value: str, unit: str, reps: int, seed: int = 0) -> DataFrame:
     """(keys, eta2, p): the share of label permutations whose eta squared reaches the observed one.
 

@@ -9,6 +9,11 @@ import numpy as np
 from corymb.functions.tails import f_sf
 
 
+def dealt(reps: int, chunks: int, chunk: int) -> int:
+    """Repetitions of one of several chunks; together they are ``reps``."""
+    return reps // chunks + (chunk < reps % chunks)
+
+
 def zscores(x: np.ndarray) -> np.ndarray:
     return (x - x.mean(0)) / x.std(0, ddof=1)
 
@@ -57,6 +62,47 @@ def alignment(z: np.ndarray, groups: np.ndarray) -> tuple[float, float, float, n
     return math.degrees(math.acos(min(1.0, abs(float(b1 @ w1))))), bf, wf, b1, w1
 
 
+def first_axis_of_sums(parts: list, columns: int, size: bool) -> float:
+    """Pst of the first axis from each group's sums of products of (1, columns, and size if given).
+
+    With a size, columns are residuals of their line on it over all groups.  NaN if it can't be solved.
+    """
+    p = 1 + columns + size
+    m = np.zeros((len(parts), p, p))
+    i, j = np.triu_indices(p)
+    m[:, i, j] = m[:, j, i] = np.array([list(x) for x in parts], float)
+    m = m[m[:, 0, 0] >= 2]
+    if len(m) < 2:
+        return math.nan
+    total = m.sum(0)
+    n, mean = total[0, 0], total[0] / total[0, 0]
+    spread = total / n - np.outer(mean, mean)
+    turn = np.zeros((columns, p))  # rows: what makes a column out of (1, columns, size)
+    turn[:, 1 : columns + 1] = np.eye(columns)
+    if size:
+        slope = spread[1 : columns + 1, -1] / max(spread[-1, -1], 1e-300)
+        turn[:, -1] = -slope
+    turn[:, 0] = -(turn[:, 1:] @ mean[1:])
+    var = np.diag(turn @ total @ turn.T) / (n - 1)
+    if not (var > 0).all():
+        return math.nan
+    turn /= np.sqrt(var)[:, None]
+    sizes = m[:, 0, 0]
+    sums = m[:, 0] @ turn.T
+    within = sum(turn @ x @ turn.T for x in m) - (sums.T / sizes) @ sums
+    k = len(m)
+    if n <= k:
+        return math.nan
+    w = within / (n - k)
+    off = sums / sizes[:, None]
+    b = ((off.T * sizes) @ off / (k - 1) - w) / ((n - (sizes**2).sum() / n) / (k - 1))
+    values, vectors = np.linalg.eigh((b + b.T) / 2)
+    try:
+        return directional_axes((vectors * np.clip(values, 0, None)) @ vectors.T, w)[0][1]
+    except np.linalg.LinAlgError:
+        return math.nan
+
+
 def first_component(z: np.ndarray) -> tuple[np.ndarray, float]:
     """Loadings of the first principal component, mean loading positive, and its share of variance."""
     values, vectors = np.linalg.eigh(np.atleast_2d(np.cov(z, rowvar=False, ddof=1)))

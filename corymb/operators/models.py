@@ -10,11 +10,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corymb.functions.tails import chi2_sf, normal_sf
 from corymb.operators import kernels as k
+from corymb.operators.divergence import POISSON
 from corymb.operators.ranks import adjusted
 
 TEST = "f double, df_num int, df_den int, parametric_p double, permutation_p double, r2_small double, r2_full double, delta_r2 double, partial_r2 double"
@@ -185,7 +186,7 @@ def pst_axes(df: DataFrame, group: str, unit: str, columns: list[str], *, reps:
 
     def boot(x: np.ndarray, g: np.ndarray, chunk: int) -> list:
         rng, out = np.random.default_rng([seed, chunk]), []
-        for _ in range(reps // chunks):
+        for _ in range(k.dealt(reps, chunks, chunk)):
             i = k.resample_in_groups(g, rng)
             try:
                 _, b, w, _, _ = k.between_within(k.zscores(x[i]), g[i], least)
@@ -200,27 +201,37 @@ def pst_axes(df: DataFrame, group: str, unit: str, columns: list[str], *, reps:
     return axes.crossJoin(F.broadcast(q)).select("axis", "lambda", "pst", "loadings", F.when(first, F.col("q")[0]).alias("lo"), F.when(first, F.col("q")[1]).alias("hi"), "reps")
 
 
-def hierarchical_axes(df: DataFrame, group: str, site: str, unit: str, columns: list[str], *, reps: int = 100, chunks: int = 8, seed: int = 0) -> DataFrame:
-    """(lo, hi, reps) of the first axis' Pst when sites are drawn in groups and then rows in sites."""
-    spark = df.sparkSession
-    d = df.select(F.col(group).cast("string").alias("_g"), F.col(site).cast("string").alias("_s"), F.col(unit).cast("string").alias("_u"), *(F.col(c).cast("double") for c in columns)).na.drop()
+def hierarchical_axes(df: DataFrame, group: str, site: str, unit: str, columns: list[str], *, size: str | None = None, reps: int = 500, seed: int = 0, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(lo, hi, reps) of the first axis' Pst when sites are drawn in groups and then units in sites.
 
-    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["_g", "_s", "_u"])
-        rng, x, g = np.random.default_rng([seed, int(key[0])]), p[columns].to_numpy(float), p["_g"].to_numpy()
-        rows = {s: np.flatnonzero((p["_s"] == s).to_numpy()) for s in p["_s"].unique()}
-        sites = {v: sorted(p["_s"][g == v].unique()) for v in np.unique(g)}
-        out = []
-        for _ in range(reps // chunks):
-            i = np.concatenate([rng.choice(rows[s], len(rows[s])) for v in sites for s in rng.choice(sites[v], len(sites[v]))])
-            try:
-                _, b, w, _, _ = k.between_within(k.zscores(x[i]), g[i])
-                out.append(k.directional_axes(b, w)[0][1])
-            except (ValueError, np.linalg.LinAlgError):
-                continue
-        return pd.DataFrame({"v": out}, dtype=float)
-
-    v = d.join(spark.range(chunks).select(F.col("id").alias("_c"))).groupBy("_c").applyInPandas(run, "v double")
+    With ``size``, each repetition takes the residuals of its own lines on it.  A site is drawn as often as
+    hashes of (seed, repetition, group, draw) point to it; a unit then weighs a Poisson draw for each time
+    its site was drawn.  Sums of products by (repetition, group) are made where the rows lie, and only they
+    are solved in Python: the size lines, the z scores and both covariances follow from them.
+    """
+    cols = [*columns, *([size] if size else [])]
+    d = df.select(F.col(group).cast("string").alias("_g"), F.col(site).cast("string").alias("_s"), F.col(unit).cast("string").alias("_u"), *(F.col(c).cast("double") for c in cols)).na.drop()
+    scale = d.agg(*(x for c in cols for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_d_{c}"))))
+    d = d.crossJoin(F.broadcast(scale)).select("_g", "_s", "_u", *((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_d_{c}") for c in cols)).toDF("_g", "_s", "_u", *cols)  # one row
+    sites = d.select("_g", "_s").distinct()
+    numbered = sites.select("_g", "_s", (F.row_number().over(Window.partitionBy("_g").orderBy("_s")) - 1).alias("_i"))  # a row a site
+    counts = sites.groupBy("_g").agg(F.count("*").alias("_k"))
+    draws = counts.select("_g", "_k", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("_g", "_k", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)).alias("_j"))
+    draws = draws.select("_g", "rep", F.pmod(F.xxhash64(F.lit(seed), "rep", "_g", "_j"), F.col("_k")).cast("int").alias("_i"))
+    drawn = draws.groupBy("_g", "_i", "rep").agg(F.count("*").cast("int").alias("times")).groupBy("_g", "_i").agg(F.collect_list(F.struct("rep", "times")).alias("drawn"))
+    drawn = drawn.join(numbered, ["_g", "_i"]).select("_g", "_s", "drawn")
+    d = d.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # evenly, before rows are multiplied
+    few = drawn.limit(broadcast_rows // max(1, reps) + 1).count() <= broadcast_rows // max(1, reps)
+    many = d.join(F.broadcast(drawn) if few else drawn, ["_g", "_s"]).select("_g", "_u", *cols, F.inline("drawn"))
+    poisson = lambda c: F.aggregate(F.array(*map(F.lit, POISSON)), F.lit(0), lambda n, t: n + (F.pmod(F.xxhash64(F.lit(seed), "_u", "rep", c), F.lit(1 << 32)) >= t).cast("int"))
+    weight = F.aggregate(F.sequence(F.lit(1), F.col("times")), F.lit(0), lambda n, c: n + poisson(c))
+    many = many.withColumn("_w", weight.cast("double")).where("_w > 0")
+    one = [F.lit(1.0), *(F.col(c) for c in cols)]
+    p = len(one)
+    sums = many.groupBy("rep", "_g").agg(F.array(*(F.sum(F.col("_w") * one[i] * one[j]) for i in range(p) for j in range(i, p))).alias("m"))
+    v = sums.groupBy("rep").agg(F.collect_list(F.struct("_g", "m")).alias("parts"))  # a row a group
+    first = F.pandas_udf(lambda rows: rows.map(lambda parts: k.first_axis_of_sums([x["m"] for x in sorted(parts, key=lambda x: x["_g"])], len(columns), bool(size))).astype("float64"), "double")
+    v = v.select(first("parts").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     return v.agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("v").alias("reps")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "reps")
 
 

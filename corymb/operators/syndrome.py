@@ -71,7 +71,7 @@ def trajectory_bootstrap(sites: DataFrame, group: str, site: str, modules: list[
 
     def work(x: np.ndarray, g: np.ndarray, chunk: int) -> list:
         rng, out, levels = np.random.default_rng([seed, chunk]), [], np.unique(g)
-        for _ in range(reps // chunks):
+        for _ in range(k.dealt(reps, chunks, chunk)):
             i = k.resample_in_groups(g, rng)
             means = np.stack([x[i][g[i] == v].mean(0) for v in levels])
             z = k.zscores(means)
@@ -121,7 +121,7 @@ def integration_bootstrap(sites: DataFrame, group: str, site: str, modules: list
 
     def work(x: np.ndarray, g: np.ndarray, chunk: int) -> list:
         rng, out = np.random.default_rng([seed, chunk]), []
-        for _ in range(reps // chunks):
+        for _ in range(k.dealt(reps, chunks, chunk)):
             i = k.resample_in_groups(g, rng)
             out += [(a, b, *map(float, v)) for (a, b), v in zip(pairs, k.integration(x[i], g[i]), strict=True)]
         return out
@@ -143,7 +143,7 @@ def max_axis_pst(sites: DataFrame, group: str, site: str, modules: dict[str, lis
             if not chunk:
                 lam, pst, v = one(np.arange(len(x)))
                 out.append((True, pst, [float(a) for a in v]))
-            for _ in range(reps // chunks):
+            for _ in range(k.dealt(reps, chunks, chunk)):
                 try:
                     out.append((False, one(k.resample_in_groups(g, rng))[1], None))
                 except (ValueError, np.linalg.LinAlgError):
@@ -167,7 +167,7 @@ def alignment(sites: DataFrame, group: str, site: str, columns: list[str], *, re
         if not chunk:
             a, b, w, b1, w1 = k.alignment(k.zscores(x), g)
             out.append((True, a, b, w, [*map(float, b1)], [*map(float, w1)]))
-        for _ in range(reps // chunks):
+        for _ in range(k.dealt(reps, chunks, chunk)):
             i = k.resample_in_groups(g, rng)
             with np.errstate(invalid="ignore"):
                 try:

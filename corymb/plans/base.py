@@ -44,9 +44,15 @@ LONG = PLANTS + ",\ntraits AS (" + " UNION ALL ".join(f"SELECT island, site, pla
 
 def pst_sql(keys: str, group: str, value: str, source: str, least: int = 2, prefix: str = "q") -> str:
     """CTEs that end in ``{prefix}p`` (keys, n, k, msb, msw, pst)."""
-    k, on = (f"{keys}, ", f"USING ({keys})") if keys else ("", "ON true")
+    k = f"{keys}, " if keys else ""
     return f"""{prefix}s AS (SELECT {k}{group} AS g, count({value}) AS n, avg({value}) AS m, var_pop({value}) * count({value}) AS ss FROM {source} WHERE {value} IS NOT NULL GROUP BY ALL HAVING count({value}) >= {least}),
-{prefix}t AS (SELECT {k}sum(n) AS nn, count(*) AS k, sum(n * m) / sum(n) AS grand, sum(ss) AS ssw, sum(n * n) AS n2 FROM {prefix}s {'GROUP BY ' + keys if keys else ''}),
+{pst_of_sums_sql(keys, prefix)}"""
+
+
+def pst_of_sums_sql(keys: str, prefix: str = "q") -> str:
+    """The same from ``{prefix}s`` (keys, g, n, m, ss) on."""
+    k, on = (f"{keys}, ", f"USING ({keys})") if keys else ("", "ON true")
+    return f"""{prefix}t AS (SELECT {k}sum(n) AS nn, count(*) AS k, sum(n * m) / sum(n) AS grand, sum(ss) AS ssw, sum(n * n) AS n2 FROM {prefix}s {'GROUP BY ' + keys if keys else ''}),
 {prefix}b AS (SELECT {k}sum(n * (m - grand) * (m - grand)) AS ssb FROM {prefix}s JOIN {prefix}t {on} {'GROUP BY ' + keys if keys else ''}),
 {prefix}v AS (SELECT {k}nn AS n, t.k, CASE WHEN t.k >= 2 AND nn > t.k THEN ssb / (t.k - 1) END AS msb, CASE WHEN t.k >= 2 AND nn > t.k THEN ssw / (nn - t.k) END AS msw, CASE WHEN t.k >= 2 THEN (nn - n2 / nn::DOUBLE) / (t.k - 1) END AS n0 FROM {prefix}t t JOIN {prefix}b {on}),
 {prefix}p AS (SELECT {k}n, k, msb, msw, CASE WHEN msb IS NULL THEN NULL WHEN greatest((msb - msw) / n0, 0) + msw > 0 THEN greatest((msb - msw) / n0, 0) / (greatest((msb - msw) / n0, 0) + 2 * msw) ELSE 0 END AS pst FROM {prefix}v)"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corymb.operators import divergence as dv
 from corymb.operators import ranks, relational
-from corymb.plans.base import LONG, PLANTS, flowers, plants, pst_sql, table, traits
+from corymb.plans.base import LONG, PLANTS, TRAITS, flowers, plants, pst_of_sums_sql, pst_sql, table, traits
 from corymb.plans.registry import query
 
 
@@ -48,28 +48,28 @@ def eta_squared(spark, sf_dir):
     return dv.eta_squared(traits(spark, sf_dir), ["trait"], "site", "value").withColumn("eta2", F.round("eta2", 7))
 
 
-_DRAW = "CAST('0x' || substr(md5('0:' || rep || ':' || trait || ':' || g || ':' || j), 1, 8) AS BIGINT) % n"
+_WEIGHT = " + ".join(f"(d >= '{t:08x}')::INTEGER" for t in dv.POISSON)
+_REP_SUMS = " UNION ALL ".join(f"SELECT '{t}' AS trait, rep, site AS g, sum(w)::DOUBLE AS n, sum(w * ({t} - c_{t})) AS x, sum(w * ({t} - c_{t}) * ({t} - c_{t})) AS q FROM w, c WHERE {t} IS NOT NULL GROUP BY rep, site" for t in TRAITS)
 
 
 @query(
     "bootstrap_pst",
-    f"""WITH {LONG}, x AS (SELECT trait, site AS g, value, row_number() OVER (PARTITION BY trait, site ORDER BY plant) - 1 AS i FROM traits WHERE value IS NOT NULL AND trait IN ('price', 'balance')),
-c AS (SELECT trait, g, count(*) AS n FROM x GROUP BY ALL),
-d AS (SELECT trait, g, n, rep, unnest(range(n)) AS j FROM c, range(50) AS r(rep)),
-b AS (SELECT d.trait, d.rep, d.g, value FROM (SELECT *, {_DRAW} AS i FROM d) d JOIN x ON d.trait = x.trait AND d.g = x.g AND d.i = x.i),
-{pst_sql('trait, rep', 'g', 'value', 'b')}
+    f"""WITH {PLANTS}, c AS (SELECT {', '.join(f'avg({t}) AS c_{t}' for t in TRAITS)} FROM plants),
+d AS (SELECT site, {', '.join(TRAITS)}, rep, substr(md5('0:' || plant || ':' || rep // 4), rep % 4 * 8 + 1, 8) AS d FROM plants, range(2000) AS r(rep)),
+w AS (SELECT * EXCLUDE (d), {_WEIGHT} AS w FROM d WHERE d >= '{dv.POISSON[0]:08x}'),
+u AS ({_REP_SUMS}), qs AS (SELECT trait, rep, g, n, x / n AS m, q - x * x / n AS ss FROM u WHERE n >= 2),
+{pst_of_sums_sql('trait, rep')}
 SELECT trait, round(quantile_cont(pst, 0.025), 6) AS lo, round(quantile_cont(pst, 0.975), 6) AS hi, count(pst) AS reps FROM qp GROUP BY trait""",
 )
 def bootstrap_pst(spark, sf_dir):
-    """Divergence among sites with its bootstrap interval; two traits and 50 repetitions keep the SQL twin quick; ``bootstrap_pst_whole`` has all."""
-    d = traits(spark, sf_dir).where(F.col("trait").isin("price", "balance"))
-    out = dv.bootstrap_interval(d, ["trait"], "site", "value", "plant", reps=50)
+    """Every trait's divergence among sites with its bootstrap interval, from 2000 weighted repetitions."""
+    out = dv.weighted_bootstrap(plants(spark, sf_dir), list(TRAITS), "site", "plant", reps=2000)
     return out.select("trait", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "reps")
 
 
 @query("bootstrap_pst_whole")
 def bootstrap_pst_whole(spark, sf_dir):
-    """Every trait's divergence among sites with its interval from 2000 repetitions; a test compares small groups with a loop."""
+    """The same with exactly as many draws as a site has plants, 2000 times; a test compares small groups with a loop."""
     out = dv.bootstrap_interval(traits(spark, sf_dir), ["trait"], "site", "value", "plant", reps=2000)
     return out.select("trait", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "reps")
 
@@ -77,7 +77,7 @@ def bootstrap_pst_whole(spark, sf_dir):
 @query(
     "permutation_eta2",
     f"""WITH {LONG}, s AS (SELECT trait, island, site, avg(value) AS x FROM traits GROUP BY ALL),
-m AS (SELECT trait, site, x, rep, row_number() OVER (PARTITION BY trait, rep ORDER BY md5('7:' || rep || ':' || site), site) AS p FROM s, range(199) AS r(rep)),
+m AS (SELECT trait, site, x, rep, row_number() OVER (PARTITION BY trait, rep ORDER BY md5('7:' || rep || ':' || site), site) AS p FROM s, range(4999) AS r(rep)),
 l AS (SELECT trait, island AS label, row_number() OVER (PARTITION BY trait ORDER BY site) AS p FROM s),
 z AS (SELECT m.trait, rep, label, x FROM m JOIN l USING (trait, p) UNION ALL SELECT trait, -1, island, x FROM s),
 q AS (SELECT trait, rep, label, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS ss FROM z GROUP BY ALL),
@@ -87,7 +87,7 @@ SELECT a.trait, round(max(a.e), 7) AS eta2, round((count(*) FILTER (WHERE b.e >=
 )
 def permutation_eta2(spark, sf_dir):
     s = traits(spark, sf_dir).groupBy("trait", "island", "site").agg(F.avg("value").alias("x"))
-    return dv.label_permutation(s, ["trait"], "island", "x", "site", reps=199, seed=7).select("trait", F.round("eta2", 7).alias("eta2"), F.round("p", 7).alias("p"))
+    return dv.label_permutation(s, ["trait"], "island", "x", "site", reps=4999, seed=7).select("trait", F.round("eta2", 7).alias("eta2"), F.round("p", 7).alias("p"))
 
 
 _RANK = "(rank() OVER (PARTITION BY {k} ORDER BY {v}) + (count(*) OVER (PARTITION BY {k}, {v}) - 1) / 2.0::DOUBLE)"

@@ -109,7 +109,7 @@ def pst_axes(spark, sf_dir):
 
 @query("pst_axes_hierarchical")
 def pst_axes_hierarchical(spark, sf_dir):
-    return models.hierarchical_axes(plants(spark, sf_dir), "island", "site", "plant", ["price", "top_price", "balance"], reps=500)
+    return models.hierarchical_axes(plants(spark, sf_dir).withColumn("size", F.ln("flowers")), "island", "site", "plant", ["price", "top_price", "balance"], size="size", reps=500)
 
 
 @query("module_scores")
