@@ -11,8 +11,7 @@ import numpy as np
 
 from corymb.operators import imaging
 from corymb.operators import masks as mk
-from corymb.operators.imaging import overlay_axis as overlay_morphology
-from corymb.operators.imaging import overlay_pattern, overlay_roi
+from corymb.operators.imaging import overlay_morphology, overlay_pattern, overlay_roi
 from corymb.operators.mixture import ColourMixture, assign_roles
 
 __all__ = ["ColorPatternModel", "assign_roles", "measure_pattern", "measure_shape", "overlay_morphology", "overlay_pattern", "overlay_roi", "synthetic_flower", "tubular_traits", "width_at", "width_profile"]
@@ -49,7 +48,7 @@ def measure_pattern(pattern_mask: np.ndarray, roi_mask: np.ndarray) -> dict[str,
 
 def synthetic_flower(size: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(RGB image, region mask, pattern mask) of the made-up flower."""
-    from corymb.operators.pixels import CORNERS, SPOTS
+    from corymb.operators.pixels import CORNERS, SPOTS, edge_pixels
 
     if size < 96:
         raise ValueError("size must be at least 96")
@@ -59,6 +58,10 @@ def synthetic_flower(size: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1], strict=True):
         if y1 != y2:
             inside ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+    for u, v, du, dv, steep, sign in edge_pixels(corners):
+        i = np.arange(du + 1)
+        along, across = u + i * (sign if steep else 1), v + (2 * i * dv + du - 1) // (2 * max(du, 1)) * (1 if steep else sign)
+        inside[(along, across) if steep else (across, along)] = True
     spots = np.zeros_like(inside)
     for a, b, r in SPOTS:
         spots |= (x - int(a * size)) ** 2 + (y - int(b * size)) ** 2 <= max(2, int(r * size)) ** 2
@@ -110,7 +113,7 @@ class ColorPatternModel:
     def fit(self, images: list[np.ndarray], masks: list[np.ndarray]) -> ColorPatternModel:
         """EM from several starts over an equal sample of each image (BGR bytes)."""
         if not images or len(images) != len(masks):
-            raise ValueError("images and masks must have the same non-zero length")
+            raise ValueError("as many masks as images are needed, and one at least")
         rng = np.random.default_rng(self.random_state)
         parts = []
         for image, mask in zip(images, masks, strict=True):

@@ -32,12 +32,37 @@ def polygon_contains(x: Column, y: Column, points: list[tuple[float, float]]) ->
     return hits % 2 == 1
 
 
+def edge_pixels(points: list[tuple[int, int]]) -> list[tuple[int, int, int, int, bool, int]]:
+    """(u, v, |du|, |dv|, steep, sign) of each edge: its left end, along its longer side, and which way the other goes.
+
+    Pixel number i along the longer side lies ``(2 i |dv| + |du| - 1) div (2 |du|)`` along the other.
+    """
+    out = []
+    for a, b in zip(points, points[1:] + points[:1], strict=True):
+        (x1, y1), (x2, y2) = min(a, b), max(a, b)
+        dx, dy = x2 - x1, y2 - y1
+        steep = abs(dy) > dx
+        out.append((y1, x1, abs(dy), dx, True, 1 if dy >= 0 else -1) if steep else (x1, y1, dx, abs(dy), False, 1 if dy >= 0 else -1))
+    return out
+
+
+def polygon_covers(x: Column, y: Column, points: list[tuple[int, int]]) -> Column:
+    """Inside a polygon of whole-number corners or on a pixel of its drawn edges."""
+    inside = polygon_contains(x.cast("double"), y.cast("double"), points)
+    for u, v, du, dv, steep, sign in edge_pixels(points):
+        along, across = (y, x) if steep else (x, y)
+        i = (along - u) * (sign if steep else 1)
+        at = F.floor((i * (2 * dv) + (du - 1)) / (2 * max(du, 1))) * (1 if steep else sign)
+        inside = inside | (i.between(0, du) & (across - v == at))
+    return inside
+
+
 def synthetic_flower(spark, size: int = 256) -> DataFrame:
     """(image_id, y, x, in_roi, in_pattern, r, g, b): a tapered nine-sided flower with six spots."""
     if size < 96:
         raise ValueError("size must be at least 96")
     d = grid(spark, 1, size, size)
-    roi = polygon_contains(F.col("x").cast("double"), F.col("y").cast("double"), [(int(px * size), int(py * size)) for px, py in CORNERS])
+    roi = polygon_covers(F.col("x"), F.col("y"), [(int(px * size), int(py * size)) for px, py in CORNERS])
     near = F.lit(False)
     for sx, sy, r in SPOTS:
         near = near | ((F.col("x") - int(sx * size)) * (F.col("x") - int(sx * size)) + (F.col("y") - int(sy * size)) * (F.col("y") - int(sy * size)) <= max(2, int(r * size)) ** 2)

@@ -216,12 +216,12 @@ def pst_of_events(spark, sf_dir):
 @query("stream_user_means", "SELECT user_id, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def stream_user_means(spark, sf_dir):
     """The batch result, by Structured Streaming over the same files."""
-    return phases.drained(phases.user_means(phases.event_stream(spark, f"{sf_dir}/events.parquet"))).withColumn("mean", F.round("mean", 6))
+    return phases.drained(phases.user_means(phases.event_stream(spark, f"{sf_dir}/events.parquet")), "user_id", "event_type").withColumn("mean", F.round("mean", 6))
 
 
 @query("stream_hourly", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_hourly(spark, sf_dir):
-    return phases.drained(phases.windowed(phases.event_stream(spark, f"{sf_dir}/events.parquet"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return phases.drained(phases.windowed(phases.event_stream(spark, f"{sf_dir}/events.parquet")), "start", "event_type").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("centred_ranks", f"WITH {PLANTS}, c AS (SELECT plant, island, round(price - avg(price) OVER (PARTITION BY island), 6) AS d FROM plants) SELECT plant, rank() OVER (PARTITION BY island ORDER BY d) + (count(*) OVER (PARTITION BY island, d) - 1) / 2.0::DOUBLE AS r FROM c")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corymb.functions.scalars import lenient_double
+from corymb.functions.scalars import half_even, lenient_double
+from corymb.functions.scalars import scientific as as_scientific
 
 #: Fixed schemas of the published tables; all text on disk, blank for missing.
 SCHEMAS = {
@@ -60,6 +65,56 @@ def images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("png", "
     return named.where(F.col("_s").isin(*suffixes)).drop("_s")
 
 
+def exif_orientation(head: bytes) -> int:
+    """The orientation (1 to 8) that a JPEG's first bytes state; 1 if they state none."""
+    at = 2
+    while head[:2] == b"\xff\xd8" and at + 4 <= len(head) and head[at] == 0xFF and head[at + 1] != 0xDA:
+        size = int.from_bytes(head[at + 2 : at + 4], "big")
+        if head[at + 1] == 0xE1 and head[at + 4 : at + 10] == b"Exif\0\0":
+            body = head[at + 10 : at + 2 + size]
+            order = "little" if body[:2] == b"II" else "big"
+            number = lambda i, n: int.from_bytes(body[i : i + n], order)  # noqa: E731, B023
+            first = number(4, 4)
+            for i in range(number(first, 2)):
+                entry = first + 2 + 12 * i
+                if number(entry, 2) == 0x0112:
+                    found = number(entry + 8, 2)
+                    return found if 1 <= found <= 8 else 1
+        at += 2 + size
+    return 1
+
+
+def oriented(image: np.ndarray, orientation: int) -> np.ndarray:
+    """An array as its EXIF orientation wants it seen."""
+    if orientation in (5, 6, 7, 8):
+        image = image.swapaxes(0, 1)
+    if orientation in (2, 3, 6, 7):
+        image = image[:, ::-1]
+    if orientation in (3, 4, 7, 8):
+        image = image[::-1]
+    return np.ascontiguousarray(image)
+
+
+def photos(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, path, h, w, rgb) of JPEG, PNG, GIF and BMP files: Spark's image source decodes, EXIF turns.
+
+    ``rgb`` is three bytes a pixel, row by row.  Files that can't be decoded are left out.  HEIC has no decoder here.
+    """
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    decoded = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(path).select(plain("image.origin").alias("path"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("n"), F.col("image.data").alias("data"))
+    heads = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(plain("path").alias("path"), F.substring("content", 1, 1 << 16).alias("head"))
+    both = decoded.join(heads, "path").select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), "path", "h", "w", "n", "data", "head")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                a = np.frombuffer(r["data"], np.uint8).reshape(r["h"], r["w"], r["n"])
+                rgb = oriented(np.repeat(a, 3, 2) if r["n"] == 1 else a[..., 2::-1], exif_orientation(r["head"]))
+                yield pa.RecordBatch.from_pylist([{"stem": r["stem"], "path": r["path"], "h": rgb.shape[0], "w": rgb.shape[1], "rgb": rgb.tobytes()}], pa.schema([("stem", pa.string()), ("path", pa.string()), ("h", pa.int32()), ("w", pa.int32()), ("rgb", pa.binary())]))
+
+    return both.mapInArrow(run, "stem string, path string, h int, w int, rgb binary")
+
+
 def write_csv(df: DataFrame, path: str, *, bom: bool = False) -> None:
     """One CSV file with a header, for tables of published size; ``bom`` marks it as UTF-8 for spreadsheets."""
     out = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0]) if bom else df
@@ -73,20 +128,21 @@ def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
 
 
 def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> None:
-    """A file for each row of bytes, through the file system that holds the folder, in parallel."""
-    import os
+    """A file for each row of bytes, in parallel, in a folder that all executors reach: a shared path, HDFS or an object store."""
 
     def put(rows) -> None:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         for r in rows:
-            target = os.path.join(folder, r[name])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target, "wb") as f:
+            target = f"{root}/{r[name]}"
+            store.create_dir(target.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(target) as f:
                 f.write(bytes(r[content]))
 
     df.select(name, content).foreachPartition(put)
 
 
 def formatted(df: DataFrame, fixed: dict[str, int], scientific: tuple[str, ...] = ()) -> DataFrame:
-    """Numbers as a report shows them; only at the very end."""
-    out = df.withColumns({c: F.round(c, n) for c, n in fixed.items()})
-    return out.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string("%.2e", F.col(c))) for c in scientific}) if scientific else out
+    """Numbers as a report shows them, rounded half to even; only at the very end."""
+    return df.withColumns({**{c: half_even(F.col(c), n) for c, n in fixed.items()}, **{c: as_scientific(F.col(c)) for c in scientific}})

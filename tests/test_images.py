@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
 
-from corymb import catalog
+from corymb import api, catalog, presets
 from corymb.operators import imaging, mixture, pixels
 from corymb.operators import masks as mk
 from corymb.plans.pixels import _pixels
+from corymb.sources import tables
 
 
 def disc(n=41, r=15):
@@ -128,19 +129,104 @@ def test_strokes_flowers_and_flags():
 
 
 def test_overlays():
-    roi = disc(128, 40)
-    image = np.full((128, 128, 3), 180, np.uint8)
-    p = disc(128, 10)
-    spill = p.copy()
-    spill[:10, :10] = True
-    a, b = imaging.overlay_pattern(image, p, roi), imaging.overlay_pattern(image, spill, roi)
-    assert (a == b).all() and (image == 180).all() and a.dtype == np.uint8
-    assert imaging.overlay_roi(np.full((128, 128), 180, np.uint8), roi).shape == (128, 128, 3)
-    assert imaging.overlay_axis(image, roi).shape == image.shape
-    with pytest.raises(ValueError):
-        imaging.overlay(image, (roi, (0, 0, 0), 2.0))
+    image, roi, pattern = api.synthetic_flower(128)
+    before = image.copy()
+    for out in (api.overlay_roi(image, roi), api.overlay_morphology(image, roi), api.overlay_pattern(image, roi, pattern)):
+        assert out.shape == image.shape and out.dtype == np.uint8 and (out != image).any() and (image == before).all()
+    assert (api.overlay_roi(image, roi) == api.overlay_roi(image[..., ::-1], roi, input_order="BGR")).all()
+    spill = pattern.copy()
+    spill[:10, :10] = 1
+    assert (api.overlay_pattern(image, roi, pattern, alpha=0.5) == api.overlay_pattern(image, roi, spill, alpha=0.5)).all()
+    assert api.overlay_pattern(np.full(roi.shape, 180, np.uint8), roi, pattern).shape == (128, 128, 3)
+    assert (api.overlay_roi(image, roi, line_width=4) != image).sum() > (api.overlay_roi(image, roi, line_width=1) != image).sum()
+    inner = pattern.astype(bool) & (api.overlay_roi(image, roi) == image).all(2)
+    assert (api.overlay_pattern(image, roi, pattern, alpha=1.0)[inner] == imaging.PATTERN).all()
+    for bad in (lambda: api.overlay_pattern(image, roi, pattern, alpha=2), lambda: api.overlay_roi(image, roi[:5]), lambda: api.overlay_roi(image, 0 * roi), lambda: api.overlay_roi(image, roi, input_order="xyz"), lambda: api.overlay_roi(image[..., :2], roi)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_audit_pictures_and_pieces():
+    image, roi, pattern = api.synthetic_flower(128)
+    piece, x, y = mk.crop(pattern > 0)
+    assert (imaging.pasted(piece, (x, y), pattern.shape) == (pattern > 0)).all()
+    red, green = np.zeros((64, 64), bool), np.zeros((64, 64), bool)
+    red[5, 5] = green[9, 9] = True
+    out = imaging.overlay_strokes(image, red, green)
+    assert (out[11, 11] == imaging.RED_STROKE).all() and (out[19, 19] == imaging.GREEN_STROKE).all() and (out[40:] == image[40:]).all()
+    assert (imaging.overlay_grid(image, 16)[16, 3] == 190).all() and (imaging.overlay_grid(image, 16)[17, 3] == image[17, 3]).all()
+    m = np.zeros((40, 60), bool)
+    m[15:25, 5:55] = True
+    colour = np.full((40, 60, 3), 200, np.uint8)
+    turned, crop = imaging.upright_pair(m, colour, 0.0)
+    assert turned.shape[0] > 3 * turned.shape[1] and crop.shape[:2] == turned.shape and (crop[turned] == 200).all()
+
+
+def test_polygon_takes_its_drawn_edges():
+    _, roi, _ = api.synthetic_flower(160)
+    corners = [(int(a * 160), int(b * 160)) for a, b in pixels.CORNERS]
+    assert all(roi[y, x] for x, y in corners)
+    for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1]):
+        for t in np.linspace(0, 1, 50):  # an edge's pixels lie within half a pixel of it
+            x, y = x1 + t * (x2 - x1), y1 + t * (y2 - y1)
+            assert roi[round(y) - 1 : round(y) + 2, round(x) - 1 : round(x) + 2].any()
+
+
+def test_polygon_of_columns_equals_arrays(spark):
+    for size in (96, 128, 161):
+        _, roi, spots = api.synthetic_flower(size)
+        got = np.zeros((size, size, 2), bool)
+        for r in pixels.synthetic_flower(spark, size).where("in_roi").select("y", "x", "in_pattern").collect():
+            got[r["y"], r["x"]] = True, r["in_pattern"]
+        assert (got[..., 0] == (roi > 0)).all() and (got[..., 1] == (spots > 0)).all()
+
+
+def test_preset():
+    preset = presets.CampanulaGuidePreset()
+    assert preset.assign_roles([[0, 18], [25, -5], [20, 40]]) == {"petal": 0, "guide": 1, "oxidation": 2}
+    assert preset.assign_roles([[30, 30], [25, -5], [2, 3], [20, 12]]) == {"petal": 2, "guide": 1, "oxidation": 0}
     with pytest.raises(ValueError):
-        imaging.overlay(image, (roi[:5], (0, 0, 0), 0.5))
+        preset.assign_roles([[1, 2], [3, 4]])
+    image, roi, spots = api.synthetic_flower(160)
+    noisy = np.clip(image + np.random.default_rng(0).normal(0, 4, image.shape), 0, 255).astype(np.uint8)[..., ::-1]
+    model = api.ColorPatternModel(n_components=3).fit([noisy], [roi])
+    assert ((preset.segment(model, noisy, roi) > 0) <= (roi > 0)).all()
+    assert presets.campanula_tubular_traits(roi)["corolla_length_mm"] > 0
+
+
+def test_photos_are_decoded_and_turned(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    picture = jvm.java.awt.image.BufferedImage(24, 16, 1)
+    for y in range(16):
+        for x in range(24):
+            picture.setRGB(x, y, 0xC82014 if x < 8 else 0x1428C8)
+    jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(f"{tmp_path}/plain.jpg"))
+    raw = (tmp_path / "plain.jpg").read_bytes()
+    exif = b"Exif\0\0MM\0*\0\0\0\x08\0\x01\x01\x12\0\x03\0\0\0\x01\0\x06\0\0\0\0\0\0"
+    (tmp_path / "turned.jpg").write_bytes(raw[:2] + b"\xff\xe1" + (len(exif) + 2).to_bytes(2, "big") + exif + raw[2:])
+    out = {r["stem"]: np.frombuffer(r["rgb"], np.uint8).reshape(r["h"], r["w"], 3).astype(int) for r in tables.photos(spark, f"file://{tmp_path}").collect()}
+    assert out["plain"].shape == (16, 24, 3) and np.abs(out["plain"][8, 3] - [200, 32, 20]).max() < 40
+    assert out["turned"].shape == (24, 16, 3) and np.abs(out["turned"][3, 8] - [200, 32, 20]).max() < 40
+    a = np.arange(6).reshape(2, 3, 1)
+    assert tables.oriented(a, 3)[..., 0].tolist() == [[5, 4, 3], [2, 1, 0]] and tables.oriented(a, 6)[..., 0].tolist() == [[3, 0], [4, 1], [5, 2]] and tables.oriented(a, 8)[..., 0].tolist() == [[2, 5], [1, 4], [0, 3]]
+
+
+def test_files_are_written_where_they_belong(spark, tmp_path):
+    d = spark.createDataFrame([("a/x.png", bytearray(b"1")), ("b.png", bytearray(b"22"))], "name string, content binary")
+    tables.write_files(d, f"file://{tmp_path}/out")
+    assert (tmp_path / "out/a/x.png").read_bytes() == b"1" and (tmp_path / "out/b.png").read_bytes() == b"22"
+
+
+def test_sheets_are_measured_end_to_end(spark):
+    raw = np.full((700, 600, 3), 250, np.uint8)
+    ann = raw.copy()
+    y, x = np.mgrid[:700, :600]
+    d = ((x - 300) / 110.0) ** 2 + ((y - 350) / 190.0) ** 2
+    raw[d < 1] = ann[d < 1] = [180, 120, 190]
+    ann[(d > 0.96) & (d < 1.06)] = [230, 20, 20]
+    sheets = spark.createDataFrame([("s1", bytearray(imaging.encode(raw)), bytearray(imaging.encode(ann)))], "sheet string, raw binary, annotated binary")
+    r = imaging.measure_sheets(sheets, opened=lambda sheet, number: number == 1).collect()
+    assert len(r) == 1 and r[0]["fold_state"] == "opened_full" and r[0]["corolla_length_mm"] == pytest.approx(2 * 190 * 25.4 / 300, rel=0.06)
 
 
 def test_synthetic_flower(spark):
