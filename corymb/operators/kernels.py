@@ -175,7 +175,9 @@ def ancova(y: np.ndarray, x: np.ndarray, groups: np.ndarray, permutations: int,
     """Do groups differ beyond a common line (or, with ``slopes``, do their slopes differ)?"""
     d = dummies(groups)
     small = np.column_stack([np.ones(len(y)), x] + ([covariates] if covariates is not None else []) + ([d] if slopes else []))
-    return NestedTest(small, np.column_stack([small, d * x[:, None] if slopes else d])).run(y, permutations, rng)
+    full = np.column_stack([small, d * x[:, None] if slopes else d])
+    coefficient = float(np.linalg.lstsq(full, y, rcond=None)[0][2]) if covariates is not None else None
+    return {**NestedTest(small, full).run(y, permutations, rng), "coefficient": coefficient}
 
 
 def random_intercept_lrt(n: np.ndarray, mean: np.ndarray, ss: np.ndarray, groups: np.ndarray) -> tuple[float, int]:

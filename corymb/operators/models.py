@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from corymb.functions.tails import chi2_sf, normal_sf
 from corymb.operators import kernels as k
-from corymb.operators.divergence import POISSON
+from corymb.operators.divergence import POISSON, label_permutation
 from corymb.operators.ranks import adjusted
 
-TEST = "f double, df_num int, df_den int, parametric_p double, permutation_p double, r2_small double, r2_full double, delta_r2 double, partial_r2 double"
+TEST = "f double, df_num int, df_den int, parametric_p double, permutation_p double, r2_small double, r2_full double, delta_r2 double, partial_r2 double, coefficient double"
 
 
 def site_lrt(df: DataFrame, trait: str, group: str, site: str, value: str) -> DataFrame:
@@ -56,12 +56,14 @@ def _designs(groups: int) -> dict[str, list[list[int]]]:
 
 
 def hc3_lines(df: DataFrame, trait: str, group: str, x: str, y: str) -> DataFrame:
-    """(trait, model, n, r2, aic, slope, p): one line, parallel lines, free lines.
+    """(trait, model, n, r2, aic, slope, se, p): one line, parallel lines, free lines.
 
     The p value of the (first group's) slope uses the HC3 covariance and the normal tail.  Two passes of
     moments by (trait, group); rows are never gathered.
     """
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(trait, group, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    middle = full.groupBy(trait).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))  # a row a trait: centred sums keep their digits
+    d = full.join(middle, trait).select(trait, group, (F.col(x) - F.col("_mx")).alias("_x"), (F.col(y) - F.col("_my")).alias("_y"))
     sums = d.groupBy(trait, group).agg(F.count("*").cast("double").alias("n"), *(F.sum(e).alias(c) for c, e in (("x", F.col("_x")), ("y", F.col("_y")), ("xx", F.col("_x") * F.col("_x")), ("xy", F.col("_x") * F.col("_y")), ("yy", F.col("_y") * F.col("_y")))))
 
     def solve(s: pd.DataFrame) -> dict:
@@ -104,13 +106,13 @@ def hc3_lines(df: DataFrame, trait: str, group: str, x: str, y: str) -> DataFram
 
     described = sums.groupBy(trait).applyInPandas(describe, f"{trait} {kind[trait]}, model string, n long, r2 double, aic double, slope double")
     tail = F.pandas_udf(lambda z: z.map(lambda v: None if v is None or v != v else 2 * normal_sf(abs(v))).astype("float64"), "double")
-    return described.join(meat, [trait, "model"]).withColumn("p", tail(F.try_divide(F.col("slope"), F.sqrt("var")))).drop("var")
+    return described.join(meat, [trait, "model"]).withColumn("se", F.sqrt("var")).withColumn("p", tail(F.try_divide(F.col("slope"), F.col("se")))).drop("var")
 
 
 def site_tests(sites: DataFrame, trait: str, group: str, site: str, y: str, x: str, *, permutations: int = 999, seed: int = 0, covariates: tuple[str, ...] = (), omit: bool = False) -> DataFrame:
     """(trait, test, omitted, F test): group shifts and group slopes over site means, one task a trait.
 
-    With ``omit`` each group is also left out in turn.
+    With ``omit`` each group is also left out in turn.  ``coefficient`` is the first covariate's in the full model.
     """
     cols = [trait, group, site, y, x, *covariates]
 
@@ -136,18 +138,52 @@ def hash_text(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
-def allometry(df: DataFrame, trait: str, group: str, site: str, x: str, y: str, size: str, *, permutations: int = 999, seed: int = 0) -> DataFrame:
-    """Everything about size and groups for each trait: lines, site tests, common support, corrected p values."""
-    lines = hc3_lines(df, trait, group, x, y).groupBy(trait).pivot("model", ["size", "additive", "interaction"]).agg(F.first("r2").alias("r2"), F.first("aic").alias("aic"), F.first("slope").alias("slope"), F.first("p").alias("p"))
-    resid = size_residuals(df, [trait], x, y)
-    sites = resid.groupBy(trait, group, site).agg(F.avg(y).alias("y"), F.avg(x).alias("x"), F.avg("residual").alias("residual"), F.count("*").alias("n_plants"))
-    tests = site_tests(sites.select(trait, group, site, "y", "x"), trait, group, site, "y", "x", permutations=permutations, seed=seed).where("omitted IS NULL")
-    wide = tests.groupBy(trait).pivot("test", ["shift", "slope"]).agg(F.first("f").alias("f"), F.first("permutation_p").alias("p"), F.first("partial_r2").alias("partial_r2"))
+def _site_residuals(df: DataFrame, trait: str, group: str, site: str, x: str, y: str) -> DataFrame:
+    """(trait, group, site, n_plants, y, x, residual): site means, the residual from each trait's own line on size."""
+    resid = size_residuals(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [trait], x, y)
+    return resid.groupBy(trait, group, site).agg(F.count("*").alias("n_plants"), F.avg(y).alias("y"), F.avg(x).alias("x"), F.avg("residual").alias("residual"))
+
+
+def residual_spread(df: DataFrame, trait: str, group: str, site: str, x: str, y: str) -> DataFrame:
+    """(trait, group, n_sites, mean, sd, min, max) of site residuals."""
+    r = F.col("residual")
+    return _site_residuals(df, trait, group, site, x, y).groupBy(trait, group).agg(F.count("*").alias("n_sites"), F.avg(r).alias("mean_residual"), F.stddev_samp(r).alias("sd_residual"), F.min(r).alias("min_residual"), F.max(r).alias("max_residual"))
+
+
+def within_common_support(df: DataFrame, group: str, size: str) -> DataFrame:
+    """Rows whose size every group reaches, with the band (lo, hi)."""
     band = df.where(F.col(size).isNotNull()).groupBy(group).agg(F.min(size).alias("a"), F.max(size).alias("b")).agg(F.max("a").alias("lo"), F.min("b").alias("hi"))
-    inside = df.crossJoin(F.broadcast(band)).where(F.col(size).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
-    common = inside.groupBy(trait).agg(F.count(y).alias("common_n"))
-    out = lines.join(wide, trait).join(common, trait, "left")
-    return adjusted(adjusted(out, "shift_p", "shift_p_adjusted"), "slope_p", "slope_p_adjusted")
+    return df.crossJoin(F.broadcast(band)).where(F.col(size).between(F.col("lo"), F.col("hi")))  # one row
+
+
+def residual_eta2(df: DataFrame, trait: str, group: str, site: str, x: str, y: str, *, permutations: int = 4999, seed: int = 0) -> DataFrame:
+    """(trait, eta2, p, n_plants, n_sites): do site residuals on size differ among groups?  Labels are permuted."""
+    s = _site_residuals(df, trait, group, site, x, y)
+    n = s.groupBy(trait).agg(F.sum("n_plants").alias("n_plants"), F.count("*").alias("n_sites"))
+    return label_permutation(s, [trait], group, "residual", site, permutations, seed).join(n, trait)
+
+
+def allometry(df: DataFrame, trait: str, group: str, site: str, x: str, y: str, size: str, *, permutations: int = 4999, interaction_permutations: int = 1999, seed: int = 0) -> DataFrame:
+    """Everything about size and groups for each trait: lines, residual and site tests, common support, corrected p values.
+
+    Leave-one-group-out runs are :func:`site_tests` with ``omit``; spreads of residuals :func:`residual_spread`.
+    """
+    lines = hc3_lines(df, trait, group, x, y).groupBy(trait).pivot("model", ["size", "additive", "interaction"]).agg(F.first("r2").alias("r2"), F.first("aic").alias("aic"), F.first("slope").alias("slope"), F.first("p").alias("p"))
+    lines = lines.withColumns({"delta_r2": F.col("additive_r2") - F.col("size_r2"), "delta_aic": F.col("interaction_aic") - F.col("additive_aic")})
+    sites = _site_residuals(df, trait, group, site, x, y).select(trait, group, site, "y", "x")
+    tests = [site_tests(sites, trait, group, site, "y", "x", permutations=n, seed=seed + i).where(F.col("test") == test) for i, (test, n) in enumerate((("shift", permutations), ("slope", interaction_permutations)))]
+    named = lambda d, test: d.select(trait, *(F.col(c).alias(f"{test}_{a}") for c, a in (("f", "f"), ("df_num", "df_num"), ("df_den", "df_den"), ("parametric_p", "parametric_p"), ("permutation_p", "p"), ("delta_r2", "delta_r2"), ("partial_r2", "partial_r2"))))
+    out = lines.join(named(tests[0], "shift"), trait).join(named(tests[1], "slope"), trait)
+    inside = within_common_support(df, group, size)
+    parts = (("residual", df, seed + 2), ("common", inside.drop("lo", "hi"), seed + 3))
+    for name, rows, s in parts:
+        e = residual_eta2(rows, trait, group, site, x, y, permutations=permutations, seed=s)
+        out = out.join(e.select(trait, *(F.col(c).alias(f"{name}_{c}") for c in ("eta2", "p", "n_plants", "n_sites"))), trait, "left")
+    band = inside.groupBy(trait).agg(F.min("lo").alias("common_lo"), F.max("hi").alias("common_hi"))
+    out = out.join(band, trait, "left")
+    for name in ("shift", "slope", "residual", "common"):
+        out = adjusted(out, f"{name}_p", f"{name}_p_adjusted")
+    return out
 
 
 def _wide(df: DataFrame, group: str, unit: str, columns: list[str]) -> DataFrame:
@@ -249,11 +285,8 @@ def _loadings(n: int):
     return F.pandas_udf(load, "array<double>")
 
 
-def module_scores(df: DataFrame, size: str, modules: dict[str, list[str]], ident: list[str]) -> DataFrame:
-    """``ident`` and a score for each module: the first component of its traits' residuals on size, as z scores.
-
-    Covariances are aggregated; only their matrices (one row a module) are solved in Python.
-    """
+def _module_parts(df: DataFrame, size: str, modules: dict[str, list[str]], ident: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Residuals on size of all traits, and one row with each module's means, spreads and loadings."""
     traits = sorted({t for ts in modules.values() for t in ts})
     # one pass for all lines on size, one for all correlations of residuals: the plan reads df three times, however many traits
     both = {t: F.col(size).isNotNull() & F.col(t).isNotNull() for t in traits}
@@ -268,6 +301,30 @@ def module_scores(df: DataFrame, size: str, modules: dict[str, list[str]], ident
         x = [F.when(full, F.col(f"_r_{t}")) for t in ts]
         wanted += [F.array(*map(F.avg, x)).alias(f"_m_{name}"), F.array(*map(F.stddev_samp, x)).alias(f"_s_{name}"), F.array(*(F.coalesce(F.corr(a, b), F.lit(0.0)) for a in x for b in x)).alias(f"_c_{name}")]
     stats = out.agg(*wanted).select("*", *(_loadings(len(ts))(F.col(f"_c_{name}")).alias(f"_l_{name}") for name, ts in modules.items()))
+    return out, stats
+
+
+def module_loadings(df: DataFrame, size: str, modules: dict[str, list[str]]) -> DataFrame:
+    """(module, trait, loading, variance_share, slope): each trait's part in its module, with its slope on size."""
+    slopes = None
+    for name, ts in modules.items():
+        for t in ts:
+            m = moments(df, [], size, t).select(F.lit(name).alias("module"), F.lit(t).alias("trait"), F.try_divide(F.col("sxy"), F.col("sxx")).alias("slope"))
+            slopes = m if slopes is None else slopes.unionByName(m)
+    _, stats = _module_parts(df, size, modules, [])
+    loads = None
+    for name, ts in modules.items():
+        row = stats.select(F.posexplode(F.array(*map(F.lit, ts))).alias("i", "trait"), F.col(f"_l_{name}").alias("l")).select(F.lit(name).alias("module"), "trait", F.element_at("l", F.col("i") + 1).alias("loading"), F.element_at("l", len(ts) + 1).alias("variance_share"))
+        loads = row if loads is None else loads.unionByName(row)
+    return loads.join(slopes, ["module", "trait"], "left")
+
+
+def module_scores(df: DataFrame, size: str, modules: dict[str, list[str]], ident: list[str]) -> DataFrame:
+    """``ident`` and a score for each module: the first component of its traits' residuals on size, as z scores.
+
+    Covariances are aggregated; only their matrices (one row a module) are solved in Python.
+    """
+    out, stats = _module_parts(df, size, modules, ident)
     scores = []
     for name, ts in modules.items():
         terms = [(F.col(f"_r_{t}") - F.col(f"_m_{name}")[i]) / F.col(f"_s_{name}")[i] * F.col(f"_l_{name}")[i] for i, t in enumerate(ts)]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corymb.functions.scalars import MM_PER_PX
+from corymb.operators.ranks import mann_whitney
 
 ID = "image_id"
 #: The synthetic flower's corners (x, y) and its spots (x, y, radius), in shares of the image's size.
@@ -188,6 +189,11 @@ def stratified_ratio(d: DataFrame, side: str, position: str, distance: str, *, l
 
 
 def spatial_metrics(d: DataFrame, least_px: int = 200) -> DataFrame:
-    """Where the pattern lies in each flower.  ``d``: (image_id, pattern boolean, pos, dist), pattern and random pixels."""
+    """Where the pattern lies in each flower.  ``d``: (image_id, pattern boolean, pos, dist), pattern and random pixels.
+
+    ``distal_midline_p``: are distal pattern pixels nearer the midline than random ones?  Null up to 20 on a side.
+    """
     n = d.groupBy(ID).agg(F.count_if("pattern").alias("n_pattern_px"), F.avg(F.when(F.col("pattern"), (F.col("pos") < 0.33).cast("double"))).alias("basal_frac"), F.avg(F.when(~F.col("pattern"), (F.col("pos") < 0.33).cast("double"))).alias("random_basal_frac"), F.avg(F.when(F.col("pattern"), F.col("pos"))).alias("mean_pos")).where(F.col("n_pattern_px") >= least_px)
-    return n.join(stratified_ratio(d, "pattern", "pos", "dist", name="midline_ratio"), ID, "left").join(stratified_ratio(d, "pattern", "pos", "dist", lo=0.5, bands=4, name="midline_ratio_distal"), ID, "left")
+    far = mann_whitney(d.where(F.col("pos") >= 0.5), [ID], "pattern", "dist").where("n1 > 20 AND n2 > 20").select(ID, F.col("z").alias("distal_midline_z"), F.col("p").alias("distal_midline_p"))
+    out = n.join(stratified_ratio(d, "pattern", "pos", "dist", name="midline_ratio"), ID, "left").join(stratified_ratio(d, "pattern", "pos", "dist", lo=0.5, bands=4, name="midline_ratio_distal"), ID, "left")
+    return out.join(far, ID, "left")

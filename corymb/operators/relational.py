@@ -40,6 +40,38 @@ def enforced_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame
     return marked.withColumn("_found", check.cast("boolean")).where("_found").drop("_found")
 
 
+def integrate_metadata(metadata: DataFrame, index: DataFrame, flowers: DataFrame, pollination: DataFrame, flower_columns: list[str], pollination_columns: list[str]) -> DataFrame:
+    """Field records with what was measured on their flower, one row a record.
+
+    ``collar`` must be a ``global_id`` of the index; measurements may be missing.  ``organ_status_check`` says
+    where a recorded status (s or p) and a measured organ contradict each other, and is empty elsewhere.
+    """
+    i = index.select(F.col("global_id").alias("collar"), "sheet", "sheet_corolla_id")
+    key = [F.col("corolla_id").alias("sheet_corolla_id"), "sheet"]
+    d = enforced_join(metadata, i, ["collar"])
+    d = d.join(flowers.select(*key, *flower_columns), ["sheet", "sheet_corolla_id"], "left").join(pollination.select(*key, *pollination_columns), ["sheet", "sheet_corolla_id"], "left")
+    stated, measured = F.coalesce(F.col("status").isin("s", "p"), F.lit(False)), F.col("organ_length_mm").isNotNull()
+    check = F.when(stated & ~measured, "status_but_no_measurement").when(~stated & measured, "measured_but_status_na").otherwise("")
+    return d.select(*metadata.columns, "sheet", "sheet_corolla_id", *flower_columns, *pollination_columns, check.alias("organ_status_check"))
+
+
+def with_spatial(master: DataFrame, spatial: DataFrame) -> DataFrame:
+    """The master table with where each flower's guide lies; null where that wasn't measured."""
+    s = spatial.select("sheet", F.col("corolla_id").alias("sheet_corolla_id"), F.col("basal_frac_prox_third").alias("guide_basal_frac"), F.col("midline_ratio_distal").alias("guide_midline_ratio"))
+    return master.join(s, ["sheet", "sheet_corolla_id"], "left").select(*master.columns, "guide_basal_frac", "guide_midline_ratio")
+
+
+def side_roles(long_side: Column, short_side: Column, hand_length: Column, hand_width: Column) -> tuple[Column, Column]:
+    """Length and width of a silhouette: its sides take the roles that they have in the hand mask."""
+    as_is = F.coalesce(hand_length >= hand_width, F.lit(True))
+    return F.when(as_is, long_side).otherwise(short_side), F.when(as_is, short_side).otherwise(long_side)
+
+
+def significant(df: DataFrame, p: str = "p_adjusted", below: float = 0.05) -> DataFrame:
+    """Rows whose (adjusted) p is below the threshold; a missing p never is."""
+    return df.where(F.col(p) < below)
+
+
 def left_with_fallback(left: DataFrame, right: DataFrame, first: Column, second: Column, right_key: str, values: list[str]) -> DataFrame:
     """Left join by one key, or by a second one where the first finds nothing."""
     a = right.select(F.col(right_key).alias("_k1"), *(F.col(v).alias(f"_a_{v}") for v in values), F.lit(1).alias("_hit"))
@@ -52,7 +84,7 @@ def left_with_fallback(left: DataFrame, right: DataFrame, first: Column, second:
 def unique_lookup(keys: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
     """Each key's one value, by lower-cased key; fails unless exactly one row matches."""
     t = table.select(F.lower(key).alias("_k"), F.col(value).alias("_v"))
-    d = keys.join(t, F.lower(F.col(key)) == F.col("_k"), "left").groupBy(key).agg(F.count("_v").alias("n"), F.min("_v").alias(value))
+    d = keys.join(t, F.lower(F.col(key)) == F.col("_k"), "left").groupBy(key).agg(F.count("_k").alias("n"), F.min("_v").alias(value))
     ok = F.when(F.col("n") == 1, F.col(value)).otherwise(F.raise_error(F.concat(F.lit("not exactly one match for "), F.col(key))))
     return d.select(key, ok.alias(value))
 
@@ -100,9 +132,15 @@ def top_by(df: DataFrame, order: str, n: int, *ties: str) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, group: list[str], key: Column, n: int, seed: int = 0) -> DataFrame:
-    """At most ``n`` rows of each group, those whose seeded hash comes first: repeatable anywhere."""
-    w = Window.partitionBy(*group).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), key)
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+    """At most ``n`` rows of each group, those whose seeded hash comes first: repeatable anywhere.
+
+    Each of many parts of a group keeps its own first ``n`` before they meet, so a hot group isn't one task's work.
+    """
+    d = df.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))).withColumn("_part", F.pmod(F.xxhash64("_hash"), F.lit(64)))
+    order = [F.col("_hash"), key]
+    for part in (["_part"], []):
+        d = d.withColumn("_rank", F.row_number().over(Window.partitionBy(*group, *part).orderBy(*order))).where(F.col("_rank") <= n)
+    return d.drop("_rank", "_part", "_hash")
 
 
 def running_number(df: DataFrame, *order: Column, name: str = "global_id") -> DataFrame:

@@ -220,6 +220,7 @@ def response_summary(modes: DataFrame, module: str = "module", mode: str = "resp
 
 def interpretation(p: Column) -> Column:
     """Fixed wording by p value; derived anew, never written into an earlier table."""
+    # fixed text
     return (
         F.when(p < 0.05, "Module-by-island interaction supports non-parallel module divergence; temporal asynchrony remains untested.")
         .when(p < 0.10, "Module heterogeneity is suggestive but not decisive; a shared syndrome trajectory remains plausible.")
@@ -270,3 +271,31 @@ def evidence(tests: DataFrame, systems: dict[str, tuple[str, str]]) -> DataFrame
     d = tests.where(F.col("trait").isin(*systems)).withColumn("_s", F.element_at(cases, F.col("trait")))
     mode = response_mode(F.col("slope_p_adjusted"), F.col("shift_p_adjusted"))
     return d.select("trait", "_s.system", "_s.prediction", mode.alias("response_mode"), F.col("shift_partial_r2").alias("effect"), (mode == F.col("_s.prediction")).alias("as_predicted"))
+
+
+#: Fixed names: each hypothesis, its standing, and the four numbers that speak to it as (name, table, row, column).
+HYPOTHESES = (
+    ("nectar_guide_candidate_spatial_layout", "direct_morphological_support", (("mean_guide_fraction_proximal_third", "layout", "", "mean_basal"), ("mean_random_fraction_proximal_third", "layout", "", "mean_random_basal"), ("mean_midline_ratio_distal_random_over_guide", "layout", "", "mean_midline_ratio_distal"), ("fraction_corollas_distal_midline_ratio_gt_1", "layout", "", "share_midline_ratio_distal_above_1"))),
+    ("receiver_dependent_visual_signal_amount", "phenotypic_support_only", (("guide_site_ancova_BH_p", "tests", "guide", "shift_p_adjusted"), ("guide_amount_PST", "pst", "guide", "pst"), ("basal_placement_PST", "pst", "basal", "pst"), ("midline_placement_PST", "pst", "midline", "pst"))),
+    ("signal_not_generic_individual_allometry", "supported_at_current_sampling_scale", (("within_island_plant_r", "correlations", "within", "r"), ("within_island_plant_p", "correlations", "within", "p"), ("between_island_mean_r", "correlations", "between", "r"), ("between_island_mean_spearman_rho", "correlations", "between", "rho"))),
+    ("morphomechanical_rematching", "trait_specific_support", (("mouth_interaction_BH_p", "tests", "mouth", "slope_p_adjusted"), ("mouth_interaction_partial_R2", "tests", "mouth", "slope_partial_r2"), ("throat_island_BH_p", "tests", "throat", "shift_p_adjusted"), ("throat_interaction_BH_p", "tests", "throat", "slope_p_adjusted"))),
+    ("pollen_transfer_geometry_reorganisation", "phenotypic_support_only", (("organ_site_ancova_BH_p", "tests", "organ", "shift_p_adjusted"), ("organ_site_ancova_partial_R2", "tests", "organ", "shift_partial_r2"), ("organ_interaction_BH_p", "tests", "organ", "slope_p_adjusted"), ("organ_common_support_p", "tests", "organ", "common_p"))),
+    ("genetic_regulation_of_visual_signal", "not_tested", ()),
+)
+
+
+def hypotheses(spark, tables: dict[str, DataFrame], rows: dict[str, str]) -> DataFrame:
+    """(hypothesis, current_support, metric, name, value): four numbers a hypothesis, looked up in the tables of results.
+
+    ``tables``: layout (one row), and tests, pst, correlations with a ``key``; ``rows`` gives the key that
+    stands for guide, mouth, throat, organ, basal, midline, within and between.  What isn't there is null.
+    """
+    wanted = [(h, s, i, name, table, rows.get(row, row), column) for h, s, metrics in HYPOTHESES for i, (name, table, row, column) in enumerate(metrics or (("not_applicable", "", "", ""),) * 4, 1)]
+    names = spark.createDataFrame(wanted, "hypothesis string, current_support string, metric int, name string, _table string, _key string, _column string")
+    long = None
+    for table, d in tables.items():
+        used = sorted({w[6] for w in wanted if w[4] == table} & set(d.columns))
+        key = F.lit("") if table == "layout" else F.col("key")
+        part = d.select(F.lit(table).alias("_table"), key.alias("_key"), F.explode(F.array(*(F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("value")) for c in used))).alias("x")).select("_table", "_key", "x.*")
+        long = part if long is None else long.unionByName(part)
+    return names.join(long, ["_table", "_key", "_column"], "left").select("hypothesis", "current_support", "metric", "name", "value")

@@ -37,6 +37,7 @@ def _scores(spark, sf_dir):
 
 
 MODS = ["wealth", "spending", "volume"]
+PROFILE = ["price", "balance", "flowers"]
 
 
 @query("size_residuals", f"WITH {SIZED}, m AS (SELECT trait, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d GROUP BY trait) SELECT trait, island, count(*) AS n, round(avg((y - a - b * x) / 1000), 5) AS mean_residual, round(max(b), 4) AS slope FROM d JOIN m USING (trait) GROUP BY trait, island")
@@ -68,7 +69,7 @@ def site_mixed_model(spark, sf_dir):
 
 @query("allometry")
 def allometry(spark, sf_dir):
-    return models.allometry(_sized(spark, sf_dir), "trait", "island", "site", "x", "y", "size", permutations=4999)
+    return models.allometry(_sized(spark, sf_dir), "trait", "island", "site", "x", "y", "size")
 
 
 @query("site_ancova_left_out")
@@ -139,7 +140,9 @@ def trajectory_bootstrap(spark, sf_dir):
 
 @query("profile_tests")
 def profile_tests(spark, sf_dir):
-    return syndrome.profile_tests(_sites(spark, sf_dir).select("island", "site", *(ranks.centred(c, "island").alias(c) for c in ("price", "balance", "flowers"))), "island", "site", ["price", "balance", "flowers"], permutations=9999)
+    """Site means as z scores; 9999 permutations, as published."""
+    d = ranks.standardised(_sites(spark, sf_dir).select("island", "site", *PROFILE), PROFILE)
+    return syndrome.profile_tests(d, "island", "site", PROFILE, permutations=9999)
 
 
 _INTEGRATION = """WITH {p}, s AS (SELECT island, site, avg(price) AS price, avg(balance) AS balance, avg(flowers) AS flowers FROM plants GROUP BY ALL),
