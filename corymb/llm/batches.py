@@ -8,9 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from corymb.llm.shared import small_batches
+
 
 def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], added: T.StructType, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without ``drop``, with the columns that ``make`` builds from each batch of all its columns."""
+    small_batches(df.sparkSession)
     gone = {c.lower() for c in drop}
     kept = [i for i, c in enumerate(df.columns) if c.lower() not in gone]
     schema = T.StructType([df.schema[i] for i in kept] + added.fields)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from corymb.llm import tokens
 from corymb.llm.components import components
-from corymb.llm.shared import fits, materialise, need
+from corymb.llm.shared import fits, materialise, need, small_batches
 
 GROUPS, LEAF, FINE = 64, 16, 20
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -261,6 +261,7 @@ class _Join:
         self.num, self.den, self.chunk = num, den, chunk
         docs = need(docs, doc_id="long", text="string")
         self.spark = docs.sparkSession
+        small_batches(self.spark)
         self.members = materialise(_sets(docs, width), "sets")
         self.classes = self.members.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("first"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from corymb.llm import tokens
 from corymb.llm.bytecnn import held_out
-from corymb.llm.shared import materialise, need
+from corymb.llm.shared import materialise, need, small_batches
 
 FEATURES = ("log_bytes", "upper", "digits", "symbols", "bangs", "bars", "space", "beyond_ascii", "word_length", "long_words", "repeat_next", "distinct", "symbol_runs", "stops", "line_length", "repeat_second", "symbol_words")
 
@@ -194,6 +194,7 @@ def fit(described: DataFrame, labels: DataFrame, *, label: str = "quality", samp
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    small_batches(docs.sparkSession)
     described = materialise(features(need(docs, doc_id="long", text="string")), "features")
     shared = docs.sparkSession.sparkContext.broadcast(fit(described, labels))  # tables of some thousand numbers
 

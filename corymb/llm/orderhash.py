@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corymb.llm.batches import append_columns
-from corymb.llm.shared import need
+from corymb.llm.shared import need, small_batches
 from corymb.llm.tokens import mix
 
 K, SKETCHES = 6, 64
@@ -174,6 +174,7 @@ def edit_digest(docs: DataFrame, parts_each: int = 4) -> DataFrame:
     """
     docs = need(docs, doc_id="long", text="string")
     spark = docs.sparkSession
+    small_batches(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = tasks * parts_each
     quantiles = docs.select(F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts)

@@ -37,6 +37,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch, so that a batch of long texts fits beside the heap; Spark's defaults are 10 000 and 64 MiB.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches where it sets no bounds itself: both sides hold several of them at once."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
+
+
 def need(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast to the given types; raises if one is missing."""
     have = {c.lower(): c for c in df.columns}
