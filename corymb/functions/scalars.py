@@ -61,7 +61,9 @@ def half_even(x: Column, digits: int) -> Column:
 
 
 def scientific(x: Column, digits: int = 2) -> Column:
-    return F.when(x.isNotNull(), F.format_string(f"%.{digits}e", x))
+    """Text like 1.23e-04, rounded half to even; null stays null."""
+    scale = F.pow(F.lit(10.0), F.coalesce(F.floor(F.log10(F.nullif(F.abs(x), F.lit(0.0)))), F.lit(0)).cast("double") - digits)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}e", F.bround(x / scale, 0) * scale))
 
 
 def wrap_axis(degrees: Column) -> Column:

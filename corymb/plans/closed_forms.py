@@ -21,6 +21,10 @@ def rounded(d, digits: int, *columns: str):
     return d.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
 # --- regressions over plants -----------------------------------------------------------------------
 
 _LINES = f"""{SIZED}, g AS (SELECT trait, island, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx, covar_pop(x, y) * count(*) AS sxy, var_pop(y) * count(*) AS syy FROM d GROUP BY ALL),
@@ -335,12 +339,12 @@ def sources_at_hand(spark, sf_dir):
     return spark.read.parquet(path).select("r_name").crossJoin(none)  # one row
 
 
-@query("trait_definitions", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*r) for r in rel.TRAIT_DEFINITIONS) + ") v(trait, definition)")
+@query("trait_definitions", "SELECT * FROM (VALUES " + _values(rel.TRAIT_DEFINITIONS) + ") v(trait, definition)")
 def trait_definitions(spark, sf_dir):
     return rel.trait_definitions(spark)
 
 
-@query("evidence_scope", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}', '{}', '{}')".format(*r) for r in syndrome.SCOPE) + ") v(component, current, evidence_status, priority_next)")
+@query("evidence_scope", "SELECT * FROM (VALUES " + _values(syndrome.SCOPE) + ") v(component, current, evidence_status, priority_next)")
 def evidence_scope(spark, sf_dir):
     return syndrome.scope_table(spark)
 

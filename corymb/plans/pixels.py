@@ -71,9 +71,15 @@ def pixel_edge_length(spark, sf_dir):
     return pixels.edge_length(_pixels(spark), "stroke").withColumn("length_px", F.round("length_px", 6))
 
 
-@query("pixel_chord")
+@query(
+    "pixel_chord",
+    f"""WITH {GRID}, m AS (SELECT image_id, avg(x) AS mx, avg(y) AS my, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS t FROM px WHERE stroke GROUP BY 1),
+p AS (SELECT image_id, x, y, t, (x - mx) * cos(t) + (y - my) * sin(t) AS a FROM px JOIN m USING (image_id) WHERE stroke),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY a, y, x) AS i, row_number() OVER (PARTITION BY image_id ORDER BY a DESC, y DESC, x DESC) AS j FROM p)
+SELECT f.image_id, f.x AS x1, f.y AS y1, l.x AS x2, l.y AS y2, round(sqrt((f.x - l.x) ** 2 + (f.y - l.y) ** 2), 6) AS chord_px, round(degrees(f.t), 6) AS angle_deg FROM r f JOIN r l ON f.image_id = l.image_id AND f.i = 1 AND l.j = 1""",
+)
 def pixel_chord(spark, sf_dir):
-    return pixels.chord(_pixels(spark), "stroke")
+    return pixels.chord(_pixels(spark), "stroke").withColumns({c: F.round(c, 6) for c in ("chord_px", "angle_deg")})
 
 
 @query("pixel_iou", f"WITH {GRID} SELECT image_id, round((count(*) FILTER (WHERE roi AND other))::DOUBLE / count(*) FILTER (WHERE roi OR other), 7) AS iou FROM px GROUP BY image_id")
@@ -115,15 +121,40 @@ def pixel_dominance_gain(spark, sf_dir):
     return _pixels(spark).where("roi").groupBy("image_id").agg(F.sum(sc.dominance_gain((r, g, b), (g, r, b))).alias("gain"))
 
 
-@query("synthetic_flower")
+def _flower_sql(size: int) -> str:
+    """CTE ``fl`` (image_id, y, x, in_roi, in_pattern, r, g, b) of the made-up flower."""
+    corners = [(int(a * size), int(b * size)) for a, b in pixels.CORNERS]
+    hits = [f"(({y1} > y) <> ({y2} > y) AND x < (y - {y1}) * ({x2 - x1} / {y2 - y1}.0::DOUBLE) + {x1})::INTEGER" for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1], strict=True) if y1 != y2]
+    drawn = []
+    for u, v, du, dv, steep, sign in pixels.edge_pixels(corners):
+        along, across = ("y", "x") if steep else ("x", "y")
+        i = f"(({along} - {u}) * {sign if steep else 1})"
+        drawn.append(f"({i} BETWEEN 0 AND {du} AND {across} - {v} = (({i} * {2 * dv} + {du - 1}) // {2 * max(du, 1)}) * {1 if steep else sign})")
+    spots = " OR ".join(f"(x - {int(a * size)}) ** 2 + (y - {int(b * size)}) ** 2 <= {max(2, int(r * size)) ** 2}" for a, b, r in pixels.SPOTS)
+    pick = lambda a, b, c: f"(CASE WHEN in_pattern THEN {a} WHEN in_roi THEN {b} ELSE {c} END)::SMALLINT"
+    return f"""q0 AS (SELECT 0::BIGINT AS image_id, i // {size} AS y, i % {size} AS x FROM range({size * size}) t(i)), q1 AS (SELECT *, ({' + '.join(hits)}) % 2 = 1 OR {' OR '.join(drawn)} AS in_roi FROM q0),
+q2 AS (SELECT *, in_roi AND ({spots}) AS in_pattern FROM q1), fl AS (SELECT *, {pick(112, 225, 242)} AS r, {pick(48, 188, 242)} AS g, {pick(145, 220, 242)} AS b FROM q2)"""
+
+
+@query("synthetic_flower", f"WITH {_flower_sql(128)} SELECT * FROM fl")
 def synthetic_flower(spark, sf_dir):
     return pixels.synthetic_flower(spark, 128)
 
 
-@query("cielab_of_pixels")
+_LINEAR = "(CASE WHEN {c} / 255.0::DOUBLE <= 0.04045::DOUBLE THEN {c} / 255.0::DOUBLE / 12.92 ELSE (({c} / 255.0::DOUBLE + 0.055) / 1.055) ** 2.4::DOUBLE END)"
+_F = "(CASE WHEN {t} > 0.008856::DOUBLE THEN cbrt({t}) ELSE 7.787::DOUBLE * {t} + 16.0::DOUBLE / 116 END)"
+_BYTE = "least(greatest(floor({v} + 0.5::DOUBLE), 0), 255)"
+
+
+@query(
+    "cielab_of_pixels",
+    f"""WITH {_flower_sql(128)}, a AS (SELECT in_roi, in_pattern, {', '.join(f'{_LINEAR.format(c=c)} AS l{c}' for c in 'rgb')} FROM fl),
+z AS (SELECT in_roi, in_pattern, (0.412453::DOUBLE * lr + 0.357580::DOUBLE * lg + 0.180423::DOUBLE * lb) / 0.950456::DOUBLE AS x, 0.212671::DOUBLE * lr + 0.715160::DOUBLE * lg + 0.072169::DOUBLE * lb AS y, (0.019334::DOUBLE * lr + 0.119193::DOUBLE * lg + 0.950227::DOUBLE * lb) / 1.088754::DOUBLE AS z FROM a)
+SELECT in_roi, in_pattern, count(*) AS n, round(avg({_BYTE.format(v='CASE WHEN y > 0.008856::DOUBLE THEN 116 * cbrt(y) - 16 ELSE 903.3::DOUBLE * y END * 2.55::DOUBLE')} / 2.55::DOUBLE), 6) AS l_star, round(avg({_BYTE.format(v=f"500 * ({_F.format(t='x')} - {_F.format(t='y')}) + 128")} - 128), 6) AS a_star, round(avg({_BYTE.format(v=f"200 * ({_F.format(t='y')} - {_F.format(t='z')}) + 128")} - 128), 6) AS b_star FROM z GROUP BY ALL""",
+)
 def cielab_of_pixels(spark, sf_dir):
     light, a, b = sc.cielab(F.col("r"), F.col("g"), F.col("b"))
-    return pixels.synthetic_flower(spark, 128).groupBy("in_roi", "in_pattern").agg(F.count("*").alias("n"), F.avg(light).alias("l_star"), F.avg(a).alias("a_star"), F.avg(b).alias("b_star"))
+    return pixels.synthetic_flower(spark, 128).groupBy("in_roi", "in_pattern").agg(F.count("*").alias("n"), *(F.round(F.avg(v), 6).alias(c) for v, c in ((light, "l_star"), (a, "a_star"), (b, "b_star"))))
 
 
 _FIXED = mixture.ColourMixture(["a", "b"], [0.5, 0.3, 0.2], [[0.0, 0.0], [0.1, -0.1], [-0.1, 0.1]], [[[0.04, 0.01], [0.01, 0.03]], [[0.02, 0.0], [0.0, 0.05]], [[0.03, -0.01], [-0.01, 0.03]]])

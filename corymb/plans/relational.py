@@ -9,7 +9,7 @@ from corymb.functions import scalars as sc
 from corymb.operators import divergence as dv
 from corymb.operators import matching, ranks
 from corymb.operators import relational as rel
-from corymb.plans.base import PLANTS, plants, table
+from corymb.plans.base import PLANTS, plants, pst_sql, table
 from corymb.plans.registry import query
 from corymb.streaming import phases
 
@@ -22,39 +22,34 @@ def _hand(spark, sf_dir):
     )
 
 
-@query(
-    "merge_measurements",
-    """WITH h AS (SELECT o_orderpriority AS sheet, o_orderkey::VARCHAR AS corolla_id, o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'opened_full' ELSE 'folded_half' END AS fold_state, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS f FROM orders),
-l AS (SELECT l_orderkey AS k, max(l_quantity) AS len, min(l_quantity) AS wid, sum(l_quantity) AS area, count(*) AS n FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1),
-g AS (SELECT l_orderkey AS k, sum(l_discount) AS cov FROM lineitem GROUP BY 1)
-SELECT sheet, corolla_id, fold_state, l.len AS p_length, l.wid AS width_obs, round(l.wid * f, 2) AS width_fulleq, round(l.area * f, 1) AS area_fulleq, 'iphone' AS roi_source, round(g.cov, 6) AS guide, 'manual_axis' AS qc_flag FROM h JOIN l ON l.k = o_orderkey JOIN g ON g.k = o_orderkey""",
-)
+_HAND_SQL = """h AS (SELECT o_orderpriority AS sheet, o_orderkey AS k, CASE WHEN o_orderstatus = 'O' THEN 'opened_full' ELSE 'folded_half' END AS fold_state, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS f, round(o_totalprice / 1000, 2) AS len, round(o_totalprice / 2000, 2) AS wid, round(o_totalprice / 100, 1) AS area, CASE WHEN o_orderkey % 3 = 0 THEN 'manual_axis|roi_open_outline' ELSE 'manual_axis|roi_area_reconstructed' END AS flag FROM orders),
+l AS (SELECT l_orderkey AS k, max(l_quantity) AS len, min(l_quantity) AS wid, sum(l_quantity) AS area FROM lineitem WHERE {where} GROUP BY 1), g AS (SELECT l_orderkey AS k, sum(l_discount) AS cov, max(CASE WHEN l_linestatus = 'F' THEN l_tax * 100 END) AS organ FROM lineitem GROUP BY 1)
+SELECT sheet, h.k::VARCHAR AS corolla_id, fold_state, coalesce(l.len, h.len) AS p_length, coalesce(l.wid, h.wid) AS width_obs, round(coalesce(l.wid, h.wid) * f, 2) AS width_fulleq, round(coalesce(l.area, h.area) * f, 1) AS area_fulleq, CASE WHEN l.k IS NULL THEN 'hand' ELSE 'iphone' END AS roi_source, round(g.cov, 6) AS guide, round(g.organ, 6) AS organ, CASE WHEN l.k IS NULL THEN flag ELSE 'manual_axis' END AS qc_flag FROM h LEFT JOIN l ON l.k = h.k LEFT JOIN g ON g.k = h.k"""
+
+
+@query("merge_measurements", "WITH " + _HAND_SQL.format(where="l_returnflag = 'N'"))
 def merge_measurements(spark, sf_dir):
-    """Even orders with a silhouette only; ``merge_measurements_whole`` has every order."""
-    return _merged(spark, sf_dir, "l_orderkey % 2 = 0").where("roi_source = 'iphone'")
+    """Every order: lines not yet returned stand for its silhouette, and one without them keeps its hand measurements."""
+    return _merged(spark, sf_dir, "l_returnflag = 'N'")
 
 
-@query(
-    "merge_measurements_whole",
-    """WITH h AS (SELECT o_orderpriority AS sheet, o_orderkey AS k, CASE WHEN o_orderstatus = 'O' THEN 'opened_full' ELSE 'folded_half' END AS fold_state, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS f, round(o_totalprice / 1000, 2) AS len, round(o_totalprice / 2000, 2) AS wid, round(o_totalprice / 100, 1) AS area, CASE WHEN o_orderkey % 3 = 0 THEN 'manual_axis|roi_open_outline' ELSE 'manual_axis|roi_area_reconstructed' END AS flag FROM orders),
-l AS (SELECT l_orderkey AS k, max(l_quantity) AS len, min(l_quantity) AS wid, sum(l_quantity) AS area, sum(l_discount) AS cov FROM lineitem GROUP BY 1)
-SELECT sheet, h.k::VARCHAR AS corolla_id, fold_state, coalesce(l.len, h.len) AS p_length, coalesce(l.wid, h.wid) AS width_obs, round(coalesce(l.wid, h.wid) * f, 2) AS width_fulleq, round(coalesce(l.area, h.area) * f, 1) AS area_fulleq, CASE WHEN l.k IS NULL THEN 'hand' ELSE 'iphone' END AS roi_source, round(l.cov, 6) AS guide, CASE WHEN l.k IS NULL THEN flag ELSE 'manual_axis' END AS qc_flag FROM h LEFT JOIN l ON l.k = h.k""",
-)
+@query("merge_measurements_whole", "WITH " + _HAND_SQL.format(where="true"))
 def merge_measurements_whole(spark, sf_dir):
-    """Every order: its lines stand for the silhouette, and an order without lines keeps its hand measurements."""
+    """Every order, with a silhouette wherever it has a line."""
     return _merged(spark, sf_dir)
 
 
 def _merged(spark, sf_dir, photographed="true"):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_returnflag")
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("sheet"))
     key = [F.col("sheet"), F.col("l_orderkey").cast("string").alias("corolla_id")]
-    m = li.where(photographed).groupBy("l_orderkey").agg(F.max("l_quantity").alias("corolla_length_mm"), F.min("l_quantity").alias("corolla_width_obs_mm"), F.sum("l_quantity").alias("corolla_area_obs_mm2"), F.count("*").cast("double").alias("match_iou"))
-    photo = m.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(*key, "corolla_length_mm", "corolla_width_obs_mm", "corolla_area_obs_mm2", "match_iou")
-    guide = li.groupBy("l_orderkey").agg(F.sum("l_discount").alias("guide_coverage_pct")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(*key, "guide_coverage_pct", F.lit(1).alias("has_nectar_guide"))
-    organ = guide.select("sheet", "corolla_id", F.lit(None).cast("double").alias("organ_length_mm"))
-    d = rel.merge_measurements(_hand(spark, sf_dir), photo, guide, organ)
-    return d.select("sheet", "corolla_id", "fold_state", F.col("corolla_length_mm").alias("p_length"), F.col("corolla_width_obs_mm").alias("width_obs"), F.col("corolla_width_fulleq_mm").alias("width_fulleq"), F.col("corolla_area_fulleq_mm2").alias("area_fulleq"), "roi_source", F.round("guide_coverage_pct", 6).alias("guide"), "qc_flag")
+    # one pass over the lines makes all three tables of measurements
+    seen = F.expr(photographed)
+    of = lambda f, c: f(F.when(seen, F.col(c)))
+    m = li.groupBy("l_orderkey").agg(of(F.max, "l_quantity").alias("corolla_length_mm"), of(F.min, "l_quantity").alias("corolla_width_obs_mm"), of(F.sum, "l_quantity").alias("corolla_area_obs_mm2"), F.count_if(seen).cast("double").alias("match_iou"), F.sum("l_discount").alias("guide_coverage_pct"), F.max(F.when(F.col("l_linestatus") == "F", F.col("l_tax") * 100)).alias("organ_length_mm"))
+    m = m.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(*key, *m.columns[1:], F.lit(1).alias("has_nectar_guide"))
+    d = rel.merge_measurements(_hand(spark, sf_dir), m.where("match_iou > 0"), m, m)
+    return d.select("sheet", "corolla_id", "fold_state", F.col("corolla_length_mm").alias("p_length"), F.col("corolla_width_obs_mm").alias("width_obs"), F.col("corolla_width_fulleq_mm").alias("width_fulleq"), F.col("corolla_area_fulleq_mm2").alias("area_fulleq"), "roi_source", F.round("guide_coverage_pct", 6).alias("guide"), F.round("organ_length_mm", 6).alias("organ"), "qc_flag")
 
 
 @query("enforced_join", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -175,7 +170,13 @@ def organ_assignment(spark, sf_dir):
     return matching.assign_organs(s, f)
 
 
-@query("greedy_pairs")
+@query(
+    "greedy_pairs",
+    """WITH RECURSIVE p AS (SELECT s_nationkey AS sheet, s_suppkey AS a, c_custkey AS b, (CAST('0x' || substr(md5(s_suppkey || ':' || c_custkey), 1, 8) AS BIGINT) % 1000)::DOUBLE AS score FROM supplier JOIN customer ON s_nationkey = c_nationkey),
+g AS (SELECT sheet, []::BIGINT[] AS ua, []::BIGINT[] AS ub, NULL::STRUCT(score DOUBLE, a BIGINT, b BIGINT) AS m FROM (SELECT DISTINCT sheet FROM p)
+  UNION ALL SELECT sheet, list_append(ua, m.a), list_append(ub, m.b), m FROM (SELECT g.sheet, any_value(g.ua) AS ua, any_value(g.ub) AS ub, max(struct_pack(score := p.score, a := p.a::BIGINT, b := p.b::BIGINT)) AS m FROM g JOIN p ON p.sheet = g.sheet AND NOT list_contains(g.ua, p.a) AND NOT list_contains(g.ub, p.b) GROUP BY g.sheet))
+SELECT sheet, m.a AS a, m.b AS b, m.score AS score FROM g WHERE m IS NOT NULL""",
+)
 def greedy_pairs(spark, sf_dir):
     """Suppliers and customers of a nation in one-to-one pairs, by a made-up score."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("sheet"), F.col("s_suppkey").alias("a"))
@@ -207,10 +208,11 @@ def density_profile(spark, sf_dir):
     return histogram(table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 25 / 0.11 / 25).alias("v")), [], "v").withColumn("density", F.round("density", 6))
 
 
-@query("pst_of_events", "WITH e AS (SELECT event_type, user_id % 10 AS g, value FROM events), s AS (SELECT event_type, g, count(*) AS n, avg(value) AS m FROM e GROUP BY ALL) SELECT event_type, count(*) AS k, sum(n)::BIGINT AS n FROM s GROUP BY 1")
+@query("pst_of_events", "WITH e AS (SELECT event_type, user_id % 10 AS g, value * (1 + user_id % 10) AS value FROM events),\n" + pst_sql("event_type", "g", "value", "e") + "\nSELECT event_type, k::BIGINT AS k, n::BIGINT AS n, round(pst, 6) AS pst FROM qp")
 def pst_of_events(spark, sf_dir):
-    d = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 10).alias("g"), "value")
-    return dv.pst(d, ["event_type"], "g", "value").select("event_type", "k", F.col("n").alias("n"))
+    """Groups of users that are made to differ."""
+    d = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 10).alias("g"), (F.col("value") * (1 + F.col("user_id") % 10)).alias("value"))
+    return dv.pst(d, ["event_type"], "g", "value").select("event_type", "k", "n", F.round("pst", 6).alias("pst"))
 
 
 @query("stream_user_means", "SELECT user_id, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
