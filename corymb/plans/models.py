@@ -69,7 +69,7 @@ def site_mixed_model(spark, sf_dir):
 
 @query("allometry")
 def allometry(spark, sf_dir):
-    return models.allometry(_sized(spark, sf_dir), "trait", "island", "site", "x", "y", "size")
+    return models.allometry(_sized(spark, sf_dir), "trait", "island", "site", "x", "y", "size", permutations=4999, interaction_permutations=1999)
 
 
 @query("site_ancova_left_out")

@@ -62,19 +62,44 @@ def test_every_order_is_merged(spark, tmp_path):
     from corymb import catalog
 
     orders = [(1, "O", 98765.0, "a"), (2, "F", 2000.0, "a"), (3, "F", 5000.0, "b"), (4, "O", 7000.0, "b"), (6, "P", 1000.0, "c")]
-    lines = [(1, 3.0, 0.1), (1, 7.0, 0.2), (2, 5.0, 0.0), (6, 1.5, 0.05)]
+    lines = [(1, 3.0, 0.1, 0.02, "F", "N"), (1, 7.0, 0.2, 0.04, "F", "R"), (2, 5.0, 0.0, 0.01, "O", "A"), (6, 1.5, 0.05, 0.0, "O", "N")]
     spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
-    spark.createDataFrame(lines, "l_orderkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double, l_discount double, l_tax double, l_linestatus string, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     out = catalog.queries()["merge_measurements_whole"](spark, str(tmp_path))
     rows = sorted(map(tuple, out.collect()), key=lambda r: r[1])
     assert [(r[1], r[7]) for r in rows] == [("1", "iphone"), ("2", "iphone"), ("3", "hand"), ("4", "hand"), ("6", "iphone")]
-    assert rows[2] == ("b", "3", "folded_half", 5.0, 2.5, 5.0, 100.0, "hand", None, "manual_axis|roi_open_outline")
-    assert rows[0] == ("a", "1", "opened_full", 7.0, 3.0, 3.0, 10.0, "iphone", 0.3, "manual_axis")
+    assert rows[2] == ("b", "3", "folded_half", 5.0, 2.5, 5.0, 100.0, "hand", None, None, "manual_axis|roi_open_outline")
+    assert rows[0] == ("a", "1", "opened_full", 7.0, 3.0, 3.0, 10.0, "iphone", 0.3, 4.0, "manual_axis")
+    part = sorted(map(tuple, catalog.queries()["merge_measurements"](spark, str(tmp_path)).collect()), key=lambda r: r[1])
+    assert [r[7] for r in part] == ["iphone", "hand", "hand", "hand", "iphone"] and part[1][8:10] == (0.0, None) and part[0][3] == 3.0
     with duckdb.connect() as db:
         for name in ("orders", "lineitem"):
             db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
-        twin = db.sql(catalog.oracle_sql()["merge_measurements_whole"])
-        assert twin.columns == out.columns and sorted(twin.fetchall(), key=lambda r: r[1]) == rows
+        for query, want in (("merge_measurements_whole", rows), ("merge_measurements", part)):
+            twin = db.sql(catalog.oracle_sql()[query])
+            assert twin.columns == out.columns and sorted(twin.fetchall(), key=lambda r: r[1]) == want
+
+
+def test_lookup_counts_rows_not_values(spark):
+    t = spark.createDataFrame([("A", "1"), ("a", None)], "name string, path string")
+    with pytest.raises(Exception, match="exactly one"):
+        rel.unique_lookup(spark.createDataFrame([("a",)], "name string"), t, "name", "path").collect()
+
+
+def test_metadata_is_integrated(spark):
+    metadata = spark.createDataFrame([(1, "s", 7), (2, "na", 8), (3, "p", 9)], "id int, status string, collar int")
+    index = spark.createDataFrame([(7, "a", "1"), (8, "a", "2"), (9, "b", "1")], "global_id int, sheet string, sheet_corolla_id string")
+    flowers = spark.createDataFrame([("a", "1", 4.0), ("a", "2", 5.0)], "sheet string, corolla_id string, organ_length_mm double")
+    pollination = spark.createDataFrame([("b", "1", 2.0)], "sheet string, corolla_id string, throat double")
+    out = sorted(map(tuple, rel.integrate_metadata(metadata, index, flowers, pollination, ["organ_length_mm"], ["throat"]).collect()))
+    assert out == [(1, "s", 7, "a", "1", 4.0, None, ""), (2, "na", 8, "a", "2", 5.0, None, "measured_but_status_na"), (3, "p", 9, "b", "1", None, 2.0, "status_but_no_measurement")]
+    with pytest.raises(Exception, match="no match"):
+        rel.integrate_metadata(metadata, index.where("global_id < 9"), flowers, pollination, ["organ_length_mm"], ["throat"]).collect()
+
+
+def test_formats(spark):
+    d = spark.createDataFrame([(0.125, 956.5), (0.375, 0.000123456), (None, None), (2.0, 0.0), (-0.125, -1e300)], "a double, p double")
+    assert [tuple(r) for r in tables.formatted(d, {"a": 2}, ("p",)).collect()] == [(0.12, "9.56e+02"), (0.38, "1.23e-04"), (None, None), (2.0, "0.00e+00"), (-0.12, "-1.00e+300")]
 
 
 def test_catalogue_is_complete():

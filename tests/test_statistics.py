@@ -91,9 +91,9 @@ def test_whole_bootstrap_equals_a_loop(spark, small_tables):
 
 
 @pytest.mark.parametrize(("query", "module", "operator", "least"), [
-    ("allometry", models, "allometry", {"permutations": 4999}), ("site_ancova_left_out", models, "site_tests", {"permutations": 1999}), ("phase_adjusted", models, "site_tests", {"permutations": 1999}), ("profile_tests", syndrome, "profile_tests", {"permutations": 9999}),
+    ("allometry", models, "allometry", {"permutations": 4999, "interaction_permutations": 1999}), ("bootstrap_pst", divergence, "weighted_bootstrap", {"reps": 2000}), ("permutation_eta2", divergence, "label_permutation", {"reps": 4999}), ("site_ancova_left_out", models, "site_tests", {"permutations": 1999}), ("phase_adjusted", models, "site_tests", {"permutations": 1999}), ("profile_tests", syndrome, "profile_tests", {"permutations": 9999}),
     ("pst_axes", models, "pst_axes", {"reps": 500}), ("pst_axes_hierarchical", models, "hierarchical_axes", {"reps": 500}), ("trajectory_bootstrap", syndrome, "trajectory_bootstrap", {"reps": 2000}), ("module_integration_bootstrap", syndrome, "integration_bootstrap", {"reps": 1500}),
-    ("module_max_axis_pst", syndrome, "max_axis_pst", {"reps": 800}), ("covariance_alignment", syndrome, "alignment", {"reps": 2500}), ("planning_power", syndrome, "planning_power", {"sims": 500}), ("mixture_fit", mixture, "fit", {"starts": 6, "iterations": 60}),
+    ("module_max_axis_pst", syndrome, "max_axis_pst", {"reps": 800}), ("covariance_alignment", syndrome, "alignment", {"reps": 2500}), ("planning_power", syndrome, "planning_power", {"sims": 500}), ("mixture_fit", mixture, "fit", {"starts": 6, "iterations": 400}),
 ])
 def test_queries_resample_as_often_as_the_reference(spark, small_tables, monkeypatch, query, module, operator, least):
     class Called(Exception):
@@ -169,3 +169,81 @@ def test_empty_inputs(spark):
     assert divergence.pst(d, ["trait"], "g", "v").count() == 0
     assert ranks.kruskal(d, ["trait"], "g", "v").count() == 0
     assert ranks.spearman(d.withColumn("w", F.col("v")), ["trait"], "v", "w").count() == 0
+
+
+def test_weighted_bootstrap_equals_a_loop(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"u{i}", "abc"[i % 3], float(rng.normal(i % 3)), None if i % 5 == 0 else float(rng.normal())) for i in range(40)]
+    out = {r["trait"]: r for r in divergence.weighted_bootstrap(spark.createDataFrame(rows, "u string, g string, x double, y double"), ["x", "y"], "g", "u", reps=203).collect()}
+    for trait, col in (("x", 2), ("y", 3)):
+        found = []
+        for rep in range(203):
+            groups = {}
+            for r in rows:
+                d = int(hashlib.md5(f"0:{r[0]}:{rep // 4}".encode()).hexdigest()[rep % 4 * 8 :][:8], 16)
+                if r[col] is not None:
+                    groups.setdefault(r[1], []).extend([r[col]] * sum(d >= t for t in divergence.POISSON))
+            x = [np.array(v) for v in groups.values() if len(v) >= 2]
+            n, m = np.array([len(v) for v in x]), np.array([v.mean() for v in x])
+            msb, msw = (n * (m - (n * m).sum() / n.sum()) ** 2).sum() / (len(x) - 1), sum(((v - v.mean()) ** 2).sum() for v in x) / (n.sum() - len(x))
+            among = max((msb - msw) / ((n.sum() - (n * n).sum() / n.sum()) / (len(x) - 1)), 0)
+            found.append(among / (among + 2 * msw))
+        assert out[trait]["reps"] == 203 and [out[trait]["lo"], out[trait]["hi"]] == pytest.approx(np.quantile(found, [0.025, 0.975]), abs=1e-9)
+
+
+def test_first_axis_of_sums_equals_rows():
+    rng = np.random.default_rng(4)
+    g = np.repeat(np.arange(4), [5, 8, 6, 9])
+    size = rng.normal(size=28)
+    x = rng.normal(size=(28, 3)) + g[:, None] * [0.5, 1.0, 0.0] + size[:, None]
+    for adjusted in (False, True):
+        y = x
+        if adjusted:
+            c = size - size.mean()
+            y = x - x.mean(0) - c[:, None] * (c @ (x - x.mean(0))) / (c @ c)
+        _, b, w, _, _ = kernels.between_within(kernels.zscores(y), g)
+        want = kernels.directional_axes(b, w)[0][1]
+        one = np.column_stack([np.ones(28), x, *([size] if adjusted else [])])
+        i, j = np.triu_indices(one.shape[1])
+        parts = [((one[g == v].T @ one[g == v])[i, j]).tolist() for v in range(4)]
+        assert kernels.first_axis_of_sums(parts, 3, adjusted) == pytest.approx(want, rel=1e-6)
+    assert np.isnan(kernels.first_axis_of_sums(parts[:1], 3, True))
+
+
+def test_hierarchical_interval_holds_the_estimate(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(4):
+        for s in range(5):
+            shift = rng.normal(scale=0.4)
+            for p in range(6):
+                z = rng.normal()
+                rows.append((f"g{g}", f"g{g}s{s}", f"g{g}s{s}p{p}", float(g + shift + rng.normal() + z), float(rng.normal() + z), float(z)))
+    d = spark.createDataFrame(rows, "g string, s string, p string, a double, b double, z double")
+    r = models.hierarchical_axes(d, "g", "s", "p", ["a", "b"], size="z", reps=120).first()
+    again = models.hierarchical_axes(d.repartition(5), "g", "s", "p", ["a", "b"], size="z", reps=120).first()
+    assert r["reps"] == 120 and 0 < r["lo"] < r["hi"] < 1 and [r["lo"], r["hi"]] == pytest.approx([again["lo"], again["hi"]])
+    x = np.array([q[3:] for q in rows])
+    y = x[:, :2] - np.outer(x[:, 2], [np.polyfit(x[:, 2], x[:, i], 1)[0] for i in (0, 1)])
+    _, b, w, _, _ = kernels.between_within(kernels.zscores(y), np.array([q[0] for q in rows]))
+    assert r["lo"] < kernels.directional_axes(b, w)[0][1] < r["hi"]
+
+
+def test_repetitions_are_dealt_out_whole():
+    assert [sum(kernels.dealt(n, c, i) for i in range(c)) for n, c in ((1500, 8), (500, 8), (7, 8), (800, 4))] == [1500, 500, 7, 800]
+
+
+def test_phase_coefficient():
+    rng = np.random.default_rng(6)
+    g, x, c = np.repeat(["a", "b", "c"], 8), rng.normal(size=24), rng.normal(size=24)
+    y = 2 * x + 3 * c + (g == "b") + 1e-9 * rng.normal(size=24)
+    assert kernels.ancova(y, x, g, 9, rng, covariates=c[:, None])["coefficient"] == pytest.approx(3, abs=1e-6)
+    assert kernels.ancova(y, x, g, 9, rng)["coefficient"] is None
+
+
+def test_allometry_has_all_tests(spark):
+    rng = np.random.default_rng(7)
+    rows = [(t, f"g{g}", f"g{g}s{s}", float(z), float(np.exp(z)), float(z * (1 + (t == "b") * g) + (t == "a") * g + 0.1 * rng.normal())) for t in "ab" for g in range(3) for s in range(5) for z in rng.normal(size=6)]
+    out = {r["trait"]: r for r in models.allometry(spark.createDataFrame(rows, "trait string, g string, s string, x double, size double, y double"), "trait", "g", "s", "x", "y", "size", permutations=199, interaction_permutations=99).collect()}
+    assert out["a"]["shift_p_adjusted"] < 0.05 and out["a"]["residual_p_adjusted"] < 0.05 and out["b"]["slope_p_adjusted"] < 0.05 and out["a"]["common_n_plants"] > 20
+    assert out["a"]["delta_r2"] > 0.1 and out["b"]["delta_aic"] < 0 and all(0 < out[t][f"{k}_p"] <= 1 for t in "ab" for k in ("shift", "slope", "residual", "common"))
