@@ -194,6 +194,6 @@ def spatial_metrics(d: DataFrame, least_px: int = 200) -> DataFrame:
     ``distal_midline_p``: are distal pattern pixels nearer the midline than random ones?  Null up to 20 on a side.
     """
     n = d.groupBy(ID).agg(F.count_if("pattern").alias("n_pattern_px"), F.avg(F.when(F.col("pattern"), (F.col("pos") < 0.33).cast("double"))).alias("basal_frac"), F.avg(F.when(~F.col("pattern"), (F.col("pos") < 0.33).cast("double"))).alias("random_basal_frac"), F.avg(F.when(F.col("pattern"), F.col("pos"))).alias("mean_pos")).where(F.col("n_pattern_px") >= least_px)
-    far = mann_whitney(d.where(F.col("pos") >= 0.5), [ID], "pattern", "dist").where("n1 > 20 AND n2 > 20").select(ID, F.col("z").alias("distal_midline_z"), F.col("p").alias("distal_midline_p"))
+    far = mann_whitney(d.where(F.col("pos") >= 0.5), [ID], "pattern", "dist", few=True).where("n1 > 20 AND n2 > 20").select(ID, F.col("z").alias("distal_midline_z"), F.col("p").alias("distal_midline_p"))
     out = n.join(stratified_ratio(d, "pattern", "pos", "dist", name="midline_ratio"), ID, "left").join(stratified_ratio(d, "pattern", "pos", "dist", lo=0.5, bands=4, name="midline_ratio_distal"), ID, "left")
     return out.join(far, ID, "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corymb.functions.scalars import edit_flags
+from corymb.sources.scratch import scratch
 
 
 def merge_measurements(hand: DataFrame, photo: DataFrame, guide: DataFrame, organ: DataFrame, key: tuple[str, str] = ("sheet", "corolla_id")) -> DataFrame:
@@ -144,8 +145,19 @@ def hash_sample(df: DataFrame, group: list[str], key: Column, n: int, seed: int
 
 
 def running_number(df: DataFrame, *order: Column, name: str = "global_id") -> DataFrame:
-    """Numbers from 1 in a global order.  The table is one row a specimen, small by nature."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """Numbers from 1 in a global order, without a global task.
+
+    Rows are dealt to ranges of the order, sorted there and written with their place; a range's numbers
+    begin after the rows of the ranges before it.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "numbered")
+    placed = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    d = spark.read.schema(placed.schema).parquet(path).withColumn("_at", F.shiftright("_id", 33))
+    sizes = d.groupBy("_at").agg(F.count("*").alias("_n"))  # a row a range
+    starts = sizes.select("_at", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return d.join(starts, "_at").withColumn(name, (F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).cast("long")).select(*df.columns, name)
 
 
 def argmax_column(columns: list[str], greatest: bool = True) -> Column:

@@ -58,7 +58,7 @@ def pairwise_trajectories(matrix: DataFrame, modules: list[str]) -> DataFrame:
     for a, b in combinations(modules, 2):
         d = matrix.select(F.lit(a).alias("module_a"), F.lit(b).alias("module_b"), F.col(f"z_{a}").alias("x"), F.col(f"z_{b}").alias("y"))
         p = ranks.pearson(d, ["module_a", "module_b"], "x", "y", least=2).withColumnRenamed("p", "pearson_p")
-        s = ranks.spearman(d, ["module_a", "module_b"], "x", "y", least=2).drop("n").withColumnRenamed("p", "spearman_p")
+        s = ranks.spearman(d, ["module_a", "module_b"], "x", "y", least=2, few=True).drop("n").withColumnRenamed("p", "spearman_p")
         parts.append(p.join(s, ["module_a", "module_b"]).withColumn("angle", angle_of_correlation(F.col("r"))))
     out = parts[0]
     for p in parts[1:]:
@@ -232,7 +232,7 @@ def geography(tracks: DataFrame, latitudes: DataFrame, group: str, columns: list
     """(variable, n, r, p, rho, p): group scores against mean latitude."""
     d = tracks.join(latitudes, group).unpivot([group, "mean_lat"], columns, "variable", "v")
     a = ranks.pearson(d, ["variable"], "v", "mean_lat", least=2).withColumnRenamed("p", "pearson_p")
-    return a.join(ranks.spearman(d, ["variable"], "v", "mean_lat", least=2).drop("n").withColumnRenamed("p", "spearman_p"), "variable")
+    return a.join(ranks.spearman(d, ["variable"], "v", "mean_lat", least=2, few=True).drop("n").withColumnRenamed("p", "spearman_p"), "variable")
 
 
 def lability(univariate: DataFrame, tests: DataFrame | None, modes: DataFrame | None, reference: str) -> DataFrame:

@@ -140,8 +140,10 @@ def pivot_means(spark, sf_dir):
 
 @query("exact_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 5) AS lo, round(median(l_extendedprice), 5) AS mid, round(quantile_cont(l_extendedprice, 0.975), 5) AS hi, round(avg((l_quantity > 25)::INTEGER), 7) AS share FROM lineitem GROUP BY 1")
 def exact_quantiles(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag")
-    return g.agg(F.round(F.percentile("l_extendedprice", F.lit(0.025)), 5).alias("lo"), F.round(F.median("l_extendedprice"), 5).alias("mid"), F.round(F.percentile("l_extendedprice", F.lit(0.975)), 5).alias("hi"), F.round(F.avg((F.col("l_quantity") > 25).cast("double")), 7).alias("share"))
+    d = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
+    q = ranks.exact_quantiles(d, ["l_returnflag"], "l_extendedprice", [0.025, 0.5, 0.975])
+    share = d.groupBy("l_returnflag").agg(F.round(F.avg((F.col("l_quantity") > 25).cast("double")), 7).alias("share"))
+    return q.join(share, "l_returnflag").select("l_returnflag", *(F.round(F.col("q")[i], 5).alias(c) for i, c in enumerate(("lo", "mid", "hi"))), "share")
 
 
 @query("mean_of_matrices", "SELECT l_linenumber AS i, l_returnflag AS j, round(avg(nullif(l_discount, 0)), 8) AS mean FROM lineitem GROUP BY ALL")
