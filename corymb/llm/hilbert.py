@@ -84,7 +84,7 @@ def hilbert_shards(df: DataFrame, dims: list[Column], *, n_shards: int = 24, bit
     cell, sub, at, curve, order = (free_name(df, f"hx_{c}") for c in ("cell", "sub", "at", "curve", "order"))
     packed = reduce(lambda out, d: out * (1 << bits) + d.cast("long"), dims, F.lit(0).cast("long"))
     name = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), *(F.col(c).cast("string") for c in tie_cols[:1]))
-    bits_used = min(20, max(6, (df.count() // bucket_rows).bit_length()))  # so many that a cell with all rows is dealt over enough tasks
+    bits_used = min(20, max(8, (df.count() // bucket_rows).bit_length()))  # so many that a cell with all rows is dealt over enough tasks
     placed = df.withColumns({cell: packed, order: F.md5(name.cast("binary")), sub: F.shiftright(hex_bits(name, 5), 20 - bits_used).cast("int")})
     counts = materialise(placed.groupBy(cell, sub).agg(F.count("*").alias("n")), "hilbert_cells")
     total = counts.agg(F.sum("n")).first()[0] or 0

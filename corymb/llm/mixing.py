@@ -63,7 +63,7 @@ def mix(df: DataFrame, size: Column, *, source_col: str = "source", id_col: str
     # the key keeps null apart from '' and sorts it last
     keyed = df.withColumn("size", size).withColumn(key, F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col))))
     order_text = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    buckets = min(1 << 20, 1 << max(6, (df.count() // bucket_rows).bit_length()))
+    buckets = min(1 << 20, 1 << max(8, (df.count() // bucket_rows).bit_length()))
     keyed = keyed.withColumns({order: F.md5(order_text.cast("binary")), bucket: F.shiftright(hex_bits(order_text, 5), 21 - buckets.bit_length()).cast("int")})
     sums = materialise(keyed.groupBy(key, bucket).agg(F.sum("size").alias("size")), "mix_buckets")
     totals = sums.groupBy(F.col(key).alias("name")).agg(F.sum("size").alias("size"))
