@@ -316,7 +316,7 @@ class _Join:
         return self.search(tasks, every=True).distinct()
 
 
-def jaccard_classes(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int = 250_000) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, component_th) for each row; links are Jaccard >= num/den.
 
     ``th`` tells texts with one id apart; the least (id, th) of a component stands for it.
@@ -336,7 +336,7 @@ def jaccard_components(docs: DataFrame, **how: int) -> DataFrame:
     return jaccard_classes(docs, **how).select("doc_id", "n_shingles", "component_id")
 
 
-def jaccard_links(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """All links as pairs (a, b) of class ids, and the membership (doc_id, class_id) of rows that have shingles."""
     join = _Join(docs, width, num, den, chunk, broadcast_rows)
     return join.all_links(), join.members.where("n > 0").select("doc_id", F.col("sid").alias("class_id"))
