@@ -75,7 +75,7 @@ def document_dims(df: DataFrame, bits: int = 3) -> list[Column]:
     ]
 
 
-def hilbert_shards(df: DataFrame, dims: list[Column], *, n_shards: int = 24, bits: int = 3, id_col: str = "doc_id", tie_cols: tuple[str, ...] = (), bucket_rows: int = 20_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def hilbert_shards(df: DataFrame, dims: list[Column], *, n_shards: int = 24, bits: int = 3, id_col: str = "doc_id", tie_cols: tuple[str, ...] = (), bucket_rows: int = 20_000, broadcast_rows: int = 100_000) -> DataFrame:
     """``df`` with ``shard`` (0 to ``n_shards - 1``) and ``slot`` (gapless from 0 in each shard).
 
     Rows of a cell are ordered by a hash of the id and the first of ``tie_cols``, then by these columns.

@@ -236,6 +236,24 @@ def test_hilbert_curve_steps_to_neighbours(spark):
     assert all(np.abs(point(at[i]) - point(at[i + 1])).sum() == 1 for i in range(len(at) - 1))
 
 
+def test_shards_don_t_depend_on_buckets_or_broadcasts(spark, corpus):
+    d = frame(spark, [r for r in corpus if r[0] is not None])
+    dims = hilbert.document_dims(d)
+    take = lambda **how: sorted((r["doc_id"], r["shard"], r["slot"]) for r in hilbert.hilbert_shards(d.dropDuplicates(["doc_id"]), dims, **how).collect())
+    assert take() == take(broadcast_rows=0) == take(bucket_rows=1)
+
+
+def test_mix_doesn_t_depend_on_buckets(spark, corpus):
+    d = frame(spark, corpus)
+    take = lambda **how: sorted((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(d, mixing.word_count(F.col("text")), **how).collect())
+    assert take() == take(bucket_rows=1)
+
+
+def test_a_missing_column_is_named(spark):
+    with pytest.raises(ValueError, match="text"):
+        countjoin.join_digest(spark.range(3).withColumnRenamed("id", "doc_id"))
+
+
 def test_shard_columns_may_clash(spark, corpus):
     d = frame(spark, corpus).withColumn("slot", F.lit("x")).withColumn("HX_cell", F.lit(1))
     out = hilbert.hilbert_shards(d, hilbert.document_dims(d))
