@@ -14,6 +14,7 @@ from corymb.operators import kernels as k
 from corymb.operators import ranks
 from corymb.operators.models import over_sites
 from corymb.operators.relational import argmax_column, leave_one_out
+from corymb.sources.scratch import written
 
 #: Fixed text of the evidence table: component, what is measured, its standing, what to measure next.
 SCOPE = (
@@ -41,7 +42,7 @@ def group_matrix(sites: DataFrame, group: str, modules: list[str]) -> DataFrame:
 
 def trajectories(sites: DataFrame, group: str, modules: list[str]) -> DataFrame:
     """Each group's place on the best common axis, and how far it lies off that axis."""
-    m = group_matrix(sites, group, modules).persist()  # a row a group, read twice
+    m = written(group_matrix(sites, group, modules), "group_matrix")  # a row a group, read twice
     cols = [f"z_{c}" for c in modules]
     schema = f"{group} string, rank1_fraction double, syndrome_axis_score double, orthogonal_residual_norm double, " + ", ".join(f"rank1_fitted_{c} double, rank1_residual_{c} double" for c in modules)
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corymb.functions import scalars as sc
 from corymb.operators import divergence as dv
 from corymb.operators import mixture, models, ranks, syndrome
 from corymb.operators import relational as rel
-from corymb.plans.base import LONG, PLANTS, plants, pst_sql, table, traits
+from corymb.plans import registry
+from corymb.plans.base import LONG, PLANTS, TRAITS, plants, pst_sql, table, traits
 from corymb.plans.divergence import _KW, _RANK
 from corymb.plans.models import PROFILE, SIZED, _sized, _sites
-from corymb.plans.pixels import _FIXED, GRID, _pixels
+from corymb.plans.pixels import _FIXED, GRID, N, _pixels, pixel_channels
 from corymb.plans.registry import query
 from corymb.sources import tables
 from corymb.sources.scratch import scratch
@@ -382,3 +385,81 @@ def component_sizes(spark, sf_dir):
 
     d = imaging.components(imaging.mask_column(_pixels(spark), "pat"), 3)
     return rounded(d.select("image_id", "n_px", "cx", "cy"), 6, "cx", "cy")
+
+
+# --- figures and files -----------------------------------------------------------------------------
+
+_FOREST = registry.oracle_sql()["bootstrap_pst"].rpartition("\nSELECT trait,")[0]
+
+
+@query("forest_data", f"{_FOREST},\nqi AS (SELECT trait, quantile_cont(pst, 0.025) AS lo, quantile_cont(pst, 0.975) AS hi FROM qp GROUP BY trait), traits AS ({' UNION ALL '.join(f"SELECT '{t}' AS trait, site, {t} AS value FROM plants" for t in TRAITS)}),\n{pst_sql('trait', 'site', 'value', 'traits', prefix='o')}\nSELECT trait, round(pst, 6) AS pst, round(lo, 6) AS lo, round(hi, 6) AS hi FROM op JOIN qi USING (trait)")
+def forest_data(spark, sf_dir):
+    """What a forest plot shows: each trait's divergence among sites and its interval."""
+    p = dv.pst(traits(spark, sf_dir), ["trait"], "site", "value").select("trait", "pst")
+    q = dv.weighted_bootstrap(plants(spark, sf_dir), list(TRAITS), "site", "plant", reps=2000).drop("reps")
+    return rounded(p.join(q, "trait"), 6, "pst", "lo", "hi")
+
+
+@query(
+    "heatmap_data",
+    f"""WITH {LONG}, s AS (SELECT trait, island, ord, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS ss FROM traits WHERE value IS NOT NULL GROUP BY ALL),
+p AS (SELECT a.island AS group_a, b.island AS group_b, a.n * b.n / (a.n + b.n)::DOUBLE * (a.m - b.m) * (a.m - b.m) AS msb, (a.ss + b.ss) / (a.n + b.n - 2) AS msw, (a.n + b.n) - (a.n * a.n + b.n * b.n) / (a.n + b.n)::DOUBLE AS n0 FROM s a JOIN s b ON a.trait = b.trait AND a.ord < b.ord WHERE a.n >= 2 AND b.n >= 2),
+v AS (SELECT group_a, group_b, greatest((msb - msw) / n0, 0) / (greatest((msb - msw) / n0, 0) + 2 * msw) AS pst FROM p), m AS (SELECT group_a, group_b, avg(pst) AS mean FROM v GROUP BY ALL)
+SELECT group_a, group_b, round(mean, 6) AS mean FROM m UNION ALL SELECT group_b, group_a, round(mean, 6) FROM m""",
+)
+def heatmap_data(spark, sf_dir):
+    """What a heat map shows: the mean over traits of every pair's divergence, both ways."""
+    m = dv.pairwise_pst(traits(spark, sf_dir), ["trait"], "island", "value", "ord").groupBy("group_a", "group_b").agg(F.round(F.avg("pst"), 6).alias("mean"))
+    return m.unionByName(m.select(F.col("group_b").alias("group_a"), F.col("group_a").alias("group_b"), "mean"))
+
+
+@query("stroke_statistics_file", registry.oracle_sql()["pixel_channels"])
+def stroke_statistics_file(spark, sf_dir):
+    """Colour statistics of strokes, through the CSV that holds them."""
+    d = pixel_channels(spark, sf_dir)
+    path = scratch(spark, "strokes")
+    tables.write_csv(d, path)
+    return tables.read_csv(spark, path, d.schema)
+
+
+@query("audit_pictures", f"SELECT i AS image_id, 'sheet_' || i || '.png' AS name, true AS is_png FROM range({N}) t(i)")
+def audit_pictures(spark, sf_dir):
+    """Each image's pattern laid over it, written as a file and read back by its name."""
+    from corymb.operators import imaging
+
+    both = imaging.mask_column(_pixels(spark), "roi").join(imaging.mask_column(_pixels(spark), "pat").select("image_id", F.col("mask").alias("pattern")), "image_id")
+
+    def draw(r: dict) -> list[dict]:
+        roi, pattern = (np.frombuffer(r[c], np.uint8).reshape(r["h"], r["w"]) for c in ("mask", "pattern"))
+        return [{"name": f"sheet_{r['image_id']}.png", "content": imaging.encode(imaging.overlay_pattern(imaging.overlay_grid(np.full(roi.shape, 230, np.uint8), 16), roi, pattern))}]
+
+    path = scratch(spark, "audit")
+    tables.write_files(imaging.per_image(both, draw, "name string, content binary"), path)
+    d = tables.images(spark, path)
+    return d.select(F.regexp_extract("stem", r"(\d+)$", 1).cast("long").alias("image_id"), F.concat("stem", F.lit(".png")).alias("name"), (F.substring("content", 2, 3).cast("string") == "PNG").alias("is_png"))
+
+
+@query("measured_sheets", "SELECT 'sheet_' || i AS sheet, 1 AS flowers, true AS length_fits, true AS width_fits, CASE WHEN i % 2 = 0 THEN 'opened_full' ELSE 'folded_half' END AS fold_state FROM range(12) t(i)")
+def measured_sheets(spark, sf_dir):
+    """Twelve made-up sheets, each with one outlined flower of known size, from bytes to measurements."""
+    from corymb.operators import imaging
+
+    def make(batches):
+        for b in batches:
+            out = []
+            for i in b["id"]:
+                raw = np.full((620, 560, 3), 250, np.uint8)
+                y, x = np.mgrid[:620, :560]
+                d = ((x - 280) / (100.0 + 2 * i)) ** 2 + ((y - 310) / (180.0 + 3 * i)) ** 2
+                raw[d < 1] = (180, 120, 190)
+                ann = raw.copy()
+                ann[(d > 0.96) & (d < 1.06)] = (230, 20, 20)
+                out.append((f"sheet_{i}", imaging.encode(raw), imaging.encode(ann)))
+            yield pd.DataFrame(out, columns=["sheet", "raw", "annotated"])
+
+    sheets = spark.range(12).mapInPandas(make, "sheet string, raw binary, annotated binary")
+    m = imaging.measure_sheets(sheets, opened=lambda sheet, number: int(sheet.rpartition("_")[2]) % 2 == 0)
+    i = F.regexp_extract("sheet", r"(\d+)$", 1).cast("int")
+    fits = lambda value, half: (F.abs(value / (half * 2 * sc.MM_PER_PX) - 1) < 0.06)
+    d = m.select("sheet", fits(F.col("corolla_length_mm"), i * 3 + 180.0).alias("a"), fits(F.col("corolla_width_obs_mm"), i * 2 + 100.0).alias("b"), "fold_state")
+    return d.groupBy("sheet", "fold_state").agg(F.count("*").cast("int").alias("flowers"), F.bool_and("a").alias("length_fits"), F.bool_and("b").alias("width_fits")).select("sheet", "flowers", "length_fits", "width_fits", "fold_state")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corymb.operators import models, ranks, syndrome
 from corymb.plans.base import LONG, PLANTS, plants, table, traits
 from corymb.plans.registry import query
+from corymb.sources.scratch import written
 
 MODULES = {"wealth": ["balance", "flowers"], "spending": ["price", "top_price"]}
 NAMES = list(MODULES)
@@ -32,8 +33,8 @@ def _modules(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    """Module scores of sites: a row a site, so it is kept for the queries that read it again and again."""
-    return syndrome.site_scores(_modules(spark, sf_dir), "island", "site", MODS).persist()
+    """Module scores of sites: a row a site, written for the queries that read it again and again."""
+    return written(syndrome.site_scores(_modules(spark, sf_dir), "island", "site", MODS), "site_scores")
 
 
 MODS = ["wealth", "spending", "volume"]
