@@ -197,3 +197,9 @@ def spatial_metrics(d: DataFrame, least_px: int = 200) -> DataFrame:
     far = mann_whitney(d.where(F.col("pos") >= 0.5), [ID], "pattern", "dist", few=True).where("n1 > 20 AND n2 > 20").select(ID, F.col("z").alias("distal_midline_z"), F.col("p").alias("distal_midline_p"))
     out = n.join(stratified_ratio(d, "pattern", "pos", "dist", name="midline_ratio"), ID, "left").join(stratified_ratio(d, "pattern", "pos", "dist", lo=0.5, bands=4, name="midline_ratio_distal"), ID, "left")
     return out.join(far, ID, "left")
+
+
+def pooled_samples(d: DataFrame) -> DataFrame:
+    """(kind, variable, value): positions and midline distances of pattern and random pixels of all flowers, as a long table."""
+    kind = F.when(F.col("pattern"), "guide").otherwise("random").alias("kind")
+    return d.select(kind, "pos", "dist").unpivot(["kind"], ["pos", "dist"], "variable", "value")

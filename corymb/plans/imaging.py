@@ -33,6 +33,21 @@ def mask_registration(spark, sf_dir):
     return imaging.registered(_masks(spark), _masks(spark, "other"))
 
 
+@query("photo_matches")
+def photo_matches(spark, sf_dir):
+    """Silhouettes of three sheets matched one to one with the hand masks of the same sheet; a test knows the answer for shifted copies."""
+    own = lambda name, c: _masks(spark, c).select(F.concat(F.lit("sheet_"), (F.col("image_id") % 3).cast("string")).alias("sheet"), F.col("image_id").cast("string").alias(name), "h", "w", "mask")
+    return imaging.match_photos(own("photo", "other"), own("corolla_id", "roi").withColumns({"hand_length": F.lit(2.0), "hand_width": F.lit(1.0)}))
+
+
+@query("upright_frames")
+def upright_frames(spark, sf_dir):
+    """Each flower's upright frame: its size, and how many of its pixels are pattern."""
+    both = _masks(spark).join(_masks(spark, "pat").select("image_id", F.col("mask").alias("pattern")), "image_id")
+    count = lambda c: F.length(F.regexp_replace(F.hex(c), "00", "")) / 2
+    return imaging.upright_frames(both).select("image_id", "h", "w", count("mask").cast("long").alias("roi_px"), count("pattern").cast("long").alias("pattern_px"))
+
+
 @query("midline_metrics")
 def midline_metrics(spark, sf_dir):
     """Guide pixels against all pixels of each flower, by distance to the midline."""

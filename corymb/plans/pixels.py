@@ -8,6 +8,7 @@ from corymb.functions import scalars as sc
 from corymb.operators import mixture, pixels
 from corymb.plans.base import table
 from corymb.plans.registry import query
+from corymb.sources.scratch import written
 
 N, H, W = 12, 96, 80
 GRID = f"""g AS (SELECT i // {H * W} AS image_id, (i // {W}) % {H} AS y, i % {W} AS x FROM range({N * H * W}) t(i)),
@@ -115,6 +116,13 @@ def pixel_spatial_metrics(spark, sf_dir):
     return m.select("image_id", "n_pattern_px", *(F.round(c, 6).alias(c) for c in ("basal_frac", "random_basal_frac", "mean_pos")), *(F.round(c, 5).alias(c) for c in ("midline_ratio", "midline_ratio_distal")))
 
 
+@query("pooled_samples", f"WITH {_SPOT} SELECT CASE WHEN pattern THEN 'guide' ELSE 'random' END AS kind, 'pos' AS variable, count(*) AS n, round(avg(pos), 6) AS mean FROM d GROUP BY ALL UNION ALL SELECT CASE WHEN pattern THEN 'guide' ELSE 'random' END, 'dist', count(*), round(avg(dist), 6) FROM d GROUP BY ALL")
+def pooled_samples(spark, sf_dir):
+    """Samples of all flowers, written once, and their means."""
+    d = _pixels(spark).where("roi").select("image_id", F.col("pat").alias("pattern"), (F.col("y") / float(H)).alias("pos"), (F.abs(F.col("x") - 40) / 40.0).alias("dist"))
+    return written(pixels.pooled_samples(d), "samples").groupBy("kind", "variable").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
 @query("pixel_dominance_gain", f"WITH {GRID} SELECT image_id, sum((r - greatest(g, b)) - (g - greatest(r, b))) AS gain FROM px WHERE roi GROUP BY image_id")
 def pixel_dominance_gain(spark, sf_dir):
     r, g, b = F.col("r"), F.col("g"), F.col("b")

@@ -260,3 +260,25 @@ def test_mixture_recovers_roles(spark):
 def test_mask_queries_take_every_image(spark, query):
     images = {r["image_id"] for r in _pixels(spark).select("image_id").distinct().collect()}
     assert {r["image_id"] for r in catalog.queries()[query](spark, "").select("image_id").collect()} == images
+
+
+def test_photos_are_matched_one_to_one(spark):
+    y, x = np.mgrid[:120, :120]
+    hands = {"1": ((x - 60) / 40.0) ** 2 + ((y - 60) / 20.0) ** 2 < 1, "2": (abs(x - 60) < 25) & (abs(y - 60) < 24)}
+    rows = [("s", k, *m.shape, bytearray(m.astype(np.uint8).tobytes()), 9.0 if k == "1" else 1.0, 3.0 if k == "1" else 2.0) for k, m in hands.items()]
+    h = spark.createDataFrame(rows, "sheet string, corolla_id string, h int, w int, mask binary, hand_length double, hand_width double")
+    photos = [("s", f"p{k}", *np.roll(m, 9, (0, 1)).shape, bytearray(np.roll(m, 9, (0, 1)).astype(np.uint8).tobytes())) for k, m in hands.items()]
+    out = {r["corolla_id"]: r for r in imaging.match_photos(spark.createDataFrame(photos, "sheet string, photo string, h int, w int, mask binary"), h).collect()}
+    assert {k: r["photo"] for k, r in out.items()} == {"1": "p1", "2": "p2"} and all(r["match_iou"] > 0.9 for r in out.values())
+    assert out["1"]["corolla_length_mm"] > out["1"]["corolla_width_obs_mm"] and out["2"]["corolla_length_mm"] <= out["2"]["corolla_width_obs_mm"]
+
+
+def test_frames_stand_upright(spark):
+    m = np.zeros((60, 90), np.uint8)
+    m[25:35, 5:85] = 1
+    p = np.zeros_like(m)
+    p[27:30, 10:40] = 1
+    d = spark.createDataFrame([(1, 60, 90, bytearray(m.tobytes()), bytearray(p.tobytes()))], "image_id long, h int, w int, mask binary, pattern binary")
+    r = imaging.upright_frames(d).first()
+    frame = np.frombuffer(r["mask"], np.uint8).reshape(r["h"], r["w"])
+    assert min(r["h"], r["w"]) <= 12 and abs(int(frame.sum()) - int(m.sum())) < 60 and abs(sum(r["pattern"]) - int(p.sum())) < 20
