@@ -158,9 +158,15 @@ def module_integration(spark, sf_dir):
     return d.select("module_a", "module_b", F.round("within_r", 5).alias("within_r"), F.round("between_r", 5).alias("between_r"))
 
 
-@query("module_integration_left_out")
+_LEFT_OUT = f"""WITH {PLANTS}, s AS (SELECT island, site, {', '.join(f'avg({c}) AS {c}' for c in PROFILE)} FROM plants GROUP BY ALL), o AS (SELECT DISTINCT island AS omitted FROM s), d AS (SELECT * FROM s, o WHERE island <> omitted),
+c AS (SELECT omitted, {', '.join(f'{c} - avg({c}) OVER (PARTITION BY omitted, island) AS {c}' for c in PROFILE)} FROM d), m AS (SELECT omitted, island, {', '.join(f'avg({c}) AS {c}' for c in PROFILE)} FROM d GROUP BY ALL)
+""" + " UNION ALL ".join(f"SELECT omitted, '{a}' AS module_a, '{b}' AS module_b, round(w, 5) AS within_r, round(v, 5) AS between_r FROM (SELECT omitted, corr({a}, {b}) AS w FROM c GROUP BY 1) JOIN (SELECT omitted, corr({a}, {b}) AS v FROM m GROUP BY 1) USING (omitted)" for a, b in (("price", "balance"), ("price", "flowers"), ("balance", "flowers")))
+
+
+@query("module_integration_left_out", _LEFT_OUT)
 def module_integration_left_out(spark, sf_dir):
-    return syndrome.integration_left_out(_sites(spark, sf_dir), "island", ["price", "balance", "flowers"])
+    d = syndrome.integration_left_out(_sites(spark, sf_dir), "island", PROFILE)
+    return d.select("omitted", "module_a", "module_b", *(F.round(c, 5).alias(c) for c in ("within_r", "between_r")))
 
 
 @query("module_integration_bootstrap")
