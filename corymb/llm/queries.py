@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corymb.llm import blocks, bytecnn, countjoin, gam, hilbert, line_dedup, mixing, orderhash, ownership, winnow
+from corymb.llm import blocks, bytecnn, countjoin, gam, hilbert, idfiles, line_dedup, merkle, mixing, orderhash, ownership, periodic, winnow
 
 
 def _docs(f):
@@ -25,6 +25,9 @@ def queries() -> dict:
         "op8_additive_quality": _docs_and("labels", gam.quality_digest),
         "op9_water_filling": _docs(mixing.mix_digest),
         "op10_count_join": _docs(countjoin.join_digest),
+        "op11_merkle_manifest": _docs(merkle.proof_digest),
+        "op12_token_files": _docs(idfiles.id_digest),
+        "op13_periodic_runs": _docs(periodic.run_digest),
     }
 
 
@@ -36,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_site_lines": line_dedup.LINE_SQL,
         "op9_water_filling": mixing.MIX_SQL,
         "op10_count_join": countjoin.JOIN_SQL,
+        "op11_merkle_manifest": merkle.PROOF_SQL,
     }
