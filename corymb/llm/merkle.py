@@ -9,14 +9,14 @@ partitioned by level:
 
 1. Leaves are sorted into runs (ranges of group and key), numbered in each run as they stream by, and given
    their place by prefix sums over the runs' counts.  Only keys and hashes are moved, never texts.
-2. Runs of ``2 ** STRIDE`` consecutive places of a group lie together; a task streams its runs and writes the
-   nodes of ``STRIDE`` levels.  The highest of these levels is read for the next ones.  A run's own nodes
+2. Runs of ``2 ** stride`` consecutive places of a group lie together; a task streams its runs and writes the
+   nodes of ``stride`` levels.  The highest of these levels is read for the next ones.  A run's own nodes
    are all that a task holds.
 3. Proofs go down the same way.  A node's siblings in its run come from the run; the siblings above are the
    run's own path, which was extracted a step earlier.  Path and nodes are merged in order of their
    coordinates, so a path is read once for all nodes of its run.
 
-Each step is a shuffle of keys and hashes by (group, run), and there is one for each ``STRIDE`` levels; a group
+Each step is a shuffle of keys and hashes by (group, run), and there is one for each ``stride`` levels; a group
 of a third of all rows is many runs.
 
 Nulls: a null field counts as ``-``; a null key sorts first; rows of a null group are a group, which comes
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from corymb.llm.shared import fits, materialise, need, shared_dir, small_batches
 
-#: Levels that one run covers: 1024 nodes of 32 bytes.
+#: Levels that one run covers unless stated: 1024 nodes of 32 bytes.
 STRIDE = 10
 #: Runs and groups up to which their offsets are broadcast, some 40 bytes each.
 BROADCAST_OFFSETS = 250_000
@@ -129,9 +129,9 @@ def placed(leaves: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return out.select(*leaves.columns, (F.col("seq") + F.col("offset")).alias("pos"), "count")
 
 
-def _runs(df: DataFrame, *also: str) -> DataFrame:
+def _runs(df: DataFrame, stride: int, *also: str) -> DataFrame:
     """``df`` (group, count, pos, ...) dealt by run and sorted by coordinate."""
-    run = F.shiftright("pos", STRIDE).alias("block")
+    run = F.shiftright("pos", stride).alias("block")
     return df.select("*", run).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group", "block").sortWithinPartitions("group", "block", *also, "pos")
 
 
@@ -152,19 +152,19 @@ def _streamed(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> It
 class Store:
     """The nodes of a forest, a tree for each group: Parquet below ``folder``, partitioned by level."""
 
-    def __init__(self, leaves: DataFrame, folder: str):
-        """``leaves``: (group, pos, count, hash) with gapless places.  Writes all nodes, ``STRIDE`` levels a step."""
-        self.spark, self.folder = leaves.sparkSession, folder
+    def __init__(self, leaves: DataFrame, folder: str, stride: int = STRIDE):
+        """``leaves``: (group, pos, count, hash) with gapless places.  Writes all nodes, ``stride`` levels a step."""
+        self.spark, self.stride = leaves.sparkSession, stride
         self.kind = leaves.schema["group"].dataType.simpleString()
         at, base, self.steps = leaves.select("group", "pos", "count", "hash"), 0, []
         while True:
             path = f"{folder}/step={base}"
             self._write(at, base, path)
             self.steps.append((base, path))
-            top = self.level(base + STRIDE)
+            top = self.level(base + stride)
             if not top.limit(1).count():
                 break
-            at, base = top, base + STRIDE
+            at, base = top, base + stride
 
     def level(self, level: int) -> DataFrame:
         """(group, pos, count, hash) of the nodes of one level; ``count`` is the group's number of leaves."""
@@ -172,20 +172,22 @@ class Store:
         return self.spark.read.schema(f"`group` {self.kind}, pos long, count long, hash binary, level int").parquet(path).where(F.col("level") == level).drop("level")
 
     def _write(self, nodes: DataFrame, base: int, path: str) -> None:
+        stride = self.stride
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _streamed(batches, ("group", "block", "pos", "count", "hash")):
                 group, count, block = rows[0]["group"], rows[0]["count"], rows[0]["block"]
                 height = max(0, (count - 1).bit_length() - base)
-                floors = tower([r["hash"] for r in rows], min(STRIDE, height))
+                floors = tower([r["hash"] for r in rows], min(stride, height))
                 for k, hashes in enumerate(floors):
                     if k or not base:
-                        first = block << STRIDE >> k
+                        first = block << stride >> k
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([group] * len(hashes), kind), pa.array(range(first, first + len(hashes)), pa.int64()), pa.array([count] * len(hashes), pa.int64()), pa.array(hashes, pa.binary()), pa.array([base + k] * len(hashes), pa.int32())], names=["group", "pos", "count", "hash", "level"]
                         )
 
         kind = pa.string() if self.kind == "string" else pa.int64()
-        out = _runs(nodes).mapInArrow(run, f"`group` {self.kind}, pos long, count long, hash binary, level int")
+        out = _runs(nodes, stride).mapInArrow(run, f"`group` {self.kind}, pos long, count long, hash binary, level int")
         out.write.partitionBy("level").parquet(path)
 
     def subroots(self) -> DataFrame:
@@ -205,18 +207,18 @@ class Store:
         """
         top = self.steps[-1][0]
         now = above.select("group", F.lit(0).cast("long").alias("pos"), "path")
-        for base in range(top, 0, -STRIDE):
+        for base in range(top, 0, -self.stride):
             now = materialise(self.extract(self.level(base), now, base), "paths")
         return now
 
     def extract(self, nodes: DataFrame, paths: DataFrame, base: int) -> DataFrame:
         """(group, pos, path) of each of ``nodes`` (of level ``base``), given its run's ``paths``: a merge-scan by coordinate."""
-        kind = pa.string() if self.kind == "string" else pa.int64()
+        kind, stride = pa.string() if self.kind == "string" else pa.int64(), self.stride
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _streamed(batches, ("group", "block", "pos", "count", "hash", "path")):
                 head, below = rows[0]["path"], rows[1:]
-                own = [packed(p) + head for p in siblings(below, base)]
+                own = [packed(p) + head for p in siblings(below, base, stride)]
                 if not below:  # the group's tree ends further down, and its path waits for it
                     own, below = [head], rows
                 yield pa.RecordBatch.from_arrays([pa.array([r["group"] for r in below], kind), pa.array([r["pos"] for r in below], pa.int64()), pa.array(own, pa.binary())], names=["group", "pos", "path"])
@@ -226,14 +228,14 @@ class Store:
     def merged(self, nodes: DataFrame, paths: DataFrame, *also: str) -> DataFrame:
         """Nodes and the paths of their runs in order of coordinates; a run's path comes before its nodes."""
         void = [F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in ("count", "hash", *also)]
-        heads = paths.select("group", F.shiftleft("pos", STRIDE).alias("pos"), "path", F.lit(0).alias("turn"), *void)
+        heads = paths.select("group", F.shiftleft("pos", self.stride).alias("pos"), "path", F.lit(0).alias("turn"), *void)
         rows = nodes.select("group", "pos", F.lit(None).cast("binary").alias("path"), F.lit(1).alias("turn"), "count", "hash", *also)
-        return _runs(heads.unionByName(rows), "turn")
+        return _runs(heads.unionByName(rows), self.stride, "turn")
 
 
-def siblings(rows: list[dict], base: int) -> list[list[tuple[bool, bytes]]]:
+def siblings(rows: list[dict], base: int, stride: int) -> list[list[tuple[bool, bytes]]]:
     """The siblings of each of a run's nodes at the levels that the run covers."""
-    height = min(STRIDE, max(0, (rows[0]["count"] - 1).bit_length() - base)) if rows else 0
+    height = min(stride, max(0, (rows[0]["count"] - 1).bit_length() - base)) if rows else 0
     floors = tower([r["hash"] for r in rows], max(0, height - 1))
     out = []
     for i in range(len(rows)):
@@ -257,13 +259,13 @@ def _folder(df: DataFrame, name: str) -> str:
 class Manifest:
     """Trees of all groups and the tree over their subroots, for leaves (group, hash, ``order``..., ...)."""
 
-    def __init__(self, leaves: DataFrame, order: tuple[str, ...], folder: str | None = None):
+    def __init__(self, leaves: DataFrame, order: tuple[str, ...], folder: str | None = None, stride: int = STRIDE):
         small_batches(leaves.sparkSession)
         folder = folder or _folder(leaves, "merkle")
         self.leaves = placed(leaves, order)
-        self.trees = Store(self.leaves, f"{folder}/groups")
+        self.trees = Store(self.leaves, f"{folder}/groups", stride)
         self.tops = materialise(placed(self.trees.subroots().select(F.lit(0).cast("long").alias("group"), F.col("group").alias("name"), F.col("hash")), ("name",)), "subroots")
-        self.crown = Store(self.tops, f"{folder}/root")
+        self.crown = Store(self.tops, f"{folder}/root", stride)
 
     def root(self) -> DataFrame:
         """(group, root): one row, or none for an empty dataset."""
@@ -275,13 +277,13 @@ class Manifest:
         # a row a group: the way from its subroot to the root, then both of these; the root is one row
         tops = self.tops.join(crown, ["group", "pos"]).join(F.broadcast(self.root()), "group")
         above = materialise(tops.select(F.col("name").alias("group"), F.concat("path", "hash", "root").alias("path")), "above")
-        names = ("hash", *also)
+        names, stride = ("hash", *also), self.trees.stride
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _streamed(batches, ("group", "block", "pos", "count", "path", *names)):
                 head, rows = rows[0]["path"], rows[1:]
                 rest, ends = head[:-64], head[-64:]
-                own = [packed(p) + rest for p in siblings(rows, 0)]
+                own = [packed(p) + rest for p in siblings(rows, 0, stride)]
                 yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], t) for c, t in zip(names, kinds, strict=True)), pa.array([ends[:32]] * len(rows), pa.binary()), pa.array([ends[32:]] * len(rows), pa.binary()), pa.array(own, pa.binary())], names=[*names, "subroot", "root", "path"])
 
         fields = [self.leaves.schema[c] for c in names]
@@ -293,14 +295,14 @@ class Manifest:
 DIGEST = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
-def proof_digest(docs: DataFrame) -> DataFrame:
+def proof_digest(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
     """The contract's rows for a documents table: each row's proof, checked after some rows were tampered with."""
     docs = need(docs, doc_id="long", source="string", lang="string", n_chars="long", text="string")
     row = lambda n: leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
     touched = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
     more = row(F.col("n_chars").cast("decimal(20,0)") + 1)
     leaves = materialise(docs.select(F.col("lang").alias("group"), "doc_id", row(F.col("n_chars")).alias("hash"), F.when(touched, more).alias("changed")), "leaves")
-    proved = Manifest(leaves, ("doc_id", "hash")).proofs("doc_id", "changed")
+    proved = Manifest(leaves, ("doc_id", "hash"), stride=stride).proofs("doc_id", "changed")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

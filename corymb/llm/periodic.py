@@ -8,8 +8,8 @@ that step meets one of them.  All periods' grids together have a harmonic number
 
 For all (period, grid point) pairs of many texts at once, in numpy: pairs whose words differ are dropped,
 then a binary search over prefix hashes finds how far the equality reaches to either side.  Words are
-numbered exactly, a text at a time; what the hashes found is compared word by word, and a pair whose hashes
-lied is done again by comparing.  Of pairs that found one stretch, the least period counts: a longer period
+numbered exactly, a text at a time; what the hashes found is compared word by word, and a text whose hashes
+lied is done again by comparing alone.  Of pairs that found one stretch, the least period counts: a longer period
 of a stretch of four of its lengths is a multiple of the smallest one, which spans the same stretch.
 
 Nulls: a null text has no words; a null id changes nothing.  Repeated rows get equal results, whatever
@@ -88,11 +88,15 @@ def _reach(sums: np.ndarray, i: np.ndarray, q: np.ndarray, room: np.ndarray, bac
     return lo
 
 
-def _compared(ids: np.ndarray, lo: int, hi: int, i: int, q: int) -> tuple[int, int]:
-    """The stretch of period ``q`` around place ``i`` of the words from ``lo`` to ``hi``, by comparing words."""
-    unlike = np.flatnonzero(ids[lo : hi - q] != ids[lo + q : hi]) + lo
-    k = int(np.searchsorted(unlike, i))
-    return (int(unlike[k - 1]) + 1 if k else lo), (int(unlike[k]) if k < len(unlike) else hi - q) + q
+def _compared(ids: np.ndarray, exponent: int, least: int) -> list[tuple[int, int, int]]:
+    """(start, stop, period) of all runs of one text, by comparing its words for every period."""
+    found: dict[tuple[int, int], int] = {}
+    for q in range(1, len(ids) // exponent + 1):
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], ids[:-q] == ids[q:], [False]])))
+        for start, stop in zip(edges[::2].tolist(), (edges[1::2] + q).tolist(), strict=True):
+            if stop - start >= max(least, exponent * q):
+                found.setdefault((start, stop), q)
+    return [(*span, q) for span, q in found.items()]
 
 
 def _fewest(rows: np.ndarray) -> np.ndarray:
@@ -134,20 +138,19 @@ def runs_of(ids: np.ndarray, bounds: np.ndarray, exponent: int = EXPONENT, least
             kept = len(found[0]) // 2
     if not found:
         return np.zeros((0, 4), np.int64)
-    out = []
-    for text, start, stop, q, i in _fewest(np.concatenate(found)).tolist():
+    out, lied = [], set()
+    for text, start, stop, q, _ in _fewest(np.concatenate(found)).tolist():
         lo, hi = int(bounds[text]), int(bounds[text + 1])
-        same = bool((ids[start : stop - q] == ids[start + q : stop]).all())
+        same = text not in lied and bool((ids[start : stop - q] == ids[start + q : stop]).all())
         if not same or (start > lo and ids[start - 1] == ids[start - 1 + q]) or (stop < hi and ids[stop] == ids[stop - q]):
-            start, stop = _compared(ids, lo, hi, i, q)
-            if stop - start < max(least, exponent * q):
-                continue
-        out.append((text, start, stop, q))
-    least_period: dict[tuple[int, int, int], int] = {}
-    for text, start, stop, q in out:
-        least_period[text, start, stop] = min(q, least_period.get((text, start, stop), q))
-    rows = sorted((text, start - int(bounds[text]), stop - start, q) for (text, start, stop), q in least_period.items())
-    rows.sort(key=lambda r: (r[0], r[1], r[3]))
+            lied.add(text)
+        out.append((text, start - lo, stop - lo, q))
+    if lied:
+        out = [r for r in out if r[0] not in lied] + [(t, *r) for t in lied for r in _compared(ids[bounds[t] : bounds[t + 1]], exponent, least)]
+    spans: dict[tuple[int, int, int], int] = {}
+    for *span, q in out:
+        spans[tuple(span)] = min(q, spans.get(tuple(span), q))
+    rows = sorted(((t, start, stop - start, q) for (t, start, stop), q in spans.items()), key=lambda r: (r[0], r[1], r[3]))
     return np.array(rows, np.int64).reshape(-1, 4)
 
 
