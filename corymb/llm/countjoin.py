@@ -1,18 +1,19 @@
 """Exact n-gram Jaccard join with count vectors and R-trees.
 
 A text's set of word shingles is hashed into groups, and the number of shingles in each group makes it a
-point: by its high bits a hash belongs to one of ``k`` blocks, by its low bits to one of ``2 ** FINE``
-groups of the block.  If two sets have Jaccard ``num/den`` or more, their points differ by at most
-``D = (den - num) / (den + num) * (|A| + |B|)`` over all coordinates, and the sum of the smaller
-coordinates bounds their intersection from above, at a single point as well as at a box's upper corner.
+point.  The sum of the smaller coordinates of two points bounds the intersection of their sets from above,
+at a single point as well as at a box's upper corner, and for coarse groups as well as for fine ones.  So two
+sets can only have Jaccard ``num/den`` if their summed minima reach ``num / (num + den) * (|A| + |B|)``.
 
 1. Equal sets become one class, so copies cost nothing further.
-2. Directory, the upper levels of the tree.  With ``k = D + 2`` blocks of coordinates two linked points
-   agree on all coordinates of two blocks at least.  A class is filed under the counts of each block that
-   isn't empty, and under each pair of empty blocks: linked points agree on a filled block, or on two
-   empty ones.  So no cell is shared for want of content.  Sizes are taken in overlapping ranges, so that
-   D is known.  Classes of one cell are tied to the least of them (a *star*); both ends of a link are in
-   the star of the cell they share.
+2. Directory, the upper levels of the tree, on the finest coordinates: ``2 ** 56`` hash groups.  All
+   coordinates stand in one order, rare ones first.  Two linked points share a mass of
+   ``ceil(num / den * |A|)`` at least in summed minima; so if a class is filed under its first coordinates up to a
+   mass of ``|A| - ceil(num / den * |A|) + 1``, linked classes are filed under a common one, whatever the
+   order.  Rare first means that texts of one template, which agree in its words and differ in the rest,
+   are filed under the rest and don't meet.  How rare a coordinate is, is counted over all classes in
+   ``2 ** SKETCH`` counters of which only the logarithm is broadcast: its size is fixed, and counts that
+   run together cost time, never a link.  Classes of one cell are tied to the least of them (a *star*).
 3. Lower levels: a star's points, summed to ``GROUPS`` coordinates, are packed in an R-tree and searched
    with the bound of summed minima; what survives is verified on the sets.  A star of over ``chunk``
    classes is cut: each chunk meets the star's least class and itself, and only classes that are then
@@ -31,10 +32,10 @@ are read, so other columns can't clash; without one of them a ValueError is rais
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,9 @@ from corymb.llm import tokens
 from corymb.llm.components import components
 from corymb.llm.shared import fits, materialise, need, small_batches
 
-GROUPS, LEAF, FINE = 64, 16, 20
+GROUPS, LEAF = 64, 16
+#: Counters of the rarity sketch (a power of two), one byte each when broadcast, and the parts that they are summed in.
+SKETCH, PARTS = 24, 64
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -65,47 +68,73 @@ def set_key(s: np.ndarray) -> int:
     return int(tokens.mix(total).view(np.int64)[0])
 
 
-@lru_cache(4)
-def size_ranges(num: int, den: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping ranges of set sizes, and the greatest difference of two linked sets in each.
+def prefix_mass(n: int, num: int, den: int) -> int:
+    """Mass of a set's first coordinates, one of which each linked set has among its own first ones."""
+    return n - -(-n * num // den) + 1
 
-    Two sizes a <= b can only link if b * num <= a * den; every such pair lies in one range at least.
-    """
-    lows, highs = [1], []
-    while lows[-1] < top:
-        edge = lows[-1]
-        for _ in range(2):
-            edge = edge * den // num + 1
-        highs.append(edge * den // num)  # whatever links with a size below the next range's low
-        lows.append(edge)
-    lows, highs = np.array(lows[:-1], np.int64), np.array(highs, np.int64)
-    return lows, highs, (den - num) * 2 * highs // (den + num)
-
-
-def cells(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The directory cells of a set, for each range of sizes that it is in."""
-    lows, highs, most = size_ranges(num, den)
-    n, out = len(s), []
+
+def cells(s: np.ndarray, rarity: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The directory cells of a set: its first coordinates by (rarity, hash)."""
+    n = len(s)
     if not n:
         return np.zeros(0, np.uint64)
-    # the sum of a block's mixed group numbers stands for its counts
-    groups = tokens.mix((s & np.uint64((1 << FINE) - 1)) + _SALT)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(groups, dtype=np.uint64)])
-    last = int(np.searchsorted(lows, n, "right")) - 1
-    for r in range(max(0, last - 2), last + 1):
-        if not (n <= highs[r]) or not most[r]:
-            continue  # without any difference only equal sets link
-        k = int(most[r]) + 2
-        # block j holds the hashes from j/k to (j+1)/k of all numbers; the set is sorted, so each is a run of it
-        edges = np.searchsorted(s, ((np.arange(1, k, dtype=np.uint64) << np.uint64(32)) // np.uint64(k)) << np.uint64(32))
-        edges = np.concatenate([[0], edges, [n]])
-        filled = edges[1:] > edges[:-1]
-        names = tokens.mix(np.arange(k, dtype=np.uint64) + np.uint64((r + 1) << 32))
-        out.append(tokens.mix((sums[edges[1:]] - sums[edges[:-1]])[filled] + names[filled]))
-        empty = names[~filled]
-        i, j = np.triu_indices(len(empty), 1)
-        out.append(tokens.mix(empty[i] + tokens.mix(empty[j] ^ _SALT)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    key = (rarity[(s >> np.uint64(64 - _bits(rarity))).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s & np.uint64((1 << 56) - 1))
+    most = prefix_mass(n, num, den)
+    return np.unique(np.partition(key, most - 1)[:most] if most < n else key)
+
+
+def _bits(rarity: np.ndarray) -> int:
+    return len(rarity).bit_length() - 1
+
+
+def _counters(docs: DataFrame, width: int, bits: int, buffer: int = 1 << 21) -> np.ndarray:
+    """How often each counter's coordinates occur in all classes, as twice the binary logarithm.
+
+    A task sends its counts in ``PARTS`` parts, as compressed steps from counter to counter; each part is summed by
+    itself, and the driver gets one byte a counter.
+    """
+    low = bits - PARTS.bit_length() + 1  # bits of a counter's number in its part
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        seen: set[int] = set()
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            at, counts = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(at, np.arange(PARTS + 1, dtype=np.uint32) << np.uint32(low))
+            raw = [(i, np.diff(at[a:b], prepend=np.uint32(i << low)).astype("<u4").tobytes(), counts[a:b].astype("<u4").tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in raw], pa.int32()), *(pa.array([pack(r[k]) for r in raw], pa.binary()) for k in (1, 2))], names=["part", "steps", "counts"])
+
+        for b in batches:
+            for s in shingle_sets(*tokens.text_bytes(b.column("text")), width):
+                if len(s) and (key := set_key(s)) not in seen:
+                    seen.add(key)
+                    held.append((s >> np.uint64(64 - bits)).astype(np.uint32))
+                    n += len(s)
+                    if n > buffer:
+                        yield flush()
+                        held, n = [], 0
+        if held:
+            yield flush()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, steps, counts in zip(b.column("part").to_pylist(), b.column("steps"), b.column("counts"), strict=True):
+                at = np.cumsum(np.frombuffer(unpack(steps.as_buffer()), "<u4"))
+                sums.setdefault(part, np.zeros(1 << low, np.int64))[at] += np.frombuffer(unpack(counts.as_buffer()), "<u4")
+        for part, total in sums.items():
+            levels = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.ZstdCompressor().compress(levels.tobytes())], pa.binary())], names=["part", "levels"])
+
+    sent = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(count, "part int, steps binary, counts binary")
+    rows = sent.repartition(PARTS, "part").mapInArrow(add, "part int, levels binary").collect()  # a row a part
+    out = np.zeros(1 << bits, np.uint8)
+    for r in rows:
+        out[r["part"] << low : (r["part"] + 1) << low] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["levels"])), np.uint8)
+    return out
 
 
 class CountTree:
@@ -190,8 +219,9 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _filed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _filed(docs: DataFrame, width: int, num: int, den: int, bits: int) -> DataFrame:
     """(cell, sid) for each cell of each set; a set once for each task."""
+    rarity = docs.sparkSession.sparkContext.broadcast(_counters(docs, width, bits))  # 2 ** bits bytes, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -202,7 +232,7 @@ def _filed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 key = set_key(s)
                 if len(s) and key not in seen:
                     seen.add(key)
-                    cs.append(cells(s, num, den))
+                    cs.append(cells(s, rarity.value, num, den))
                     ks.append(np.full(len(cs[-1]), key, np.int64))
                     rows += len(ks[-1])
                     if rows > 200_000:
@@ -257,7 +287,7 @@ def _search(num: int, den: int, every: bool):
 class _Join:
     """The steps that components and links share."""
 
-    def __init__(self, docs: DataFrame, width: int, num: int, den: int, chunk: int, broadcast_rows: int):
+    def __init__(self, docs: DataFrame, width: int, num: int, den: int, chunk: int, broadcast_rows: int, bits: int = SKETCH):
         self.num, self.den, self.chunk = num, den, chunk
         docs = need(docs, doc_id="long", text="string")
         self.spark = docs.sparkSession
@@ -265,7 +295,7 @@ class _Join:
         self.members = materialise(_sets(docs, width), "sets")
         self.classes = self.members.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("first"))
 
-        filed = materialise(_filed(docs, width, num, den), "filed")
+        filed = materialise(_filed(docs, width, num, den, bits), "filed")
         met = materialise(filed.groupBy("cell").agg(F.min("sid").alias("star"), F.max("sid").alias("last"), F.count("*").alias("n")).where("star < last"), "cells")
         # most cells that are shared hold two classes; the others are joined back, in parts if one is hot
         more = met.where("n > 2").select("cell", "star")
@@ -316,12 +346,12 @@ class _Join:
         return self.search(tasks, every=True).distinct()
 
 
-def jaccard_classes(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int = 250_000) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int = 250_000, bits: int = SKETCH) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, component_th) for each row; links are Jaccard >= num/den.
 
     ``th`` tells texts with one id apart; the least (id, th) of a component stands for it.
     """
-    join = _Join(docs, width, num, den, chunk, broadcast_rows)
+    join = _Join(docs, width, num, den, chunk, broadcast_rows, bits)
     joined = components(join.connecting_links())
     named = join.classes.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     lowest = named.groupBy("root").agg(F.min("first").alias("kept"))
@@ -336,9 +366,9 @@ def jaccard_components(docs: DataFrame, **how: int) -> DataFrame:
     return jaccard_classes(docs, **how).select("doc_id", "n_shingles", "component_id")
 
 
-def jaccard_links(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int = 250_000, bits: int = SKETCH) -> tuple[DataFrame, DataFrame]:
     """All links as pairs (a, b) of class ids, and the membership (doc_id, class_id) of rows that have shingles."""
-    join = _Join(docs, width, num, den, chunk, broadcast_rows)
+    join = _Join(docs, width, num, den, chunk, broadcast_rows, bits)
     return join.all_links(), join.members.where("n > 0").select("doc_id", F.col("sid").alias("class_id"))
 
 

@@ -742,14 +742,31 @@ def test_copies_of_sets_stay_in_proportion_to_a_star(spark):
     assert sizes[-1] < 1.5 * sizes[0] and sizes[-1] < 2.5
 
 
-def test_no_cell_is_shared_for_want_of_content():
-    rng = np.random.default_rng(3)
-    seen = {}
-    for i in range(4000):
-        s = np.unique(rng.integers(0, 2**64, 100, dtype=np.uint64))
-        for c in countjoin.cells(s, 9, 10).tolist():
-            seen.setdefault(c, set()).add(i)
-    assert max(map(len, seen.values())) <= 3 and sum(len(x) > 1 for x in seen.values()) < 100
+@pytest.mark.parametrize("shared", [0.5, 0.7, 0.8])
+def test_texts_of_one_template_do_not_meet(spark, shared):
+    """Sets of 1000 shingles that share a template and differ in the rest: none link, and twice the texts cost twice."""
+    rng = np.random.default_rng(5)
+    template = np.sort(rng.integers(0, 2**64, int(1000 * shared), dtype=np.uint64))
+    for n in (500, 1000, 2000):
+        sets = [np.unique(np.concatenate([template, rng.integers(0, 2**64, 1000 - len(template), dtype=np.uint64)])) for _ in range(n)]
+        counts = np.bincount((np.concatenate(sets) >> np.uint64(40)).astype(np.int64), minlength=1 << 24)
+        rarity = np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+        filed = np.concatenate([countjoin.cells(s, rarity, 9, 10) for s in sets])
+        _, size = np.unique(filed, return_counts=True)
+        assert len(filed) == n * 101 and (size > 1).sum() <= n // 100  # a few rest shingles share a counter
+
+
+@pytest.mark.parametrize("shared", [50, 70, 80])
+def test_copies_of_sets_stay_in_proportion_to_templates(spark, shared):
+    rng = random.Random(shared)
+    template = words(rng, 3 * shared, 10**6)
+    dealt = []
+    for n in (150, 300, 600):
+        rows = [(i, " ".join(template + words(rng, 300 - 3 * shared, 10**6)), None, None, None) for i in range(n)]
+        join = countjoin._Join(frame(spark, rows), 3, 9, 10, 25, 1000)
+        assert components.components(join.connecting_links()).count() == 0
+        dealt.append(join.inside.count())
+    assert dealt[-1] <= 60
 
 
 def test_join_edges(spark):
@@ -771,7 +788,8 @@ def test_directory_and_tree_lose_nothing():
                 b = np.unique(np.append(b, rng.integers(0, 2**64, 1, dtype=np.uint64)))
         both = len(np.intersect1d(a, b))
         if 10 * both >= 9 * (len(a) + len(b) - both) and len(a) and not np.array_equal(a, b):
-            assert len(np.intersect1d(countjoin.cells(a, 9, 10), countjoin.cells(b, 9, 10)))
+            rarity = rng.integers(0, 40, 256, dtype=np.uint8)
+            assert len(np.intersect1d(countjoin.cells(a, rarity, 9, 10), countjoin.cells(b, rarity, 9, 10)))
     sets = [np.unique(rng.integers(0, 2**64, int(rng.integers(20, 60)), dtype=np.uint64)) for _ in range(100)]
     counts = np.stack([np.bincount((s & np.uint64(63)).astype(int), minlength=64) for s in sets])
     sizes = np.array([len(s) for s in sets])
