@@ -7,8 +7,9 @@ owner has, or that its owner has in over ``most_repositories`` repositories, is
 any other looks live.  Live-looking tokens are added to the spans with kind ``token``; base hits get the
 same judgement in ``n_live`` and ``n_example``.
 
-Texts are scanned where they lie: only the few candidates are shuffled, first reduced to distinct
-(hash, owner, repository) on each task, then counted.  The counts are written before they go back to
+Texts are scanned where they lie: only the few candidates are shuffled.  A text's matches become rows, so a
+text with any number of them costs in proportion.  They are reduced to distinct (hash, owner, repository) on each
+task, then counted.  The counts are written before they go back to
 the candidates, so both sides of that join are plain shuffles and a value that a third of all rows hold
 is split over tasks.
 
@@ -19,7 +20,7 @@ table gives no rows.  Only the columns named are read, so others can't clash; a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corymb.llm.shared import materialise, need
@@ -37,31 +38,37 @@ KINDS = tuple(k for k, *_ in BASE) + ("token",)
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
 
 
-def spans(text: Column, kind: int, pattern: str, group: int, least: int, hint: Column) -> Column:
-    """All leftmost non-overlapping matches as (start, kind, end, value), in code points.
-
-    Spark has no match positions, so they are summed up from the lengths of matches and gaps.
-    """
+def matches(text: Column, kind: int, pattern: str, group: int, hint: Column) -> Column:
+    """All leftmost non-overlapping matches as (kind, i, gap, hit, value): lengths of the gap before and of the match."""
     rx = F.lit(pattern)
     parts = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, rx, 0).alias("hit"), F.regexp_extract_all(text, rx, group).alias("value"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["gap"])
-        end = begin + F.coalesce(F.length(p["hit"]), F.lit(0))
-        found = F.struct(begin.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end"), p["value"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.when(F.length(p["value"]) >= least, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+    row = lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(p["gap"]).cast("long").alias("gap"), F.length(p["hit"]).cast("long").alias("hit"), p["value"].alias("value"))
+    found = F.filter(F.transform(parts, row), lambda p: p["hit"].isNotNull())  # the last gap ends the text
+    return F.when(hint, found).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:bigint,hit:bigint,value:string>>"))
 
-    return F.when(hint, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
+def candidates(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, owner, repository, start, kind, end, value) of base spans, and of long mixed-case tokens that overlap none.
 
-def candidates(text: Column) -> dict[str, Column]:
-    """Base spans in order, and long mixed-case tokens that overlap no base span."""
-    found = [spans(text, i, p, g, n, text.rlike(HINTS[k])) for i, (k, p, g, n) in enumerate(BASE)]
-    base = F.array_sort(F.concat(*found))
-    kind, pattern, group, least = TOKEN
-    tokens = F.filter(spans(text, 3, pattern, group, least, text.rlike(HINTS[kind])), lambda s: s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]") & s["value"].rlike("[0-9]"))
-    return {"base": base, "tokens": tokens}
+    Spark has no match positions, so they are running sums over the lengths of a text's gaps and matches.
+    Whether a token overlaps a base span is seen by two sweeps in order of the starts: how far the base
+    spans before it reach, and where the next one begins.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = F.concat(*(matches(text, i, p, g, text.rlike(HINTS[k])) for i, (k, p, g, _) in enumerate((*BASE, TOKEN))))
+    key = ["doc_id", "th", "owner", "repository"]
+    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), "owner", "repository", F.explode(found).alias("m")).select(*key, "m.*").distinct()
+    so_far = Window.partitionBy(*key, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.repartition("doc_id", "th").withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(so_far)).withColumn("start", F.col("end") - F.col("hit"))
+    long = F.element_at(F.array(*(F.lit(n) for *_, n in (*BASE, TOKEN))), F.col("kind") + 1)
+    mixed = F.col("value").rlike("[A-Z]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[0-9]")
+    rows = rows.where((F.length("value") >= long) & ((F.col("kind") < 3) | mixed))
+    base = lambda c: F.when(F.col("kind") < 3, F.col(c))
+    before = Window.partitionBy(*key).orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*key).orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"reach": F.max(base("end")).over(before)}).withColumns({"next": F.min(base("start")).over(after)})
+    clear = (F.coalesce("reach", F.lit(-1)) <= F.col("start")) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))
+    return rows.where((F.col("kind") < 3) | clear).select(*key, "start", "kind", "end", "value")
 
 
 def span_text(column: Column) -> Column:
@@ -72,22 +79,21 @@ def span_text(column: Column) -> Column:
 
 def scan(docs: DataFrame, *, owner: Column, repository: Column, most_repositories: int = 2) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, ...) as (doc_id, base, added, n_live, n_example)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.select("doc_id", F.xxhash64(text).alias("th"), owner.alias("owner"), repository.alias("repository"), *(c.alias(n) for n, c in candidates(text).items()))
-    clear = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    rows = materialise(marked.withColumn("tokens", clear), "secrets")
-    some = rows.where((F.size("base") > 0) | (F.size("tokens") > 0)).select("doc_id", "th", "owner", "repository", F.explode(F.concat("base", "tokens")).alias("s"))
-    some = some.withColumn("hash", F.xxhash64(F.col("s.value")))
+    owned = docs.select("doc_id", "text", owner.alias("owner"), repository.alias("repository"))
+    some = materialise(candidates(owned), "secrets").withColumn("hash", F.xxhash64("value"))
     counts = some.select("hash", "owner", "repository").distinct().groupBy("hash").agg(F.count_distinct(F.struct("owner")).alias("owners"), F.count("*").alias("repositories"))
     # merged, never broadcast: the counts grow with the corpus
     judged = some.join(materialise(counts, "owners").hint("merge"), "hash")
     live = (F.col("owners") == 1) & (F.col("repositories") <= most_repositories)
-    each = judged.select("doc_id", "th", "s", live.alias("live")).distinct().groupBy("doc_id", "th").agg(
-        F.array_sort(F.collect_list(F.when((F.col("s.kind") == 3) & F.col("live"), F.col("s")))).alias("added"), F.count_if((F.col("s.kind") < 3) & F.col("live")).alias("n_live"), F.count_if((F.col("s.kind") < 3) & ~F.col("live")).alias("n_example")
+    span, is_base = F.struct("start", "kind", "end", "value"), F.col("kind") < 3
+    listed = lambda which: F.array_sort(F.collect_list(F.when(which, span)))
+    each = judged.select("doc_id", "th", "start", "kind", "end", "value", live.alias("live")).distinct().groupBy("doc_id", "th").agg(
+        listed(is_base).alias("base"), listed(~is_base & F.col("live")).alias("added"), F.count_if(is_base & F.col("live")).alias("n_live"), F.count_if(is_base & ~F.col("live")).alias("n_example")
     )  # one document's spans
-    r, e = rows.alias("r"), each.alias("e")
+    r, e = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).alias("r"), materialise(each, "spans").alias("e")
     joined = r.join(e, F.col("r.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("r.th") == F.col("e.th")), "left")
-    return joined.select("r.doc_id", "r.base", F.coalesce("e.added", F.array().cast(SPAN)).alias("added"), F.coalesce("e.n_live", F.lit(0)).alias("n_live"), F.coalesce("e.n_example", F.lit(0)).alias("n_example"))
+    none = F.array().cast(SPAN)
+    return joined.select("r.doc_id", F.coalesce("e.base", none).alias("base"), F.coalesce("e.added", none).alias("added"), F.coalesce("e.n_live", F.lit(0)).alias("n_live"), F.coalesce("e.n_example", F.lit(0)).alias("n_example"))
 
 
 def scan_digest(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against brute force on a small fixture, and on nulls, empties, ties, repeats and clashing names."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -288,6 +289,47 @@ def test_secret_spans_and_ownership(spark):
     assert ownership.scan_digest(nothing(spark)).count() == 0
 
 
+def plain_spans(text):
+    """(start, kind, end, value) of base matches, and of long mixed tokens that meet none of them."""
+    found = []
+    for k, (_, rx, group, least) in enumerate((*ownership.BASE, ownership.TOKEN)):
+        rx = rx.replace("((?i)password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))")
+        for m in re.finditer(rx, text):
+            v = m.group(group)
+            if len(v) >= least and (k < 3 or (re.search("[A-Z]", v) and re.search("[a-z]", v) and re.search("[0-9]", v))):
+                found.append((m.start(), k, m.end(), v))
+    base = [f for f in found if f[1] < 3]
+    return base, [f for f in found if f[1] == 3 and not any(b[0] < f[2] and f[0] < b[2] for b in base)]
+
+
+def test_secret_spans_equal_matching_one_by_one(spark):
+    rng = random.Random(8)
+    bits = ["password=", "TOKEN : ", "Ab3" * 11, "Qz9_" * 9, "deadbeef01" * 3, "AKIA" + "Z" * 17, " ", "é", "x", "\n", "api_key='", "hunter22", "Xy1-" * 10 + "password=Ab3456", "0123456789abcdef" * 2 + "Zz"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(200)]
+    got = {r["doc_id"]: r for r in ownership.scan(frame(spark, [(i, t, "en", str(i), None) for i, t in enumerate(texts)]), owner=F.col("source"), repository=F.col("source"), most_repositories=10**6).collect()}
+    owners = {}
+    for i, t in enumerate(texts):
+        for x in itertools.chain(*plain_spans(t)):
+            owners.setdefault(x[3], set()).add(i)
+    for i, t in enumerate(texts):
+        base, more = plain_spans(t)
+        assert [tuple(s) for s in got[i]["base"]] == sorted((a, k, b, v) for a, k, b, v in base)
+        assert [tuple(s) for s in got[i]["added"]] == sorted(x for x in more if len(owners[x[3]]) == 1)
+    assert any(len(owners[x[3]]) == 1 for t in texts for x in plain_spans(t)[1])
+
+
+def test_one_text_with_many_secrets_costs_in_proportion(spark):
+    def took(n):
+        text = " ".join(f"password=hunter{i} {'aB3' * 11}{i:06d}" for i in range(n))
+        start = time.time()
+        (row,) = ownership.scan_digest(frame(spark, [(1, text, "en", "s", None)])).collect()
+        assert row["n_assign"] == n and row["spans"].count("token") == n
+        return time.time() - start
+
+    took(10)
+    assert took(20_000) < 10
+
+
 def test_secret_spans_with_many_spaces(spark):
     texts = [f"{key}{' ' * n}{sep} {value}" for key in ("password", "API_KEY'", 'Token"', "passwd") for n in (0, 40, 41, 45, 100, 5000) for sep, value in ((":", "hunter22"), ("=", "'hunter22'"))]
     out = ownership.scan_digest(frame(spark, [(i, t, "en", "s", None) for i, t in enumerate(texts)])).collect()
