@@ -57,7 +57,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     found = F.concat(*(matches(text, i, p, g, text.rlike(HINTS[k])) for i, (k, p, g, _) in enumerate((*BASE, TOKEN))))
     key = ["doc_id", "th", "owner", "repository"]
-    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), "owner", "repository", F.explode(found).alias("m")).select(*key, "m.*").distinct()
+    # a text is hashed below the explode, once, and goes no further
+    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), "owner", "repository", found.alias("found")).select(*key, F.explode("found").alias("m")).select(*key, "m.*").distinct()
     so_far = Window.partitionBy(*key, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.repartition("doc_id", "th").withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(so_far)).withColumn("start", F.col("end") - F.col("hit"))
     long = F.element_at(F.array(*(F.lit(n) for *_, n in (*BASE, TOKEN))), F.col("kind") + 1)
@@ -86,7 +87,7 @@ def scan(docs: DataFrame, *, owner: Column, repository: Column, most_repositorie
     judged = some.join(materialise(counts, "owners").hint("merge"), "hash")
     live = (F.col("owners") == 1) & (F.col("repositories") <= most_repositories)
     span, is_base = F.struct("start", "kind", "end", "value"), F.col("kind") < 3
-    listed = lambda which: F.array_sort(F.collect_list(F.when(which, span)))
+    listed = lambda which: F.sort_array(F.collect_list(F.when(which, span)))
     each = judged.select("doc_id", "th", "start", "kind", "end", "value", live.alias("live")).distinct().groupBy("doc_id", "th").agg(
         listed(is_base).alias("base"), listed(~is_base & F.col("live")).alias("added"), F.count_if(is_base & F.col("live")).alias("n_live"), F.count_if(is_base & ~F.col("live")).alias("n_example")
     )  # one document's spans
@@ -102,7 +103,7 @@ def scan_digest(docs: DataFrame) -> DataFrame:
     out = scan(docs, owner=F.col("source"), repository=F.struct("source", "lang"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return out.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_text(F.array_sort(F.concat("base", "added"))).alias("spans"), "n_live", "n_example"
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_text(F.sort_array(F.concat("base", "added"))).alias("spans"), "n_live", "n_example"
     )
 
 
