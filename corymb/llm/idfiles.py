@@ -46,7 +46,7 @@ from corymb.llm import tokens
 from corymb.llm.shared import materialise, need, shared_dir, small_batches
 
 #: Distinct pieces that a worker remembers.
-CACHE = 400_000
+CACHE = 1_000_000
 #: Ids that are read or checked at once; a longer document is read alone.
 READ_IDS = 1 << 20
 
