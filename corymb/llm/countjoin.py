@@ -6,14 +6,16 @@ at a single point as well as at a box's upper corner, and for coarse groups as w
 sets can only have Jaccard ``num/den`` if their summed minima reach ``num / (num + den) * (|A| + |B|)``.
 
 1. Equal sets become one class, so copies cost nothing further.
-2. Directory, the upper levels of the tree, on the finest coordinates: ``2 ** 56`` hash groups.  All
-   coordinates stand in one order, rare ones first.  Two linked points share a mass of
-   ``ceil(num / den * |A|)`` at least in summed minima; so if a class is filed under its first coordinates up to a
-   mass of ``|A| - ceil(num / den * |A|) + 1``, linked classes are filed under a common one, whatever the
-   order.  Rare first means that texts of one template, which agree in its words and differ in the rest,
-   are filed under the rest and don't meet.  How rare a coordinate is, is counted over all classes in
-   ``2 ** SKETCH`` counters of which only the logarithm is broadcast: its size is fixed, and counts that
-   run together cost time, never a link.  Classes of one cell are tied to the least of them (a *star*).
+2. Directory, the upper levels of the tree, on blocks of coordinates.  If the sets of two points are linked,
+   the points differ by at most ``D = (den - num) / (den + num) * (|A| + |B|)`` over all coordinates, hence
+   in at most ``D`` of ``3 * D`` blocks of the hash space.  All blocks' counts (*cells*) stand in one order, rare
+   ones first; a class is filed under its first ``D + 1`` cells, so linked classes are filed under a common
+   one, whatever the order.  Sizes are taken in overlapping ranges, so that ``D`` is known.  A block is a few
+   coordinates, so texts that share passages seldom agree on one; and rare first means that texts of one
+   template, which agree in its words and differ in the rest, are filed under the rest and don't meet.  How
+   rare a cell is, is counted over all classes in ``2 ** SKETCH`` counters of which only the logarithm is
+   broadcast: its size is fixed, and counts that run together cost time, never a link.  Classes of one cell
+   are tied to the least of them (a *star*).
 3. Lower levels: a star's points, summed to ``GROUPS`` coordinates, are packed in an R-tree and searched
    with the bound of summed minima; what survives is verified on the sets.  A star of over ``chunk``
    classes is cut: each chunk meets the star's least class and itself, and only classes that are then
@@ -32,6 +34,7 @@ are read, so other columns can't clash; without one of them a ValueError is rais
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,27 +71,60 @@ def set_key(s: np.ndarray) -> int:
     return int(tokens.mix(total).view(np.int64)[0])
 
 
-def prefix_mass(n: int, num: int, den: int) -> int:
-    """Mass of a set's first coordinates, one of which each linked set has among its own first ones."""
-    return n - -(-n * num // den) + 1
+@lru_cache(4)
+def size_ranges(num: int, den: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping ranges of set sizes, and the greatest difference of two linked sets in each.
+
+    Two sizes a <= b can only link if b * num <= a * den; every such pair lies in one range at least.
+    """
+    lows, highs = [1], []
+    while lows[-1] < top:
+        edge = lows[-1]
+        for _ in range(2):
+            edge = edge * den // num + 1
+        highs.append(edge * den // num)  # whatever links with a size below the next range's low
+        lows.append(edge)
+    lows, highs = np.array(lows[:-1], np.int64), np.array(highs, np.int64)
+    return lows, highs, (den - num) * 2 * highs // (den + num)
+
+
+def block_cells(s: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
+    """For each range of sizes that a set is in: by how many blocks linked sets may differ, and the cells of all its blocks."""
+    lows, highs, most = size_ranges(num, den)
+    n, out = len(s), []
+    if not n:
+        return out
+    # the sum of a block's mixed coordinates stands for its counts
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens.mix(s + _SALT), dtype=np.uint64)])
+    last = int(np.searchsorted(lows, n, "right")) - 1
+    for r in range(max(0, last - 2), last + 1):
+        d = int(most[r])
+        if n > highs[r] or not d:
+            continue  # without any difference only equal sets link
+        k = 3 * d
+        # block j holds the hashes from j/k to (j+1)/k of all numbers; the set is sorted, so each is a run of it
+        edges = np.searchsorted(s, ((np.arange(1, k, dtype=np.uint64) << np.uint64(32)) // np.uint64(k)) << np.uint64(32))
+        edges = np.concatenate([[0], edges, [n]])
+        names = tokens.mix(np.arange(k, dtype=np.uint64) + np.uint64((r + 1) << 32))
+        out.append((d, tokens.mix(sums[edges[1:]] - sums[edges[:-1]] + names)))
+    return out
 
 
 def cells(s: np.ndarray, rarity: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The directory cells of a set: its first coordinates by (rarity, hash)."""
-    n = len(s)
-    if not n:
-        return np.zeros(0, np.uint64)
-    key = (rarity[(s >> np.uint64(64 - _bits(rarity))).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s & np.uint64((1 << 56) - 1))
-    most = prefix_mass(n, num, den)
-    return np.unique(np.partition(key, most - 1)[:most] if most < n else key)
+    """The directory cells that a set is filed under: in each range of sizes the first ones by (rarity, cell)."""
+    shift, low, out = np.uint64(64 - _bits(rarity)), np.uint64((1 << 56) - 1), []
+    for d, own in block_cells(s, num, den):
+        key = (rarity[(own >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (own & low)
+        out.append(np.partition(key, d)[: d + 1] if d + 1 < len(key) else key)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _bits(rarity: np.ndarray) -> int:
     return len(rarity).bit_length() - 1
 
 
-def _counters(docs: DataFrame, width: int, bits: int, buffer: int = 1 << 21) -> np.ndarray:
-    """How often each counter's coordinates occur in all classes, as twice the binary logarithm.
+def _counters(docs: DataFrame, width: int, num: int, den: int, bits: int, buffer: int = 1 << 21) -> np.ndarray:
+    """How often each counter's cells occur in all classes, as twice the binary logarithm.
 
     A task sends its counts in ``PARTS`` parts, as compressed steps from counter to counter; each part is summed by
     itself, and the driver gets one byte a counter.
@@ -110,8 +146,9 @@ def _counters(docs: DataFrame, width: int, bits: int, buffer: int = 1 << 21) ->
             for s in shingle_sets(*tokens.text_bytes(b.column("text")), width):
                 if len(s) and (key := set_key(s)) not in seen:
                     seen.add(key)
-                    held.append((s >> np.uint64(64 - bits)).astype(np.uint32))
-                    n += len(s)
+                    for _, own in block_cells(s, num, den):
+                        held.append((own >> np.uint64(64 - bits)).astype(np.uint32))
+                        n += len(own)
                     if n > buffer:
                         yield flush()
                         held, n = [], 0
@@ -221,7 +258,7 @@ def text_hash(text: Column) -> Column:
 
 def _filed(docs: DataFrame, width: int, num: int, den: int, bits: int) -> DataFrame:
     """(cell, sid) for each cell of each set; a set once for each task."""
-    rarity = docs.sparkSession.sparkContext.broadcast(_counters(docs, width, bits))  # 2 ** bits bytes, whatever the input
+    rarity = docs.sparkSession.sparkContext.broadcast(_counters(docs, width, num, den, bits))  # 2 ** bits bytes, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
