@@ -9,8 +9,9 @@ The network is trained here, on ``pages`` made-up pages whose layouts mix articl
 headers, footers, sidebars, notices, adverts, forms and comments; nothing of the data is used.
 
 Nulls: a null or empty page has an empty text.  Scripts, styles, comments and the head hold no blocks.
-Nor do embedded elements (``SILENT``) that are closed; of one left open only the start tag is dropped,
-while an unclosed script or style runs to the end of the page.  Other unclosed tags are closed by what
+Nor do drawings and templates (``SILENT``) that are closed; of one left open only the start tag is dropped,
+while an unclosed script or style runs to the end of the page.  The text that noscript, canvas and other
+embedded elements (``FALLBACK``) hold is text like any other.  Other unclosed tags are closed by what
 follows; text without any tag is one block.  A page is read whole, in time in proportion to its length.
 An empty table gives no rows; repeated rows get equal texts.  A column of the name that is added is replaced.
 """
@@ -35,12 +36,14 @@ from corymb.llm.batches import append_columns
 from corymb.llm.shared import need
 
 #: Elements that end the block before them, that have no end tag, and that hold no text of the page.
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("noscript template svg iframe object canvas audio video".split())
+SILENT = frozenset("template svg".split())
+#: Elements that say nothing of what kind of text they hold: what they show instead of themselves is judged by what is around it.
+FALLBACK = frozenset("noscript iframe object canvas audio video".split())
 HEAD = frozenset(["head", "title"])
 #: Start tags that may stand in a head; any other closes it, and a title that was left open.
-IN_HEAD = HEAD | frozenset("base basefont bgsound link meta noframes".split())
+IN_HEAD = HEAD | frozenset("base basefont bgsound link meta noframes noscript".split())
 #: An open element of the first kind is closed by a start tag of the second.
 CLOSES = {"p": BLOCK - {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 #: An open element of one of these kinds is closed by the start tag.
@@ -139,11 +142,25 @@ def _silent_ends(page: str) -> dict[int, int]:
     return ends
 
 
-#: Open elements, from the innermost, that make up a block's path.
-PATH_DEPTH = 64
+class Path(NamedTuple):
+    """All open elements' names as a set of hash bits, and the last four names; it takes as long to add to whatever the depth."""
 
+    bits: int = 0
+    last: tuple[str, ...] = ()
 
-def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
+    def below(self, names: tuple[str, ...]) -> Path:
+        bits = self.bits
+        for name in names:
+            bits |= _bit(name)
+        return Path(bits, (self.last + names)[-4:])
+
+
+@lru_cache(50_000)
+def _bit(name: str) -> int:
+    return 1 << zlib.crc32(name.encode()) % (PATH - 32)
+
+
+def leaf_blocks(page: str) -> list[tuple[str, Path, int]]:
     """(text, path, characters in links) of each non-empty block outside the head."""
     out, stack, parts, links, at = [], [], [], 0, 0
     ends, tags, opened = None, Tags(page), Counter()
@@ -153,7 +170,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text and not (opened["head"] or opened["title"]):
-                out.append((text, tuple(n for _, names in stack[-PATH_DEPTH:] for n in names), links))
+                out.append((text, stack[-1][1] if stack else Path(), links))
             parts.clear()
         links = 0
 
@@ -208,7 +225,8 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                     break
         if tag not in VOID and not t.self_closed:
             named = "".join(f" {a or b or c}" for a, b, c in _NAMES.findall(t.attrs)) if t.attrs else ""
-            stack.append((tag, (f"<{tag}>", *(w.lower() for w in _WORD.findall(named)))))
+            path = stack[-1][1] if stack else Path()
+            stack.append((tag, path if tag in FALLBACK else path.below((f"<{tag}>", *(w.lower() for w in _WORD.findall(named))))))
             opened[tag] += 1
     add(page[at:])
     cut()
@@ -216,16 +234,16 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
 
 
 @lru_cache(20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+def _path_vector(path: Path) -> np.ndarray:
     out = np.zeros(PATH, np.float32)
-    for i, name in enumerate(path):
-        out[zlib.crc32(name.encode()) % (PATH - 32)] = 1
-        if name[0] == "<" and i >= len(path) - 4:
+    out[[i for i in range(PATH - 32) if path.bits >> i & 1]] = 1
+    for name in path.last:
+        if name[0] == "<":
             out[PATH - 32 + zlib.crc32(f"{name} near".encode()) % 32] = 1
     return out
 
 
-def vectors(blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
+def vectors(blocks: list[tuple[str, Path, int]]) -> np.ndarray:
     """The network's input for consecutive blocks."""
     x = np.zeros((len(blocks), INPUT), np.float32)
     if not blocks:

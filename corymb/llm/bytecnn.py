@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from corymb.llm import tokens
 from corymb.llm.batches import append_columns
-from corymb.llm.shared import materialise, need
+from corymb.llm.shared import need
 
 WIDTHS, FILTERS, EMBED, WINDOW, BATCH = (2, 3, 4), 16, 6, 256, 32
 ADDED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
@@ -177,29 +177,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, *, sample_docs: int = 6000, sample_windows: int = 24_000, seed: int = 7) -> ByteCNN | None:
+def fit(docs: DataFrame, *, sample_docs: int = 3000, seed: int = 7) -> ByteCNN | None:
     """A network for the languages of the labelled rows that aren't held out; None if there are none.
 
-    About ``sample_docs`` labelled rows, spread evenly over the languages and chosen by a hash of their id,
-    are cut into windows from end to end; of all their windows the ``sample_windows // languages`` with the
-    least hashes are learnt from in each language.
+    It learns from ``sample_docs`` labelled rows at most, as many of each language and one at least, chosen by a hash of their id and text.
+    Their whole texts go to the driver, and crops from anywhere in them are learnt from.
     """
     known = need(docs, doc_id="long", text="string", lang="string").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text <> ''").where(~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # languages
     if not counts:
         return None
-    each, quota = max(1, sample_docs // len(counts)), max(1, sample_windows // len(counts))
-    share = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, each / n)))))
-    fraction = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1_000_003)).cast("double") / 1_000_003
-    chosen = known.where(fraction("doc_id", F.lit(seed)) < F.element_at(share, F.col("lang"))).withColumn("raw", F.encode("text", "UTF-8"))
-    windows = chosen.select("doc_id", "lang", "raw", F.explode(F.sequence(F.lit(0), F.octet_length("text") - 1, F.lit(WINDOW))).alias("at"))
-    windows = windows.select("lang", F.xxhash64("doc_id", "at", F.lit(seed)).alias("order"), F.substring("raw", F.col("at") + 1, F.lit(WINDOW)).alias("window")).distinct()
-    windows = materialise(windows, "windows")
-    totals = {r["lang"]: r["n"] for r in windows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    part = F.create_map(*(x for k, n in sorted(totals.items()) for x in (F.lit(k), F.lit(min(1.0, 1.1 * quota / n)))))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "window"))  # among about 1.1 quotas
-    rows = windows.where(fraction("order") < F.element_at(part, F.col("lang"))).withColumn("place", place).where(F.col("place") <= quota).select("lang", "order", "window").collect()
-    rows = sorted((r["lang"], r["order"], bytes(r["window"])) for r in rows)
+    each = max(1, sample_docs // len(counts))
+    share = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 1.2 * (each + 20) / n)))))
+    keyed = known.withColumn("order", F.xxhash64("doc_id", "text", F.lit(seed)))
+    chosen = keyed.where(F.pmod("order", F.lit(1_000_003)).cast("double") / 1_000_003 < F.element_at(share, F.col("lang"))).select("lang", "order", "text").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))  # among about 1.2 of the sample
+    rows = chosen.withColumn("place", place).where(F.col("place") <= each).select("lang", "order", "text").collect()
+    rows = sorted((r["lang"], r["order"], r["text"].encode("utf-8", "replace")) for r in rows)
     languages = sorted({lang for lang, *_ in rows})
     if not languages:
         return None

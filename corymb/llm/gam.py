@@ -180,12 +180,12 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def fit(described: DataFrame, labels: DataFrame, *, label: str = "quality", sample_rows: int = 20_000) -> Additive | None:
-    known = need(labels, doc_id="long", **{label: "int"}).where(f"doc_id IS NOT NULL AND {label} IS NOT NULL").where(~held_out(F.col("doc_id")))
+    known = need(labels, doc_id="long", **{label: "int"}).where(f"doc_id IS NOT NULL AND {label} IS NOT NULL").where(~held_out(F.col("doc_id"))).distinct()
     n = known.count()
     if not n:
         return None
-    order = F.xxhash64("doc_id")
-    chosen = known.where(F.pmod(order, F.lit(1_000_003)).cast("double") / 1_000_003 < min(1.0, 1.1 * sample_rows / n)).distinct()
+    order = F.xxhash64("doc_id", label)
+    chosen = known.where(F.pmod(order, F.lit(1_000_003)).cast("double") / 1_000_003 < min(1.0, 1.1 * sample_rows / n))
     joined = chosen.join(described, "doc_id").select(order.alias("order"), label, *FEATURES).orderBy("order", label, *FEATURES)
     table = np.array(sorted(tuple(r)[1:] for r in joined.limit(sample_rows).collect()), float)  # the documented bound
     if not len(table) or len(set(table[:, 0])) < 2:

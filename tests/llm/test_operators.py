@@ -365,7 +365,7 @@ def test_blocks_of_broken_html():
 def test_blocks_of_a_page_whose_head_is_left_open(head, start):
     page = f"<html>{head}{start}<article><p>Text <svg><title>t</title></svg>here</p></article>"
     assert [t for t, _, _ in blocks.leaf_blocks(page)] == ["Text here"]
-    assert blocks.leaf_blocks(page)[0][1][-2:] == ("<article>", "<p>")
+    assert blocks.leaf_blocks(page)[0][1].last[-2:] == ("<article>", "<p>")
 
 
 def test_text_closes_an_open_head(tagger):
@@ -376,13 +376,27 @@ def test_text_closes_an_open_head(tagger):
 
 @pytest.mark.parametrize("inside", [
     "<svg class='i'/>", "<math />", '<svg-icon name="x"></svg-icon>', "<video-player src=a></video-player>", "<object-x>", "<style-guide></style-guide>", "<svg>no<svg>no</svg>no</svg>", "<svg>no<svg/>no</svg>", "<video src=a>", "<object data=b>",
-    "<iframe>no</iframe>", "<script>no</script >", "<canvas>no<!-- </canvas> -->no</canvas>", "<audio src=a><audio>no</audio>", "<template><p>no</template>", "<noscript>no</noscript\n>", "<script>'<svg>'</script>", "<svg_icon/>",
+    "<iframe></iframe>", "<script>no</script >", "<canvas><!-- </canvas> --></canvas>", "<audio src=a><audio></audio>", "<template><p>no</template>", "<noscript><img src=a></noscript\n>", "<script>'<svg>'</script>", "<svg_icon/>",
 ])
 def test_embedded_elements_take_nothing_else_along(inside):
     page = f"<p>a {inside} rest</p><p>more</p><svg>no</svg><p>end</p>"
     assert [t for t, _, _ in blocks.leaf_blocks(page)] == ["a rest", "more", "end"]
 
 
+@pytest.mark.parametrize("tag", ["noscript", "iframe", "object", "canvas", "audio", "video"])
+def test_fallback_text_is_text(tagger, tag):
+    assert [t for t, _, _ in blocks.leaf_blocks(f"<p>see <{tag}>fallback</{tag}> it</p>")] == ["see fallback it"]
+    page = f"<html><body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>Head of it.</h1><p>First words of the text stand here.</p><{tag}><p>And some that stand for something else.</p></{tag}><p>Then the rest of the text.</p></article></body></html>"
+    assert blocks.extract(tagger, [page]) == ["Head of it. First words of the text stand here. And some that stand for something else. Then the rest of the text."]
+
+
+def test_a_path_knows_all_open_elements():
+    deep = "<article class=story>" + "<b>" * 500 + "text</article>"
+    ((_, path, _),) = blocks.leaf_blocks(deep)
+    assert path.bits & blocks._bit("<article>") and path.bits & blocks._bit("story") and path.last == ("<b>",) * 4
+    assert blocks.leaf_blocks("<head><noscript><link rel=a></noscript><title>x</title></head><p>t")[0][0] == "t"
+
+
 def test_quotes_and_math_and_comments():
     text = lambda page: [t for t, _, _ in blocks.leaf_blocks(page)]
     assert text("<p title=don't>One two.</p><p>It's three</p>") == ["One two.", "It's three"]
@@ -603,6 +617,25 @@ def test_lines_by_host(spark, most):
     assert line_dedup.line_digest(nothing(spark)).count() == 0
 
 
+def test_a_language_whose_rows_share_one_id_is_learnt(spark):
+    rng = random.Random(2)
+    make = lambda words_: " ".join(rng.choice(words_) for _ in range(60))
+    one = 0 if zlib.crc32(b"0") % 4 != 2 else 1
+    rows = [(one, make(["der", "die", "und", "nicht", "ein"]), "de", None, None) for _ in range(200)] + [(i, make(["the", "and", "of", "not", "a"]), "en", None, None) for i in range(200)]
+    model = bytecnn.fit(frame(spark, rows), sample_docs=40)
+    assert model.languages == ["de", "en"]
+
+
+def test_lines_of_a_host_with_many_boilerplate_lines(spark):
+    lines = [f"line {i} of all pages" for i in range(20_000)]
+    rows = [(i, "\n".join([*lines, f"own {i}", ""]), None, "h", None) for i in range(4)] + [(9, "line 3 of all pages\nkept", None, "other", None)]
+    for most in (10**6, 0):
+        start = time.time()
+        got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_boilerplate(frame(spark, rows), min_pages=3, max_ratio=0.5, broadcast_rows=most, salts=4).collect()}
+        assert got[2] == ("own 2\n", 20_001, 20_000) and got[9] == ("line 3 of all pages\nkept", 2, 0)
+        assert time.time() - start < 60
+
+
 # --- 8 --------------------------------------------------------------------------------------------
 
 
@@ -791,11 +824,11 @@ def test_texts_of_one_template_do_not_meet(spark, shared):
     template = np.sort(rng.integers(0, 2**64, int(1000 * shared), dtype=np.uint64))
     for n in (500, 1000, 2000):
         sets = [np.unique(np.concatenate([template, rng.integers(0, 2**64, 1000 - len(template), dtype=np.uint64)])) for _ in range(n)]
-        counts = np.bincount((np.concatenate(sets) >> np.uint64(40)).astype(np.int64), minlength=1 << 24)
+        counts = np.bincount((np.concatenate([c for s in sets for _, c in countjoin.block_cells(s, 9, 10)]) >> np.uint64(40)).astype(np.int64), minlength=1 << 24)
         rarity = np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
         filed = np.concatenate([countjoin.cells(s, rarity, 9, 10) for s in sets])
         _, size = np.unique(filed, return_counts=True)
-        assert len(filed) == n * 101 and (size > 1).sum() <= n // 100  # a few rest shingles share a counter
+        assert len(filed) < 400 * n and size[size > 1].sum() <= n // 10  # a few cells of the rest share a counter
 
 
 @pytest.mark.parametrize("shared", [50, 70, 80])
