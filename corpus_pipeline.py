@@ -90,10 +90,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deals all documents to shards along a Hilbert curve over id, source, language and size.
 
-    Every row gets a shard and a slot: null columns fall in the first class of their dimension, repeated rows
-    get slots of their own.  An empty table gives none.  Columns named ``shard`` or ``slot`` are replaced.
+    Every row gets a shard and a slot: null columns fall in the first class of their dimension, rows of one id
+    stand in order of their texts' hashes, repeated rows get slots of their own.  An empty table gives none.
+    Columns named ``shard`` or ``slot`` are replaced.
     """
-    return hilbert.hilbert_shards(docs, hilbert.document_dims(docs))
+    tie = free_name(docs, "hx_text")
+    keyed = docs.withColumn(tie, countjoin.text_hash(F.col("text")))
+    return hilbert.hilbert_shards(keyed, hilbert.document_dims(keyed), tie_cols=(tie,)).drop(tie)
 
 
 STAGES = [
