@@ -17,8 +17,10 @@ sets can only have Jaccard ``num/den`` if their summed minima reach ``num / (num
    broadcast: its size is fixed, and counts that run together cost time, never a link.  Classes of one cell
    are tied to the least of them (a *star*).
 3. Lower levels: a star's points, summed to ``GROUPS`` coordinates, are packed in an R-tree and searched
-   with the bound of summed minima; what survives is verified on the sets.  A star of over ``chunk``
-   classes is cut: each chunk meets the star's least class and itself, and only classes that are then
+   with the bound of summed minima.  Only points are dealt for that; a class that has no other in reach
+   is dropped.  Stars that share classes become one if they are no larger than a chunk together.  The sets of
+   those that are left are dealt, searched in the same way and verified.  A star of over ``chunk``
+   classes is cut, and its sets are dealt at once: each chunk meets the star's least class and itself, and only classes that are then
    still apart from it meet all chunks.  So the copies of sets stay in proportion to a star of near
    copies, and no star meets in one task.
 4. Connected components of the verified links.
@@ -210,7 +212,7 @@ def star_links(keys: list[int], sets: list[np.ndarray], side: np.ndarray, num: i
     connected already, by links or by equal labels, isn't verified.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    counts = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
+    counts = np.stack([point(s) for s in sets])
     two = bool(side.any() and not side.all())
     inner = np.flatnonzero(side) if two else np.arange(len(keys))
     outer = np.flatnonzero(~side) if two else inner
@@ -239,16 +241,61 @@ def star_links(keys: list[int], sets: list[np.ndarray], side: np.ndarray, num: i
     return [(least, key) for least, g in ((min(g), g) for g in groups.values()) for key in g if key != least]
 
 
+def point(s: np.ndarray) -> np.ndarray:
+    """A set's counts in ``GROUPS`` coordinates."""
+    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """A point in 16 bits a coordinate if they suffice."""
+    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int32)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, keys = [], []
+            sizes, keys, points = [], [], []
             for s in shingle_sets(*tokens.text_bytes(b.column("text")), width):
                 sizes.append(len(s))
                 keys.append(set_key(s))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "th", "n", "sid"])
+                points.append(packed(point(s)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "th", "n", "sid", "point"])
+
+    return docs.select("doc_id", "text", text_hash(F.col("text")).alias("th")).mapInArrow(run, "doc_id long, th long, n long, sid long, point binary")
 
-    return docs.select("doc_id", "text", text_hash(F.col("text")).alias("th")).mapInArrow(run, "doc_id long, th long, n long, sid long")
+
+def _in_reach(num: int, den: int):
+    """(star, sid) of the points of a star that the bound lets another one of it link with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by star; one star's points are held at a time."""
+        now, keys, sizes, points = None, [], [], []
+
+        def flush() -> list[tuple[int, int]]:
+            if len(keys) < 2:
+                return []
+            counts, n = np.stack(points), np.array(sizes, np.int64)
+            tree = CountTree(counts, n)
+            return [(now, keys[i]) for i in range(len(keys)) if (tree.search(counts[i], int(n[i]), num, den) != i).any()]
+
+        for b in batches:
+            out = []
+            for star, key, n, raw in zip(*(b.column(c).to_pylist() for c in ("star", "sid", "n", "point")), strict=True):
+                if star != now:
+                    out += flush()
+                    now, keys, sizes, points = star, [], [], []
+                keys.append(key)
+                sizes.append(n)
+                points.append(unpacked(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], names=["star", "sid"])
+        out = flush()
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], names=["star", "sid"])
+
+    return run
 
 
 def text_hash(text: Column) -> Column:
@@ -340,13 +387,30 @@ class _Join:
         self.stars = materialise(met.where("n = 2").select("star", F.col("last").alias("sid")).unionByName(many.select("star", "sid")).distinct(), "stars")
         inside = self.stars.unionByName(self.stars.select("star", F.col("star").alias("sid")).distinct())
         # written before the join, so that a large star is counted where its rows lie and its join can be split
-        self.parts = materialise(inside.groupBy("star").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")), "parts")
-        self.inside = inside.join(self.parts, "star").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+        parts = materialise(inside.groupBy("star").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")), "parts")
+        placed = materialise(inside.join(parts, "star"), "inside")
+        small = placed.where("parts = 1").select("star", "sid")
+        some = small.select("sid").distinct()
+        points = self.members.join(F.broadcast(some) if fits(some, broadcast_rows) else some, "sid", "left_semi").select("sid", "n", "point").dropDuplicates(["sid"])
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        pointed = small.join(points, "sid").select("star", "sid", "n", "point").repartition(n, "star").sortWithinPartitions("star")
+        near = self._joined(materialise(pointed.mapInArrow(_in_reach(num, den), "star long, sid long"), "near")).withColumn("parts", F.lit(1))
+        self.inside = materialise(near.unionByName(placed.where("parts > 1").select("star", "sid", "parts")), "reach").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+        self.cut = parts.where("parts > 1")
 
-        wanted = materialise(inside.select("sid").distinct().join(self.classes, "sid").select(F.col("first.doc_id").alias("doc_id")).distinct(), "wanted")
+        wanted = materialise(self.inside.select("sid").distinct().join(self.classes, "sid").select(F.col("first.doc_id").alias("doc_id")).distinct(), "wanted")
         chosen = docs.join(F.broadcast(wanted) if fits(wanted, broadcast_rows) else wanted, "doc_id", "left_semi")
         self.payload = materialise(_payload(chosen, width), "payload").dropDuplicates(["sid"])
 
+    def _joined(self, near: DataFrame) -> DataFrame:
+        """Stars that share classes as one, where all their classes together are a chunk at most: each set is dealt once."""
+        found = components(near.select(F.col("sid").alias("a"), F.col("star").alias("b")))
+        named = near.select("sid").distinct().join(found.withColumnRenamed("node", "sid"), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "sid")
+        named = materialise(named.join(named.groupBy("root").agg(F.count("*").alias("n")), "root"), "groups")
+        few = named.where(F.col("n") <= self.chunk).select(F.col("root").alias("star"), "sid")
+        many = near.join(named.where(F.col("n") > self.chunk).select("sid"), "sid", "left_semi").select("star", "sid")
+        return few.unionByName(many)
+
     def search(self, tasks: DataFrame, every: bool = False) -> DataFrame:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = tasks.join(self.payload, "sid").select("task", "sid", "hashes", "right", "label").repartition(n, "task").sortWithinPartitions("task")
@@ -358,7 +422,7 @@ class _Join:
         at = F.explode(F.when(centre, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))).alias("at")
         near = self.inside.select("star", "sid", at).select("sid", F.xxhash64("star", "at").alias("task"), F.lit(False).alias("right"), F.col("sid").alias("label"))
         links = self.search(near)
-        if not self.parts.where("parts > 1").limit(1).count():
+        if not self.cut.limit(1).count():
             return links
         # of the stars that were cut: what isn't connected with the least class meets every chunk
         joined = components(links)
