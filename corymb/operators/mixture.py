@@ -126,7 +126,8 @@ def fit(df: DataFrame, features: list[str], k: int = 3, *, starts: int = 6, iter
 def assign_roles(means: np.ndarray) -> dict[str, int]:
     """Component of each role: guide is the most magenta (a - b), oxidation the most yellow-red (a + b) of the rest, petal what is left.
 
-    With more than three components petal is the least coloured of the rest.  Fails where the roles aren't distinct.
+    With more than three components petal is the least coloured of the rest.  Fails unless the guide is magenta
+    (a - b above 0), the oxidation more yellow (b) than the guide, and the guide redder (a) than the petal.
     """
     means = np.asarray(means, float)
     if means.ndim != 2 or means.shape[1] != 2 or len(means) < 3:
@@ -135,10 +136,10 @@ def assign_roles(means: np.ndarray) -> dict[str, int]:
     rest = [i for i in range(len(means)) if i != guide]
     oxidation = max(rest, key=lambda i: means[i].sum())
     petal = min((i for i in rest if i != oxidation), key=lambda i: float(np.hypot(*means[i])))
-    if not means[guide, 0] - means[guide, 1] > max(means[i, 0] - means[i, 1] for i in rest):
-        raise ValueError("no component is more magenta than the others")
-    if not means[oxidation].sum() > means[petal].sum():
-        raise ValueError("no component is more yellow-red than the petal")
+    if means[guide, 0] - means[guide, 1] <= 0:
+        raise ValueError("no component is magenta")
+    if means[oxidation, 1] <= means[guide, 1]:
+        raise ValueError("the oxidation isn't more yellow than the guide")
     if means[guide, 0] <= means[petal, 0]:
         raise ValueError("the guide isn't redder than the petal")
     return {"petal": petal, "guide": guide, "oxidation": oxidation}

@@ -247,3 +247,15 @@ def test_allometry_has_all_tests(spark):
     out = {r["trait"]: r for r in models.allometry(spark.createDataFrame(rows, "trait string, g string, s string, x double, size double, y double"), "trait", "g", "s", "x", "y", "size", permutations=199, interaction_permutations=99).collect()}
     assert out["a"]["shift_p_adjusted"] < 0.05 and out["a"]["residual_p_adjusted"] < 0.05 and out["b"]["slope_p_adjusted"] < 0.05 and out["a"]["common_n_plants"] > 20
     assert out["a"]["delta_r2"] > 0.1 and out["b"]["delta_aic"] < 0 and all(0 < out[t][f"{k}_p"] <= 1 for t in "ab" for k in ("shift", "slope", "residual", "common"))
+
+
+@pytest.mark.parametrize(
+    ("means", "why"),
+    [([[-30, -10], [-5, -2], [-40, 30]], "magenta"), ([[20, -10], [5, -20], [-10, -12]], "yellow"), ([[5, -40], [10, 0], [30, 20]], "redder")],
+)
+def test_roles_need_the_colours_they_are_named_for(means, why):
+    from corymb.operators import mixture
+
+    with pytest.raises(ValueError, match=why):
+        mixture.assign_roles(np.array(means, float))
+    assert mixture.assign_roles(np.array([[5, 2], [20, -15], [12, 25]], float)) == {"petal": 0, "guide": 1, "oxidation": 2}
