@@ -18,10 +18,10 @@ CORNERS = ((0.42, 0.14), (0.58, 0.14), (0.70, 0.42), (0.79, 0.70), (0.64, 0.83),
 SPOTS = ((0.43, 0.38, 0.025), (0.55, 0.41, 0.022), (0.39, 0.52, 0.020), (0.51, 0.55, 0.026), (0.61, 0.58, 0.019), (0.47, 0.66, 0.017))
 
 
-def grid(spark, images: int, height: int, width: int) -> DataFrame:
-    """(image_id, y, x) of blank images."""
-    i = F.col("id")
-    return spark.range(images * height * width).select(F.floor(i / (height * width)).cast("long").alias(ID), F.floor(i / width).cast("long") % height, (i % width).alias("x")).toDF(ID, "y", "x")
+def grid(images: DataFrame, height: int, width: int) -> DataFrame:
+    """``images`` (image_id, ...) with the pixels (y, x) of each, in reading order."""
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    return images.withColumn("y", span(height)).withColumn("x", span(width))
 
 
 def polygon_contains(x: Column, y: Column, points: list[tuple[float, float]]) -> Column:
@@ -58,11 +58,11 @@ def polygon_covers(x: Column, y: Column, points: list[tuple[int, int]]) -> Colum
     return inside
 
 
-def synthetic_flower(spark, size: int = 256) -> DataFrame:
-    """(image_id, y, x, in_roi, in_pattern, r, g, b): a tapered nine-sided flower with six spots."""
+def synthetic_flower(images: DataFrame, size: int = 256) -> DataFrame:
+    """(image_id, y, x, in_roi, in_pattern, r, g, b): a tapered nine-sided flower with six spots in each of ``images`` (image_id)."""
     if size < 96:
         raise ValueError("size must be at least 96")
-    d = grid(spark, 1, size, size)
+    d = grid(images.select(ID), size, size)
     roi = polygon_covers(F.col("x"), F.col("y"), [(int(px * size), int(py * size)) for px, py in CORNERS])
     near = F.lit(False)
     for sx, sy, r in SPOTS:

@@ -14,7 +14,7 @@ from corymb.plans import registry
 from corymb.plans.base import LONG, PLANTS, TRAITS, plants, pst_sql, table, traits
 from corymb.plans.divergence import _KW, _RANK
 from corymb.plans.models import PROFILE, SIZED, _sized, _sites
-from corymb.plans.pixels import _FIXED, GRID, N, _pixels, pixel_channels
+from corymb.plans.pixels import _FIXED, GRID, H, W, _colours, _pixels, pixel_channels
 from corymb.plans.registry import query
 from corymb.sources import tables
 from corymb.sources.scratch import scratch
@@ -342,34 +342,52 @@ def sources_at_hand(spark, sf_dir):
     return spark.read.parquet(path).select("r_name").crossJoin(none)  # one row
 
 
-@query("trait_definitions", "SELECT * FROM (VALUES " + _values(rel.TRAIT_DEFINITIONS) + ") v(trait, definition)")
+@query("trait_definitions", "WITH d AS (SELECT *, row_number() OVER () AS number FROM (VALUES " + _values(rel.TRAIT_DEFINITIONS) + ") v(trait, definition)), m AS (SELECT l_linenumber AS number, count(*) AS measured, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1) SELECT trait, definition, coalesce(measured, 0) AS measured, mean FROM d LEFT JOIN m USING (number)")
 def trait_definitions(spark, sf_dir):
-    return rel.trait_definitions(spark)
+    """Each trait's definition, how often it was measured, and its mean; line numbers stand for traits."""
+    number = F.create_map(*(x for i, (name, _) in enumerate(rel.TRAIT_DEFINITIONS, 1) for x in (F.lit(name), F.lit(i))))
+    m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("number")).agg(F.count("*").alias("measured"), F.round(F.avg("l_quantity"), 6).alias("mean"))
+    d = rel.trait_definitions(spark).withColumn("number", F.element_at(number, F.col("trait"))).join(m, "number", "left")
+    return d.select("trait", "definition", F.coalesce("measured", F.lit(0)).alias("measured"), "mean")
 
 
-@query("evidence_scope", "SELECT * FROM (VALUES " + _values(syndrome.SCOPE) + ") v(component, current, evidence_status, priority_next)")
+@query("evidence_scope", "WITH d AS (SELECT *, row_number() OVER () AS number FROM (VALUES " + _values(syndrome.SCOPE) + ") v(component, current, evidence_status, priority_next)), m AS (SELECT substr(o_orderpriority, 1, 1)::INTEGER AS number, count(*) AS records FROM orders GROUP BY 1) SELECT component, current, evidence_status, priority_next, coalesce(records, 0) AS records FROM d LEFT JOIN m USING (number)")
 def evidence_scope(spark, sf_dir):
-    return syndrome.scope_table(spark)
+    """What each component's evidence covers, and how many records bear on it; order priorities stand for components."""
+    number = F.create_map(*(x for i, r in enumerate(syndrome.SCOPE, 1) for x in (F.lit(r[0]), F.lit(i))))
+    m = table(spark, sf_dir, "orders").groupBy(F.substring("o_orderpriority", 1, 1).cast("int").alias("number")).agg(F.count("*").alias("records"))
+    d = syndrome.scope_table(spark).withColumn("number", F.element_at(number, F.col("component"))).join(m, "number", "left")
+    return d.select("component", "current", "evidence_status", "priority_next", F.coalesce("records", F.lit(0)).alias("records"))
 
 
-_ROLED = mixture.ColourMixture(["a", "b"], [0.5, 0.2, 0.3], [[2.0, 18.0], [25.0, -5.0], [20.0, 40.0]], _FIXED.covariances.tolist())
-_ROLED_SQL = "WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"({w!r}::DOUBLE, {m[0]!r}::DOUBLE, {m[1]!r}::DOUBLE)" for w, m in zip(_ROLED.weights.tolist(), _ROLED.means.tolist(), strict=True)) + ") v(w, a, b)), g AS (SELECT *, row_number() OVER (ORDER BY a - b DESC) = 1 AS guide FROM c), o AS (SELECT *, NOT guide AND row_number() OVER (PARTITION BY guide ORDER BY a + b DESC) = 1 AS oxidation FROM g), r AS (SELECT *, CASE WHEN guide THEN 'guide' WHEN oxidation THEN 'oxidation' ELSE 'petal' END AS role FROM o)"
+#: Centres of petal, guide and oxidation, to which each third of the embeddings adds its own mean.
+_CENTRES = ((2.0, 18.0), (25.0, -5.0), (20.0, 40.0))
+_ROLED_SQL = "WITH v AS (SELECT vec_id % 3 AS k, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), c AS (SELECT count(*) / (SELECT count(*) FROM v)::DOUBLE AS w, m.a + avg(v.a) AS a, m.b + avg(v.b) AS b FROM v JOIN (VALUES " + ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for i, (a, b) in enumerate(_CENTRES)) + ") m(k, a, b) USING (k) GROUP BY k, m.a, m.b), g AS (SELECT *, row_number() OVER (ORDER BY a - b DESC) = 1 AS guide FROM c), o AS (SELECT *, NOT guide AND row_number() OVER (PARTITION BY guide ORDER BY a + b DESC) = 1 AS oxidation FROM g), r AS (SELECT *, CASE WHEN guide THEN 'guide' WHEN oxidation THEN 'oxidation' ELSE 'petal' END AS role FROM o)"
 
 
-@query("mixture_roles", _ROLED_SQL + " SELECT (CASE role WHEN 'petal' THEN 0 WHEN 'guide' THEN 1 ELSE 2 END)::INTEGER AS component, role, w AS weight, a AS mean_a_star, b AS mean_b_star, round(sqrt(a * a + b * b), 6) AS chroma, round(degrees(atan2(b, a)), 6) AS hue_deg, a - b AS magenta_score, a + b AS yellow_red_score FROM r")
+def _roled(spark, sf_dir) -> mixture.ColourMixture:
+    """A mixture of three colours with weights and centres from the embeddings; the driver gets a row a component."""
+    s = _colours(spark, sf_dir).groupBy((F.col("vec_id") % 3).cast("int").alias("k")).agg(F.count("*").alias("n"), F.avg("a").alias("a"), F.avg("b").alias("b"))
+    rows = s.orderBy("k").collect()
+    n = sum(r["n"] for r in rows)
+    means = [[_CENTRES[r["k"]][0] + r["a"], _CENTRES[r["k"]][1] + r["b"]] for r in rows]
+    return mixture.ColourMixture(["a", "b"], [r["n"] / n for r in rows], means, _FIXED.covariances.tolist()[: len(rows)])
+
+
+@query("mixture_roles", _ROLED_SQL + " SELECT (CASE role WHEN 'petal' THEN 0 WHEN 'guide' THEN 1 ELSE 2 END)::INTEGER AS component, role, round(w, 6) AS weight, round(a, 6) AS mean_a_star, round(b, 6) AS mean_b_star, round(sqrt(a * a + b * b), 6) AS chroma, round(degrees(atan2(b, a)), 6) AS hue_deg, round(a - b, 6) AS magenta_score, round(a + b, 6) AS yellow_red_score FROM r")
 def mixture_roles(spark, sf_dir):
-    """A fitted mixture's components by role, in their fixed order."""
-    return rounded(mixture.component_table(spark, _ROLED), 6, "chroma", "hue_deg")
+    """A mixture's components by role, in their fixed order."""
+    return rounded(mixture.component_table(spark, _roled(spark, sf_dir)), 6, "weight", "mean_a_star", "mean_b_star", "chroma", "hue_deg", "magenta_score", "yellow_red_score")
 
 
-@query("mixture_saved", _ROLED_SQL + " SELECT (row_number() OVER (ORDER BY b) + 5)::INTEGER AS rank, w AS weight, a AS mean_a, b AS mean_b FROM c")
+@query("mixture_saved", _ROLED_SQL + " SELECT (row_number() OVER (ORDER BY b) + 5)::INTEGER AS rank, round(w, 6) AS weight, round(a, 6) AS mean_a, round(b, 6) AS mean_b FROM c")
 def mixture_saved(spark, sf_dir):
     """A model written and read again."""
     path = scratch(spark, "mixture")
-    mixture.save(spark, _ROLED, path)
+    mixture.save(spark, _roled(spark, sf_dir), path)
     m = mixture.load(spark, path, ["a", "b"])
     rows = [(r + 6, *map(float, (m.weights[i], *m.means[i]))) for r, i in enumerate(m.means[:, 1].argsort())]
-    return spark.createDataFrame(rows, "rank int, weight double, mean_a double, mean_b double")
+    return rounded(spark.createDataFrame(rows, "rank int, weight double, mean_a double, mean_b double"), 6, "weight", "mean_a", "mean_b")
 
 
 @query(
@@ -383,7 +401,7 @@ def component_sizes(spark, sf_dir):
     """Connected pieces of a pattern, without those of one or two pixels."""
     from corymb.operators import imaging
 
-    d = imaging.components(imaging.mask_column(_pixels(spark), "pat"), 3)
+    d = imaging.components(imaging.mask_column(_pixels(spark, sf_dir), "pat"), 3)
     return rounded(d.select("image_id", "n_px", "cx", "cy"), 6, "cx", "cy")
 
 
@@ -422,12 +440,12 @@ def stroke_statistics_file(spark, sf_dir):
     return tables.read_csv(spark, path, d.schema)
 
 
-@query("audit_pictures", f"SELECT i AS image_id, 'sheet_' || i || '.png' AS name, true AS is_png FROM range({N}) t(i)")
+@query("audit_pictures", f"SELECT s_suppkey::BIGINT AS image_id, 'sheet_' || s_suppkey || '.png' AS name, true AS is_png, {W}::BIGINT AS width, {H}::BIGINT AS height FROM supplier")
 def audit_pictures(spark, sf_dir):
     """Each image's pattern laid over it, written as a file and read back by its name."""
     from corymb.operators import imaging
 
-    both = imaging.mask_column(_pixels(spark), "roi").join(imaging.mask_column(_pixels(spark), "pat").select("image_id", F.col("mask").alias("pattern")), "image_id")
+    both = imaging.mask_column(_pixels(spark, sf_dir), "roi").join(imaging.mask_column(_pixels(spark, sf_dir), "pat").select("image_id", F.col("mask").alias("pattern")), "image_id")
 
     def draw(r: dict) -> list[dict]:
         roi, pattern = (np.frombuffer(r[c], np.uint8).reshape(r["h"], r["w"]) for c in ("mask", "pattern"))
@@ -436,30 +454,29 @@ def audit_pictures(spark, sf_dir):
     path = scratch(spark, "audit")
     tables.write_files(imaging.per_image(both, draw, "name string, content binary"), path)
     d = tables.images(spark, path)
-    return d.select(F.regexp_extract("stem", r"(\d+)$", 1).cast("long").alias("image_id"), F.concat("stem", F.lit(".png")).alias("name"), (F.substring("content", 2, 3).cast("string") == "PNG").alias("is_png"))
+    return d.select(F.regexp_extract("stem", r"(\d+)$", 1).cast("long").alias("image_id"), F.concat("stem", F.lit(".png")).alias("name"), (F.substring("content", 2, 3).cast("string") == "PNG").alias("is_png"), *(F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("long").alias(c) for c, at in (("width", 17), ("height", 21))))
 
 
-@query("measured_sheets", "SELECT 'sheet_' || i AS sheet, 1 AS flowers, true AS length_fits, true AS width_fits, CASE WHEN i % 2 = 0 THEN 'opened_full' ELSE 'folded_half' END AS fold_state FROM range(12) t(i)")
+@query("measured_sheets", "SELECT 'sheet_' || s_suppkey AS sheet, 1 AS flowers, true AS length_fits, true AS width_fits, CASE WHEN s_suppkey % 2 = 0 THEN 'opened_full' ELSE 'folded_half' END AS fold_state FROM supplier")
 def measured_sheets(spark, sf_dir):
-    """Twelve made-up sheets, each with one outlined flower of known size, from bytes to measurements."""
+    """A sheet for each supplier with one outlined flower whose size its nation tells, from bytes to measurements."""
     from corymb.operators import imaging
 
     def make(batches):
         for b in batches:
-            out = []
-            for i in b["id"]:
+            for key, v in zip(b["s_suppkey"], b["v"], strict=True):
                 raw = np.full((620, 560, 3), 250, np.uint8)
                 y, x = np.mgrid[:620, :560]
-                d = ((x - 280) / (100.0 + 2 * i)) ** 2 + ((y - 310) / (180.0 + 3 * i)) ** 2
+                d = ((x - 280) / (100.0 + 2 * v)) ** 2 + ((y - 310) / (180.0 + 3 * v)) ** 2
                 raw[d < 1] = (180, 120, 190)
                 ann = raw.copy()
                 ann[(d > 0.96) & (d < 1.06)] = (230, 20, 20)
-                out.append((f"sheet_{i}", imaging.encode(raw), imaging.encode(ann)))
-            yield pd.DataFrame(out, columns=["sheet", "raw", "annotated"])
+                yield pd.DataFrame([(f"sheet_{key}", imaging.encode(raw), imaging.encode(ann))], columns=["sheet", "raw", "annotated"])
 
-    sheets = spark.range(12).mapInPandas(make, "sheet string, raw binary, annotated binary")
+    scans = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 12).cast("int").alias("v"))
+    sheets = scans.repartition(16, "s_suppkey").mapInPandas(make, "sheet string, raw binary, annotated binary")
     m = imaging.measure_sheets(sheets, opened=lambda sheet, number: int(sheet.rpartition("_")[2]) % 2 == 0)
-    i = F.regexp_extract("sheet", r"(\d+)$", 1).cast("int")
+    m = m.join(scans.select(F.concat(F.lit("sheet_"), F.col("s_suppkey").cast("string")).alias("sheet"), "v"), "sheet")
     fits = lambda value, half: (F.abs(value / (half * 2 * sc.MM_PER_PX) - 1) < 0.06)
-    d = m.select("sheet", fits(F.col("corolla_length_mm"), i * 3 + 180.0).alias("a"), fits(F.col("corolla_width_obs_mm"), i * 2 + 100.0).alias("b"), "fold_state")
+    d = m.select("sheet", fits(F.col("corolla_length_mm"), F.col("v") * 3 + 180.0).alias("a"), fits(F.col("corolla_width_obs_mm"), F.col("v") * 2 + 100.0).alias("b"), "fold_state")
     return d.groupBy("sheet", "fold_state").agg(F.count("*").cast("int").alias("flowers"), F.bool_and("a").alias("length_fits"), F.bool_and("b").alias("width_fits")).select("sheet", "flowers", "length_fits", "width_fits", "fold_state")

@@ -1,4 +1,4 @@
-"""Queries of whole-image operators on generated masks."""
+"""Queries of whole-image operators on the suppliers' masks."""
 
 from __future__ import annotations
 
@@ -9,41 +9,41 @@ from corymb.plans.pixels import _pixels
 from corymb.plans.registry import query
 
 
-def _masks(spark, column: str = "roi"):
-    return imaging.mask_column(_pixels(spark), column)
+def _masks(spark, sf_dir, column: str = "roi"):
+    return imaging.mask_column(_pixels(spark, sf_dir), column)
 
 
 @query("mask_shapes")
 def mask_shapes(spark, sf_dir):
-    return imaging.shapes(_masks(spark), 0.5)
+    return imaging.shapes(_masks(spark, sf_dir), 0.5)
 
 
 @query("mask_axes")
 def mask_axes(spark, sf_dir):
-    return imaging.axes(_masks(spark))
+    return imaging.axes(_masks(spark, sf_dir))
 
 
 @query("mask_components")
 def mask_components(spark, sf_dir):
-    return imaging.components(_masks(spark, "pat"), 3)
+    return imaging.components(_masks(spark, sf_dir, "pat"), 3)
 
 
 @query("mask_registration")
 def mask_registration(spark, sf_dir):
-    return imaging.registered(_masks(spark), _masks(spark, "other"))
+    return imaging.registered(_masks(spark, sf_dir), _masks(spark, sf_dir, "other"))
 
 
 @query("photo_matches")
 def photo_matches(spark, sf_dir):
-    """Silhouettes of three sheets matched one to one with the hand masks of the same sheet; a test knows the answer for shifted copies."""
-    own = lambda name, c: _masks(spark, c).select(F.concat(F.lit("sheet_"), (F.col("image_id") % 3).cast("string")).alias("sheet"), F.col("image_id").cast("string").alias(name), "h", "w", "mask")
+    """Silhouettes matched, four a sheet, one to one with the hand masks of the same sheet; a test knows the answer for shifted copies."""
+    own = lambda name, c: _masks(spark, sf_dir, c).select(F.concat(F.lit("sheet_"), F.floor(F.col("image_id") / 4).cast("string")).alias("sheet"), F.col("image_id").cast("string").alias(name), "h", "w", "mask")
     return imaging.match_photos(own("photo", "other"), own("corolla_id", "roi").withColumns({"hand_length": F.lit(2.0), "hand_width": F.lit(1.0)}))
 
 
 @query("upright_frames")
 def upright_frames(spark, sf_dir):
     """Each flower's upright frame: its size, and how many of its pixels are pattern."""
-    both = _masks(spark).join(_masks(spark, "pat").select("image_id", F.col("mask").alias("pattern")), "image_id")
+    both = _masks(spark, sf_dir).join(_masks(spark, sf_dir, "pat").select("image_id", F.col("mask").alias("pattern")), "image_id")
     count = lambda c: F.length(F.regexp_replace(F.hex(c), "00", "")) / 2
     return imaging.upright_frames(both).select("image_id", "h", "w", count("mask").cast("long").alias("roi_px"), count("pattern").cast("long").alias("pattern_px"))
 
@@ -51,7 +51,7 @@ def upright_frames(spark, sf_dir):
 @query("midline_metrics")
 def midline_metrics(spark, sf_dir):
     """Guide pixels against all pixels of each flower, by distance to the midline."""
-    d = imaging.midline_distances(_masks(spark))
-    p = _pixels(spark).select("image_id", "y", "x", F.col("pat").alias("pattern"))
+    d = imaging.midline_distances(_masks(spark, sf_dir))
+    p = _pixels(spark, sf_dir).select("image_id", "y", "x", F.col("pat").alias("pattern"))
     j = d.join(p, ["image_id", "y", "x"]).select("image_id", "pattern", (F.col("y") / 96.0).alias("pos"), "dist")
     return pixels.spatial_metrics(j)

@@ -176,7 +176,7 @@ def test_polygon_of_columns_equals_arrays(spark):
     for size in (96, 128, 161):
         _, roi, spots = api.synthetic_flower(size)
         got = np.zeros((size, size, 2), bool)
-        for r in pixels.synthetic_flower(spark, size).where("in_roi").select("y", "x", "in_pattern").collect():
+        for r in pixels.synthetic_flower(spark.range(1).withColumnRenamed("id", "image_id"), size).where("in_roi").select("y", "x", "in_pattern").collect():
             got[r["y"], r["x"]] = True, r["in_pattern"]
         assert (got[..., 0] == (roi > 0)).all() and (got[..., 1] == (spots > 0)).all()
 
@@ -230,13 +230,13 @@ def test_sheets_are_measured_end_to_end(spark):
 
 
 def test_synthetic_flower(spark):
-    d = pixels.synthetic_flower(spark, 128)
+    d = pixels.synthetic_flower(spark.range(1).withColumnRenamed("id", "image_id"), 128)
     r = pixels.coverage(d, "in_pattern", "in_roi").first()
     assert 0 < r["coverage_pct"] < 20
     m = imaging.mask_column(d, "in_pattern")
     assert imaging.components(m).count() >= 4
     with pytest.raises(ValueError):
-        pixels.synthetic_flower(spark, 50)
+        pixels.synthetic_flower(spark.range(1).withColumnRenamed("id", "image_id"), 50)
 
 
 def test_mixture_recovers_roles(spark):
@@ -256,10 +256,21 @@ def test_mixture_recovers_roles(spark):
         mixture.assign_roles(np.zeros((2, 2)))
 
 
+@pytest.fixture(scope="module")
+def scans(spark, tmp_path_factory):
+    """Four suppliers of 700 line items each."""
+    folder = str(tmp_path_factory.mktemp("scans"))
+    rng = np.random.default_rng(1)
+    spark.createDataFrame([(i, i) for i in range(1, 5)], "s_suppkey long, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    items = [(i, *map(int, rng.integers(0, 5000, 2))) for i in range(1, 5) for _ in range(700)]
+    spark.createDataFrame(items, "l_suppkey long, l_orderkey long, l_partkey long").write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
 @pytest.mark.parametrize("query", ["mask_shapes", "mask_axes", "mask_components", "mask_registration", "midline_metrics"])
-def test_mask_queries_take_every_image(spark, query):
-    images = {r["image_id"] for r in _pixels(spark).select("image_id").distinct().collect()}
-    assert {r["image_id"] for r in catalog.queries()[query](spark, "").select("image_id").collect()} == images
+def test_mask_queries_take_every_image(spark, scans, query):
+    images = {r["image_id"] for r in _pixels(spark, scans).select("image_id").distinct().collect()}
+    assert len(images) == 4 and {r["image_id"] for r in catalog.queries()[query](spark, scans).select("image_id").collect()} == images
 
 
 def test_photos_are_matched_one_to_one(spark):
