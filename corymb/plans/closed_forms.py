@@ -300,17 +300,6 @@ def side_roles(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", length.alias("length"), width.alias("width"))
 
 
-@query("pinned_strokes", "WITH s AS (SELECT c_custkey AS stroke_id, c_nationkey AS sheet FROM customer) SELECT sheet, count(*) AS n FROM s WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = stroke_id AND s_nationkey = sheet) GROUP BY sheet")
-def pinned_strokes(spark, sf_dir):
-    """What is left for the assignment once the pinned pieces are taken out."""
-    s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("stroke_id"), F.col("c_nationkey").alias("sheet"))
-    pins = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("stroke_id"), F.col("s_nationkey").alias("sheet"))
-    return s.join(pins, ["sheet", "stroke_id"], "left_anti").groupBy("sheet").agg(F.count("*").alias("n"))
-
-
-# --- functions, sources and sinks ------------------------------------------------------------------
-
-
 @query("report_numbers", "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 8, 2) AS quarter, format('{:.2e}', l_extendedprice / 7) AS price, concat_ws('_', l_returnflag, l_linenumber) AS site FROM lineitem")
 def report_numbers(spark, sf_dir):
     """Numbers as reports show them; eighths make ties, which go to even."""

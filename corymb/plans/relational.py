@@ -156,20 +156,33 @@ def first_by_key(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min_by("c_acctbal", "c_custkey").alias("first_balance"), F.max_by("c_name", "c_acctbal").alias("richest"))
 
 
-@query(
-    "organ_assignment",
-    """WITH f AS (SELECT n_regionkey AS sheet, s_suppkey AS corolla_id, s_acctbal AS cx, (s_suppkey % 7) * 1000.0::DOUBLE AS cy, 1500.0::DOUBLE AS height FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-s AS (SELECT n_regionkey AS sheet, c_custkey AS stroke_id, c_acctbal AS cx, (c_custkey % 11) * 700.0::DOUBLE AS cy, (c_custkey % 97)::DOUBLE AS length_mm FROM customer JOIN nation ON c_nationkey = n_nationkey),
-r AS (SELECT sheet, median(height) * 0.7 AS reach FROM f GROUP BY 1),
+_PIECES = """f0 AS (SELECT n_regionkey AS sheet, s_suppkey AS corolla_id, s_acctbal AS cx, (s_suppkey % 7) * 1000.0::DOUBLE AS cy, 1500.0::DOUBLE AS height FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+s0 AS (SELECT n_regionkey AS sheet, c_custkey AS stroke_id, c_acctbal AS cx, (c_custkey % 11) * 700.0::DOUBLE AS cy, (c_custkey % 97)::DOUBLE AS length_mm FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+_ASSIGNED = """r AS (SELECT sheet, median(height) * 0.7 AS reach FROM f0 GROUP BY 1),
 d AS (SELECT s.sheet, stroke_id, length_mm, corolla_id, row_number() OVER (PARTITION BY s.sheet, stroke_id ORDER BY CASE WHEN f.cx <= s.cx AND abs(s.cy - f.cy) <= reach THEN 0 ELSE 1 END, sqrt((s.cx - f.cx) * (s.cx - f.cx) + (s.cy - f.cy) * (s.cy - f.cy)), corolla_id) AS k FROM s JOIN f ON s.sheet = f.sheet JOIN r ON r.sheet = s.sheet),
 l AS (SELECT *, row_number() OVER (PARTITION BY sheet, corolla_id ORDER BY length_mm DESC, stroke_id) AS l FROM d WHERE k = 1)
-SELECT sheet, corolla_id, stroke_id, length_mm FROM l WHERE l = 1""",
-)
-def organ_assignment(spark, sf_dir):
+SELECT sheet, corolla_id, stroke_id, length_mm FROM l WHERE l = 1"""
+
+
+def _pieces(spark, sf_dir):
+    """A region's suppliers as flowers and its customers as strokes."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("sheet"))
     f = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("sheet", F.col("s_suppkey").alias("corolla_id"), F.col("s_acctbal").alias("cx"), (F.col("s_suppkey") % 7 * 1000.0).alias("cy"), F.lit(1500.0).alias("height"))
     s = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("sheet", F.col("c_custkey").alias("stroke_id"), F.col("c_acctbal").alias("cx"), (F.col("c_custkey") % 11 * 700.0).alias("cy"), (F.col("c_custkey") % 97).cast("double").alias("length_mm"))
-    return matching.assign_organs(s, f)
+    return s, f
+
+
+@query("organ_assignment", f"WITH {_PIECES}, f AS (SELECT * FROM f0), s AS (SELECT * FROM s0), {_ASSIGNED}")
+def organ_assignment(spark, sf_dir):
+    return matching.assign_organs(*_pieces(spark, sf_dir))
+
+
+@query("pinned_strokes", f"WITH {_PIECES}, p AS (SELECT sheet, corolla_id, stroke_id FROM f0 JOIN s0 USING (sheet) WHERE corolla_id = stroke_id), f AS (SELECT * FROM f0 ANTI JOIN p USING (sheet, corolla_id)), s AS (SELECT * FROM s0 ANTI JOIN p USING (sheet, stroke_id)), {_ASSIGNED}")
+def pinned_strokes(spark, sf_dir):
+    """Strokes that share a flower's number are pinned to it; what they and their flowers leave is assigned."""
+    s, f = _pieces(spark, sf_dir)
+    pins = f.join(s, (f["sheet"] == s["sheet"]) & (f["corolla_id"] == s["stroke_id"])).select(f["sheet"], "corolla_id", "stroke_id")
+    return matching.assign_organs(s, f, pins)
 
 
 @query(

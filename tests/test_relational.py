@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +110,55 @@ def test_catalogue_is_complete():
 
     q, s = catalog.queries(), catalog.oracle_sql()
     assert len(q) > 80 and set(s) <= set(q) and len(s) > 50
+
+
+def plain_nearest(points, targets, reach=None):
+    out = {}
+    for k, x, y in points:
+        ok = [(math.hypot(x - u, y - v), t) for t, u, v in targets if reach is None or (u <= x and abs(y - v) <= reach)]
+        if ok:
+            out[k] = min(ok)
+    return out
+
+
+@pytest.mark.parametrize("reach", [None, 0.0, 35.0])
+def test_nearest_equals_comparing_all(spark, reach):
+    rng = random.Random(6)
+    spread = lambda n: [(i, rng.choice([rng.uniform(0, 900), rng.gauss(300, 5)]), rng.choice([rng.uniform(-50, 400), 120.0])) for i in range(n)]
+    points, targets = spread(250) + [(900, -500.0, 2000.0), (901, 5000.0, 120.0)], spread(90) + [(500, 300.0, 120.0), (501, 300.0, 120.0)]
+    p = spark.createDataFrame([("s", *r, reach if reach is not None else 0.0) for r in points], "sheet string, p int, x double, y double, reach double")
+    t = spark.createDataFrame([("s", *r) for r in targets] + [("other", 1, 0.0, 0.0)], "sheet string, t int, x double, y double")
+    got = {r["p"]: (r["distance"], r["t"]) for r in matching.nearest(p, t, "sheet", "p", "t", reach=reach is not None).collect()}
+    want = plain_nearest(points, targets, reach)
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0]) for k in want)
+
+
+def test_nearest_looks_at_few_pairs(spark):
+    rng = random.Random(3)
+    each = []
+    for n in (500, 1000, 2000):
+        make = lambda m: [("s", i, rng.uniform(0, 1000), rng.uniform(0, 1000)) for i in range(m)]
+        p, t = spark.createDataFrame(make(n), "sheet string, p int, x double, y double"), spark.createDataFrame(make(n), "sheet string, t int, x double, y double")
+        each.append(matching.nearest(p, t, "sheet", "p", "t").agg(F.avg("examined")).first()[0])
+    assert max(each) < 40 and each[-1] < 1.2 * each[0]
+
+
+def test_nearest_of_one_place_and_of_nothing(spark):
+    p = spark.createDataFrame([("s", 1, 5.0, 5.0), ("s", 2, None, 1.0), ("u", 3, 0.0, 0.0)], "sheet string, p int, x double, y double")
+    t = spark.createDataFrame([("s", 7, 1.0, 1.0), ("s", 6, 1.0, 1.0)], "sheet string, t int, x double, y double")
+    assert [(r["p"], r["t"]) for r in matching.nearest(p, t, "sheet", "p", "t").collect()] == [(1, 6)]
+    assert matching.nearest(p, t.where("false"), "sheet", "p", "t").collect() == []
+
+
+def test_pairs_by_rounds_equal_the_sequential_choice(spark):
+    rng = random.Random(5)
+    rows = [(s, a, b, rng.choice([rng.random(), 0.5])) for s in "xy" for a in range(25) for b in range(30) if rng.random() < 0.7]
+    want = []
+    used = set()
+    for s, a, b, v in sorted(rows, key=lambda r: (r[3], r[1], r[2]), reverse=True):
+        if not {(s, 0, a), (s, 1, b)} & used:
+            used |= {(s, 0, a), (s, 1, b)}
+            want.append((s, a, b, v))
+    got = matching.greedy_pairs(spark.createDataFrame(rows + rows[:9], "sheet string, a int, b int, iou double"), "sheet", "a", "b", "iou")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert matching.greedy_pairs(spark.createDataFrame([], "sheet string, a int, b int, iou double"), "sheet", "a", "b", "iou").collect() == []
