@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from corymb.llm import tokens
 from corymb.llm.components import components
+from corymb.llm.shared import broadcast_rows as rows_that_fit
 from corymb.llm.shared import fits, materialise, need, small_batches
 
 GROUPS, LEAF = 64, 16
@@ -371,11 +372,12 @@ def _search(num: int, den: int, every: bool):
 class _Join:
     """The steps that components and links share."""
 
-    def __init__(self, docs: DataFrame, width: int, num: int, den: int, chunk: int, broadcast_rows: int, bits: int = SKETCH):
+    def __init__(self, docs: DataFrame, width: int, num: int, den: int, chunk: int, broadcast_rows: int | None, bits: int = SKETCH):
         self.num, self.den, self.chunk = num, den, chunk
         docs = need(docs, doc_id="long", text="string")
         self.spark = docs.sparkSession
         small_batches(self.spark)
+        small = lambda d, row_bytes: F.broadcast(d) if fits(d, rows_that_fit(self.spark, row_bytes) if broadcast_rows is None else broadcast_rows) else d
         self.members = materialise(_sets(docs, width), "sets")
         self.classes = self.members.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("first"))
 
@@ -383,23 +385,23 @@ class _Join:
         met = materialise(filed.groupBy("cell").agg(F.min("sid").alias("star"), F.max("sid").alias("last"), F.count("*").alias("n")).where("star < last"), "cells")
         # most cells that are shared hold two classes; the others are joined back, in parts if one is hot
         more = met.where("n > 2").select("cell", "star")
-        many = filed.join(F.broadcast(more) if fits(more, broadcast_rows) else more, "cell").where("sid <> star")
+        many = filed.join(small(more, 16), "cell").where("sid <> star")
         self.stars = materialise(met.where("n = 2").select("star", F.col("last").alias("sid")).unionByName(many.select("star", "sid")).distinct(), "stars")
         inside = self.stars.unionByName(self.stars.select("star", F.col("star").alias("sid")).distinct())
         # written before the join, so that a large star is counted where its rows lie and its join can be split
         parts = materialise(inside.groupBy("star").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")), "parts")
         placed = materialise(inside.join(parts, "star"), "inside")
-        small = placed.where("parts = 1").select("star", "sid")
-        some = small.select("sid").distinct()
-        points = self.members.join(F.broadcast(some) if fits(some, broadcast_rows) else some, "sid", "left_semi").select("sid", "n", "point").dropDuplicates(["sid"])
+        whole = placed.where("parts = 1").select("star", "sid")
+        some = whole.select("sid").distinct()
+        points = self.members.join(small(some, 8), "sid", "left_semi").select("sid", "n", "point").dropDuplicates(["sid"])
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        pointed = small.join(points, "sid").select("star", "sid", "n", "point").repartition(n, "star").sortWithinPartitions("star")
+        pointed = whole.join(points, "sid").select("star", "sid", "n", "point").repartition(n, "star").sortWithinPartitions("star")
         near = self._joined(materialise(pointed.mapInArrow(_in_reach(num, den), "star long, sid long"), "near")).withColumn("parts", F.lit(1))
         self.inside = materialise(near.unionByName(placed.where("parts > 1").select("star", "sid", "parts")), "reach").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
         self.cut = parts.where("parts > 1")
 
         wanted = materialise(self.inside.select("sid").distinct().join(self.classes, "sid").select(F.col("first.doc_id").alias("doc_id")).distinct(), "wanted")
-        chosen = docs.join(F.broadcast(wanted) if fits(wanted, broadcast_rows) else wanted, "doc_id", "left_semi")
+        chosen = docs.join(small(wanted, 8), "doc_id", "left_semi")
         self.payload = materialise(_payload(chosen, width), "payload").dropDuplicates(["sid"])
 
     def _joined(self, near: DataFrame) -> DataFrame:
@@ -447,9 +449,10 @@ class _Join:
         return self.search(tasks, every=True).distinct()
 
 
-def jaccard_classes(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int = 250_000, bits: int = SKETCH) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int | None = None, bits: int = SKETCH) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, component_th) for each row; links are Jaccard >= num/den.
 
+    What is broadcast has ``broadcast_rows`` rows at most, as many as fit the session's bound unless stated.
     ``th`` tells texts with one id apart; the least (id, th) of a component stands for it.
     """
     join = _Join(docs, width, num, den, chunk, broadcast_rows, bits)
@@ -467,7 +470,7 @@ def jaccard_components(docs: DataFrame, **how: int) -> DataFrame:
     return jaccard_classes(docs, **how).select("doc_id", "n_shingles", "component_id")
 
 
-def jaccard_links(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int = 250_000, bits: int = SKETCH) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, *, width: int = 3, num: int = 9, den: int = 10, chunk: int = 256, broadcast_rows: int | None = None, bits: int = SKETCH) -> tuple[DataFrame, DataFrame]:
     """All links as pairs (a, b) of class ids, and the membership (doc_id, class_id) of rows that have shingles."""
     join = _Join(docs, width, num, den, chunk, broadcast_rows, bits)
     return join.all_links(), join.members.where("n > 0").select("doc_id", F.col("sid").alias("class_id"))

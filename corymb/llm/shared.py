@@ -76,3 +76,11 @@ def hex_bits(text: Column, digits: int, start: int = 1) -> Column:
 def fits(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has at most so many rows; looks no further than one row beyond."""
     return df.limit(most + 1).count() <= most
+
+
+def broadcast_rows(spark: SparkSession, row_bytes: int) -> int:
+    """Rows of so many bytes that fit the session's own bound of a broadcast; 10 MB where it sets none."""
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10m")
+    if bound.lstrip().startswith("-"):  # the session broadcasts nothing
+        return 0
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(bound) // row_bytes
