@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corymb.functions.tails import chi2_sf, normal_sf
+from corymb.functions.tails import chi2_sf, f_p, normal_sf
 from corymb.operators import kernels as k
 from corymb.operators.divergence import POISSON, label_permutation
 from corymb.operators.ranks import adjusted
@@ -110,10 +110,13 @@ def hc3_lines(df: DataFrame, trait: str, group: str, x: str, y: str) -> DataFram
 
 
 def site_tests(sites: DataFrame, trait: str, group: str, site: str, y: str, x: str, *, permutations: int = 999, seed: int = 0, covariates: tuple[str, ...] = (), omit: bool = False) -> DataFrame:
-    """(trait, test, omitted, F test): group shifts and group slopes over site means, one task a trait.
+    """(trait, test, omitted, F test): group shifts and group slopes over site means.
 
     With ``omit`` each group is also left out in turn.  ``coefficient`` is the first covariate's in the full model.
+    Without covariates the permutations are dealt (:func:`dealt_site_tests`); with them a trait is one task.
     """
+    if not covariates:
+        return dealt_site_tests(sites, trait, group, site, y, x, permutations=permutations, seed=seed, omit=omit)
     cols = [trait, group, site, y, x, *covariates]
 
     def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
@@ -132,6 +135,71 @@ def site_tests(sites: DataFrame, trait: str, group: str, site: str, y: str, x: s
     return sites.select(*cols).groupBy(trait).applyInPandas(run, f"{trait} string, test string, omitted string, n_sites int, {TEST}")
 
 
+def _fits(d: DataFrame, keys: list[str], y: str) -> DataFrame:
+    """(keys, n, k, slopes, tss, r0, r1, r2): squared residuals of a common line, of parallel lines a group, and of a line a group.
+
+    Rows are summed up by group; ``slopes`` counts the groups whose x varies.
+    """
+    size = F.count("*")
+    g = d.groupBy(*keys, "_g").agg(size.alias("n"), F.avg("_x").alias("mx"), F.avg(y).alias("my"), (F.var_pop("_x") * size).alias("sxx"), (F.covar_pop("_x", y) * size).alias("sxy"), (F.var_pop(y) * size).alias("syy"))
+    varies = F.col("sxx") > 1e-12
+    own = F.col("syy") - F.when(varies, F.col("sxy") * F.col("sxy") / F.col("sxx")).otherwise(0.0)
+    n, mx, my = F.col("n"), F.col("mx"), F.col("my")
+    spread = lambda a, b, within: F.sum(within) + F.sum(n * a * b) - F.sum(n * a) * F.sum(n * b) / F.sum(n)
+    s = g.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.count_if(varies).alias("slopes"), spread(mx, mx, "sxx").alias("txx"), spread(mx, my, "sxy").alias("txy"), spread(my, my, "syy").alias("tss"), F.sum("sxx").alias("wxx"), F.sum("sxy").alias("wxy"), F.sum("syy").alias("wyy"), F.sum(own).alias("r2"))
+    line = lambda yy, xy, xx: F.col(yy) - F.coalesce(F.try_divide(F.col(xy) * F.col(xy), F.col(xx)), F.lit(0.0))
+    return s.select(*keys, "n", "k", "slopes", "tss", line("tss", "txy", "txx").alias("r0"), line("wyy", "wxy", "wxx").alias("r1"), "r2")
+
+
+def dealt_site_tests(sites: DataFrame, trait: str, group: str, site: str, y: str, x: str, *, permutations: int = 999, seed: int = 0, omit: bool = False) -> DataFrame:
+    """:func:`site_tests` without covariates, each repetition of a trait by itself.
+
+    Freedman and Lane: the residuals of the smaller model are shuffled and added to its fit.  The fit lies in both
+    models, so the statistic of a repetition is that of the shuffled residuals alone, and a sum by group gives
+    it.  A repetition orders the sites by a hash of (seed, test, repetition, group, site) and gives the i-th of them the i-th
+    residual: the result depends on no partitioning and can be repeated in SQL.
+    """
+    from corymb.sources.scratch import written
+
+    d = sites.select(trait, group, site, y, x).dropna().select(F.col(trait).cast("string").alias("_t"), F.col(group).cast("string").alias("_g"), F.col(site).cast("string").alias("_u"), F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x"))
+    d = written(d, "sites")
+    none = d.withColumn("_o", F.lit(None).cast("string"))
+    if omit:
+        groups = d.select("_t", F.col("_g").alias("_o")).distinct()
+        none = none.unionByName(d.join(groups, "_t").where("_g <> _o").select("_t", "_g", "_u", "_y", "_x", "_o"))
+    rows = written(none.select("_t", "_g", "_u", "_y", "_x", F.coalesce(F.concat(F.lit("="), "_o"), F.lit("")).alias("_o")), "rows")
+    keys, tests = ["_t", "_o"], ["_t", "_o", "test"]
+    seen = written(_fits(rows, keys, "_y").where("k >= 2"), "fits")
+    shift, slope = (F.lit(v).alias("test") for v in ("shift", "slope"))
+    form = lambda name, small, full, num, den: seen.select(*keys, name, "n", "tss", F.col(small).alias("small"), F.col(full).alias("full"), num.cast("int").alias("df_num"), den.cast("int").alias("df_den"))
+    observed = form(shift, "r0", "r1", F.col("k") - 1, F.col("n") - F.col("k") - 1).unionByName(form(slope, "r1", "r2", F.col("slopes") - 1, F.col("n") - F.col("k") - F.col("slopes")).where("_o = ''"))
+    statistic = lambda small, full: F.try_divide((F.col(small) - F.col(full)) / F.col("df_num"), F.col(full) / F.col("df_den"))
+    observed = observed.withColumn("f", statistic("small", "full"))
+    if permutations:
+        whole, within = Window.partitionBy(*keys), Window.partitionBy(*keys, "_g")
+        ax, ay = F.avg("_x").over(whole), F.avg("_y").over(whole)
+        left = rows.withColumns({"cx": F.col("_x") - ax, "cy": F.col("_y") - ay, "gx": F.col("_x") - F.avg("_x").over(within), "gy": F.col("_y") - F.avg("_y").over(within)})
+        line = lambda u, v: F.col(v) - F.coalesce(F.try_divide(F.sum(F.col(u) * F.col(v)).over(whole), F.sum(F.col(u) * F.col(u)).over(whole)), F.lit(0.0)) * F.col(u)
+        left = left.select(*keys, "_g", "_u", "_x", line("cx", "cy").alias("shift"), line("gx", "gy").alias("slope")).unpivot([*keys, "_g", "_u", "_x"], ["shift", "slope"], "test", "_e").where("test = 'shift' OR _o = ''")
+        left = written(left.withColumn("_i", F.row_number().over(Window.partitionBy(*tests).orderBy("_g", "_u"))), "residuals")
+        many = left.select(*tests, "_g", "_u", "_x", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("rep"))
+        name = F.md5(F.concat_ws(":", F.lit(str(seed)), "test", F.col("rep").cast("string"), "_g", "_u").cast("binary"))
+        many = many.withColumn("_i", F.row_number().over(Window.partitionBy(*tests, "rep").orderBy(name, "_g", "_u")))
+        shuffled = many.join(left.select(*tests, "_i", "_e"), [*tests, "_i"])
+        sim = _fits(shuffled, [*tests, "rep"], "_e").join(observed.select(*tests, "df_num", "df_den", "f"), tests)
+        small, full = (F.when(F.col("test") == "shift", F.col(a)).otherwise(F.col(b)) for a, b in (("r0", "r1"), ("r1", "r2")))
+        sim = sim.withColumns({"small": small, "full": full}).withColumn("sim", statistic("small", "full"))
+        above = sim.groupBy(*tests).agg(F.count_if(F.col("sim") >= F.col("f") - 1e-12).alias("above"))
+        observed = observed.join(above, tests)
+    else:
+        observed = observed.withColumn("above", F.lit(0))
+    gain = F.col("small") - F.col("full")
+    return observed.select(
+        F.col("_t").alias(trait), "test", F.expr("nullif(substring(_o, 2), '')").alias("omitted"), F.col("n").cast("int").alias("n_sites"), "f", "df_num", "df_den", f_p(F.greatest("f", F.lit(0.0)), F.col("df_num").cast("double"), F.col("df_den").cast("double")).alias("parametric_p"),
+        ((F.col("above") + 1) / F.lit(permutations + 1)).alias("permutation_p"), (1 - F.col("small") / F.col("tss")).alias("r2_small"), (1 - F.col("full") / F.col("tss")).alias("r2_full"), (gain / F.col("tss")).alias("delta_r2"), F.coalesce(F.try_divide(gain, F.col("small")), F.lit(0.0)).alias("partial_r2"), F.lit(None).cast("double").alias("coefficient"),
+    )
+
+
 def hash_text(text: str) -> int:
     import zlib
 

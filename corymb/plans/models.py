@@ -73,10 +73,41 @@ def allometry(spark, sf_dir):
     return models.allometry(_sized(spark, sf_dir), "trait", "island", "site", "x", "y", "size", permutations=4999, interaction_permutations=1999)
 
 
-@query("site_ancova_left_out")
-def site_ancova_left_out(spark, sf_dir):
+def site_test_sql(permutations: int, omit: bool) -> str:
+    """SQL twin of the permutation tests over site means: the same hashes order the sites."""
+    groups = " UNION ALL SELECT s.trait, s.island, s.site, s.x, s.y, '=' || o.island FROM s JOIN (SELECT DISTINCT trait, island FROM s) o ON o.trait = s.trait AND o.island <> s.island" if omit else ""
+    sums = lambda name, keys, y, source: f"""{name}g AS (SELECT {keys}, island, count(*) AS n, avg(x) AS mx, avg({y}) AS my, var_pop(x) * count(*) AS sxx, covar_pop(x, {y}) * count(*) AS sxy, var_pop({y}) * count(*) AS syy FROM {source} GROUP BY ALL),
+{name}t AS (SELECT {keys}, count(*) AS n, var_pop({y}) * count(*) AS tss, var_pop({y}) * count(*) - (covar_pop(x, {y}) * count(*)) ** 2 / (var_pop(x) * count(*)) AS r0 FROM {source} GROUP BY ALL),
+{name}w AS (SELECT {keys}, count(*) AS k, sum(syy) - sum(sxy) ** 2 / sum(sxx) AS r1, sum(syy - sxy * sxy / sxx) AS r2 FROM {name}g GROUP BY ALL),
+{name} AS (SELECT * FROM {name}t JOIN {name}w USING ({keys}))"""
+    pick = "CASE WHEN test = 'shift' THEN (r0 - r1) / (k - 1) / (r1 / (n - k - 1)) ELSE (r1 - r2) / (k - 1) / (r2 / (n - 2 * k)) END"
+    return f"""WITH {SIZED}, s AS (SELECT trait, island, site, avg(x) AS x, avg(y) AS y FROM d GROUP BY ALL), r AS (SELECT trait, island, site, x, y, '' AS o FROM s{groups}),
+{sums('m', 'trait, o', 'y', 'r')}, ob AS (SELECT *, {pick} AS f FROM m, (VALUES ('shift'), ('slope')) v(test) WHERE test = 'shift' OR o = ''),
+c AS (SELECT *, x - avg(x) OVER (PARTITION BY trait, o) AS cx, y - avg(y) OVER (PARTITION BY trait, o) AS cy, x - avg(x) OVER (PARTITION BY trait, o, island) AS gx, y - avg(y) OVER (PARTITION BY trait, o, island) AS gy FROM r),
+l AS (SELECT trait, o, island, site, x, cy - sum(cx * cy) OVER (PARTITION BY trait, o) / sum(cx * cx) OVER (PARTITION BY trait, o) * cx AS a, gy - sum(gx * gy) OVER (PARTITION BY trait, o) / sum(gx * gx) OVER (PARTITION BY trait, o) * gx AS b FROM c),
+e AS (SELECT *, row_number() OVER (PARTITION BY trait, o, test ORDER BY island, site) AS i FROM (SELECT trait, o, island, site, x, 'shift' AS test, a AS e FROM l UNION ALL SELECT trait, o, island, site, x, 'slope', b FROM l WHERE o = '')),
+q AS (SELECT e.* EXCLUDE (e, i), rep, row_number() OVER (PARTITION BY trait, o, test, rep ORDER BY md5('0:' || test || ':' || rep || ':' || island || ':' || site), island, site) AS i FROM e, range({permutations}) t(rep)),
+z AS (SELECT q.* EXCLUDE (i), e.e FROM q JOIN e USING (trait, o, test, i)), {sums('p', 'trait, o, test, rep', 'e', 'z')},
+n AS (SELECT p.trait, p.o, p.test, count(*) FILTER (WHERE CASE WHEN p.test = 'shift' THEN (p.r0 - p.r1) / (p.k - 1) / (p.r1 / (p.n - p.k - 1)) ELSE (p.r1 - p.r2) / (p.k - 1) / (p.r2 / (p.n - 2 * p.k)) END >= f - 1e-12) AS above FROM p JOIN ob USING (trait, o, test) GROUP BY ALL)
+SELECT trait, test, nullif(substr(o, 2), '') AS omitted, n AS n_sites, k - 1 AS df_num, CASE WHEN test = 'shift' THEN n - k - 1 ELSE n - 2 * k END AS df_den, round(f, 5) AS f, round(CASE WHEN test = 'shift' THEN (r0 - r1) / r0 ELSE (r1 - r2) / r1 END, 6) AS partial_r2, round((above + 1) / {permutations + 1}.0::DOUBLE, 7) AS p FROM ob JOIN n USING (trait, o, test)"""
+
+
+def _site_tests(spark, sf_dir, permutations: int, omit: bool):
     s = _sized(spark, sf_dir).groupBy("trait", "island", "site").agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
-    return models.site_tests(s, "trait", "island", "site", "y", "x", permutations=1999, omit=True)
+    d = models.site_tests(s, "trait", "island", "site", "y", "x", permutations=permutations, omit=omit)
+    return d.select("trait", "test", "omitted", *(F.col(c).cast("long").alias(c) for c in ("n_sites", "df_num", "df_den")), F.round("f", 5).alias("f"), F.round("partial_r2", 6).alias("partial_r2"), F.round("permutation_p", 7).alias("p"))
+
+
+@query("site_tests_permuted", site_test_sql(4999, False))
+def site_tests_permuted(spark, sf_dir):
+    """Group shifts and group slopes over site means with their Freedman-Lane p values."""
+    return _site_tests(spark, sf_dir, 4999, False)
+
+
+@query("site_ancova_left_out", site_test_sql(1999, True))
+def site_ancova_left_out(spark, sf_dir):
+    """The same with each region left out in turn."""
+    return _site_tests(spark, sf_dir, 1999, True)
 
 
 @query("phase_adjusted")

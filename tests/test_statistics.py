@@ -259,3 +259,30 @@ def test_roles_need_the_colours_they_are_named_for(means, why):
     with pytest.raises(ValueError, match=why):
         mixture.assign_roles(np.array(means, float))
     assert mixture.assign_roles(np.array([[5, 2], [20, -15], [12, 25]], float)) == {"petal": 0, "guide": 1, "oxidation": 2}
+
+
+def test_dealt_site_tests_equal_the_designs(spark):
+    rng = np.random.default_rng(11)
+    rows = [(t, g, f"{g}{i}", float(rng.normal(i % 3 + (g == "c") * 1.5)), float(rng.normal(2, 1))) for t in ("t1", "t2") for g, n in (("a", 7), ("b", 5), ("c", 6), ("d", 4)) for i in range(n)]
+    d = spark.createDataFrame([*rows, ("t1", "a", "none", None, 1.0)], "trait string, g string, site string, y double, x double").repartition(3)
+    got = {(r["trait"], r["test"], r["omitted"]): r for r in models.site_tests(d, "trait", "g", "site", "y", "x", permutations=999, omit=True).collect()}
+    assert len(got) == 2 * (2 + 4)
+    for (t, test, out), r in got.items():
+        own = [x for x in rows if x[0] == t and x[1] != out]
+        y, x, g = np.array([v[3] for v in own]), np.array([v[4] for v in own]), np.array([v[1] for v in own])
+        want = kernels.ancova(y, x, g, 999, np.random.default_rng(1), slopes=test == "slope")
+        assert (r["n_sites"], r["df_num"], r["df_den"]) == (len(own), want["df_num"], want["df_den"])
+        for c in ("f", "parametric_p", "r2_small", "r2_full", "delta_r2", "partial_r2"):
+            assert r[c] == pytest.approx(want[c], abs=1e-8), c
+        assert r["permutation_p"] == pytest.approx(want["permutation_p"], abs=0.06)
+    again = {(r["trait"], r["test"], r["omitted"]): r["permutation_p"] for r in models.site_tests(d.repartition(7), "trait", "g", "site", "y", "x", permutations=999, omit=True).collect()}
+    assert again == {k: r["permutation_p"] for k, r in got.items()}
+
+
+def test_a_group_of_one_site_has_no_slope(spark):
+    rows = [("t", g, f"{g}{i}", float(i * i % 5), float(i)) for g, n in (("a", 6), ("b", 5), ("c", 1)) for i in range(n)]
+    got = {r["test"]: r for r in models.site_tests(spark.createDataFrame(rows, "trait string, g string, site string, y double, x double"), "trait", "g", "site", "y", "x", permutations=9).collect()}
+    y, x, g = np.array([v[3] for v in rows]), np.array([v[4] for v in rows]), np.array([v[1] for v in rows])
+    for test, r in got.items():
+        want = kernels.ancova(y, x, g, 9, np.random.default_rng(0), slopes=test == "slope")
+        assert r["f"] == pytest.approx(want["f"]) and (r["df_num"], r["df_den"]) == (want["df_num"], want["df_den"])
