@@ -251,12 +251,23 @@ def lability(univariate: DataFrame, tests: DataFrame | None, modes: DataFrame |
 
 
 def layout_summary(flowers: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Where guide pixels lie, over all flowers or by group: means, medians, and shares above chance."""
-    diff = F.col("basal_frac") - F.col("random_basal_frac")
-    cols = [F.count("*").alias("n"), F.avg("basal_frac").alias("mean_basal"), F.avg("random_basal_frac").alias("mean_random_basal"), F.median(diff).alias("median_difference"), F.avg("mean_pos").alias("mean_position")]
+    """Where guide pixels lie, over all flowers or by group: means, medians, shares above chance, and signed-rank tests.
+
+    ``p_difference``: do guides lie more at the base than random pixels do?  ``p_midline_ratio``, and the same distally: are random
+    pixels farther from the midline?  Medians and ranks come from counts over ranges of values.
+    """
+    one = keys or ["_all"]
+    d = flowers if keys else flowers.withColumn("_all", F.lit(0))
+    d = d.withColumn("difference", F.col("basal_frac") - F.col("random_basal_frac"))
+    cols = [F.count("*").alias("n"), F.avg("basal_frac").alias("mean_basal"), F.avg("random_basal_frac").alias("mean_random_basal"), F.avg("mean_pos").alias("mean_position")]
     for r in ("midline_ratio", "midline_ratio_distal"):
-        cols += [F.count(r).alias(f"n_{r}"), F.avg(r).alias(f"mean_{r}"), F.median(r).alias(f"median_{r}"), F.avg((F.col(r) > 1).cast("double")).alias(f"share_{r}_above_1")]
-    return flowers.groupBy(*(keys or [])).agg(*cols)
+        cols += [F.count(r).alias(f"n_{r}"), F.avg(r).alias(f"mean_{r}"), F.avg((F.col(r) > 1).cast("double")).alias(f"share_{r}_above_1")]
+    out = d.groupBy(*one).agg(*cols)
+    for c, null in (("difference", 0.0), ("midline_ratio", 1.0), ("midline_ratio_distal", 1.0)):
+        middle = ranks.exact_quantiles(d, one, c, [0.5]).select(*one, F.col("q")[0].alias(f"median_{c}"))
+        test = ranks.wilcoxon(d, one, c, null).select(*one, *(F.col(x).alias(f"{x}_{c}") for x in ("w", "z", "p")))
+        out = out.join(middle, one, "left").join(test, one, "left")
+    return out if keys else out.drop("_all")
 
 
 def verdict(p: Column, supported: str, otherwise: str) -> Column:

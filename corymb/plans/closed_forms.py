@@ -267,7 +267,7 @@ def hypotheses(spark, sf_dir):
 
 _MASTER = """SELECT c_custkey AS id, CASE c_nationkey % 3 WHEN 0 THEN 's' WHEN 1 THEN 'p' ELSE 'na' END AS status, c_custkey AS collar, n_name AS sheet, (c_custkey % 50)::VARCHAR AS sheet_corolla_id,
   CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END AS organ_length_mm, s_suppkey::BIGINT AS pollen, CASE WHEN c_nationkey % 3 < 2 AND (s_suppkey IS NULL OR s_suppkey % 4 = 0) THEN 'status_but_no_measurement' WHEN c_nationkey % 3 = 2 AND s_suppkey % 4 <> 0 THEN 'measured_but_status_na' ELSE '' END AS organ_status_check
-FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey % 50 = c_custkey % 50"""
+FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 50 ORDER BY s_suppkey DESC) = 1) s ON s_nationkey = c_nationkey AND s_suppkey % 50 = c_custkey % 50"""
 
 
 def _master(spark, sf_dir):
@@ -276,14 +276,15 @@ def _master(spark, sf_dir):
     metadata = c.select(F.col("c_custkey").alias("id"), status.alias("status"), F.col("c_custkey").alias("collar"))
     index = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("global_id"), F.col("n_name").alias("sheet"), (F.col("c_custkey") % 50).cast("string").alias("sheet_corolla_id"))
     found = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("sheet"), (F.col("s_suppkey") % 50).cast("string").alias("corolla_id"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")).alias("organ_length_mm"), F.col("s_suppkey").cast("long").alias("pollen"))
-    return rel.integrate_metadata(metadata, index, found.drop("pollen"), found.drop("organ_length_mm"), ["organ_length_mm"], ["pollen"]), found
+    # of rows with one key the last one holds, as in a table that is read into a dictionary
+    found = found.groupBy("sheet", "corolla_id").agg(F.max(F.struct("pollen", "organ_length_mm")).alias("last")).select("sheet", "corolla_id", "last.organ_length_mm", "last.pollen")
+    return rel.integrate_metadata(metadata, index, found.drop("pollen"), found.drop("organ_length_mm"), ["organ_length_mm"], ["pollen"])
 
 
-@query("metadata_master", f"SELECT * FROM ({_MASTER}) WHERE sheet NOT IN (SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name, s_suppkey % 50 HAVING count(*) > 1)")
+@query("metadata_master", _MASTER)
 def metadata_master(spark, sf_dir):
-    """Customers as field records, suppliers as what was measured; nations with a doubled key are left out of both sides."""
-    d, found = _master(spark, sf_dir)
-    return d.join(found.groupBy("sheet", "corolla_id").count().where("count > 1").select("sheet").distinct(), "sheet", "left_anti").select(*d.columns)
+    """Customers as field records, suppliers as what was measured."""
+    return _master(spark, sf_dir)
 
 
 @query("master_with_spatial", "SELECT c_custkey AS id, round(s_acctbal / 10000, 6) AS guide_basal_frac, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::DOUBLE END AS guide_midline_ratio FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
@@ -464,8 +465,8 @@ def measured_sheets(spark, sf_dir):
 
     scans = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 12).cast("int").alias("v"))
     sheets = scans.repartition(16, "s_suppkey").mapInPandas(make, "sheet string, raw binary, annotated binary")
-    m = imaging.measure_sheets(sheets, opened=lambda sheet, number: int(sheet.rpartition("_")[2]) % 2 == 0)
-    m = m.join(scans.select(F.concat(F.lit("sheet_"), F.col("s_suppkey").cast("string")).alias("sheet"), "v"), "sheet")
+    folds = scans.where("s_suppkey % 2 = 0").select(F.concat(F.lit("sheet_"), F.col("s_suppkey").cast("string")).alias("sheet"), F.when(F.col("s_suppkey") % 4 == 0, F.lit(1)).alias("number"))
+    m = imaging.measure_sheets(sheets, folds=folds).join(scans.select(F.concat(F.lit("sheet_"), F.col("s_suppkey").cast("string")).alias("sheet"), "v"), "sheet")
     fits = lambda value, half: (F.abs(value / (half * 2 * sc.MM_PER_PX) - 1) < 0.06)
     d = m.select("sheet", fits(F.col("corolla_length_mm"), F.col("v") * 3 + 180.0).alias("a"), fits(F.col("corolla_width_obs_mm"), F.col("v") * 2 + 100.0).alias("b"), "fold_state")
     return d.groupBy("sheet", "fold_state").agg(F.count("*").cast("int").alias("flowers"), F.bool_and("a").alias("length_fits"), F.bool_and("b").alias("width_fits")).select("sheet", "flowers", "length_fits", "width_fits", "fold_state")

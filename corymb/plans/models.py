@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corymb.operators import models, ranks, syndrome
 from corymb.plans.base import LONG, PLANTS, plants, table, traits
+from corymb.plans.divergence import _RANK
 from corymb.plans.registry import query
 from corymb.sources.scratch import written
 
@@ -252,26 +253,55 @@ _LEVELS = {
     "site means": "SELECT avg(price) AS x, avg(balance) AS y FROM plants GROUP BY site",
     "site means within regions": "SELECT x - avg(x) OVER (PARTITION BY island) AS x, y - avg(y) OVER (PARTITION BY island) AS y FROM (SELECT island, avg(price) AS x, avg(balance) AS y FROM plants GROUP BY island, site)",
     "region means": "SELECT avg(price) AS x, avg(balance) AS y FROM plants GROUP BY island",
+    "region means, shape": "SELECT avg(flowers) AS x, avg(balance) AS y FROM plants GROUP BY island",
 }
+_ROWS = ", ".join(f"l{i} AS (SELECT '{name}' AS comparison, NULL AS omitted, x, y FROM ({q}))" for i, (name, q) in enumerate(_LEVELS.items()))
+_RANKED = "rank() OVER (PARTITION BY comparison, omitted ORDER BY round({c}, 8)) + (count(*) OVER (PARTITION BY comparison, omitted, round({c}, 8)) - 1) / 2.0::DOUBLE"
 
 
-@query("size_signal_levels", f"WITH {PLANTS} " + " UNION ALL ".join(f"SELECT '{k}' AS comparison, count(*) AS n, round(corr(x, y), 5) AS r FROM ({q})" for k, q in _LEVELS.items()))
+@query(
+    "size_signal_levels",
+    f"""WITH {PLANTS}, {_ROWS}, g AS (SELECT island, avg(price) AS x, avg(balance) AS y FROM plants GROUP BY island),
+u AS ({' UNION ALL '.join(f'SELECT * FROM l{i}' for i in range(len(_LEVELS)))} UNION ALL SELECT 'region means, one left out', o.island, g.x, g.y FROM g JOIN g o ON g.island <> o.island),
+v AS (SELECT *, {_RANKED.format(c='x')} AS rx, {_RANKED.format(c='y')} AS ry FROM u)
+SELECT comparison, omitted, count(*) AS n, round(corr(x, y), 5) AS r, round(corr(rx, ry), 5) AS rho FROM v GROUP BY comparison, omitted""",
+)
 def size_signal_levels(spark, sf_dir):
-    """One correlation at five levels of the hierarchy: plants, plants within regions, sites, sites within regions, regions."""
-    p = plants(spark, sf_dir).select("island", "site", F.col("price").alias("x"), F.col("balance").alias("y"))
+    """One correlation, Pearson's and Spearman's, at six levels of the hierarchy, and over regions with each left out in turn."""
+    p = plants(spark, sf_dir).select("island", "site", F.col("price").alias("x"), F.col("balance").alias("y"), "flowers")
     s = p.groupBy("island", "site").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    g = p.groupBy("island").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    g = p.groupBy("island").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("flowers").alias("shape"))
     within = lambda d: d.select(ranks.centred("x", "island").alias("x"), ranks.centred("y", "island").alias("y"))
-    out = None
-    for name, d in zip(_LEVELS, (p, within(p), s, within(s), g), strict=True):
-        row = ranks.pearson(d.select(F.lit(name).alias("comparison"), "x", "y"), ["comparison"], "x", "y", p_value=False)
-        out = row if out is None else out.unionByName(row)
-    return out.withColumn("r", F.round("r", 5))
+    levels = dict(zip(_LEVELS, (p, within(p), s, within(s), g, g.select(F.col("shape").alias("x"), "y")), strict=True))
+    left_out = g.select(F.col("island").alias("omitted")).join(g, F.col("island") != F.col("omitted"))  # a row a region
+    rows = left_out.select(F.lit("region means, one left out").alias("comparison"), "omitted", "x", "y")
+    for name, d in levels.items():
+        rows = rows.unionByName(d.select(F.lit(name).alias("comparison"), F.lit(None).cast("string").alias("omitted"), "x", "y"))
+    rows = written(rows.withColumn("omitted", F.coalesce("omitted", F.lit(""))), "levels")
+    keys = ["comparison", "omitted"]
+    out = ranks.pearson(rows, keys, "x", "y", p_value=False).join(ranks.spearman(rows, keys, "x", "y", p_value=False).drop("n"), keys)
+    return out.select("comparison", F.nullif("omitted", F.lit("")).alias("omitted"), "n", F.round("r", 5).alias("r"), F.round("rho", 5).alias("rho"))
+
+
+def _signed_rank_sql(name: str, value: str, null: float) -> str:
+    """CTEs that end in ``{name}`` (l_returnflag, w, z)."""
+    return f"""{name}x AS (SELECT l_returnflag AS g, round({value} - {null}, 8) AS d FROM d WHERE {value} IS NOT NULL AND round({value} - {null}, 8) <> 0),
+{name}r AS (SELECT *, {_RANK.format(k='g', v='abs(d)')} AS r FROM {name}x), {name}t AS (SELECT g, sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT g, abs(d) AS a, count(*) AS c FROM {name}x GROUP BY ALL) GROUP BY g),
+{name}s AS (SELECT g, count(*)::DOUBLE AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM {name}r GROUP BY g), {name} AS (SELECT g AS l_returnflag, w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM {name}s JOIN {name}t USING (g))"""
 
 
-@query("layout_by_flag", "WITH d AS (SELECT l_returnflag, l_tax * 10 AS basal_frac, l_discount * 10 AS random_basal_frac, l_quantity / 50 AS mean_pos, nullif(l_quantity / 25, 0.04) AS midline_ratio, CASE WHEN l_linenumber > 2 THEN l_quantity / 20 END AS midline_ratio_distal FROM lineitem) SELECT l_returnflag, count(*) AS n, round(avg(basal_frac), 6) AS mean_basal, round(median(basal_frac - random_basal_frac), 6) AS median_difference, count(midline_ratio_distal) AS n_midline_ratio_distal, round(avg(midline_ratio_distal), 6) AS mean_midline_ratio_distal, round(avg(CAST(midline_ratio > 1 AS INTEGER)), 6) AS share_midline_ratio_above_1 FROM d GROUP BY 1")
+_LAYOUT = "d AS (SELECT l_returnflag, l_tax * 10 AS basal_frac, l_discount * 10 AS random_basal_frac, l_tax * 10 - l_discount * 10 AS difference, l_quantity / 50 AS mean_pos, nullif(l_quantity / 25, 0.04) AS midline_ratio, CASE WHEN l_linenumber > 2 THEN l_quantity / 20 END AS midline_ratio_distal FROM lineitem)"
+
+
+@query(
+    "layout_by_flag",
+    f"""WITH {_LAYOUT}, {_signed_rank_sql('sa', 'difference', 0.0)}, {_signed_rank_sql('sb', 'midline_ratio', 1.0)}, {_signed_rank_sql('sc', 'midline_ratio_distal', 1.0)},
+m AS (SELECT l_returnflag, count(*) AS n, round(avg(basal_frac), 6) AS mean_basal, round(median(difference), 6) AS median_difference, count(midline_ratio_distal) AS n_midline_ratio_distal, round(avg(midline_ratio_distal), 6) AS mean_midline_ratio_distal, round(median(midline_ratio_distal), 6) AS median_midline_ratio_distal, round(avg(CAST(midline_ratio > 1 AS INTEGER)), 6) AS share_midline_ratio_above_1 FROM d GROUP BY 1)
+SELECT m.*, sa.w AS w_difference, round(sa.z, 5) AS z_difference, sb.w AS w_midline_ratio, round(sb.z, 5) AS z_midline_ratio, sc.w AS w_midline_ratio_distal, round(sc.z, 5) AS z_midline_ratio_distal FROM m JOIN sa USING (l_returnflag) JOIN sb USING (l_returnflag) JOIN sc USING (l_returnflag)""",
+)
 def layout_by_flag(spark, sf_dir):
     q = F.col("l_quantity")
     d = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_tax") * 10).alias("basal_frac"), (F.col("l_discount") * 10).alias("random_basal_frac"), (q / 50).alias("mean_pos"), F.nullif(q / 25, F.lit(0.04)).alias("midline_ratio"), F.when(F.col("l_linenumber") > 2, q / 20).alias("midline_ratio_distal"))
     s = syndrome.layout_summary(d, ["l_returnflag"])
-    return s.select("l_returnflag", "n", *(F.round(c, 6).alias(c) for c in ("mean_basal", "median_difference")), "n_midline_ratio_distal", *(F.round(c, 6).alias(c) for c in ("mean_midline_ratio_distal", "share_midline_ratio_above_1")))
+    tests = ("difference", "midline_ratio", "midline_ratio_distal")
+    return s.select("l_returnflag", "n", *(F.round(c, 6).alias(c) for c in ("mean_basal", "median_difference")), "n_midline_ratio_distal", *(F.round(c, 6).alias(c) for c in ("mean_midline_ratio_distal", "median_midline_ratio_distal", "share_midline_ratio_above_1")), *(f"w_{c}" for c in tests), *(F.round(f"z_{c}", 5).alias(f"z_{c}") for c in tests))

@@ -229,6 +229,14 @@ def test_sheets_are_measured_end_to_end(spark):
     assert len(r) == 1 and r[0]["fold_state"] == "opened_full" and r[0]["corolla_length_mm"] == pytest.approx(2 * 190 * 25.4 / 300, rel=0.06)
 
 
+def test_folds_come_from_a_table(spark):
+    rows = [("s1", "1", 10.0, 100.0), ("s1", "2a", 10.0, 100.0), ("s2", "7", 10.0, 100.0), ("s3", "1", 10.0, 100.0)]
+    m = spark.createDataFrame([(s, c, "folded_half", w, a, 0.0, 0.0) for s, c, w, a in rows], "sheet string, corolla_id string, fold_state string, corolla_width_obs_mm double, corolla_area_obs_mm2 double, corolla_width_fulleq_mm double, corolla_area_fulleq_mm2 double")
+    folds = spark.createDataFrame([("s1", 2), ("s2", None), ("s2", 7), ("s9", 1)], "sheet string, number int")
+    got = {(r["sheet"], r["corolla_id"]): (r["fold_state"], r["corolla_width_fulleq_mm"], r["corolla_area_fulleq_mm2"]) for r in imaging.with_folds(m, folds).collect()}
+    assert got == {("s1", "1"): ("folded_half", 20.0, 200.0), ("s1", "2a"): ("opened_full", 10.0, 100.0), ("s2", "7"): ("opened_full", 10.0, 100.0), ("s3", "1"): ("folded_half", 20.0, 200.0)}
+
+
 def test_synthetic_flower(spark):
     d = pixels.synthetic_flower(spark.range(1).withColumnRenamed("id", "image_id"), 128)
     r = pixels.coverage(d, "in_pattern", "in_roi").first()
