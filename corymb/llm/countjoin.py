@@ -17,8 +17,8 @@ sets can only have Jaccard ``num/den`` if their summed minima reach ``num / (num
    broadcast: its size is fixed, and counts that run together cost time, never a link.  Classes of one cell
    are tied to the least of them (a *star*).
 3. Lower levels: a star's points, summed to ``GROUPS`` coordinates, are packed in an R-tree and searched
-   with the bound of summed minima.  Only points are dealt for that; a class that has no other in reach
-   is dropped.  Stars that share classes become one if they are no larger than a chunk together.  The sets of
+   with the bound of summed minima; what is in reach is bounded once more in the finer coordinates that
+   large sets have.  Only points are dealt for that; a class that has no other in reach is dropped.  Stars that share classes become one if they are no larger than a chunk together.  The sets of
    those that are left are dealt, searched in the same way and verified.  A star of over ``chunk``
    classes is cut, and its sets are dealt at once: each chunk meets the star's least class and itself, and only classes that are then
    still apart from it meet all chunks.  So the copies of sets stay in proportion to a star of near
@@ -247,13 +247,25 @@ def point(s: np.ndarray) -> np.ndarray:
     return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """A point in 16 bits a coordinate if they suffice."""
+def groups_of(n: int) -> int:
+    """Coordinates of a large set's own point: so many that unrelated sets of its size fall short of the bound."""
+    return max(GROUPS, 1 << max(0, (n >> 4).bit_length()))
+
+
+def packed(s: np.ndarray) -> bytes:
+    """A set's counts in ``groups_of`` its size, in 16 bits each if they suffice."""
+    groups = groups_of(len(s))
+    counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int32)
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * groups_of(n) else "<u4").astype(np.int32)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The same point in fewer coordinates."""
+    return counts.reshape(-1, groups).sum(0)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -263,7 +275,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             for s in shingle_sets(*tokens.text_bytes(b.column("text")), width):
                 sizes.append(len(s))
                 keys.append(set_key(s))
-                points.append(packed(point(s)))
+                points.append(packed(s))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "th", "n", "sid", "point"])
 
     return docs.select("doc_id", "text", text_hash(F.col("text")).alias("th")).mapInArrow(run, "doc_id long, th long, n long, sid long, point binary")
@@ -279,9 +291,15 @@ def _in_reach(num: int, den: int):
         def flush() -> list[tuple[int, int]]:
             if len(keys) < 2:
                 return []
-            counts, n = np.stack(points), np.array(sizes, np.int64)
+            counts, n = np.stack([folded(p, GROUPS) for p in points]).astype(np.int32), np.array(sizes, np.int64)
             tree = CountTree(counts, n)
-            return [(now, keys[i]) for i in range(len(keys)) if (tree.search(counts[i], int(n[i]), num, den) != i).any()]
+
+            def near(i: int, j: int) -> bool:
+                groups = min(len(points[i]), len(points[j]))
+                both = np.minimum(folded(points[i], groups), folded(points[j], groups)).sum(dtype=np.int64)
+                return i != j and (num + den) * both >= num * (sizes[i] + sizes[j])
+
+            return [(now, keys[i]) for i in range(len(keys)) if any(near(i, j) for j in tree.search(counts[i], sizes[i], num, den).tolist())]
 
         for b in batches:
             out = []
@@ -291,7 +309,7 @@ def _in_reach(num: int, den: int):
                     now, keys, sizes, points = star, [], [], []
                 keys.append(key)
                 sizes.append(n)
-                points.append(unpacked(raw))
+                points.append(unpacked(raw, n))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], names=["star", "sid"])
         out = flush()
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], names=["star", "sid"])
@@ -383,9 +401,9 @@ class _Join:
 
         filed = materialise(_filed(docs, width, num, den, bits), "filed")
         met = materialise(filed.groupBy("cell").agg(F.min("sid").alias("star"), F.max("sid").alias("last"), F.count("*").alias("n")).where("star < last"), "cells")
-        # most cells that are shared hold two classes; the others are joined back, in parts if one is hot
+        # most cells that are shared hold two classes; the others are joined back, in parts if one is hot, and never broadcast: they grow with the corpus
         more = met.where("n > 2").select("cell", "star")
-        many = filed.join(small(more, 16), "cell").where("sid <> star")
+        many = filed.join(more.hint("merge"), "cell").where("sid <> star")
         self.stars = materialise(met.where("n = 2").select("star", F.col("last").alias("sid")).unionByName(many.select("star", "sid")).distinct(), "stars")
         inside = self.stars.unionByName(self.stars.select("star", F.col("star").alias("sid")).distinct())
         # written before the join, so that a large star is counted where its rows lie and its join can be split

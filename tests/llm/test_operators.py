@@ -874,6 +874,16 @@ def test_directory_and_tree_lose_nothing():
         assert sorted(tree.search(counts[i], int(sizes[i]), 9, 10)) == [j for j in range(100) if 19 * low[j] >= 9 * (sizes[i] + sizes[j])]
 
 
+def test_points_of_large_sets_tell_them_apart():
+    rng = np.random.default_rng(2)
+    for n in (30, 900, 5000, 40_000):
+        a, b = (np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for _ in range(2))
+        near = np.unique(np.concatenate([a[n // 30 :], b[: n // 40]]))
+        bound = lambda x, y: np.minimum(*(countjoin.folded(countjoin.unpacked(countjoin.packed(s), len(s)), min(countjoin.groups_of(len(x)), countjoin.groups_of(len(y)))) for s in (x, y))).sum()
+        assert 19 * bound(a, b) < 9 * (len(a) + len(b)) and bound(a, near) >= len(np.intersect1d(a, near))
+        assert (countjoin.folded(countjoin.unpacked(countjoin.packed(a), len(a)), 64) == countjoin.point(a)).all()
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 120)] + [(7, 7)]
