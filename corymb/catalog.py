@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corymb.plans import closed_forms, divergence, imaging, models, pixels, registry, relational, runs, tiles  # noqa: F401  (each module registers its queries)
+from corymb.plans import archives, closed_forms, divergence, imaging, models, pixels, registry, relational, runs, tiles  # noqa: F401  (each module registers its queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
