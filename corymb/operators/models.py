@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corymb.functions.tails import chi2_sf, f_p, normal_sf
+from corymb.functions.tails import chi2_p, f_p, normal_sf
 from corymb.operators import kernels as k
 from corymb.operators.divergence import POISSON, label_permutation
 from corymb.operators.ranks import adjusted
@@ -21,21 +21,48 @@ from corymb.operators.ranks import adjusted
 TEST = "f double, df_num int, df_den int, parametric_p double, permutation_p double, r2_small double, r2_full double, delta_r2 double, partial_r2 double, coefficient double"
 
 
+#: Ratios of the variances that a likelihood is first profiled on, then parts of the bracket around the best, and how often it is narrowed.
+FIRST_RATIOS, PARTS, ROUNDS = (0.0, *(math.exp(-12 + i / 4) for i in range(81))), 20, 8
+
+
 def site_lrt(df: DataFrame, trait: str, group: str, site: str, value: str) -> DataFrame:
     """(trait, lrt, df, p): does the mean differ among groups, given that sites differ anyway?
 
-    Null with fewer than two groups or eight rows.
+    ``y ~ group`` against ``y ~ 1``, both with a random site intercept (maximum likelihood).  Sites enter by their
+    size, mean and sum of squares alone, and the likelihood is profiled over the ratio of the two variances: on a grid
+    from 0 on, then on ever finer ones between the neighbours of the best.  A likelihood is a sum over sites, so each
+    ratio of each trait is a group of its own.  Null with fewer than two groups or eight rows.
     """
-    s = df.where(F.col(value).isNotNull()).groupBy(trait, group, site).agg(F.count("*").cast("double").alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count("*")).alias("ss"))
-
-    def fit(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values([group, site])
-        if d[group].nunique() < 2 or d.n.sum() < 8:
-            return pd.DataFrame({trait: [key[0]], "lrt": [None], "df": [None], "p": [None]})
-        lrt, dof = k.random_intercept_lrt(d.n.to_numpy(), d["mean"].to_numpy(), d.ss.to_numpy(), d[group].to_numpy().astype(str))
-        return pd.DataFrame({trait: [key[0]], "lrt": [max(lrt, 0.0)], "df": [dof], "p": [chi2_sf(max(lrt, 0.0), dof)]})
+    from corymb.sources.scratch import written
 
-    return s.groupBy(trait).applyInPandas(fit, f"{trait} string, lrt double, df int, p double")
+    s = df.where(F.col(value).isNotNull()).groupBy(trait, group, site).agg(F.count("*").cast("double").alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count("*")).alias("ss"))
+    s = written(s.select(F.col(trait).cast("string").alias("_t"), F.col(group).cast("string").alias("_g"), "n", "mean", "ss"), "sites")
+    whole = written(s.groupBy("_t").agg(F.sum("n").alias("total"), F.sum("ss").alias("within"), F.count_distinct("_g").alias("k"), F.avg("mean").alias("centre")), "totals")
+    enough = whole.where("k >= 2 AND total >= 8")
+    model = F.explode(F.array(F.lit("null"), F.lit("group"))).alias("model")
+
+    def best(grid: DataFrame) -> DataFrame:
+        """The likeliest of each trait's and model's ratios (_t, model, i, ratio, ...)."""
+        d = s.join(grid.select("_t", "model", "i", "ratio"), "_t").join(enough, "_t")
+        w, m = F.col("n") / (1 + F.col("ratio") * F.col("n")), F.col("mean") - F.col("centre")
+        part = F.when(F.col("model") == "group", F.col("_g")).otherwise("")
+        g = d.groupBy("_t", "model", "i", "ratio", "total", "within", part.alias("part")).agg(F.sum(w).alias("w"), F.sum(w * m).alias("wm"), F.sum(w * m * m).alias("wmm"), F.sum(F.log1p(F.col("ratio") * F.col("n"))).alias("logs"))
+        e = g.groupBy("_t", "model", "i", "ratio", "total", "within").agg(F.sum(F.col("wmm") - F.col("wm") * F.col("wm") / F.col("w")).alias("among"), F.sum("logs").alias("logs"))
+        like = -0.5 * (F.col("total") * F.ln(F.greatest(F.col("within") + F.col("among"), F.lit(1e-300)) / F.col("total")) + F.col("logs"))
+        return e.withColumn("like", like).groupBy("_t", "model").agg(F.max(F.struct("like", (-F.col("i")).alias("j"))).alias("b")).select("_t", "model", F.col("b.like").alias("like"), (-F.col("b.j")).alias("i"))
+
+    first = F.array(*map(F.lit, FIRST_RATIOS))
+    grid = enough.select("_t", model).select("_t", "model", F.posexplode(first).alias("i", "ratio"))
+    found = written(best(grid), "likelihoods")
+    found = found.select("_t", "model", "like", first[F.greatest(F.col("i") - 1, F.lit(0))].alias("lo"), first[F.least(F.col("i") + 1, F.lit(len(FIRST_RATIOS) - 1))].alias("hi"))
+    at = lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / PARTS
+    for _ in range(ROUNDS):
+        grid = found.select("_t", "model", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(PARTS))).alias("i")).withColumn("ratio", at(F.col("i")))
+        now = best(grid).withColumnRenamed("like", "new").join(found, ["_t", "model"])
+        found = written(now.select("_t", "model", F.greatest("like", "new").alias("like"), at(F.greatest(F.col("i") - 1, F.lit(0))).alias("lo"), at(F.least(F.col("i") + 1, F.lit(PARTS))).alias("hi")), "likelihoods")
+    both = found.groupBy("_t").agg(F.max(F.when(F.col("model") == "group", F.col("like"))).alias("a"), F.max(F.when(F.col("model") == "null", F.col("like"))).alias("b"))
+    lrt = whole.join(both, "_t", "left").select(F.col("_t").alias(trait), F.greatest(2 * (F.col("a") - F.col("b")), F.lit(0.0)).alias("lrt"), F.when(F.col("a").isNotNull(), F.col("k") - 1).cast("int").alias("df"))
+    return lrt.withColumn("lrt", F.when(F.col("df").isNotNull(), F.col("lrt"))).withColumn("p", chi2_p(F.col("lrt"), F.col("df").cast("double")))
 
 
 def moments(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

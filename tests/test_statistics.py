@@ -286,3 +286,16 @@ def test_a_group_of_one_site_has_no_slope(spark):
     for test, r in got.items():
         want = kernels.ancova(y, x, g, 9, np.random.default_rng(0), slopes=test == "slope")
         assert r["f"] == pytest.approx(want["f"]) and (r["df_num"], r["df_den"]) == (want["df_num"], want["df_den"])
+
+
+def test_mixed_model_search_equals_the_kernel(spark):
+    rng = np.random.default_rng(6)
+    rows = [(t, g, f"{g}{i}", float(rng.normal(j * shift, 1) + site)) for t, shift, sd in (("a", 0.0, 1.0), ("b", 2.0, 0.5), ("c", 0.3, 0.0)) for j, g in enumerate("xyz") for i in range(5) for site in [rng.normal(0, 1) * sd] for _ in range(int(rng.integers(3, 9)))]
+    rows += [("one", "x", "x0", 1.0)] * 9
+    d = spark.createDataFrame(rows, "trait string, g string, site string, v double").repartition(3)
+    got = {r["trait"]: r for r in models.site_lrt(d, "trait", "g", "site", "v").collect()}
+    assert got["one"]["lrt"] is None and got["one"]["p"] is None
+    for t in "abc":
+        own = pd.DataFrame([r for r in rows if r[0] == t], columns=["t", "g", "s", "v"]).groupby(["g", "s"]).v.agg(["size", "mean", lambda v: ((v - v.mean()) ** 2).sum()]).reset_index()
+        lrt, df = kernels.random_intercept_lrt(own["size"].to_numpy(float), own["mean"].to_numpy(), own.iloc[:, 4].to_numpy(), own.g.to_numpy().astype(str))
+        assert got[t]["lrt"] == pytest.approx(max(lrt, 0), abs=1e-6) and got[t]["df"] == df and got[t]["p"] == pytest.approx(tails.chi2_sf(max(lrt, 0.0), df), abs=1e-7)
