@@ -9,17 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    A cluster must name one.  Where it is unset on a single machine (tests), a temporary folder is set.
+    A cluster must name one.  Where it is unset on a single machine (tests), the application gets a temporary folder.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not found:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="corymb_")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="corymb_")
     return found
 
 
