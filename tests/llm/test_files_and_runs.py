@@ -83,7 +83,7 @@ def test_manifest_equals_plain_trees(spark, corpus):  # noqa: F811
     assert not got.where("NOT verified").isEmpty()
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8, 9, 16, 17, 33])
+@pytest.mark.parametrize("n", [1, 2, 5, 8, 17])
 def test_manifest_of_each_size(spark, n):
     rows = [(i, f"t{i}", "de" if i == 2 else "en", "s", i) for i in range(n)]
     assert ordered(merkle.proof_digest(frame(spark, rows, 2), stride=2).collect()) == ordered(plain_manifest(rows))

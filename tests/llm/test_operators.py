@@ -831,12 +831,12 @@ def test_texts_of_one_template_do_not_meet(spark, shared):
         assert len(filed) < 400 * n and size[size > 1].sum() <= n // 10  # a few cells of the rest share a counter
 
 
-@pytest.mark.parametrize("shared", [50, 70, 80])
+@pytest.mark.parametrize("shared", [80])
 def test_copies_of_sets_stay_in_proportion_to_templates(spark, shared):
     rng = random.Random(shared)
     template = words(rng, 3 * shared, 10**6)
     dealt = []
-    for n in (150, 300, 600):
+    for n in (200, 600):
         rows = [(i, " ".join(template + words(rng, 300 - 3 * shared, 10**6)), None, None, None) for i in range(n)]
         join = countjoin._Join(frame(spark, rows), 3, 9, 10, 25, 1000)
         assert components.components(join.connecting_links()).count() == 0
