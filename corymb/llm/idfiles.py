@@ -43,12 +43,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corymb.llm import tokens
-from corymb.llm.shared import materialise, need, shared_dir, small_batches
+from corymb.llm.shared import need, shared_dir, small_batches
 
 #: Distinct pieces that a worker remembers.
 CACHE = 1_000_000
 #: Ids that are read or checked at once; a longer document is read alone.
 READ_IDS = 1 << 20
+#: Ids that a reading task takes in all, about, where the shards allow more tasks than twice the cores.
+TASK_IDS = 1 << 24
 
 _SOLID = np.zeros(256, bool)  # what stands beside a cut space: visible ASCII, or a character of two bytes that is no space
 _SOLID[0x21:0x7F] = True
@@ -210,8 +212,9 @@ def write_ids(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int, shar
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.monotonically_increasing_id().alias("place"))
     keys = ("doc_id", "th", "place")
     ranged = keyed.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
-    written = materialise(ranged.mapInArrow(_writer(folder, tokenizer, end_id, kind), "part int, file string, n_docs long, n_null long, n_ids long"), "id_shards")
-    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a shard
+    # a row a shard: they meet in one task and one file, since a Parquet file each costs more than the row
+    written = ranged.mapInArrow(_writer(folder, tokenizer, end_id, kind), "part int, file string, n_docs long, n_null long, n_ids long")
+    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     manifest = written.select("*", F.coalesce(before, F.lit(0)).alias("base"), F.lit(kind).alias("kind"))
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest.parquet")
     return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest.parquet")
@@ -267,8 +270,10 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids, pa.array(row["base"] + at[:-1]), pa.array(np.diff(at)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     manifest = spark.read.parquet(f"{folder}/manifest.parquet")
-    dealt = manifest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
-    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    shards, total = manifest.agg(F.count("*"), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    # small shards are read several in a task, as Spark packs small files; each is still read in runs of READ_IDS
+    tasks = max(1, min(shards, max(2 * spark.sparkContext.defaultParallelism, -(-total // TASK_IDS))))
+    return manifest.repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def id_digest(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +180,20 @@ def test_shards_map_back_to_texts(spark, tmp_path, vocabulary):
     assert seen == list(enumerate(texts))
 
 
+def test_many_small_shards_are_one_file_of_rows_and_few_tasks(spark, tmp_path, vocabulary):
+    from corymb.llm.shared import shared_dir
+
+    rows = [(i, f"text {i}", None, None, 1) for i in range(400)]
+    files = lambda top: {str(p) for p in Path(top).rglob("part-*.parquet")}
+    shared, folder = shared_dir(spark).removeprefix("file://"), f"file://{tmp_path}/ids"
+    was = files(shared)
+    manifest = idfiles.write_ids(frame(spark, rows), folder, tokenizer=vocabulary, end_id=2, shards=40)
+    assert manifest.count() > 20 and len(files(tmp_path)) == 1 and files(shared) == was
+    read = idfiles.read_ids(spark, folder)
+    assert read.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism < 20
+    assert ordered(read.collect()) == ordered(plain_files(rows, vocabulary))
+
+
 # --- periodic runs -----------------------------------------------------------------------------------
 
 
