@@ -51,13 +51,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without words and rows with a null id link with nothing and stay.  An empty table gives none; other columns pass.
     """
     found = countjoin.jaccard_classes(docs).where("doc_id IS NOT NULL AND n_shingles > 0")
-    found = materialise(found.select("doc_id", "th", ((F.col("doc_id") != F.col("component_id")) | (F.col("th") != F.col("component_th"))).alias("copy")), "copies")
+    found = materialise(found.select("doc_id", "th", ((F.col("doc_id") != F.col("component_id")) | (F.col("th") != F.col("component_th"))).alias("copy")), "copies", few=True)
     key, text = (free_name(docs, x) for x in ("cp_id", "cp_text"))
     keyed = docs.withColumns({key: F.col("doc_id"), text: countjoin.text_hash(F.col("text"))})
     small = lambda d: F.broadcast(d) if fits(d, BROADCAST_IDS) else d
     name = lambda d: d.select(F.col("doc_id").alias(key), F.col("th").alias(text))
     kept = keyed.join(small(name(found.where("copy").distinct())), [key, text], "left_anti")
-    repeated = materialise(name(found.where("NOT copy").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")), "repeated")
+    repeated = materialise(name(found.where("NOT copy").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")), "repeated", few=True)
     if repeated.limit(1).count():
         kept = kept.join(small(repeated), [key, text], "left_anti").unionByName(keyed.join(small(repeated), [key, text], "left_semi").dropDuplicates([key, text]))
     return kept.select(*docs.columns)

@@ -15,13 +15,13 @@ def _large(edges: DataFrame) -> DataFrame:
     so both sides of the join come from a plain shuffle, and the edges of a hub can be split.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least", few=True)
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, to the least of them."""
-    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "least", few=True)
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -400,7 +400,7 @@ class _Join:
         self.classes = self.members.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("first"))
 
         filed = materialise(_filed(docs, width, num, den, bits), "filed")
-        met = materialise(filed.groupBy("cell").agg(F.min("sid").alias("star"), F.max("sid").alias("last"), F.count("*").alias("n")).where("star < last"), "cells")
+        met = materialise(filed.groupBy("cell").agg(F.min("sid").alias("star"), F.max("sid").alias("last"), F.count("*").alias("n")).where("star < last"), "cells", few=True)
         # most cells that are shared hold two classes; the others are joined back, in parts if one is hot, and never broadcast: they grow with the corpus
         more = met.where("n > 2").select("cell", "star")
         many = filed.join(more.hint("merge"), "cell").where("sid <> star")
@@ -414,11 +414,11 @@ class _Join:
         points = self.members.join(small(some, 8), "sid", "left_semi").select("sid", "n", "point").dropDuplicates(["sid"])
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         pointed = whole.join(points, "sid").select("star", "sid", "n", "point").repartition(n, "star").sortWithinPartitions("star")
-        near = self._joined(materialise(pointed.mapInArrow(_in_reach(num, den), "star long, sid long"), "near")).withColumn("parts", F.lit(1))
+        near = self._joined(materialise(pointed.mapInArrow(_in_reach(num, den), "star long, sid long"), "near", few=True)).withColumn("parts", F.lit(1))
         self.inside = materialise(near.unionByName(placed.where("parts > 1").select("star", "sid", "parts")), "reach").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
         self.cut = parts.where("parts > 1")
 
-        wanted = materialise(self.inside.select("sid").distinct().join(self.classes, "sid").select(F.col("first.doc_id").alias("doc_id")).distinct(), "wanted")
+        wanted = materialise(self.inside.select("sid").distinct().join(self.classes, "sid").select(F.col("first.doc_id").alias("doc_id")).distinct(), "wanted", few=True)
         chosen = docs.join(small(wanted, 8), "doc_id", "left_semi")
         self.payload = materialise(_payload(chosen, width), "payload").dropDuplicates(["sid"])
 
@@ -426,7 +426,7 @@ class _Join:
         """Stars that share classes as one, where all their classes together are a chunk at most: each set is dealt once."""
         found = components(near.select(F.col("sid").alias("a"), F.col("star").alias("b")))
         named = near.select("sid").distinct().join(found.withColumnRenamed("node", "sid"), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "sid")
-        named = materialise(named.join(named.groupBy("root").agg(F.count("*").alias("n")), "root"), "groups")
+        named = materialise(named.join(named.groupBy("root").agg(F.count("*").alias("n")), "root"), "groups", few=True)
         few = named.where(F.col("n") <= self.chunk).select(F.col("root").alias("star"), "sid")
         many = near.join(named.where(F.col("n") > self.chunk).select("sid"), "sid", "left_semi").select("star", "sid")
         return few.unionByName(many)
@@ -434,7 +434,7 @@ class _Join:
     def search(self, tasks: DataFrame, every: bool = False) -> DataFrame:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = tasks.join(self.payload, "sid").select("task", "sid", "hashes", "right", "label").repartition(n, "task").sortWithinPartitions("task")
-        return materialise(dealt.mapInArrow(_search(self.num, self.den, every), "a long, b long"), "links")
+        return materialise(dealt.mapInArrow(_search(self.num, self.den, every), "a long, b long"), "links", few=True)
 
     def connecting_links(self) -> DataFrame:
         """Links with the same components as all links."""

@@ -25,13 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Shuffle partitions to a file of a table that is far smaller than what its tasks read.
+TASKS_A_FILE = 16
+
+
+def materialise(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back, which cuts its lineage.
 
     A lost executor costs a re-read of a file, not a recomputation of what led to it.  The files go
-    when the session's JVM ends.
+    when the session's JVM ends.  With ``few``, rows are dealt evenly to a sixteenth of the shuffle partitions first:
+    for ids and links, of which a task has so few that its file would cost more than they do.
     """
     spark = df.sparkSession
+    if few:
+        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // TASKS_A_FILE))
     path = f"{shared_dir(spark).rstrip('/')}/corymb/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

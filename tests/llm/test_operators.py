@@ -884,6 +884,28 @@ def test_points_of_large_sets_tell_them_apart():
         assert (countjoin.folded(countjoin.unpacked(countjoin.packed(a), len(a)), 64) == countjoin.point(a)).all()
 
 
+def test_links_of_many_tasks_are_few_files(spark):
+    from pathlib import Path
+
+    from corymb.llm.shared import shared_dir
+
+    rng, rows = random.Random(11), []
+    for i in range(40):
+        base = words(rng, 80, 100_000)
+        rows += [(2 * i, " ".join(base), None, None, None), (2 * i + 1, " ".join(base[:-1] + ["x"]), None, None, None)]
+    files = lambda: {p for p in Path(shared_dir(spark).removeprefix("file://")).rglob("part-*.parquet")}
+    was, before = files(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    try:
+        got = sorted(map(tuple, countjoin.jaccard_components(frame(spark, rows)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == [(i, 78, i // 2 * 2) for i in range(80)]
+    n = Counter(p.parent.name.split("-")[0] for p in files() - was)
+    written = Counter(d.split("-")[0] for d in {p.parent.name for p in files() - was})
+    assert all(0 < n[name] <= 2 * written[name] for name in ("cells", "near", "links", "least"))  # a sixteenth of 32 tasks
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 120)] + [(7, 7)]
