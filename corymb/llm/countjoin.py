@@ -52,6 +52,8 @@ from corymb.llm.shared import fits, materialise, need, small_batches
 GROUPS, LEAF = 64, 16
 #: Counters of the rarity sketch (a power of two), one byte each when broadcast, and the parts that they are summed in.
 SKETCH, PARTS = 24, 64
+#: Bits of a cell that are sent (cells that run together cost time, never a link), and cells that a task packs at once.
+CELL_BITS, HELD = 48, 1 << 20
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -322,15 +324,62 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _filed(docs: DataFrame, width: int, num: int, den: int, bits: int) -> DataFrame:
-    """(cell, sid) for each cell of each set; a set once for each task."""
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as compressed steps, byte by byte: all first bytes, all second ones and so on."""
+    return _planes(np.diff(x, prepend=np.uint64(0)))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def _unplaned(raw: bytes, kind: str) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return flat.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def packed_cells(cell: np.ndarray, sid: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Ascending cells with their classes: steps of cells, steps of the classes named, and the number of each cell's class."""
+    names, which = np.unique(sid.view(np.uint64), return_inverse=True)
+    return _steps(cell), _steps(names), _planes(which.astype("<u4"))
+
+
+def unpacked_cells(cells: bytes, names: bytes, which: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_unplaned(cells, "<u8"), dtype=np.uint64), np.cumsum(_unplaned(names, "<u8"), dtype=np.uint64).view(np.int64)[_unplaned(which, "<u4")]
+
+
+def _filed(docs: DataFrame, width: int, num: int, den: int, bits: int, held_cells: int = HELD) -> DataFrame:
+    """(cell, sid) for each cell of each set that another set is filed under too.
+
+    A task packs its cells by parts of the cells' range, so that what is shuffled takes about half of what rows take;
+    in a part the cells with one class only, nearly all, are dropped.  Of a cell's classes in a task the least and the
+    greatest are enough to tell that it is shared; those between them are dealt evenly, so a hot cell is in no one task.
+    """
     rarity = docs.sparkSession.sparkContext.broadcast(_counters(docs, width, num, den, bits))  # 2 ** bits bytes, whatever the input
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, n // 2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        out = lambda cs, ks: pa.RecordBatch.from_arrays([pa.array(np.concatenate(cs).view(np.int64)), pa.array(np.concatenate(ks))], names=["cell", "sid"])
+        cs, ks, rows = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            cell, sid = np.concatenate(cs) & np.uint64((1 << CELL_BITS) - 1), np.concatenate(ks)
+            order = np.lexsort((sid, cell))
+            cell, sid = cell[order], sid[order]
+            new = np.concatenate([[True], cell[1:] != cell[:-1]])
+            ends = new | np.concatenate([new[1:], [True]])
+            between = cell[~ends], sid[~ends]
+            cell, sid = cell[ends], sid[ends]
+            cuts = np.searchsorted((cell >> np.uint64(CELL_BITS - 32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+            out = [(p, False, *packed_cells(cell[a:b], sid[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            for lo in range(0, len(between[0]), 1 << 14):
+                own = tuple(x[lo : lo + (1 << 14)] for x in between)
+                out.append((int(own[1].view(np.uint64).sum(dtype=np.uint64) % np.uint64(parts)), True, *packed_cells(*own)))
+            kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "shared", "cells", "names", "which"])
+
         for b in batches:
-            cs, ks, rows = [], [], 0
             for s in shingle_sets(*tokens.text_bytes(b.column("text")), width):
                 key = set_key(s)
                 if len(s) and key not in seen:
@@ -338,13 +387,44 @@ def _filed(docs: DataFrame, width: int, num: int, den: int, bits: int) -> DataFr
                     cs.append(cells(s, rarity.value, num, den))
                     ks.append(np.full(len(cs[-1]), key, np.int64))
                     rows += len(ks[-1])
-                    if rows > 200_000:
-                        yield out(cs, ks)
+                    if rows > held_cells:
+                        yield flush()
                         cs, ks, rows = [], [], 0
-            if cs:
-                yield out(cs, ks)
+        if rows:
+            yield flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by part; one part's cells are held at a time."""
+        now, held = None, []
+
+        def rows(cell: np.ndarray, sid: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(cell), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 200_000]) for x in (cell.view(np.int64), sid)], names=["cell", "sid"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                cell, sid = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((sid, cell))
+                cell, sid = cell[order], sid[order]
+                new = np.concatenate([[True], cell[1:] != cell[:-1]])
+                starts = np.append(np.flatnonzero(new), len(cell))
+                shared = np.repeat(sid[starts[:-1]] != sid[starts[1:] - 1], np.diff(starts))
+                shared &= new | np.concatenate([[True], sid[1:] != sid[:-1]])
+                yield from rows(cell[shared], sid[shared])
+
+        for b in batches:
+            for part, shared, *raw in zip(*(b.column(c).to_pylist() for c in ("part", "shared", "cells", "names", "which")), strict=True):
+                if part != now:
+                    yield from flush()
+                    now, held = part, []
+                if shared:
+                    yield from rows(*unpacked_cells(*raw))
+                else:
+                    held.append(unpacked_cells(*raw))
+        yield from flush()
 
-    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "cell long, sid long")
+    sent = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(file, "part int, shared boolean, cells binary, names binary, which binary")
+    return sent.repartition(n, "part").sortWithinPartitions("part").mapInArrow(meet, "cell long, sid long")
 
 
 def _payload(docs: DataFrame, width: int) -> DataFrame:
@@ -353,9 +433,9 @@ def _payload(docs: DataFrame, width: int) -> DataFrame:
             for lo in range(0, len(b), 256):
                 part = b.slice(lo, 256)
                 sets = list(shingle_sets(*tokens.text_bytes(part.column("text")), width))
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), part.column("cut")], names=["sid", "hashes", "cut"])
 
-    return docs.select("text").mapInArrow(run, "sid long, hashes binary")
+    return docs.select("text", "cut").mapInArrow(run, "sid long, hashes binary, cut boolean")
 
 
 def _search(num: int, den: int, every: bool):
@@ -418,9 +498,10 @@ class _Join:
         self.inside = materialise(near.unionByName(placed.where("parts > 1").select("star", "sid", "parts")), "reach").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
         self.cut = parts.where("parts > 1")
 
-        wanted = materialise(self.inside.select("sid").distinct().join(self.classes, "sid").select(F.col("first.doc_id").alias("doc_id")).distinct(), "wanted", few=True)
-        chosen = docs.join(small(wanted, 8), "doc_id", "left_semi")
-        self.payload = materialise(_payload(chosen, width), "payload").dropDuplicates(["sid"])
+        dealt = self.inside.groupBy("sid").agg(F.max(F.col("parts") > 1).alias("cut")).join(self.classes, "sid")
+        wanted = materialise(dealt.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.max("cut").alias("cut")), "wanted", few=True)
+        chosen = docs.join(small(wanted, 9), "doc_id")
+        self.payload = materialise(_payload(chosen, width), "payload")
 
     def _joined(self, near: DataFrame) -> DataFrame:
         """Stars that share classes as one, where all their classes together are a chunk at most: each set is dealt once."""
@@ -432,8 +513,10 @@ class _Join:
         return few.unionByName(many)
 
     def search(self, tasks: DataFrame, every: bool = False) -> DataFrame:
+        """The links of tasks; those with a column ``cut`` are all of cut stars, and only such stars' sets are read."""
+        payload = (self.payload.where("cut") if "cut" in tasks.columns else self.payload).dropDuplicates(["sid"])
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = tasks.join(self.payload, "sid").select("task", "sid", "hashes", "right", "label").repartition(n, "task").sortWithinPartitions("task")
+        dealt = tasks.join(payload, "sid").select("task", "sid", "hashes", "right", "label").repartition(n, "task").sortWithinPartitions("task")
         return materialise(dealt.mapInArrow(_search(self.num, self.den, every), "a long, b long"), "links", few=True)
 
     def connecting_links(self) -> DataFrame:
@@ -458,7 +541,7 @@ class _Join:
         left = apart.join(groups, "star").withColumn("g", F.pmod(F.xxhash64("sid"), F.col("groups")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         right = cut.join(groups, "star").withColumn("p", F.col("own")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
         form = lambda d, side: d.select("sid", F.xxhash64("star", "g", "p").alias("task"), F.lit(side).alias("right"), "label")
-        return links.unionByName(self.search(form(left, False).unionByName(form(right, True))))
+        return links.unionByName(self.search(form(left, False).unionByName(form(right, True)).withColumn("cut", F.lit(True))))
 
     def all_links(self) -> DataFrame:
         """Every link between classes; each chunk of a star meets each other, and itself, in a task of its own."""

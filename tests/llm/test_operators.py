@@ -844,6 +844,57 @@ def test_copies_of_sets_stay_in_proportion_to_templates(spark, shared):
     assert dealt[-1] <= 60
 
 
+def test_only_shared_cells_are_filed_in_any_packing(spark):
+    """What is filed is each cell of two sets at least, however a task packs them."""
+    rng = random.Random(31)
+    base, rows = words(rng, 120, 5000), []
+    for i in range(60):
+        w = list(base) if i < 40 else words(rng, 120, 10**6)
+        w[rng.randrange(120)] = f"n{i}"
+        rows += [(i, " ".join(w), None, None, None)] * (1 + (i % 9 == 0))
+    docs, bits = frame(spark, rows, 4).select("doc_id", "text").persist(), 16
+    rarity, want = countjoin._counters(docs, 3, 9, 10, bits), {}
+    for s in {countjoin.set_key(s): s for s in countjoin.shingle_sets(*countjoin.tokens.text_bytes(pa.array([r[1] for r in rows])), 3)}.values():
+        for c in (countjoin.cells(s, rarity, 9, 10) & np.uint64((1 << countjoin.CELL_BITS) - 1)).tolist():
+            want.setdefault(c, set()).add(countjoin.set_key(s))
+    want = {(c, s) for c, own in want.items() if len(own) > 1 for s in own}
+    for held in (1 << 20, 300):
+        got = {tuple(r) for r in countjoin._filed(docs, 3, 9, 10, bits, held).collect()}
+        assert got == want and len(got) > 500
+    docs.unpersist()
+
+
+def test_packed_cells_are_small_and_whole():
+    rng = np.random.default_rng(4)
+    names, cell = rng.integers(-(2**63), 2**63, 7000), np.sort(rng.integers(0, 2**48, 200_000).astype(np.uint64))
+    for n in (1, 2, len(cell)):
+        sid = names[rng.integers(0, len(names), n)]
+        raw = countjoin.packed_cells(cell[:n], sid)
+        back = countjoin.unpacked_cells(*raw)
+        assert (back[0] == cell[:n]).all() and (back[1] == sid).all()
+    assert sum(map(len, raw)) < 7 * len(cell)  # a shuffled row took 12 to 17 bytes, and each cell was shuffled twice
+
+
+def test_sets_of_uncut_stars_are_not_read_again(spark):
+    rng, rows = random.Random(8), []
+    base = words(rng, 120, 5000)
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(120)] = f"n{rng.randrange(99)}"
+        rows.append((i, " ".join(w), None, None, None))
+    for i in range(150, 190, 2):
+        w = words(rng, 120, 10**6)
+        rows += [(i, " ".join(w), None, None, None), (i + 1, " ".join([*w[:-1], "x"]), None, None, None)]
+    join = countjoin._Join(frame(spark, rows), 3, 9, 10, 20, 0)
+    asked, search = [], join.search
+    join.search = lambda tasks, every=False: (asked.append(tasks), search(tasks, every))[1]
+    links = components.components(join.connecting_links()).collect()
+    assert len(asked) == 2 and "cut" in asked[1].columns and len(links) > 20
+    again, sets = asked[1].select("sid").distinct(), join.payload.where("cut").select("sid").distinct()
+    assert again.join(sets, "sid", "left_anti").count() == 0 and sets.count() <= join.payload.select("sid").distinct().count() - 40
+
+
 def test_join_edges(spark):
     assert countjoin.jaccard_components(nothing(spark)).count() == 0
     out = sorted(map(tuple, countjoin.jaccard_components(frame(spark, [(None, "a b c d", None, None, None), (1, "a b c d", None, None, None), (2, None, None, None, None)])).collect()), key=repr)
