@@ -18,10 +18,30 @@ CORNERS = ((0.42, 0.14), (0.58, 0.14), (0.70, 0.42), (0.79, 0.70), (0.64, 0.83),
 SPOTS = ((0.43, 0.38, 0.025), (0.55, 0.41, 0.022), (0.39, 0.52, 0.020), (0.51, 0.55, 0.026), (0.61, 0.58, 0.019), (0.47, 0.66, 0.017))
 
 
-def grid(images: DataFrame, height: int, width: int) -> DataFrame:
-    """``images`` (image_id, ...) with the pixels (y, x) of each, in reading order."""
+def grid(images: DataFrame, height: int, width: int, marks: DataFrame | None = None) -> DataFrame:
+    """``images`` (image_id, ...) with the pixels (y, x) of each, in reading order.
+
+    With ``marks`` (image_id, y, x) a pixel has ``hit`` too, whether it is among them.  An image's marks become one row of
+    bits that is joined and dealt by ``image_id`` before pixels are made: no pixel is shuffled or broadcast for them, and
+    what groups by image later finds its pixels in one task.
+    """
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    return images.withColumn("y", span(height)).withColumn("x", span(width))
+    if marks is None:
+        return images.withColumn("y", span(height)).withColumn("x", span(width))
+    words = -(-width // 64)
+    place = lambda x: F.col(x).bitwiseAND(63).cast("int")
+    inside = marks.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).select(ID, (F.col("y") * words + F.shiftright("x", 6)).alias("k"), F.call_function("shiftleft", F.lit(1).cast("long"), place("x")).alias("bit"))
+    rows = inside.groupBy(ID, "k").agg(F.bit_or("bit").alias("bits")).groupBy(ID).agg(F.map_from_entries(F.collect_list(F.struct("k", "bits"))).alias("_marks"))
+    dealt = images.join(rows, ID, "left").repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), ID)
+    row = F.array(*(F.coalesce(F.try_element_at("_marks", F.col("y") * words + i), F.lit(0).cast("long")) for i in range(words)))
+    lines = dealt.withColumn("y", span(height)).withColumn("_row", row).drop("_marks").withColumn("x", span(width))
+    hit = F.call_function("shiftright", F.get("_row", F.shiftright("x", 6).cast("int")), place("x")).bitwiseAND(1) == 1
+    return lines.withColumn("hit", hit).drop("_row")
+
+
+def _with_image(d: DataFrame, images: DataFrame) -> DataFrame:
+    """Pixels with their image's row: a task hashes its images, so pixels are neither sorted nor broadcast, however few they seem to be."""
+    return d.join(images.hint("shuffle_hash"), ID)
 
 
 def polygon_contains(x: Column, y: Column, points: list[tuple[float, float]]) -> Column:
@@ -79,7 +99,7 @@ def bounding_box(d: DataFrame, mask: str) -> DataFrame:
 def cropped(d: DataFrame, mask: str) -> DataFrame:
     """Pixels of each image's mask box, shifted to its corner; the origin is kept as (x0, y0)."""
     b = bounding_box(d, mask).drop("n_px")
-    return d.join(b, ID).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").withColumns({"x": F.col("x") - F.col("x0"), "y": F.col("y") - F.col("y0")}).drop("x1", "y1")
+    return _with_image(d, b).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").withColumns({"x": F.col("x") - F.col("x0"), "y": F.col("y") - F.col("y0")}).drop("x1", "y1")
 
 
 def coverage(d: DataFrame, pattern: str, roi: str, least: int = 150) -> DataFrame:
@@ -117,7 +137,7 @@ def tube_traits(d: DataFrame, mask: str, mm_per_px: float = MM_PER_PX) -> DataFr
 def lobe_incision(d: DataFrame, mask: str) -> DataFrame:
     """Depth of the notches at the lower edge, px: spread of the lowest pixel over columns; 0 under 8 columns."""
     half = bounding_box(d, mask).select(ID, F.floor((F.col("y0") + F.col("y1") + 1) / 2).alias("_mid"))
-    low = d.where(mask).join(half, ID).where("y >= _mid").groupBy(ID, "x").agg(F.max("y").alias("y"))
+    low = _with_image(d.where(mask), half).where("y >= _mid").groupBy(ID, "x").agg(F.max("y").alias("y"))
     q = low.groupBy(ID).agg(F.count("*").alias("n"), F.percentile("y", F.lit(0.98)).alias("a"), F.percentile("y", F.lit(0.15)).alias("b"))
     return q.select(ID, F.when(F.col("n") >= 8, F.col("a") - F.col("b")).otherwise(0.0).alias("incision_px"))
 
@@ -149,7 +169,9 @@ def iou(d: DataFrame, a: str, b: str) -> DataFrame:
 
 def channel_statistics(d: DataFrame, mask: str, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
     """(image_id, channel, n, mode, median, p05, p95) of the pixels under a mask; the lowest mode wins ties."""
-    long = d.where(mask).unpivot([ID], list(channels), "channel", "v")
+    # not unpivot: rows stay where their image lies
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in channels))).alias("c")
+    long = d.where(mask).select(ID, each).select(ID, "c.channel", "c.v")
     q = long.groupBy(ID, "channel").agg(F.count("*").alias("n"), F.mode("v", True).alias("mode"), F.median("v").alias("median"), F.percentile("v", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
     return q.select(ID, "channel", "n", "mode", "median", F.col("q")[0].alias("p05"), F.col("q")[1].alias("p95"))
 
@@ -159,9 +181,9 @@ def density(d: DataFrame, roi: str, pattern: str, rows: int = 160, cols: int = 1
 
     Bins that hold at most ``least_share`` of the fullest bin's region pixels are null.
     """
-    c = cropped(d, roi)
-    size = c.groupBy(ID).agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
-    b = c.where(roi).join(size, ID).withColumns({"row_bin": F.floor(F.col("y") * rows / F.col("_h")).cast("int"), "col_bin": F.floor(F.col("x") * cols / F.col("_w")).cast("int")})
+    box = bounding_box(d, roi).select(ID, "x0", "y0", (F.col("x1") - F.col("x0") + 1).alias("_w"), (F.col("y1") - F.col("y0") + 1).alias("_h"))
+    bin_ = lambda v, low, size, n: F.floor((F.col(v) - F.col(low)) * n / F.col(size)).cast("int")
+    b = _with_image(d.where(roi), box).withColumns({"row_bin": bin_("y", "y0", "_h", rows), "col_bin": bin_("x", "x0", "_w", cols)})
     s = b.groupBy(*keys, "row_bin", "col_bin").agg(F.count_if(pattern).alias("hit"), F.count("*").alias("all"))
     top = s.groupBy(*keys).agg(F.max("all").alias("_top"))
     s = s.join(top, list(keys)) if keys else s.crossJoin(F.broadcast(top))

@@ -22,10 +22,10 @@ px AS (SELECT image_id, v, y, x, (x - 40) * (x - 40) * (3 + v % 4) + (y - 48) *
 def _pixels(spark, sf_dir):
     x, y, v = F.col("x"), F.col("y"), F.col("v")
     scans = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("image_id"), F.col("s_nationkey").cast("long").alias("v"))
-    hits = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("image_id"), (F.col("l_orderkey") % H).cast("long").alias("y"), (F.col("l_partkey") % W).cast("long").alias("x")).distinct().withColumn("hit", F.lit(True))
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("image_id"), (F.col("l_orderkey") % H).cast("long").alias("y"), (F.col("l_partkey") % W).cast("long").alias("x"))
     roi = (x - 40) * (x - 40) * (F.lit(3) + v % 4) + (y - 48) * (y - 48) * 2 <= 3600
-    return pixels.grid(scans, H, W).join(hits, ["image_id", "y", "x"], "left").select(
-        "image_id", "v", "y", "x", roi.alias("roi"), (roi & F.col("hit").isNotNull()).alias("pat"), ((x - 42) * (x - 42) * 4 + (y - 45) * (y - 45) * 2 <= 3600).alias("other"),
+    return pixels.grid(scans, H, W, hits).select(
+        "image_id", "v", "y", "x", roi.alias("roi"), (roi & F.col("hit")).alias("pat"), ((x - 42) * (x - 42) * 4 + (y - 45) * (y - 45) * 2 <= 3600).alias("other"),
         (((y == 40) & x.between(10, 40)) | ((x - y == v) & (y < 30))).alias("stroke"), ((x * 5 + y * 3 + v) % 256).alias("r"), ((x * 11 + y) % 256).alias("g"), ((y * 7 + v * 2) % 256).alias("b"),
     )
 

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -281,6 +283,29 @@ def test_mask_queries_take_every_image(spark, scans, query):
     assert len(images) == 4 and {r["image_id"] for r in catalog.queries()[query](spark, scans).select("image_id").collect()} == images
 
 
+def made_and_sent(plan: str) -> list[str]:
+    """Broadcasts of a plan below which rows are multiplied and not summed up, so that their estimated size says nothing."""
+    lines = plan.splitlines()
+    depth = [len(re.match(r"[\s:+\-*]*", x)[0]) for x in lines]
+    below = lambda i: lines[i + 1 : next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))]
+    return [x for i, x in enumerate(lines) if "BroadcastExchange" in x and any("Generate explode" in y for y in below(i)) and not any("Aggregate" in y for y in below(i))]
+
+
+@pytest.mark.parametrize("query", ["pixel_centroid"])
+def test_pixels_are_never_broadcast(spark, scans, query):
+    plan = catalog.queries()[query](spark, scans)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and not made_and_sent(plan)
+
+
+def test_marks_of_a_grid(spark):
+    """Marks at word ends, repeated, outside, and none at all."""
+    marks = [(1, 0, 0), (1, 0, 63), (1, 0, 64), (1, 2, 69), (1, 2, 69), (1, 1, -1), (1, 1, 70), (1, 3, 0), (1, -1, 5), (9, 0, 0)]
+    images = spark.createDataFrame([(1,), (2,)], "image_id long")
+    d = pixels.grid(images, 3, 70, spark.createDataFrame(marks, "image_id long, y long, x long"))
+    assert d.count() == 2 * 3 * 70 and d.columns == ["image_id", "y", "x", "hit"] and d.where("hit IS NULL").count() == 0
+    assert sorted(tuple(r)[:3] for r in d.where("hit").collect()) == [(1, 0, 0), (1, 0, 63), (1, 0, 64), (1, 2, 69)]
+
+
 def test_photos_are_matched_one_to_one(spark):
     y, x = np.mgrid[:120, :120]
     hands = {"1": ((x - 60) / 40.0) ** 2 + ((y - 60) / 20.0) ** 2 < 1, "2": (abs(x - 60) < 25) & (abs(y - 60) < 24)}
