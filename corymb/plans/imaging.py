@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corymb.operators import imaging, pixels
 from corymb.plans.pixels import _pixels
 from corymb.plans.registry import query
+from corymb.sources.scratch import written
 
 
 def _masks(spark, sf_dir, column: str = "roi"):
@@ -40,18 +41,19 @@ def photo_matches(spark, sf_dir):
     return imaging.match_photos(own("photo", "other"), own("corolla_id", "roi").withColumns({"hand_length": F.lit(2.0), "hand_width": F.lit(1.0)}))
 
 
+def _with_pattern(spark, sf_dir):
+    return _masks(spark, sf_dir).join(_masks(spark, sf_dir, "pat").select("image_id", F.col("mask").alias("pattern")), "image_id")
+
+
 @query("upright_frames")
 def upright_frames(spark, sf_dir):
     """Each flower's upright frame: its size, and how many of its pixels are pattern."""
-    both = _masks(spark, sf_dir).join(_masks(spark, sf_dir, "pat").select("image_id", F.col("mask").alias("pattern")), "image_id")
     count = lambda c: F.length(F.regexp_replace(F.hex(c), "00", "")) / 2
-    return imaging.upright_frames(both).select("image_id", "h", "w", count("mask").cast("long").alias("roi_px"), count("pattern").cast("long").alias("pattern_px"))
+    return imaging.upright_frames(_with_pattern(spark, sf_dir)).select("image_id", "h", "w", count("mask").cast("long").alias("roi_px"), count("pattern").cast("long").alias("pattern_px"))
 
 
 @query("midline_metrics")
 def midline_metrics(spark, sf_dir):
     """Guide pixels against all pixels of each flower, by distance to the midline."""
-    d = imaging.midline_distances(_masks(spark, sf_dir))
-    p = _pixels(spark, sf_dir).select("image_id", "y", "x", F.col("pat").alias("pattern"))
-    j = d.join(p, ["image_id", "y", "x"]).select("image_id", "pattern", (F.col("y") / 96.0).alias("pos"), "dist")
-    return pixels.spatial_metrics(j)
+    d = written(imaging.midline_distances(_with_pattern(spark, sf_dir)), "midline")  # drawn once, read for each metric
+    return pixels.spatial_metrics(d.select("image_id", "pattern", (F.col("y") / 96.0).alias("pos"), "dist"))
