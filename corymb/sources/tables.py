@@ -115,10 +115,13 @@ def photos(spark: SparkSession, path: str) -> DataFrame:
     return both.mapInArrow(run, "stem string, path string, h int, w int, rgb binary")
 
 
-def write_csv(df: DataFrame, path: str, *, bom: bool = False) -> None:
-    """One CSV file with a header, for tables of published size; ``bom`` marks it as UTF-8 for spreadsheets."""
-    out = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0]) if bom else df
-    out.coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
+def write_csv(df: DataFrame, path: str, *, bom: bool = False, files: int | None = 1) -> None:
+    """One CSV file with a header, for tables of published size; ``bom`` marks it as UTF-8 for spreadsheets.
+
+    Without ``files`` each task writes its own, for tables of any size: what makes the rows isn't drawn into one task.
+    """
+    out = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if bom else df
+    (out.coalesce(files) if files else out).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
 
 
 def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
