@@ -6,7 +6,7 @@ spread over all tasks and one image's pixels are summed where they lie.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corymb.functions.scalars import MM_PER_PX
@@ -115,22 +115,29 @@ def centroid(d: DataFrame, mask: str, keys: tuple[str, ...] = (ID,)) -> DataFram
 def width_profile(d: DataFrame, mask: str) -> DataFrame:
     """(image_id, y, width): extent of each row, 0 for empty rows within the mask's box."""
     rows = d.where(mask).groupBy(ID, "y").agg((F.max("x") - F.min("x") + 1).alias("width"), F.min("x").alias("left"), F.max("x").alias("right"))
-    ends = rows.groupBy(ID).agg(F.min("y").alias("a"), F.max("y").alias("b"))
-    every = ends.select(ID, F.explode(F.sequence("a", "b")).alias("y"))
-    return every.join(rows, [ID, "y"], "left").select(ID, "y", F.coalesce("width", F.lit(0)).alias("width"), "left", "right")
+    # a row stands for the empty ones up to the next, too: windows over an image's rows, no join
+    after = F.lead("y").over(Window.partitionBy(ID).orderBy("y"))
+    every = rows.withColumn("_to", F.coalesce(after - 1, F.col("y"))).withColumn("_y", F.explode(F.sequence("y", "_to")))
+    some = F.col("y") == F.col("_y")
+    return every.select(ID, F.col("_y").alias("y"), F.when(some, F.col("width")).otherwise(0).alias("width"), *(F.when(some, F.col(c)).alias(c) for c in ("left", "right")))
+
+
+def _band(lo: float, hi: float):
+    """Whether a row of a profile lies from share ``lo`` to share ``hi`` of its image's height."""
+    image = Window.partitionBy(ID)
+    i, n = F.col("y") - F.min("y").over(image), F.count("*").over(image)
+    return (i >= F.floor(F.lit(lo) * n)) & (i < F.floor(F.lit(hi) * n))
 
 
 def band_median(profile: DataFrame, lo: float, hi: float, name: str) -> DataFrame:
     """Median width of the rows from share ``lo`` to share ``hi`` of the height."""
-    ends = profile.groupBy(ID).agg(F.min("y").alias("_a"), F.count("*").alias("_n"))
-    i = F.col("y") - F.col("_a")
-    return profile.join(ends, ID).where((i >= F.floor(F.lit(lo) * F.col("_n"))) & (i < F.floor(F.lit(hi) * F.col("_n")))).groupBy(ID).agg(F.median("width").alias(name))
+    return profile.withColumn("_in", _band(lo, hi)).where("_in").groupBy(ID).agg(F.median("width").alias(name))
 
 
 def tube_traits(d: DataFrame, mask: str, mm_per_px: float = MM_PER_PX) -> DataFrame:
-    """Throat and mouth width in mm and their ratio."""
-    p = width_profile(d, mask)
-    t = band_median(p, 0.04, 0.16, "throat").join(band_median(p, 0.72, 0.88, "mouth"), ID)
+    """Throat and mouth width in mm and their ratio; null without a row in a band."""
+    p = width_profile(d, mask).withColumns({"_throat": _band(0.04, 0.16), "_mouth": _band(0.72, 0.88)})
+    t = p.groupBy(ID).agg(*(F.median(F.when(F.col(f"_{c}"), F.col("width"))).alias(c) for c in ("throat", "mouth")))
     return t.select(ID, (F.col("throat") * mm_per_px).alias("throat_mm"), (F.col("mouth") * mm_per_px).alias("mouth_mm"), F.try_divide("mouth", "throat").alias("flare"))
 
 
@@ -143,14 +150,12 @@ def lobe_incision(d: DataFrame, mask: str) -> DataFrame:
 
 
 def edge_length(d: DataFrame, mask: str) -> DataFrame:
-    """Length of a skeleton: each pixel meets its four later neighbours by equal-key joins."""
-    p = d.where(mask).select(ID, "x", "y")
-    out = None
-    for dx, dy, w in ((1, 0, 1.0), (0, 1, 1.0), (1, 1, 2.0**0.5), (-1, 1, 2.0**0.5)):
-        q = p.select(ID, (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"))
-        hit = p.join(q, [ID, "x", "y"]).select(ID, F.lit(w).alias("w"))
-        out = hit if out is None else out.unionByName(hit)
-    return p.select(ID).distinct().join(out.groupBy(ID).agg(F.sum("w").alias("w")), ID, "left").select(ID, F.coalesce("w", F.lit(0.0)).alias("length_px"))
+    """Length of a skeleton: each pixel hands the way to its four later neighbours, which count it if they are drawn."""
+    own, way = lambda: F.lit(0.0).alias("w"), lambda n: F.lit(n).cast("long").alias("n")
+    ways = ((1, 0, 1.0), (0, 1, 1.0), (1, 1, 2.0**0.5), (-1, 1, 2.0**0.5))
+    at = F.explode(F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y"), own(), way(1)), *(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(w).alias("w"), way(0)) for dx, dy, w in ways))).alias("a")
+    met = d.where(mask).select(ID, at).select(ID, "a.*").groupBy(ID, "x", "y").agg((F.sum("n") * F.sum("w")).alias("w"))
+    return met.groupBy(ID).agg(F.sum("w").alias("length_px"))
 
 
 def chord(d: DataFrame, mask: str) -> DataFrame:

@@ -297,6 +297,53 @@ def test_pixels_are_never_broadcast(spark, scans, query):
     assert "Generate explode" in plan and not made_and_sent(plan)
 
 
+def test_strokes_are_made_by_many_tasks(spark, scans):
+    """The file of channel statistics doesn't draw the making of pixels into its one task."""
+    got = catalog.queries()["stroke_statistics_file"](spark, scans)
+    assert len(got.inputFiles()) > 1 and sorted(map(tuple, got.collect())) == sorted(map(tuple, catalog.queries()["pixel_channels"](spark, scans).collect()))
+
+
+def test_midline_pixels_carry_their_pattern(spark):
+    m = np.zeros((20, 80), np.uint8)
+    m[5:15, 3:75] = 1
+    p = np.zeros_like(m)
+    p[7, 3:70] = p[0, 0] = 1
+    d = spark.createDataFrame([(1, 20, 80, bytearray(m.tobytes()), bytearray(p.tobytes()))], "image_id long, h int, w int, mask binary, pattern binary")
+    plain, marked = (imaging.midline_distances(x).orderBy("y", "x").collect() for x in (d.drop("pattern"), d))
+    assert [tuple(r) for r in plain] == [tuple(r)[:4] for r in marked] and len(plain) == m.sum()
+    assert all(r["pattern"] == bool(p[r["y"], r["x"]]) for r in marked)
+
+
+def test_masks_wider_than_a_word(spark):
+    rng = np.random.default_rng(3)
+    images = {i: rng.random((h, w)) < 0.4 for i, (h, w) in enumerate(((3, 130), (5, 64), (1, 1), (4, 65)))}
+    rows = [(i, y, x, bool(v)) for i, m in images.items() for (y, x), v in np.ndenumerate(m)]
+    got = {r["image_id"]: r for r in imaging.mask_column(spark.createDataFrame(rows, "image_id long, y long, x long, on boolean"), "on").collect()}
+    assert all((np.frombuffer(got[i]["mask"], np.uint8).reshape(got[i]["h"], got[i]["w"]) == m).all() for i, m in images.items())
+
+
+def test_edge_length_counts_each_step_once(spark):
+    rng = np.random.default_rng(4)
+    m = rng.random((9, 70)) < 0.4
+    d = spark.createDataFrame([(1, *map(int, at), bool(v)) for at, v in np.ndenumerate(m)] + [(2, 0, 0, True), (3, 0, 0, False)], "image_id long, y long, x long, on boolean")
+    plan = pixels.edge_length(d, "on")
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {r["image_id"]: r["length_px"] for r in plan.collect()}
+    assert set(got) == {1, 2} and got[2] == 0 and got[1] == pytest.approx(mk.edge_length(m))
+
+
+def test_tubes_meet_no_join(spark):
+    """A gap in a mask has width 0; a mask of few rows has no throat, and is a row all the same."""
+    rows = [(1, y, x, y != 5) for y in range(50) for x in range(10 + y)] + [(2, 0, 0, True)]
+    d = spark.createDataFrame(rows, "image_id long, y long, x long, on boolean")
+    widths = {r["y"]: (r["width"], r["left"]) for r in pixels.width_profile(d, "on").where("image_id = 1").collect()}
+    assert widths == {y: (10 + y, 0) if y != 5 else (0, None) for y in range(50)}
+    t = pixels.tube_traits(d, "on", 1.0)
+    assert "Join" not in t._jdf.queryExecution().executedPlan().toString()
+    got = {r["image_id"]: tuple(r)[1:3] for r in t.collect()}
+    assert got == {1: (float(np.median([0 if y == 5 else 10 + y for y in range(2, 8)])), float(np.median([10 + y for y in range(36, 44)]))), 2: (None, None)}
+
+
 def test_marks_of_a_grid(spark):
     """Marks at word ends, repeated, outside, and none at all."""
     marks = [(1, 0, 0), (1, 0, 63), (1, 0, 64), (1, 2, 69), (1, 2, 69), (1, 1, -1), (1, 1, 70), (1, 3, 0), (1, -1, 5), (9, 0, 0)]
