@@ -291,7 +291,7 @@ def made_and_sent(plan: str) -> list[str]:
     return [x for i, x in enumerate(lines) if "BroadcastExchange" in x and any("Generate explode" in y for y in below(i)) and not any("Aggregate" in y for y in below(i))]
 
 
-@pytest.mark.parametrize("query", ["pixel_centroid", "pixel_channels", "pixel_crop", "pixel_density", "pixel_lobe_incision", "audit_pictures", "component_sizes", "mask_axes", "mask_components", "mask_registration", "midline_metrics", "photo_matches"])
+@pytest.mark.parametrize("query", ["pixel_centroid", "pixel_channels", "pixel_crop", "pixel_density", "pixel_lobe_incision", "audit_pictures", "component_sizes", "mask_axes", "mask_components", "mask_registration", "midline_metrics", "photo_matches", "upright_frames"])
 def test_pixels_are_never_broadcast(spark, scans, query):
     plan = catalog.queries()[query](spark, scans)._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" in plan and not made_and_sent(plan)
