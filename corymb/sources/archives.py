@@ -1,8 +1,9 @@
 """Zip archives as a Spark data source: a row a member, read without unpacking.
 
-``spark.read.format("zip_members").load(folder)`` gives (archive, member, size, content).  Planning reads the
-archives' directories only: each member is a partition of its own or shares one with others up to
-``partitionBytes`` (16 MB), and members that a filter on ``member`` (equal, in, ends or starts with, contains) or the
+``spark.read.format("zip_members").load(folder)`` gives (archive, member, size, content).  Planning lists the folder
+and opens only archives whose members may be more than ``partitionBytes`` (16 MB), as deflate packs up to 1032 to 1, to share
+them out by their directories; the directories of others are read by the task.  Archives and members share a partition up to
+that size (an opened file counts 64 kB at least).  Members that a filter on ``member`` (equal, in, ends or starts with, contains) or the
 option ``suffix`` rules out are never read.  Filters reach the source where the session has
 ``spark.sql.python.filterPushdown.enabled``; :func:`members` sets it.
 
@@ -32,8 +33,13 @@ def _store(path: str):
 
 @dataclass
 class Members(InputPartition):
-    archive: str
-    names: list[str]
+    """Archives with the members to read of each; None: what is wanted, by its directory."""
+
+    parts: list[tuple[str, list[str] | None]]
+
+
+#: Bytes that opening an archive counts as, and how many bytes one deflated byte may stand for.
+OPEN, RATIO = 64 << 10, 1032
 
 
 class _Reader(DataSourceReader):
@@ -55,40 +61,68 @@ class _Reader(DataSourceReader):
         return all(holds[type(f)](f.value) for f in self.tests)
 
     def partitions(self) -> list[InputPartition]:
+        """Small archives together, large ones by members; a partition for the driver to send, never an archive's bytes."""
         from zipfile import ZipFile
 
         from pyarrow import fs
 
         store, root = _store(self.path)
         if root.endswith(".zip"):
-            found = [root]
+            found = [store.get_file_info(root)]
         else:
-            found = sorted(i.path for i in store.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file and i.path.endswith(".zip"))
+            found = sorted((i for i in store.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file and i.path.endswith(".zip")), key=lambda i: i.path)
         out: list[InputPartition] = []
-        for archive in found:
+        small, held = [], 0
+
+        def share(archive: str, names: list[str] | None, size: int) -> None:
+            nonlocal small, held
+            if small and held + max(size, OPEN) > self.most:
+                out.append(Members(small))
+                small, held = [], 0
+            small.append((archive, names))
+            held += max(size, OPEN)
+
+        for info in found:
+            if info.size * RATIO <= self.most:
+                share(info.path, None, info.size)
+                continue
             names, size = [], 0
-            with store.open_input_file(archive) as f, ZipFile(f) as z:
+            with store.open_input_file(info.path) as f, ZipFile(f) as z:
                 for m in z.infolist():
                     if self._wanted(m.filename):
                         if names and size + m.file_size > self.most:
-                            out.append(Members(archive, names))
+                            out.append(Members([(info.path, names)]))
                             names, size = [], 0
                         names.append(m.filename)
                         size += m.file_size
             if names:
-                out.append(Members(archive, names))
-        return out or [Members("", [])]
+                share(info.path, names, size)
+        if small:
+            out.append(Members(small))
+        return out or [Members([])]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         from zipfile import ZipFile
 
-        if not partition.names:
-            return
         store, _ = _store(self.path)
-        with store.open_input_file(partition.archive) as f, ZipFile(f) as z:
-            for name in partition.names:
-                content = z.read(name)
-                yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((partition.archive.rpartition("/")[2], name, len(content), content), _ARROW, strict=True)], schema=_ARROW)
+        rows, held = [], 0
+        for archive, names in partition.parts:
+            with store.open_input_file(archive) as f, ZipFile(f) as z:
+                for name in z.namelist() if names is None else names:
+                    if names is None and not self._wanted(name):
+                        continue
+                    content = z.read(name)
+                    rows.append((archive.rpartition("/")[2], name, len(content), content))
+                    held += len(content)
+                    if len(rows) >= 1000 or held >= 1 << 20:
+                        yield self._batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
 class ZipMembers(DataSource):

@@ -54,3 +54,13 @@ def test_packed_archives_read_back(spark, tmp_path):
     assert rows(archives.members(spark, f"file://{tmp_path}/out")) == sorted((f"{s}.zip", m, len(c), c.encode()) for s, m, c in rows_)
     (tmp_path / "none").mkdir()
     assert archives.members(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_small_archives_share_a_task(spark, tmp_path):
+    """Planning opens none of them, however many there are."""
+    for i in range(30):
+        with zipfile.ZipFile(tmp_path / f"{i:02d}.zip", "w") as z:
+            z.writestr("a.csv", f"{i}")
+            z.writestr("b.txt", "x")
+    d = archives.members(spark, f"file://{tmp_path}", ".csv")
+    assert d.rdd.getNumPartitions() == 1 and sorted((r["archive"], bytes(r["content"])) for r in d.collect()) == [(f"{i:02d}.zip", str(i).encode()) for i in range(30)]
