@@ -277,7 +277,7 @@ def scans(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("query", ["mask_shapes", "mask_axes", "mask_components", "mask_registration", "midline_metrics"])
+@pytest.mark.parametrize("query", ["mask_shapes", "mask_axes", "mask_components", "mask_registration"])
 def test_mask_queries_take_every_image(spark, scans, query):
     images = {r["image_id"] for r in _pixels(spark, scans).select("image_id").distinct().collect()}
     assert len(images) == 4 and {r["image_id"] for r in catalog.queries()[query](spark, scans).select("image_id").collect()} == images
@@ -291,12 +291,18 @@ def made_and_sent(plan: str) -> list[str]:
     return [x for i, x in enumerate(lines) if "BroadcastExchange" in x and any("Generate explode" in y for y in below(i)) and not any("Aggregate" in y for y in below(i))]
 
 
-@pytest.mark.parametrize("query", ["pixel_centroid", "pixel_channels", "pixel_crop", "pixel_density", "pixel_lobe_incision", "audit_pictures", "component_sizes", "mask_axes", "mask_components", "mask_registration", "midline_metrics", "photo_matches", "upright_frames"])
+@pytest.mark.parametrize("query", ["pixel_centroid", "pixel_channels", "pixel_crop", "pixel_density", "pixel_lobe_incision", "component_sizes", "mask_axes", "mask_components", "mask_registration", "upright_frames"])
 def test_pixels_are_never_broadcast(spark, scans, query):
     plan = catalog.queries()[query](spark, scans)._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" in plan and not made_and_sent(plan)
 
 
+def test_masks_are_gathered_without_a_join(spark):
+    """What audit pictures, photo matches and midline metrics draw: sizes and pixels come from one pass."""
+    d = spark.createDataFrame([(1, 0, 0, True)], "image_id long, y long, x long, on boolean")
+    assert "Join" not in imaging.mask_column(d, "on")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_strokes_are_made_by_many_tasks(spark, scans):
     """The file of channel statistics doesn't draw the making of pixels into its one task."""
     got = catalog.queries()["stroke_statistics_file"](spark, scans)
