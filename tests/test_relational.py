@@ -162,3 +162,16 @@ def test_pairs_by_rounds_equal_the_sequential_choice(spark):
     got = matching.greedy_pairs(spark.createDataFrame(rows + rows[:9], "sheet string, a int, b int, iou double"), "sheet", "a", "b", "iou")
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert matching.greedy_pairs(spark.createDataFrame([], "sheet string, a int, b int, iou double"), "sheet", "a", "b", "iou").collect() == []
+
+
+def test_greedy_pairs_of_many_settle_the_best_first(spark):
+    """Bands of scores give the sequential choice, and pairs whose ends are taken aren't written down."""
+    rows = [("s" if i % 3 else "t", i % 23, i % 37, float(i * 7919 % 50)) for i in range(3000)] + [("u", 1, 1, 0.5), ("u", 1, 2, 0.5), ("v", None, 1, 1.0)]
+    d = spark.createDataFrame(rows, "sheet string, a int, b int, iou double")
+    want, used = set(), set()
+    for r in sorted({r for r in rows if r[1] is not None}, key=lambda r: (-r[3], -r[1], -r[2])):
+        if not {(r[0], "a", r[1]), (r[0], "b", r[2])} & used:
+            want.add(r)
+            used |= {(r[0], "a", r[1]), (r[0], "b", r[2])}
+    got = matching.greedy_pairs(d, "sheet", "a", "b", "iou", many=100)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
